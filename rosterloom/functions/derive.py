@@ -21,16 +21,24 @@ def lookup(c: Column, mapping: Mapping | Sequence[tuple]) -> Column:
 
 def first_case(cases: Sequence[tuple[Column, Column]], default: Column) -> Column:
     """Ordered CASE: the first condition that holds decides."""
-    return reduce(lambda rest, wv: F.when(wv[0], wv[1]).otherwise(rest), reversed(cases), default)
+    out = F.when(*cases[0])
+    for cond, value in cases[1:]:
+        out = out.when(cond, value)
+    return out.otherwise(default)
+
+
+def _reachable(pairs: Sequence[tuple[str, str]]) -> list[tuple[str, str]]:
+    """Containment rules that can still fire: none that contains an earlier rule's key."""
+    keys = [k for k, _ in pairs]
+    return [(k, v) for i, (k, v) in enumerate(pairs) if not any(e in k for e in keys[:i])]
 
 
 def normalize_type(c: ColumnLike, title_case: bool = False) -> Column:
     """Exact map entry, else the first map key contained in the text, else the text itself."""
-    text = strip(c)
-    low = F.lower(text)
-    contained = [(low.contains(k), F.lit(v)) for k, v in vocab.TYPE_MAP]
+    text, low = strip(c), F.lower(as_col(c))
+    contained = [(low.contains(k), F.lit(v)) for k, v in _reachable(vocab.TYPE_MAP)]
     kept = F.initcap(text) if title_case else text
-    out = F.coalesce(lookup(low, vocab.TYPE_MAP), first_case(contained, kept))
+    out = F.coalesce(lookup(F.lower(text), vocab.TYPE_MAP), first_case(contained, kept))
     return F.when(as_col(c) != "", out)
 
 

@@ -106,7 +106,7 @@ def progress(df: DataFrame, region: str, full: Column) -> DataFrame:
                       full.alias("_full"))
     n_full = F.count_if("_full")
     return keyed.rollup("region").agg(
-        F.when(F.grouping("region") == 1, "total").otherwise("region").alias("level"),
+        F.when(F.grouping("region") == 1, "total").otherwise(F.col("region")).alias("level"),
         F.count(F.lit(1)).alias("total"), n_full.alias("full"),
         (F.count(F.lit(1)) - n_full).alias("placeholder"),
         F.round(n_full * 100.0 / F.count(F.lit(1)), 2).alias("full_pct"))
@@ -118,7 +118,7 @@ def missing_report(df: DataFrame, region: str, missing: Column) -> DataFrame:
                                         F.lit(vocab.FOREIGN_CODE))).alias("region"),
                      F.explode(missing).alias("field"))
     return (gaps.groupingSets([["field"], ["region", "field"]], "region", "field")
-            .agg(F.when(F.grouping("region") == 1, "total").otherwise("region").alias("level"),
+            .agg(F.when(F.grouping("region") == 1, "total").otherwise(F.col("region")).alias("level"),
                  F.count(F.lit(1)).alias("n")))
 
 

@@ -14,7 +14,7 @@ def outcome_counters(df: DataFrame, region: str, outcome: str, kinds: Sequence[s
     """Processed records and one counter per outcome, per region and in total."""
     counters = [F.count_if(F.col(outcome) == k).alias(k) for k in kinds]
     return df.rollup(region).agg(
-        F.when(F.grouping(region) == 1, "total").otherwise("region").alias("level"),
+        F.when(F.grouping(region) == 1, "total").otherwise(F.col(region)).alias("level"),
         F.count(F.lit(1)).alias("processed"), *counters)
 
 

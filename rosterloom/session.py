@@ -20,7 +20,8 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g"
     """A local session for tests and the benchmark; clusters bring their own."""
     builder = (SparkSession.builder.master(f"local[{cpus}]").appName("rosterloom")
                .config("spark.sql.shuffle.partitions", str(partitions))
-               .config("spark.driver.memory", memory).config("spark.ui.enabled", "false"))
+               .config("spark.driver.memory", memory).config("spark.ui.enabled", "false")
+               .config("spark.ui.showConsoleProgress", "false"))
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()

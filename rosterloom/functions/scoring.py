@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import json_object_in
@@ -150,8 +150,8 @@ def quality_band(score: Column) -> Column:
 
 
 def clamp(value: Column, low: int, high: int) -> Column:
-    """Number truncated to an integer inside [low, high]; anything else is null."""
-    number = value.try_cast("double")
+    """Number truncated to an integer inside [low, high]; null stays null."""
+    number = value.cast("double")
     whole = F.when(number >= 0, F.floor(number)).otherwise(F.ceil(number))
     return F.when(number.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), whole))).cast(
         "int")
@@ -164,21 +164,18 @@ SCORE_RANGES = {
 }
 
 
-def validated_scores(response: Column, ranges: dict[str, tuple[int, int]] | None = None,
-                     note: str = "score_notes", note_length: int = 500) -> list[Column]:
-    """Clamped scores out of a response text that holds one JSON object somewhere.
+def validated_scores(df: DataFrame, response: Column,
+                     ranges: dict[str, tuple[int, int]] | None = None,
+                     note: str = "score_notes", note_length: int = 500) -> DataFrame:
+    """Adds the clamped scores of a response text that holds one JSON object somewhere.
 
-    JSON strings are not numbers; true and false count as 1 and 0.
+    The text is parsed once per row; JSON strings are not numbers and give null.
     """
     ranges = SCORE_RANGES if ranges is None else ranges
-    doc = F.try_parse_json(json_object_in(response))
-    out = []
-    for field, (low, high) in ranges.items():
-        raw = F.try_variant_get(doc, f"$.{field}", "string")
-        kind = F.schema_of_variant(F.try_variant_get(doc, f"$.{field}", "variant"))
-        number = F.when(kind == "BOOLEAN", raw.try_cast("boolean").cast("int").cast("string"))
-        number = number.when(~kind.startswith("STRING"), raw)
-        out.append(clamp(number, low, high).alias(field))
-    text = F.try_variant_get(doc, f"$.{note}", "string")
-    out.append(F.nullif(F.left(text, F.lit(note_length)), F.lit("")).alias(note))
-    return out
+    schema = ", ".join([*[f"{f} DOUBLE" for f in ranges], f"{note} STRING"])
+    parsed = df.withColumn("_doc", F.from_json(json_object_in(response), schema))
+    text = F.col(f"_doc.{note}")
+    return parsed.withColumns({
+        **{f: clamp(F.col(f"_doc.{f}"), low, high) for f, (low, high) in ranges.items()},
+        note: F.nullif(F.left(text, F.lit(note_length)), F.lit("")),
+    }).drop("_doc")

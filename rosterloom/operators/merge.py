@@ -195,8 +195,10 @@ STUB_TEXT = {
 
 
 def make_stubs(rows: DataFrame, roles: Mapping[str, str], as_of: Column | str, source_tag: str,
-               note: str, null_fields: Mapping[str, str] | None = None) -> DataFrame:
-    """New records for unmatched roster rows. `roles`: state, name, city, url."""
+               note: str, null_fields: Mapping[str, str] | None = None,
+               keep: Sequence[str] = ()) -> DataFrame:
+    """New records for unmatched roster rows. `roles`: state, name, city, url; `keep` names
+    roster columns to carry along."""
     state, name, url = (F.col(roles[k]) for k in ("state", "name", "url"))
     home = derive.region_code(state, None)
     city = F.coalesce(text.blank_to_null(roles["city"]), F.lit("Unknown"))
@@ -210,7 +212,7 @@ def make_stubs(rows: DataFrame, roles: Mapping[str, str], as_of: Column | str, s
         "created_at": _col(as_of), "updated_at": _col(as_of), "last_updated": _col(as_of),
         **{k: F.lit(None).cast(t) for k, t in (null_fields or {}).items()},
     }
-    return rows.select(*[c.alias(n) for n, c in cols.items()])
+    return rows.select(*keep, *[c.alias(n) for n, c in cols.items()])
 
 
 def all_of(conds: Sequence[Column]) -> Column:

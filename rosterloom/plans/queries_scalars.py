@@ -79,12 +79,11 @@ def is_http_url(spark, path):
     return cust(spark, path).select("id", text.is_http_url(text.strip("url")).alias("ok"))
 
 
-_DOC_NAME = "'The ' || source || '''s Museum of ' || lang || ' & ' || left(text, 40)"
+_DOC_NAME = "'The ' || source || '''s Museum of ' || lang || ' & ' || text"
 
 
 def _doc_name():
-    return F.concat(F.lit("The "), "source", F.lit("'s Museum of "), "lang", F.lit(" & "),
-                    F.left("text", F.lit(40)))
+    return F.concat(F.lit("The "), "source", F.lit("'s Museum of "), "lang", F.lit(" & "), "text")
 
 
 # The \b of the check only knows ASCII letters, so word borders are marked with chr(1) there.
@@ -249,7 +248,8 @@ def _response():
     "CAST(least(3, k % 5) AS INT) AS reputation, left('note ' || repeat(kind, CAST(k * 3 AS INT)), "
     "500) AS score_notes FROM evt"))
 def validated_scores(spark, path):
-    return evt(spark, path).select("id", *scoring.validated_scores(_response()))
+    scored = scoring.validated_scores(evt(spark, path), _response())
+    return scored.select("id", *scoring.SCORE_RANGES, "score_notes")
 
 
 @query("h20_json_in_text", f"WITH {EVT} SELECT id, '{{\"k\":' || k || '}}' AS body FROM evt")

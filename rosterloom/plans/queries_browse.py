@@ -1 +1,198 @@
-"""Queries."""
+"""Filters, sorts, pages, facets and exports of the browse surface."""
+
+from pyspark.sql import functions as F
+
+from ..functions import scoring, vocab
+from ..operators import browse
+from ..sources import readers, writers
+from ..session import scratch_path
+from .bindings import ART, CUST, art, cust, score_columns, tables
+from .queries_scoring import P3, Q3
+from .registry import query
+
+S = score_columns()
+SCORED = f"{ART}, scored AS (SELECT *, {P3} AS priority, {Q3} AS quality_score FROM art)"
+
+
+def scored(spark, path):
+    return art(spark, path).withColumns({"priority": scoring.priority(S),
+                                         "quality_score": scoring.quality(S)})
+
+
+@query("b7_text_search", (
+    f"WITH {CUST} SELECT id FROM cust WHERE contains(lower(concat_ws(' | ', name, nullif(raw_city, "
+    "''), state, region)), 's | a')"))
+def text_search(spark, path):
+    c = cust(spark, path).withColumn("others", F.array("state", "region"))
+    return c.filter(browse.search_text(" S | a ", "name", "others", "raw_city")).select("id")
+
+
+@query("b8_facet_filters", (
+    f"WITH {CUST} SELECT id, state FROM cust WHERE lower(trim(raw_city)) = 'furniture' AND "
+    "lower(region) = 'asia'"))
+def facet_filters(spark, path):
+    cond = browse.facet_equals({"raw_city": " Furniture", "region": "asia ", "state": ""})
+    return cust(spark, path).filter(cond).select("id", "state")
+
+
+@query("b9_api_page", (
+    f"WITH {SCORED}, f AS (SELECT * FROM scored WHERE domain = 'Art' AND confidence >= 2 AND priority "
+    "BETWEEN 5 AND 20) SELECT id, name, priority, (SELECT count(*) FROM f) AS total FROM f ORDER BY "
+    "priority, name, id LIMIT 50 OFFSET 20"))
+def api_page(spark, path):
+    q = browse.BrowseQuery(
+        order=browse.priority_order("priority", "name", "id"), facets={"domain": "art"},
+        ranges={"confidence": (2, None), "priority": (5, 20)}, limit=50, offset=20)
+    return q.page_with_total(scored(spark, path)).select("id", "name", "priority", "total")
+
+
+@query("d15_facet_values", (
+    f"WITH {ART} SELECT DISTINCT facet, value FROM (SELECT 'domain' AS facet, domain AS value FROM art "
+    "UNION ALL SELECT 'city', city FROM art UNION ALL SELECT 'state', state FROM art UNION ALL SELECT "
+    "'rep', CAST(nullif(rep, 0) AS VARCHAR) FROM art) WHERE value <> ''"))
+def facet_values(spark, path):
+    return browse.facet_values(art(spark, path), ["domain", "city", "state", "rep"])
+
+
+@query("f1_priority_sort", (
+    f"WITH {SCORED} SELECT id, priority, name FROM scored ORDER BY priority ASC NULLS LAST, name, id "
+    "LIMIT 500"))
+def priority_sort(spark, path):
+    return scored(spark, path).select("id", "priority", "name").orderBy(
+        *browse.priority_order("priority", "name", "id")).limit(500)
+
+
+_SORTS = (("state", "''", False, ""), ("rep", "999", True, 999), ("cbs", "-1", True, -1),
+          ("quality_score", "-1", True, -1), ("nearby", "0", False, 0))
+
+
+@query("f2_multi_key_sorts", (
+    f"WITH {SCORED}" + " ".join(f""", {c}_page AS (SELECT '{c}' AS sort_key, id FROM scored ORDER BY
+    coalesce({c}, {n}) {'DESC' if d else 'ASC'}, name, id LIMIT 100)""" for c, n, d, _ in _SORTS)
+    + " " + " UNION ALL ".join(f"SELECT * FROM {c}_page" for c, *_ in _SORTS)))
+def multi_key_sorts(spark, path):
+    df = scored(spark, path)
+    pages = [df.orderBy(*browse.sort_order(c, "name", "id", d, n)).limit(100).select(
+        F.lit(c).alias("sort_key"), "id") for c, _, d, n in _SORTS]
+    out = pages[0]
+    for p in pages[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query("f3_label_sort", (
+    f"WITH {ART}, l AS (SELECT id, name, CASE rep WHEN 0 THEN 'International' WHEN 1 THEN 'National' "
+    "WHEN 2 THEN 'Regional' WHEN 3 THEN 'Local' END AS label FROM art) SELECT id, label FROM l ORDER "
+    "BY CASE label WHEN 'Local' THEN 1 WHEN 'Regional' THEN 2 WHEN 'National' THEN 3 WHEN "
+    "'International' THEN 4 ELSE 999 END, name, id LIMIT 600"))
+def label_sort(spark, path):
+    from ..functions import derive
+    df = art(spark, path).withColumn("label", derive.label("rep", vocab.REPUTATION_LABELS))
+    return df.orderBy(*browse.label_order("label", vocab.REPUTATION_ORDER, "name", "id")).limit(
+        600).select("id", "label")
+
+
+@query("f4_page_of_100", (
+    f"WITH {SCORED} SELECT id, quality_score, CAST((SELECT greatest(1, ceil(count(*) / 100.0)) FROM "
+    "scored WHERE scoreable) AS BIGINT) AS pages FROM scored WHERE scoreable ORDER BY "
+    "coalesce(quality_score, -1) DESC, name, id LIMIT 100 OFFSET 300"))
+def page_of_100(spark, path):
+    q = browse.BrowseQuery(order=browse.sort_order("quality_score", "name", "id", True, -1),
+                           where=F.col("scoreable"), limit=100, offset=300)
+    df = scored(spark, path)
+    return q.page(df).select("id", "quality_score").withColumn(
+        "pages", q.total(df).select("pages").scalar())
+
+
+@query("f5_api_limit_cap", (
+    f"WITH {SCORED} SELECT id, priority FROM scored ORDER BY priority ASC NULLS LAST, name, id LIMIT "
+    "200"))
+def api_limit_cap(spark, path):
+    q = browse.BrowseQuery(order=browse.priority_order("priority", "name", "id"), limit=5000)
+    return q.page(scored(spark, path)).select("id", "priority")
+
+
+@query("f7_sample_heads", (
+    f"WITH {ART} SELECT id, name FROM art WHERE domain = 'Art' AND tier IS NULL ORDER BY id LIMIT 10"))
+def sample_heads(spark, path):
+    return art(spark, path).filter((F.col("domain") == "Art") & F.col("tier").isNull()).orderBy(
+        "id").limit(10).select("id", "name")
+
+
+_REP = ("CASE rep WHEN 0 THEN 'International' WHEN 1 THEN 'National' WHEN 2 THEN 'Regional' WHEN 3 "
+        "THEN 'Local' ELSE '' END")
+
+
+@query("a11_csv_export", (
+    f"WITH {ART} SELECT state AS \"State\", city AS \"City\", name || ', \"' || id || '\"' AS \"Museum "
+    f"Name\", {_REP} AS \"Reputation\", coalesce(CAST(nearby AS VARCHAR), '') AS \"Nearby Museums\" "
+    "FROM art WHERE domain = 'Art'"))
+def csv_export(spark, path):
+    df = art(spark, path).filter("domain = 'Art'").withColumn(
+        "title", F.concat("name", F.lit(', "'), F.col("id").cast("string"), F.lit('"')))
+    columns = [c for c in vocab.EXPORT_COLUMNS if c[0] in (
+        "state_province", "city", "museum_name", "reputation", "nearby_museum_count")]
+    out = browse.export_projection(
+        df.orderBy("name", "id"), columns, vocab.EXPORT_LABELS,
+        {"state_province": "state", "museum_name": "title", "reputation": "rep",
+         "nearby_museum_count": "nearby"})
+    target = scratch_path(spark, "export")
+    writers.write_csv(out, target)
+    back = (spark.read.schema(out.schema).option("header", True).option("escape", '"').csv(target))
+    return back.fillna("")
+
+
+@query("h29_csv_field", (
+    "SELECT doc_id AS id, CASE WHEN regexp_matches(text, '[,\"\\n]') THEN '\"' || replace(text, '\"', "
+    "'\"\"') || '\"' ELSE text END AS field FROM documents"))
+def csv_field(spark, path):
+    (d,) = tables(spark, path, "documents")
+    return d.select(F.col("doc_id").alias("id"), browse.csv_field("text").alias("field"))
+
+
+@query("a14_source_priority", (
+    "SELECT c_custkey AS id, 'primary' AS origin FROM customer WHERE c_acctbal > 0 UNION ALL SELECT "
+    "c_custkey, 'fallback' FROM customer WHERE NOT c_acctbal > 0"))
+def source_priority(spark, path):
+    from ..operators import reconcile
+    (c,) = tables(spark, path, "customer")
+    base = c.select(F.col("c_custkey").alias("id"), F.lit("fallback").alias("origin"))
+    first = c.filter("c_acctbal > 0").select(F.col("c_custkey").alias("id"),
+                                             F.lit("primary").alias("origin"))
+    return reconcile.prefer_first(first, base, "id")
+
+
+@query("a15_key_maps", (
+    f"WITH {CUST}, k AS (SELECT id, 'usa-' || lower(code) || '-' || lower(city) || '-' || "
+    "regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g') AS museum_id, lower(city) || '-' || "
+    "regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g') || '--' || right(lpad(CAST(id AS VARCHAR), 9,"
+    " '0'), 6) AS slug_alias FROM cust) SELECT 'm_' || left(sha256(museum_id), 8) AS folder_hash, "
+    "museum_id, slug_alias, count(*) OVER (PARTITION BY left(sha256(museum_id), 8)) > 1 AS collides "
+    "FROM k"))
+def key_maps(spark, path):
+    from ..functions import text
+    from ..operators import groups
+    c = cust(spark, path).withColumn(
+        "museum_id", text.entity_id(F.lit("USA"), "code", "city", "name"))
+    maps = readers.key_maps(c, "museum_id", "city", "name")
+    counted = groups.attach_group_stats(maps, ["folder_hash"], {"n": ("count", None)}, "museum_id")
+    return counted.withColumn("collides", F.col("n") > 1).drop("n")
+
+
+@query("b17_run_gates", (
+    f"WITH {SCORED}, li AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_returnflag = 'R'), lo AS ("
+    "SELECT DISTINCT l_partkey FROM lineitem WHERE l_linestatus = 'O') SELECT id, domain = 'Art' AND "
+    "scoreable AND id IN (SELECT l_partkey FROM li) AND id IN (SELECT l_partkey FROM lo) AS "
+    "may_score, coalesce(quality_score >= 14, false) AND quality_score IS NOT NULL OR confidence = 5 "
+    "AS may_write FROM scored WHERE domain IS NOT NULL"))
+def run_gates(spark, path):
+    from ..operators import evidence
+    (li,) = tables(spark, path, "lineitem")
+    key = F.col("l_partkey").alias("id")
+    df = scored(spark, path).filter(F.col("domain").isNotNull())
+    ok = evidence.scoring_gate(df, "id", li.filter("l_returnflag = 'R'").select(key),
+                               li.filter("l_linestatus = 'O'").select(key), "domain", "scoreable")
+    q = F.col("quality_score")
+    return df.join(ok.select("id", F.lit(True).alias("_ok")), "id", "left").select(
+        "id", F.coalesce("_ok", F.lit(False)).alias("may_score"),
+        evidence.content_gate(q, q.isNotNull(), F.col("confidence") == 5).alias("may_write"))

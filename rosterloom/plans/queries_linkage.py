@@ -101,6 +101,16 @@ def fuzzy_match(spark, path):
                       F.col("match_row_no").alias("match_id"))
 
 
+@query("h8_similarity_ratio")
+def similarity_ratio(spark, path):
+    (p,) = tables(spark, path, "part")
+    # the ratio is computed once per distinct pair and joined back
+    pairs = p.select("p_name", "p_brand").distinct().withColumn("ratio", F.round(
+        linkage.similarity_ratio("p_name", F.lower("p_brand")), 6))
+    return p.select(F.col("p_partkey").alias("id"), "p_name", "p_brand").join(
+        pairs, ["p_name", "p_brand"]).select("id", "ratio")
+
+
 SHEET = """sheet AS (
   SELECT s_suppkey AS row_no, CAST(floor(s_acctbal) AS INT) AS score, CASE CAST(s_suppkey % 4 AS INT)
     WHEN 0 THEN 'Customer#' || lpad(CAST(s_suppkey AS VARCHAR), 9, '0')

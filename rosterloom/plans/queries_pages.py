@@ -1 +1,79 @@
-"""Queries."""
+"""Facts out of crawled pages."""
+
+from pyspark.sql import functions as F
+
+from ..operators import pages
+from .bindings import tables
+from .registry import query
+
+# The pages carry no meta description, so one is put into the head of most of them.
+_META_SQL = """src AS (
+  SELECT page_id AS id, url, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages
+)"""
+
+
+@query("h33_meta_description", (
+    f"WITH {_META_SQL} SELECT id, CASE CAST(id % 4 AS INT) WHEN 0 THEN 'og ' || trim(replace(title, "
+    "'&amp;', '&')) WHEN 1 THEN 'plain ' || trim(replace(title, '&amp;', '&')) WHEN 2 THEN 'tw ' || "
+    "trim(replace(title, '&amp;', '&')) END AS description FROM src"))
+def meta_description(spark, path):
+    (p,) = tables(spark, path, "pages")
+    title = F.regexp_extract("html", r"<title>([^<]*)</title>", 1)
+    k = F.col("page_id") % 4
+    plain = F.concat(F.lit('<META NAME="description" content="plain '), title, F.lit(' ">'))
+    tag = (F.when(k == 0, F.concat(plain, F.lit('<meta content=" og '), title,
+                                   F.lit('" property="og:description"/>')))
+           .when(k == 1, plain)
+           .when(k == 2, F.concat(F.lit("<meta name='twitter:description' content='tw "), title,
+                                  F.lit("'><meta name=\"description\" content=\"\">")))
+           .otherwise(""))
+    html = F.concat(tag, "html")
+    return p.select(F.col("page_id").alias("id"), pages.meta_description(html).alias("description"))
+
+
+_LINKS = """a AS (
+  SELECT page_id AS id, url, unnest(regexp_extract_all(html,
+    '<a href="([^"]*)">[^<]*</a>', 1)) AS href, unnest(regexp_extract_all(html,
+    '<a href="[^"]*">([^<]*)</a>', 1)) AS label, generate_subscripts(regexp_extract_all(html,
+    '<a href="([^"]*)">[^<]*</a>', 1), 1) AS pos FROM pages
+), root AS (
+  SELECT *, regexp_extract(url, '^(https?://[^/?#]*)', 1) || href AS target FROM a
+)"""
+
+
+@query("h34_visitor_links", (
+    f"WITH {_LINKS} SELECT p.page_id AS id, (SELECT arg_min(target, pos) FROM root WHERE root.id = "
+    "p.page_id AND (contains(lower(label), 'th') OR contains(lower(href), '/an'))) AS hours_url, (SELECT"
+    " arg_min(target, pos) FROM root WHERE root.id = p.page_id AND (contains(lower(label), 'ei') OR "
+    "contains(lower(href), '/le'))) AS tickets_url FROM pages p"))
+def visitor_links(spark, path):
+    (p,) = tables(spark, path, "pages")
+    kinds = {"hours": (("th",), ("/an",)), "tickets": (("ei",), ("/le",))}
+    return pages.visitor_links(p.withColumnRenamed("page_id", "id"), "id", "url", "html", kinds)
+
+
+@query("h35_topic_sections")
+def topic_sections(spark, path):
+    (p,) = tables(spark, path, "pages")
+    return pages.topic_sections(p.withColumnRenamed("page_id", "id"), "id", "html")
+
+
+_CLEAN = "html"
+for _t in ("script", "style", "nav", "header", "footer"):
+    _CLEAN = f"regexp_replace({_CLEAN}, '(?is)<{_t}\\b[^>]*>.*?</{_t}\\s*>', '', 'g')"
+_CLEAN = _CLEAN.replace("(html,", "(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'),")
+_CLEAN = f"regexp_replace({_CLEAN}, '(?s)<[^>]*>', chr(10), 'g')"
+for _e, _c in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"),
+               ("&amp;", "&")):
+    _CLEAN = f"replace({_CLEAN}, '{_e}', '{_c}')"
+_CLEAN = f"regexp_replace({_CLEAN}, '[ \\t\\r\\f]*\\n[ \\t\\r\\f]*', chr(10), 'g')"
+_CLEAN = f"regexp_replace({_CLEAN}, '\\n{{2,}}', chr(10), 'g')"
+_CLEAN = f"regexp_replace({_CLEAN}, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')"
+
+
+@query("h36_clean_text", (
+    f"WITH c AS (SELECT page_id AS id, {_CLEAN} AS t FROM pages) SELECT id, CASE WHEN length(t) > 2000 "
+    "THEN left(t, 2000) || '...' ELSE t END AS body FROM c"))
+def clean_text(spark, path):
+    (p,) = tables(spark, path, "pages")
+    return p.select(F.col("page_id").alias("id"), pages.clean_text("html").alias("body"))

@@ -110,10 +110,11 @@ def sheet_entries(sheet: DataFrame, row_no: str, name: str, payload: Sequence[st
 
 
 def read_caches(spark: SparkSession, path: str, schema: str, file_name: str,
-                key_pattern: str = r"/([^/]+)/cache/[^/]+$", key: str = "museum_id") -> DataFrame:
+                key_pattern: str = r"/([^/]+)/cache/[^/]+$", key: str = "museum_id",
+                multi_line: bool = True) -> DataFrame:
     """All cache files of one kind below `path` in one scan; the key comes from the path
     unless the content has it."""
-    docs = (spark.read.schema(schema).option("multiLine", True)
+    docs = (spark.read.schema(schema).option("multiLine", multi_line)
             .option("recursiveFileLookup", "true").option("pathGlobFilter", file_name).json(path))
     from_path = F.regexp_extract(F.col("_metadata.file_path"), key_pattern, 1)
     if key in docs.columns:
@@ -127,8 +128,9 @@ def key_maps(df: DataFrame, id_col: str, city: str, name: str) -> DataFrame:
                      text.slug_alias(city, name, id_col).alias("slug_alias"))
 
 
-def read_key_map(spark: SparkSession, path: str, key: str, value: str) -> DataFrame:
-    """A `{key: value, …}` JSON file as rows."""
-    doc = spark.read.text(path, wholetext=True)
+def read_key_map(spark: SparkSession, path: str, key: str, value: str,
+                 one_per_file: bool = True) -> DataFrame:
+    """`{key: value, …}` JSON documents (one per file or one per line) as rows."""
+    doc = spark.read.text(path, wholetext=one_per_file)
     pairs = F.from_json("value", "map<string,string>")
     return doc.select(F.explode(pairs).alias(key, value))

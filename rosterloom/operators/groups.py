@@ -1,16 +1,16 @@
 """Per-key statistics attached back to rows, safe for hot keys.
 
 A window over the key would move a whole key into one task. Here every key is
-split by a salt: partial statistics per (key, salt) are tiny, the totals per key
-are computed from the partials, and rows join on (key, salt), so the rows of one
-key stay spread over up to `salts` tasks.
+split by a salt: there are at most `salts` partial rows per key, a window over these
+partials gives the totals, and rows join on (key, salt), so the rows of one key stay
+spread over up to `salts` tasks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 _MERGE = {"count": F.sum, "sum": F.sum, "min": F.min, "max": F.max}
@@ -30,10 +30,10 @@ def attach_group_stats(df: DataFrame, keys: Sequence[str],
 
     partial = salted.groupBy(*keys, "_salt").agg(
         *[first(fn, col).alias(name) for name, (fn, col) in stats.items()])
-    total = partial.groupBy(*keys).agg(
-        *[_MERGE[fn](name).alias(name) for name, (fn, _) in stats.items()])
-    spread = _null_safe_join(partial.select(*keys, "_salt"), total, keys)
-    return _null_safe_join(salted, spread, [*keys, "_salt"], "left").drop("_salt")
+    per_key = Window.partitionBy(*keys)  # at most `salts` rows per key
+    totals = partial.withColumns(
+        {name: _MERGE[fn](name).over(per_key) for name, (fn, _) in stats.items()})
+    return _null_safe_join(salted, totals, [*keys, "_salt"], "left").drop("_salt")
 
 
 def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str],

@@ -148,13 +148,14 @@ _RARE_FIRST = "zqxjkvbpygwfmucdlhrsnioate "
 
 
 def _character_tokens(c: Column) -> Column:
-    """The characters of a string made distinct ("l", then "l" again → l#1, l#2), rare first."""
+    """The characters of a string as distinct sorted numbers.
+
+    The n-th occurrence of a character is one token; repeated and rare characters come first.
+    """
     chars = F.array_sort(F.split(c, ""))
-    numbered = F.transform(
-        chars, lambda x, i: F.struct((i - F.array_position(chars, x) + 1).alias("n"), x.alias("c")))
-    rank = F.transform(numbered, lambda t: F.struct(
-        (-t["n"]).alias("o"), F.instr(F.lit(_RARE_FIRST), t["c"]).alias("r"), t["c"].alias("c")))
-    return F.transform(F.array_sort(rank), lambda t: F.concat(t["c"], -t["o"]))
+    return F.sort_array(F.transform(chars, lambda x, i: (
+        (F.lit(1 << 20) - (i - F.array_position(chars, x) + 1)) * F.lit(1 << 30)
+        + F.instr(F.lit(_RARE_FIRST), x) * F.lit(1 << 21) + F.ascii(x)).cast("bigint")))
 
 
 def _signatures(df: DataFrame, name: str, threshold: float) -> DataFrame:
@@ -167,12 +168,13 @@ def _signatures(df: DataFrame, name: str, threshold: float) -> DataFrame:
     n = F.length(name)
     shortest = F.ceil(n * F.lit(half / (1 - half)) - F.lit(1e-9))
     alpha = F.ceil(F.lit(half) * (n + shortest) - F.lit(1e-9))
-    tokens = df.withColumn("tokens", _character_tokens(F.col(name)))
-    prefixed = tokens.withColumn(
-        "prefix", F.slice("tokens", F.lit(1), F.greatest(F.lit(2), n - alpha + 2).cast("int")))
-    pairs = F.flatten(F.transform(F.col("prefix"), lambda x, i: F.transform(
-        F.slice(F.col("prefix"), i + 2, F.size("prefix")), lambda y: F.concat(x, F.lit("|"), y))))
-    return prefixed.withColumn("sig", F.explode(pairs))
+    tokens = df.withColumns({"tokens": _character_tokens(F.col(name)),
+                             "head": F.greatest(F.lit(2), n - alpha + 2).cast("int")})
+    prefix = F.slice("tokens", F.lit(1), F.col("head"))
+    pairs = F.flatten(F.transform(prefix, lambda x, i: F.transform(
+        F.slice("tokens", i + 2, F.greatest(F.lit(0), F.col("head") - i - 1)),
+        lambda y, j: F.struct(F.xxhash64(x, y).alias("sig"), (i + j + 2).alias("upto")))))
+    return tokens.withColumn("_p", F.explode(pairs)).select("*", "_p.sig", "_p.upto").drop("_p")
 
 
 def fuzzy_candidates(left: DataFrame, right: DataFrame, block: str, name: str,
@@ -185,18 +187,18 @@ def fuzzy_candidates(left: DataFrame, right: DataFrame, block: str, name: str,
     half = threshold / 2
     a = _signatures(left.filter(F.length(name) > 0), name, threshold).select(
         block, "sig", F.col(name).alias("a"), F.col("tokens").alias("ta"),
-        F.col("prefix").alias("pa"))
+        F.col("upto").alias("ua"))
     b = _signatures(right.filter(F.length(name) > 0), name, threshold).select(
         block, "sig", F.col(name).alias("b"), F.col("tokens").alias("tb"),
-        F.col("prefix").alias("pb"))
-    total = F.length("a") + F.length("b")
-    need = F.lit(half) * total - F.lit(1e-9)
-    shared = F.slice(F.array_intersect("pa", "pb"), 1, 2)
+        F.col("upto").alias("ub"))
+    need = F.lit(half) * (F.size("ta") + F.size("tb")) - F.lit(1e-9)
+    # up to the signature's second token nothing but its two tokens is shared
+    shared = F.array_intersect(F.slice("ta", F.lit(1), F.col("ua")),
+                               F.slice("tb", F.lit(1), F.col("ub")))
+    common = F.size(F.array_intersect("ta", "tb"))
     return (a.join(b, [block, "sig"])
-            .filter(F.least(F.length("a"), F.length("b")) >= need)
-            .filter(F.array_join(shared, "|") == F.col("sig"))
-            .filter(F.size(F.array_intersect("ta", "tb")) >= need)
-            .select(block, "a", "b"))
+            .filter(F.least(F.size("ta"), F.size("tb")) >= need)
+            .filter(F.size(shared) == 2).filter(common >= need).select(block, "a", "b"))
 
 
 def fuzzy_match(left: DataFrame, right: DataFrame, block: str, left_name: str, right_name: str,

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -152,6 +151,13 @@ def external_fields(p: Mapping[str, str]) -> dict[str, Column]:
 
 # -- trust --------------------------------------------------------------------
 
+def _trust_order(value: str, trust: str, ts: str, current: str, locked: str, tie: str,
+                 placeholders: str) -> Column:
+    known = (~text.is_missing(value, placeholders)).cast("int")
+    veto = (F.col(current) & F.coalesce(F.col(locked), F.lit(False))).cast("int")
+    return F.struct(veto, known, F.col(trust), F.col(ts), F.col(current).cast("int"), F.col(tie))
+
+
 def trust_merge(candidates: DataFrame, keys: Sequence[str], value: str, trust: str, ts: str,
                 current: str, locked: str, tie: str, placeholders: str = "fill",
                 extra: Sequence[str] = ()) -> DataFrame:
@@ -160,19 +166,19 @@ def trust_merge(candidates: DataFrame, keys: Sequence[str], value: str, trust: s
     A locked current value always wins; a known value beats a missing one; then trust; at equal
     trust a newer, non-placeholder value; then the current one; `tie` breaks what is left.
     """
-    known = (~text.is_missing(value, placeholders)).cast("int")
-    veto = (F.col(current) & F.coalesce(F.col(locked), F.lit(False))).cast("int")
-    order = F.struct(veto, known, F.col(trust), F.col(ts), F.col(current).cast("int"),
-                     F.col(tie))
+    order = _trust_order(value, trust, ts, current, locked, tie, placeholders)
     picked = F.max_by(F.struct(value, trust, ts, current, *extra), order)
     return (candidates.groupBy(*keys).agg(picked.alias("_w"))
             .select(*keys, *[F.col(f"_w.{c}").alias(c) for c in (value, trust, ts, current, *extra)]))
 
 
-def to_wide(long: DataFrame, key: str, field: str, value: str,
-            fields: Sequence[str]) -> DataFrame:
-    """Long (key, field, value) back to one row per key; the fields are known, so no extra job."""
-    return long.groupBy(key).pivot(field, list(fields)).agg(F.first(value, ignorenulls=True))
+def trust_merge_wide(candidates: DataFrame, key: str, field: str, fields: Sequence[str],
+                     value: str, trust: str, ts: str, current: str, locked: str, tie: str,
+                     placeholders: str = "fill") -> DataFrame:
+    """The winners of `trust_merge` as one row per key, in a single aggregation."""
+    order = _trust_order(value, trust, ts, current, locked, tie, placeholders)
+    return candidates.groupBy(key).agg(*[
+        F.max_by(value, F.when(F.col(field) == f, order)).alias(f) for f in fields])
 
 
 def route_recommendation(confidence: Column | str, trust: Column | str, threshold: int = 4,
@@ -213,7 +219,3 @@ def make_stubs(rows: DataFrame, roles: Mapping[str, str], as_of: Column | str, s
         **{k: F.lit(None).cast(t) for k, t in (null_fields or {}).items()},
     }
     return rows.select(*keep, *[c.alias(n) for n, c in cols.items()])
-
-
-def all_of(conds: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conds, F.lit(True))

@@ -39,33 +39,42 @@ def meta_description(html: Column | str) -> Column:
                       _meta(h, "name", "twitter:description"))
 
 
-def anchors(pages: DataFrame, id_col: str, html: str) -> DataFrame:
-    """One row per link: position, href and lower-cased anchor text."""
-    found = F.regexp_extract_all(html, F.lit(r"(?is)<a\b[^>]*?\bhref\s*=[^>]*>.*?</a\s*>"), F.lit(0))
-    tags = pages.select(id_col, F.posexplode(found).alias("pos", "tag"))
-    href = F.coalesce(
-        F.nullif(F.regexp_extract("tag", r'''(?is)^<a\b[^>]*?\bhref\s*=\s*"([^"]*)"''', 1), F.lit("")),
-        F.nullif(F.regexp_extract("tag", r"""(?is)^<a\b[^>]*?\bhref\s*=\s*'([^']*)'""", 1), F.lit("")),
-        F.regexp_extract("tag", r"""(?is)^<a\b[^>]*?\bhref\s*=\s*([^\s"'>]*)""", 1))
-    label = F.regexp_replace("tag", r"(?s)<[^>]*>", "")
-    return tags.select(id_col, "pos", unescape(href).alias("href"),
-                       F.lower(text.strip(unescape(label))).alias("label"))
+_ANCHOR = r"(?is)<a\b[^>]*?\bhref\s*=[^>]*>.*?</a\s*>"
+
+
+def _href(tag: Column) -> Column:
+    return unescape(F.coalesce(
+        F.nullif(F.regexp_extract(tag, r'''(?is)^<a\b[^>]*?\bhref\s*=\s*"([^"]*)"''', 1), F.lit("")),
+        F.nullif(F.regexp_extract(tag, r"""(?is)^<a\b[^>]*?\bhref\s*=\s*'([^']*)'""", 1), F.lit("")),
+        F.regexp_extract(tag, r"""(?is)^<a\b[^>]*?\bhref\s*=\s*([^\s"'>]*)""", 1)))
+
+
+def _label(tag: Column) -> Column:
+    return F.lower(text.strip(unescape(F.regexp_replace(tag, r"(?s)<[^>]*>", ""))))
+
+
+def anchors(html: Column | str) -> Column:
+    """The links of a page in document order: array<struct<href, label>>, labels lower-cased."""
+    found = F.regexp_extract_all(text.as_col(html), F.lit(_ANCHOR), F.lit(0))
+    return F.transform(found, lambda t: F.struct(_href(t).alias("href"), _label(t).alias("label")))
 
 
 def visitor_links(pages: DataFrame, id_col: str, url: str, html: str,
                   kinds: dict = vocab.VISITOR_LINKS) -> DataFrame:
-    """First matching link per page and kind, in document order, as an absolute URL."""
-    links = anchors(pages, id_col, html)
-    low = F.lower(F.col("href"))
-    firsts = []
-    for kind, (words, paths) in kinds.items():
-        hit = text.contains_any("label", words) | text.contains_any(low, paths)
-        firsts.append(F.min(F.when(hit, F.struct("pos", "href"))).alias(kind))
-    best = links.groupBy(id_col).agg(*firsts)
-    out = pages.select(id_col, url).join(best, id_col, "left")
-    return out.select(id_col, *[
-        F.when(F.col(kind).isNotNull(), text.resolve_url(url, F.col(kind)["href"]))
-        .alias(f"{kind}_url") for kind in kinds])
+    """First matching link per page and kind, in document order, as an absolute URL.
+
+    Works inside each row: links are never exploded, so nothing is shuffled.
+    """
+    links = pages.select(id_col, url, anchors(html).alias("_links"))
+
+    def first(words, paths) -> Column:
+        hits = F.filter("_links", lambda a: text.contains_any(a["label"], words)
+                        | text.contains_any(F.lower(a["href"]), paths))
+        return F.get(hits, 0)["href"]
+
+    best = links.withColumns({f"_{k}": first(*rule) for k, rule in kinds.items()})
+    return best.select(id_col, *[text.resolve_url(url, F.col(f"_{k}")).alias(f"{k}_url")
+                                 for k in kinds])
 
 
 def clean_text(html: Column | str, max_length: int = 2000) -> Column:

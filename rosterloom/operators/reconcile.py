@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import derive
+from ..functions.text import truthy
 from .groups import last_per_key
 
 
@@ -62,8 +63,6 @@ def overlay_scores(records: DataFrame, scores: DataFrame, key: str, score_cols:
                    version: str = "v2_tour_planning") -> DataFrame:
     """Nest score columns in a struct, lift truthy summaries, mark scored records."""
     types = dict(scores.dtypes)
-    from ..functions.text import truthy
-
     right = scores.select(
         key, F.struct(*score_cols).alias(struct_name),
         *[F.when(truthy(c, types[c]), F.col(c)).alias(c) for c in summary_cols])
@@ -105,14 +104,13 @@ def coverage(df: DataFrame, has_cache: Column, has_score: Column) -> DataFrame:
 
 def field_diff(old: DataFrame, new: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
     """Null-safe field differences of two versions: one row per key and differing field."""
-    def long(df: DataFrame, out: str) -> DataFrame:
-        pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("field"),
-                                             F.col(f).cast("string").alias(out))
-                                    for f in fields]))
-        return df.select(key, pairs.alias("p")).select(key, "p.field", f"p.{out}")
-
-    both = long(old, "old_value").join(long(new, "new_value"), [key, "field"])
-    return both.filter(~F.col("old_value").eqNullSafe(F.col("new_value")))
+    left = old.select(key, *[F.col(f).cast("string").alias(f"_o_{f}") for f in fields])
+    right = new.select(key, *[F.col(f).cast("string").alias(f"_n_{f}") for f in fields])
+    changes = F.array_compact(F.array(*[
+        F.when(~F.col(f"_o_{f}").eqNullSafe(F.col(f"_n_{f}")),
+               F.struct(F.lit(f).alias("field"), F.col(f"_o_{f}").alias("old_value"),
+                        F.col(f"_n_{f}").alias("new_value"))) for f in fields]))
+    return left.join(right, key).select(key, F.explode(changes).alias("d")).select(key, "d.*")
 
 
 def latest_entry(cache: DataFrame, key: str, order: Sequence[str], columns: Sequence[str]) -> DataFrame:

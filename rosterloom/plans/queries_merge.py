@@ -95,9 +95,9 @@ def trust_merge(spark, path):
     " 'click') AS click, max(value) FILTER (field = 'view') AS view, max(value) FILTER (field = "
     "'error') AS error FROM w GROUP BY uid"))
 def trust_merge_wide(spark, path):
-    out = merge.trust_merge(candidates(spark, path), ["uid", "field"], "value", "trust", "ts", "cur",
-                            "locked", "id")
-    return merge.to_wide(out, "uid", "field", "value", ["click", "view", "error"])
+    return merge.trust_merge_wide(
+        candidates(spark, path), "uid", "field", ["click", "view", "error"], "value", "trust", "ts",
+        "cur", "locked", "id")
 
 
 @query("i5_change_only", (

@@ -7,15 +7,17 @@ from .bindings import tables
 from .registry import query
 
 # The pages carry no meta description, so one is put into the head of most of them.
-_META_SQL = """src AS (
-  SELECT page_id AS id, url, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages
-)"""
+_TITLE = "regexp_extract(html, '<title>([^<]*)</title>', 1)"
+for _e, _c in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"),
+               ("&amp;", "&")):
+    _TITLE = f"replace({_TITLE}, '{_e}', '{_c}')"
+_META_SQL = f"src AS (SELECT page_id AS id, trim({_TITLE}) AS title FROM pages)"
 
 
 @query("h33_meta_description", (
     f"WITH {_META_SQL} SELECT id, CASE CAST(id % 4 AS INT) WHEN 0 THEN 'og ' || trim(replace(title, "
-    "'&amp;', '&')) WHEN 1 THEN 'plain ' || trim(replace(title, '&amp;', '&')) WHEN 2 THEN 'tw ' || "
-    "trim(replace(title, '&amp;', '&')) END AS description FROM src"))
+    "'&amp;', '&')) WHEN 1 THEN 'plain ' || title WHEN 2 THEN 'tw ' || "
+    "title END AS description FROM src"))
 def meta_description(spark, path):
     (p,) = tables(spark, path, "pages")
     title = F.regexp_extract("html", r"<title>([^<]*)</title>", 1)

@@ -177,9 +177,9 @@ def _signatures(df: DataFrame, name: str, threshold: float) -> DataFrame:
     return tokens.withColumn("_p", F.explode(pairs)).select("*", "_p.sig", "_p.upto").drop("_p")
 
 
-def fuzzy_candidates(left: DataFrame, right: DataFrame, block: str, name: str,
+def fuzzy_candidates(left: DataFrame, right: DataFrame, block: str, name: str, order: str,
                      threshold: float) -> DataFrame:
-    """Distinct (block, a, b) pairs that pass every upper bound of the ratio.
+    """Distinct (block, a, b, order of b) pairs that pass every upper bound of the ratio.
 
     Both sides hold distinct (block, name). Each pair is kept at its first shared
     signature only, so no distinct over the pairs is needed.
@@ -189,16 +189,17 @@ def fuzzy_candidates(left: DataFrame, right: DataFrame, block: str, name: str,
         block, "sig", F.col(name).alias("a"), F.col("tokens").alias("ta"),
         F.col("upto").alias("ua"))
     b = _signatures(right.filter(F.length(name) > 0), name, threshold).select(
-        block, "sig", F.col(name).alias("b"), F.col("tokens").alias("tb"),
+        block, "sig", F.col(name).alias("b"), order, F.col("tokens").alias("tb"),
         F.col("upto").alias("ub"))
     need = F.lit(half) * (F.size("ta") + F.size("tb")) - F.lit(1e-9)
     # up to the signature's second token nothing but its two tokens is shared
     shared = F.array_intersect(F.slice("ta", F.lit(1), F.col("ua")),
                                F.slice("tb", F.lit(1), F.col("ub")))
     common = F.size(F.array_intersect("ta", "tb"))
-    return (a.join(b, [block, "sig"])
+    # merge: both sides spread by signature, and hot signatures are split at run time
+    return (a.join(b.hint("merge"), [block, "sig"])
             .filter(F.least(F.size("ta"), F.size("tb")) >= need)
-            .filter(F.size(shared) == 2).filter(common >= need).select(block, "a", "b"))
+            .filter(F.size(shared) == 2).filter(common >= need).select(block, "a", "b", order))
 
 
 def fuzzy_match(left: DataFrame, right: DataFrame, block: str, left_name: str, right_name: str,
@@ -206,41 +207,40 @@ def fuzzy_match(left: DataFrame, right: DataFrame, block: str, left_name: str, r
     """Best partner inside a block: exact name, else best ratio ≥ threshold, first row wins ties.
 
     Adds `match_type`, `match_score` and the payload of the partner. Names are compared after
-    removing stop words and punctuation; two empty names have ratio 1.
+    removing stop words and punctuation; two empty names have ratio 1. Only distinct names
+    without an equal partner reach the fuzzy stage.
     """
-    usable = right.filter(text.strip(right_name) != "").withColumns(
-        {"_raw": F.lower(text.strip(right_name)), "_k": text.match_name(text.strip(right_name))})
-    raw_dim = first_per_key(usable, [block, "_raw"], row_no, payload)
-    norm_dim = first_per_key(usable, [block, "_k"], row_no, payload)
-    named = left.withColumns({"_raw": F.lower(F.nullif(F.col(left_name), F.lit(""))),
-                              "_k": text.match_name(left_name)})
-    # the distinct names that need a partner beyond equality
-    names = (named.filter(F.col("_raw").isNotNull())
-             .join(raw_dim.select(block, "_raw"), [block, "_raw"], "left_anti")
-             .select(block, "_k").distinct())
-    same = names.join(norm_dim.select(block, "_k"), [block, "_k"], "left_semi").select(
-        block, "_k", F.col("_k").alias("_p"), F.lit(1.0).alias("_score"))
-    rest = names.join(norm_dim.select(block, "_k"), [block, "_k"], "left_anti")
-    scored = fuzzy_candidates(rest, norm_dim.select(block, "_k"), block, "_k", threshold).withColumn(
-        "_score", similarity_ratio("a", "b")).filter(F.col("_score") >= threshold)
-    order = norm_dim.select(block, F.col("_k").alias("b"), F.col(row_no).alias("_seen"))
-    best = (scored.join(order, [block, "b"]).groupBy(block, F.col("a").alias("_k"))
+    title = text.strip(right_name)
+    rows = right.filter(title != "").select(
+        block, F.col(row_no).alias("_seen"), F.struct(*payload).alias("_hit"),
+        F.lower(title).alias("_raw"), text.match_name(title).alias("_k"))
+    by_raw = rows.groupBy(block, "_raw").agg(F.min_by("_hit", "_seen").alias("_exact"))
+    by_norm = rows.groupBy(block, "_k").agg(F.min("_seen").alias("_seen"),
+                                            F.min_by("_hit", "_seen").alias("_same"))
+    named = left.withColumn("_raw", F.lower(F.nullif(F.col(left_name), F.lit(""))))
+    names = (named.filter(F.col("_raw").isNotNull()).select(block, "_raw").distinct()
+             .withColumn("_k", text.match_name("_raw"))
+             .join(by_raw, [block, "_raw"], "left")
+             .join(by_norm.select(block, "_k", "_same"), [block, "_k"], "left"))
+    rest = names.filter(F.col("_exact").isNull() & F.col("_same").isNull()).select(
+        block, "_k").distinct()
+    scored = fuzzy_candidates(rest, by_norm.select(block, "_k", "_seen"), block, "_k", "_seen",
+                              threshold).withColumn("_score", similarity_ratio("a", "b"))
+    # the threshold is applied to the winner: a filter on the score would run the ratio twice
+    best = (scored.groupBy(block, F.col("a").alias("_k"))
             .agg(F.max_by(F.struct("b", "_score"), F.struct("_score", -F.col("_seen"))).alias("m"))
-            .select(block, "_k", F.col("m.b").alias("_p"), F.col("m._score").alias("_score")))
-    partners = same.unionByName(best).join(
-        norm_dim.withColumnRenamed("_k", "_p"), [block, "_p"]).select(
-        block, "_k", "_score", F.struct(*payload).alias("_fuzzy"))
-    exact = raw_dim.select(block, "_raw", F.struct(*payload).alias("_exact"))
-    joined = named.join(exact, [block, "_raw"], "left").join(partners, [block, "_k"], "left")
-    usable_name = F.col("_raw").isNotNull()
-    hit = F.coalesce("_exact", F.when(usable_name, F.col("_fuzzy")))
-    return joined.select(
-        *left.columns,
-        F.when(F.col("_exact").isNotNull(), "exact")
-        .when(usable_name & F.col("_fuzzy").isNotNull(), "fuzzy").alias("match_type"),
-        F.when(F.col("_exact").isNotNull(), 1.0).when(usable_name, F.col("_score"))
-        .alias("match_score"),
-        *[hit[c].alias(f"match_{c}") for c in payload])
+            .filter(F.col("m._score") >= threshold)
+            .select(block, "_k", F.col("m.b").alias("_b"), F.col("m._score").alias("_score"))
+            .join(by_norm.select(block, F.col("_k").alias("_b"), F.col("_same").alias("_fuzzy")),
+                  [block, "_b"]).drop("_b"))
+    resolved = names.join(best, [block, "_k"], "left").select(
+        block, "_raw", F.coalesce("_exact", "_same", "_fuzzy").alias("_hit"),
+        F.when(F.col("_exact").isNotNull(), "exact").otherwise("fuzzy").alias("match_type"),
+        F.coalesce(F.when(F.coalesce("_exact", "_same").isNotNull(), 1.0), F.col("_score"))
+        .alias("match_score")).filter(F.col("_hit").isNotNull())
+    return named.join(resolved, [block, "_raw"], "left").select(
+        *left.columns, "match_type", "match_score",
+        *[F.col("_hit")[c].alias(f"match_{c}") for c in payload])
 
 
 # -- edit distance ------------------------------------------------------------
@@ -273,7 +273,7 @@ def edit_distance_match(left: DataFrame, right: DataFrame, block: str, name: str
         return df.select(block, F.col(name).alias(out),
                          F.explode(_deletions(F.col(name), max_distance)).alias("_v"))
 
-    pairs = variants(left, "a").join(variants(right, "b"), [block, "_v"]).drop("_v")
+    pairs = variants(left, "a").join(variants(right, "b").hint("merge"), [block, "_v"]).drop("_v")
     near = pairs.withColumn("distance", F.levenshtein("a", "b")).filter(
         F.col("distance") <= max_distance)
     return (near.groupBy(block, F.col("a").alias(name))

@@ -21,6 +21,8 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g"
     builder = (SparkSession.builder.master(f"local[{cpus}]").appName("rosterloom")
                .config("spark.sql.shuffle.partitions", str(partitions))
                .config("spark.driver.memory", memory).config("spark.ui.enabled", "false")
+               # small inputs with costly rows still use every core
+               .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "32k")
                .config("spark.ui.showConsoleProgress", "false"))
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)

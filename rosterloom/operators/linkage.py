@@ -182,8 +182,11 @@ def fuzzy_candidates(left: DataFrame, right: DataFrame, block: str, name: str, o
     """Distinct (block, a, b, order of b) pairs that pass every upper bound of the ratio.
 
     Both sides hold distinct (block, name). Each pair is kept at its first shared
-    signature only, so no distinct over the pairs is needed.
+    signature only, so no distinct over the pairs is needed. Two different names that are
+    similar enough share two characters only when the threshold is above 2/3.
     """
+    if threshold <= 2 / 3:
+        raise ValueError("the pair signatures need a threshold above 2/3")
     half = threshold / 2
     a = _signatures(left.filter(F.length(name) > 0), name, threshold).select(
         block, "sig", F.col(name).alias("a"), F.col("tokens").alias("ta"),

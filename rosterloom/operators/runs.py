@@ -26,7 +26,7 @@ def flagged(df: DataFrame, id_col: str, region: str, outcome: str, kind: str = "
 def rate_text(hits: Column, total: Column) -> Column:
     """`12.3%`, and `0%` for an empty input."""
     pct = F.round(F.try_divide(hits * 100.0, total), 1)
-    return F.coalesce(F.format_string("%.1f%%", pct), F.lit("0%"))
+    return F.when(pct.isNull(), "0%").otherwise(F.format_string("%.1f%%", pct))
 
 
 def coverage_text(hits: Column, total: Column) -> Column:

@@ -119,6 +119,24 @@ def needs_resolution(city: ColumnLike, force: bool = False) -> Column:
         strip(city).isin(*vocab.STATE_NAMES), F.lit(False))
 
 
+def in_scope(code: ColumnLike, id_: ColumnLike, states: str | Sequence[str] | None = None,
+             entity: str | None = None) -> Column:
+    """Scope of a run: one entity, a list of regions, or every two-letter region.
+
+    A single entity also pins the region in its id, so a table partitioned by region is pruned.
+    """
+    code = as_col(code)
+    if entity is not None:
+        region = entity.split("-")
+        if len(region) < 2:
+            raise ValueError(f"not an entity id: {entity!r}")
+        return (code == region[1].upper()) & (as_col(id_) == entity)
+    if states is not None:
+        names = states.split(",") if isinstance(states, str) else states
+        return code.isin(*[s.strip().upper() for s in names])
+    return code.rlike("^[A-Za-z]{2}$")
+
+
 def is_done_source(sources: ColumnLike, tag: str) -> Column:
     return F.coalesce(F.array_contains(as_col(sources), tag), F.lit(False))
 

@@ -39,15 +39,15 @@ def evidence_packet(p: Mapping[str, str], articles: str | None = None) -> Column
     city_tier = F.nullif(F.col(p["city_tier"]), F.lit(0))
     topics = F.when(F.size(p["topics"]) > 0, F.col(p["topics"]))
     return F.to_json(F.struct(
-        F.col(p["name"]).alias("name"), F.col(p["city"]).alias("city"),
-        F.col(p["state"]).alias("state"), F.col(p["type"]).alias("type"),
-        F.col(p["domain"]).alias("domain"),
-        F.when(ok, F.col(p["extract"])).alias("article_summary"),
-        F.when(ok, _given(p["page_url"])).alias("article_url"),
+        F.col(p["name"]).alias("museum_name"), F.col(p["city"]).alias("city"),
+        F.col(p["state"]).alias("state"), F.col(p["type"]).alias("museum_type"),
+        F.col(p["domain"]).alias("primary_domain"),
+        F.when(ok, F.col(p["extract"])).alias("wikipedia_summary"),
+        F.when(ok, _given(p["page_url"])).alias("wikipedia_url"),
         topics.alias("topics"),
         _packed({"prior_reputation": F.col(p["reputation"]),
                  "prior_collection_tier": F.col(p["tier"])}).alias("existing_assessments"),
-        _packed({"city_tier": city_tier, "nearby": F.col(p["nearby"])})
+        _packed({"city_tier": city_tier, "nearby_museums": F.col(p["nearby"])})
         .alias("institutional_signals"),
         _given(p["website"]).alias("website"), public_notes(p["notes"]).alias("notes")))
 
@@ -66,16 +66,42 @@ def labelled(prefix: str, c: Column | str, n: int | None = None) -> Column:
 
 def characteristics(p: Mapping[str, str]) -> Column:
     """`Type: … | Reputation: … | …` from the roles type, reputation, collection, eca, must_see."""
+    def named(prefix: str, c: str, labels: Mapping[int, str]) -> Column:
+        return F.when(F.col(c).isNotNull(),
+                      F.concat(F.lit(prefix), derive.label(c, labels, "Unknown")))
+
     parts = F.array(
         labelled("Type: ", p["type"]),
-        F.concat(F.lit("Reputation: "), derive.label(p["reputation"], vocab.REPUTATION_LABELS)),
-        F.concat(F.lit("Collection: "),
-                 derive.label(p["collection"], vocab.CONTEXT_COLLECTION_LABELS)),
-        F.concat(F.lit("Curatorial Authority: "), derive.label(p["eca"], vocab.ECA_LABELS)),
+        named("Reputation: ", p["reputation"], vocab.REPUTATION_LABELS),
+        named("Collection: ", p["collection"], vocab.CONTEXT_COLLECTION_LABELS),
+        named("Curatorial Authority: ", p["eca"], vocab.ECA_LABELS),
         F.when(F.col(p["must_see"]), F.lit("★ Must-See Candidate")))
     return F.nullif(F.array_join(F.array_compact(parts), " | "), F.lit(""))
 
 
+def visitor_info(hours: Column, adult_fee: Column, accessibility: Column) -> Column:
+    """One line on what a visitor can look up; null when nothing is known."""
+    facts = F.array(F.when(hours, F.lit("Hours available")),
+                    F.concat(F.lit("Admission: "), _given(adult_fee)),
+                    F.when(accessibility, F.lit("Accessibility features documented")))
+    known = F.nullif(F.array_join(F.array_compact(facts), ", "), F.lit(""))
+    return F.concat(F.lit("Visitor Info: "), known)
+
+
+def record_context(p: Mapping[str, str], visitor: Column | None = None) -> Column:
+    """Everything known about a record, in fixed order, as one text.
+
+    Roles: description, about (cut at 500), extract (cut at 600), wikidata, and those of
+    `characteristics`.
+    """
+    parts = [labelled("Website Description: ", p["description"]),
+             labelled("About: ", p["about"], 500), labelled("Wikipedia: ", p["extract"], 600),
+             labelled("Wikidata: ", p["wikidata"])]
+    if visitor is not None:
+        parts.append(visitor)
+    return text_context([*parts, characteristics(p)])
+
+
 def scoring_gate(df: DataFrame, key: str, articles: DataFrame, sites: DataFrame, domain: str,
                  scoreable: str) -> DataFrame:
     """Records that may be scored: art, scoreable, with an article and site content."""

@@ -215,6 +215,13 @@ def art_guard_issues(df: DataFrame, id_col: str, domain: str, visit: str, scorea
     return df.select(id_col, F.explode(issues).alias("issue"))
 
 
+def validated(df: DataFrame, id_col: str, domain: str, visit: str, scoreable: str,
+              scores: Sequence[str]) -> DataFrame:
+    """The records with their visit length normalised; raises on the first broken guard."""
+    fail_on_issues(art_guard_issues(df, id_col, domain, visit, scoreable, scores))
+    return df.withColumn(visit, derive.normalize_visit_length(visit))
+
+
 def fail_on_issues(issues: DataFrame) -> None:
     """Raise when there is any issue (reads at most one row)."""
     first = issues.limit(1).collect()

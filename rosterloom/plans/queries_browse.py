@@ -56,10 +56,10 @@ def facet_values(spark, path):
 
 @query("f1_priority_sort", (
     f"WITH {SCORED} SELECT id, priority, name FROM scored ORDER BY priority ASC NULLS LAST, name, id "
-    "LIMIT 500"))
+    "LIMIT 50"))
 def priority_sort(spark, path):
     return scored(spark, path).select("id", "priority", "name").orderBy(
-        *browse.priority_order("priority", "name", "id")).limit(500)
+        *browse.priority_order("priority", "name", "id")).limit(50)
 
 
 _SORTS = (("state", "''", False, ""), ("rep", "999", True, 999), ("cbs", "-1", True, -1),
@@ -84,12 +84,12 @@ def multi_key_sorts(spark, path):
     f"WITH {ART}, l AS (SELECT id, name, CASE rep WHEN 0 THEN 'International' WHEN 1 THEN 'National' "
     "WHEN 2 THEN 'Regional' WHEN 3 THEN 'Local' END AS label FROM art) SELECT id, label FROM l ORDER "
     "BY CASE label WHEN 'Local' THEN 1 WHEN 'Regional' THEN 2 WHEN 'National' THEN 3 WHEN "
-    "'International' THEN 4 ELSE 999 END, name, id LIMIT 600"))
+    "'International' THEN 4 ELSE 999 END, name, id LIMIT 50"))
 def label_sort(spark, path):
     from ..functions import derive
     df = art(spark, path).withColumn("label", derive.label("rep", vocab.REPUTATION_LABELS))
     return df.orderBy(*browse.label_order("label", vocab.REPUTATION_ORDER, "name", "id")).limit(
-        600).select("id", "label")
+        50).select("id", "label")
 
 
 @query("f4_page_of_100", (
@@ -181,15 +181,15 @@ def key_maps(spark, path):
 
 @query("b17_run_gates", (
     f"WITH {SCORED}, li AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_returnflag = 'R'), lo AS ("
-    "SELECT DISTINCT l_partkey FROM lineitem WHERE l_linestatus = 'O') SELECT id, domain = 'Art' AND "
+    "SELECT DISTINCT l_partkey FROM lineitem WHERE l_linestatus = 'O') SELECT id, coalesce(domain = 'Art', false) AND "
     "scoreable AND id IN (SELECT l_partkey FROM li) AND id IN (SELECT l_partkey FROM lo) AS "
     "may_score, coalesce(quality_score >= 14, false) AND quality_score IS NOT NULL OR confidence = 5 "
-    "AS may_write FROM scored WHERE domain IS NOT NULL"))
+    "AS may_write FROM scored"))
 def run_gates(spark, path):
     from ..operators import evidence
     (li,) = tables(spark, path, "lineitem")
     key = F.col("l_partkey").alias("id")
-    df = scored(spark, path).filter(F.col("domain").isNotNull())
+    df = scored(spark, path)
     ok = evidence.scoring_gate(df, "id", li.filter("l_returnflag = 'R'").select(key),
                                li.filter("l_linestatus = 'O'").select(key), "domain", "scoreable")
     q = F.col("quality_score")

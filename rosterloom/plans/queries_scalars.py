@@ -375,20 +375,23 @@ def placeholder_defence(spark, path):
 
 
 @query("b1_scope_filter", _cust(
-    "id, code", "WHERE code IN ('CO', 'NY') OR lower(name) = 'customer#000000007'"))
+    "id, code IN ('CO', 'NY') AS in_list, id = 7 AS is_one, nk < 20 OR code = 'ZZ' AS in_all"))
 def scope_filter(spark, path):
-    by_state = (F.col("code").isin("CO", "NY")
-                & F.coalesce(text.state_of_id(_entity_id()).isNotNull(), F.lit(False)))
-    return cust(spark, path).filter(by_state | (F.lower("name") == "customer#000000007")).select(
-        "id", "code")
+    one = "usa-co-household-customer-000000007"
+    c = cust(spark, path).withColumn("key", F.when(F.col("id") == 7, one).otherwise(F.concat(
+        F.lit("usa-"), F.lower("code"), F.lit("-x-"), F.col("id").cast("string"))))
+    code = F.when(F.col("id") == 7, "CO").otherwise(F.col("code"))
+    return c.select("id", derive.in_scope("code", "key", states="co, ny").alias("in_list"),
+                    derive.in_scope(code, "key", entity=one).alias("is_one"),
+                    derive.in_scope("code", "key").alias("in_all"))
 
 
 @query("b14_evidence_packet", (
-    f"WITH {DOC} SELECT id, '{{\"name\":\"' || source || '\"' || ',\"type\":\"' || lang || '\"' || "
-    "CASE WHEN quality = 1 THEN ',\"article_summary\":\"len ' || n_chars || '\"' ELSE '' END || "
+    f"WITH {DOC} SELECT id, '{{\"museum_name\":\"' || source || '\"' || ',\"museum_type\":\"' || lang || '\"' || "
+    "CASE WHEN quality = 1 THEN ',\"wikipedia_summary\":\"len ' || n_chars || '\"' ELSE '' END || "
     "CASE WHEN quality IS NOT NULL OR toxic IS NOT NULL THEN ',\"existing_assessments\":{' || "
     "'\"prior_reputation\":' || quality || ',\"prior_collection_tier\":' || toxic || '}' ELSE '' "
-    "END || ',\"institutional_signals\":{\"nearby\":' || n_chars || '}' || CASE WHEN topic IS NOT "
+    "END || ',\"institutional_signals\":{\"nearby_museums\":' || n_chars || '}' || CASE WHEN topic IS NOT "
     "NULL THEN ',\"notes\":\"' || topic || '\"' ELSE '' END || '}' AS packet FROM doc"))
 def evidence_packet(spark, path):
     from ..operators import evidence
@@ -405,19 +408,25 @@ def evidence_packet(spark, path):
 
 
 @query("b15_text_context", (
-    f"WITH {DOC} SELECT id, coalesce(nullif(concat_ws(chr(10) || chr(10), CASE WHEN quality = 1 "
-    "THEN 'Wikipedia: ' || left(text, 600) END, CASE WHEN lang = 'en' THEN 'About: ' || left(text, "
-    "500) END, CASE WHEN quality IS NOT NULL THEN 'Type: ' || lang || ' | Reputation: ' || CASE "
-    "quality WHEN 0 THEN 'International' ELSE 'National' END END), ''), 'Limited information "
-    "available') AS context FROM doc"))
-def text_context(spark, path):
+    f"WITH {DOC} SELECT id, coalesce(nullif(concat_ws(chr(10) || chr(10), CASE WHEN lang = 'de' THEN "
+    "'Website Description: ' || source END, CASE WHEN lang = 'en' THEN 'About: ' || left(text, 500) END,"
+    " CASE WHEN quality = 1 THEN 'Wikipedia: ' || left(text, 600) END, CASE WHEN n_chars > 2000 THEN "
+    "'Visitor Info: Hours available, Admission: ' || n_chars WHEN lang = 'es' THEN 'Visitor Info: "
+    "Admission: ' || n_chars END, CASE WHEN quality IS NOT NULL THEN 'Type: ' || lang || ' | Reputation: "
+    "' || CASE quality WHEN 0 THEN 'International' ELSE 'National' END || ' | Curatorial Authority: "
+    "Unknown' END), ''), 'Limited information available') AS context FROM doc"))
+def record_context(spark, path):
     from ..operators import evidence
     known = F.col("quality").isNotNull()
     d = doc(spark, path).withColumns({
-        "kind": F.when(known, F.col("lang")), "none": F.lit(None).cast("int"), "no": F.lit(False)})
-    roles = {"type": "kind", "reputation": "quality", "collection": "none", "eca": "none",
-             "must_see": "no"}
-    parts = [evidence.labelled("Wikipedia: ", F.when(F.col("quality") == 1, F.col("text")), 600),
-             evidence.labelled("About: ", F.when(F.col("lang") == "en", F.col("text")), 500),
-             evidence.characteristics(roles)]
-    return d.select("id", evidence.text_context(parts).alias("context"))
+        "description": F.when(F.col("lang") == "de", F.col("source")),
+        "about": F.when(F.col("lang") == "en", F.col("text")),
+        "extract": F.when(F.col("quality") == 1, F.col("text")),
+        "wikidata": F.lit(""), "kind": F.when(known, F.col("lang")),
+        "eca": F.when(known, F.lit(9)), "none": F.lit(None).cast("int"), "no": F.lit(False)})
+    hours = F.col("n_chars") > 2000
+    fee = F.when(hours | (F.col("lang") == "es"), F.col("n_chars").cast("string"))
+    roles = {c: c for c in ("description", "about", "extract", "wikidata", "eca")}
+    roles |= {"type": "kind", "reputation": "quality", "collection": "none", "must_see": "no"}
+    return d.select("id", evidence.record_context(
+        roles, evidence.visitor_info(hours, fee, F.lit(False))).alias("context"))

@@ -115,11 +115,11 @@ def must_see(spark, path):
 
 
 @query("j9_scored_flag", _sql(
-    f"id, domain = 'Art' AND ({P1}) IS NOT NULL AS is_scored, CASE WHEN domain = 'Art' AND ({P1}) "
-    "IS NOT NULL THEN 'v1.0' END AS scoring_version", "WHERE domain IS NOT NULL"))
+    f"id, coalesce(domain = 'Art', false) AND ({P1}) IS NOT NULL AS is_scored, CASE WHEN domain = 'Art' "
+    f"AND ({P1}) IS NOT NULL THEN 'v1.0' END AS scoring_version"))
 def scored_flag(spark, path):
     score = F.when(derive.is_art("domain", domain_col="domain"), scoring.priority(S, "v1"))
-    return art(spark, path).filter(F.col("domain").isNotNull()).select(
+    return art(spark, path).select(
         "id", score.isNotNull().alias("is_scored"),
         F.when(score.isNotNull(), "v1.0").alias("scoring_version"))
 

@@ -245,7 +245,7 @@ def test_evidence_packet_drops_noise(spark):
            "found boolean, extract string, page_url string")
     roles = {k.split()[0]: k.split()[0] for k in ddl.split(", ")}
     packet = spark.createDataFrame([row], ddl).select(evidence.evidence_packet(roles)).first()[0]
-    assert json.loads(packet) == {"name": "N", "state": "S", "type": "Art", "article_summary": "text",
+    assert json.loads(packet) == {"museum_name": "N", "state": "S", "museum_type": "Art", "wikipedia_summary": "text",
                                   "topics": ["a"], "existing_assessments": {"prior_collection_tier": 2}}
 
 

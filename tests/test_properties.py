@@ -27,7 +27,7 @@ def steps():
     ]
 
 
-def test_pipeline_is_idempotent(spark, small):
+def test_run_is_idempotent(spark, small):
     once = phases.run_phases(start(spark, small), steps())
     twice = phases.run_phases(once, steps())
     cols = ["id", "city_tier", "time_needed", "nearby_count", "kind", "is_scoreable",

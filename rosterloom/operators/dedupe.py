@@ -22,36 +22,35 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..session import cut_lineage
 
-_KEYS = ("_u", "_c", "_n")  # url; state+name+city; state+name
+_COLUMNS = ("_r", "_u", "_with_city", "_any_city", "_asks")
 
 
 def _keyed(roster: DataFrame, roles: Mapping[str, str], row_no: str) -> DataFrame:
+    """Row number, URL key, the two place keys a kept row offers, and the one a row asks for."""
     low = {k: F.lower(text.strip(F.coalesce(F.col(roles[k]), F.lit(""))))
            for k in ("state", "name", "city")}
     url = text.normalize_url(F.coalesce(F.col(roles["url"]), F.lit("")))
     block = F.coalesce(F.col(roles["block"]).cast("string"), F.lit(""))
     sep = F.lit("\u0001")
-    name = F.concat(block, sep, low["state"], sep, low["name"])
+    any_city = F.concat(block, sep, low["state"], sep, low["name"])
     city = F.when(low["city"] == "", F.lit("unknown")).otherwise(low["city"])
+    with_city = F.concat(any_city, sep, city)
     return roster.select(
         F.col(row_no).alias("_r"),
         F.when(url != "", F.concat(block, sep, url)).alias("_u"),
-        F.concat(name, sep, city).alias("_c"), name.alias("_n"),
-        (low["city"] == "").alias("_blank"))
+        with_city.alias("_with_city"), any_city.alias("_any_city"),
+        F.when(low["city"] == "", any_city).otherwise(with_city).alias("_asks"))
 
 
-def _minima(rows: DataFrame, key: str, out: str) -> DataFrame:
-    return (rows.filter(F.col(key).isNotNull()).groupBy(key)
-            .agg(F.min("_r").alias(out)))
-
-
-def _with_minima(rows: DataFrame, source: DataFrame, prefix: str) -> DataFrame:
-    """The smallest row number of `source` that covers each row, through each of its keys."""
-    for key in _KEYS:
-        rows = rows.join(_minima(source, key, f"{prefix}{key}"), key, "left")
-    place = F.when(F.col("_blank"), F.col(f"{prefix}_n")).otherwise(F.col(f"{prefix}_c"))
-    return (rows.withColumn(prefix, F.least(F.col(f"{prefix}_u"), place))
-            .drop(*[f"{prefix}{k}" for k in _KEYS]))
+def _with_minima(rows: DataFrame, source: DataFrame, out: str) -> DataFrame:
+    """The smallest row number of `source` that covers each row, by URL or by place."""
+    urls = (source.filter(F.col("_u").isNotNull()).groupBy("_u")
+            .agg(F.min("_r").alias("_min_u")))
+    offers = F.explode(F.array("_with_city", "_any_city"))
+    places = source.select("_r", offers.alias("_asks")).groupBy("_asks").agg(
+        F.min("_r").alias("_min_p"))
+    return (rows.join(urls, "_u", "left").join(places, "_asks", "left")
+            .withColumn(out, F.least("_min_u", "_min_p")).drop("_min_u", "_min_p"))
 
 
 def _finish_small(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -61,17 +60,14 @@ def _finish_small(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return
     kept: list[int] = []
     urls: set = set()
-    cities: set = set()
-    names: set = set()
-    for row in pd.concat(parts).sort_values("_r").itertuples(index=False):
-        r, u, c, n, blank = row
-        covered = u in urls or (n in names if blank else c in cities)
-        if not covered:
+    places: set = set()
+    for r, url, with_city, any_city, asks in pd.concat(parts).sort_values("_r").itertuples(
+            index=False):
+        if url not in urls and asks not in places:
             kept.append(r)
-            if isinstance(u, str):
-                urls.add(u)
-            cities.add(c)
-            names.add(n)
+            if isinstance(url, str):
+                urls.add(url)
+            places.update((with_city, any_city))
     yield pd.DataFrame({"_r": kept}, dtype="int64")
 
 
@@ -83,31 +79,29 @@ def greedy_dedupe(roster: DataFrame, roles: Mapping[str, str], row_no: str,
     (counted) are finished in one task.
     """
     rows = _keyed(roster, roles, row_no)
-    columns = ["_r", *_KEYS, "_blank"]
-    # rows that share no key with any other row need no round
+    # rows that share neither URL nor name with any other row need no round
     alone = rows
-    for key in ("_u", "_n"):
+    for key in ("_u", "_any_city"):
         n = (rows.filter(F.col(key).isNotNull()).groupBy(key)
              .agg(F.count(F.lit(1)).alias(f"_cnt{key}")))
         alone = alone.join(n, key, "left")
-    shared = (F.coalesce("_cnt_u", F.lit(1)) > 1) | (F.col("_cnt_n") > 1)
-    marked = cut_lineage(alone.select(*columns, shared.alias("_shared")), "dedupe")
+    shared = (F.coalesce("_cnt_u", F.lit(1)) > 1) | (F.col("_cnt_any_city") > 1)
+    marked = cut_lineage(alone.select(*_COLUMNS, shared.alias("_shared")), "dedupe")
     kept = [marked.filter(~F.col("_shared")).select("_r")]
-    undecided = marked.filter("_shared").select(*columns)
+    undecided = marked.filter("_shared").select(*_COLUMNS)
     left = undecided.count()
     while left:
         if left <= small:
-            # the bound makes one task safe
-            kept.append(undecided.select("_r", "_u", "_c", "_n", "_blank").coalesce(1)
-                        .mapInPandas(_finish_small, "_r bigint"))
+            # the counted bound makes one task safe
+            kept.append(undecided.coalesce(1).mapInPandas(_finish_small, "_r bigint"))
             break
-        heads = _with_minima(undecided, undecided, "_h").filter(F.col("_h") == F.col("_r"))
-        heads = cut_lineage(heads.select(*columns), "dedupe")
+        heads = _with_minima(undecided, undecided, "_head").filter(F.col("_head") == F.col("_r"))
+        heads = cut_lineage(heads.select(*_COLUMNS), "dedupe")
         kept.append(heads.select("_r"))
         rest = undecided.join(heads.select("_r"), "_r", "left_anti")
-        rest = _with_minima(rest, heads, "_k").filter(
-            F.col("_k").isNull() | (F.col("_k") > F.col("_r")))
-        undecided = cut_lineage(rest.select(*columns), "dedupe")
+        rest = _with_minima(rest, heads, "_cover").filter(
+            F.col("_cover").isNull() | (F.col("_cover") > F.col("_r")))
+        undecided = cut_lineage(rest.select(*_COLUMNS), "dedupe")
         left = undecided.count()
     ids = kept[0]
     for more in kept[1:]:

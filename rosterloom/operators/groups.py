@@ -21,30 +21,22 @@ def attach_group_stats(df: DataFrame, keys: Sequence[str],
                        salts: int = 32) -> DataFrame:
     """Add `stats` = {new column: (count|sum|min|max, input column)} of each row's key.
 
-    Keys compare null-safe. `salt_on` is any column that varies inside a key.
+    Null keys are equal to each other. `salt_on` is any column that varies inside a key.
     """
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(salt_on), F.lit(salts)).cast("int"))
+    # keys travel as one struct: it is never null itself and compares its nulls as equal
+    salted = df.withColumns({
+        "_key": F.struct(*keys),
+        "_salt": F.pmod(F.xxhash64(salt_on), F.lit(salts)).cast("int")})
 
     def first(fn: str, col: str | None):
         return F.count(F.lit(1) if col is None else col) if fn == "count" else getattr(F, fn)(col)
 
-    partial = salted.groupBy(*keys, "_salt").agg(
+    partial = salted.groupBy("_key", "_salt").agg(
         *[first(fn, col).alias(name) for name, (fn, col) in stats.items()])
-    per_key = Window.partitionBy(*keys)  # at most `salts` rows per key
+    per_key = Window.partitionBy("_key")  # at most `salts` rows per key
     totals = partial.withColumns(
         {name: _MERGE[fn](name).over(per_key) for name, (fn, _) in stats.items()})
-    return _null_safe_join(salted, totals, [*keys, "_salt"], "left").drop("_salt")
-
-
-def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str],
-                    how: str = "inner") -> DataFrame:
-    renamed = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys],
-                           *[c for c in right.columns if c not in keys])
-    cond = None
-    for k in keys:
-        one = F.col(k).eqNullSafe(F.col(f"_r_{k}"))
-        cond = one if cond is None else cond & one
-    return left.join(renamed, cond, how).drop(*[f"_r_{k}" for k in keys])
+    return salted.join(totals, ["_key", "_salt"], "left").drop("_key", "_salt")
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: str,
@@ -80,17 +72,16 @@ def peers_in_city(df: DataFrame, id_col: str, city: str, state: str, mode: str =
         value = F.greatest(F.lit(0), F.col("_n") - 1)
         return counted.withColumn(out, value).drop("_city", "_state", "_n")
     place = F.lower(F.regexp_replace(F.col(city), r"(?U)^\s+|\s+$", ""))
-    keyed = df.withColumn("_city", F.when(F.col(city) != "", place))
-    per_id = keyed.filter(F.col("_city").isNotNull()).groupBy(state, "_city", id_col).agg(
+    keyed = df.withColumn("_city", F.coalesce(place, F.lit("")))
+    # one row per (place, id); the salted totals add up the per-id counts
+    per_id = keyed.filter("_city <> ''").groupBy(state, "_city", id_col).agg(
         F.count(F.lit(1)).alias("_own"))
-    # one row per (place, id): the salted totals add up the per-id counts
     total = attach_group_stats(per_id, [state, "_city"], {"_n": ("sum", "_own")}, id_col, salts)
-    joined = _null_safe_join(keyed, total.select(state, "_city", id_col, "_own", "_n"),
-                             [state, "_city", id_col], "left")
-    # A blank city is a place for nobody: its own count never reaches the output.
-    value = F.when(F.coalesce(F.col("_city"), F.lit("")) == "", F.lit(0)).otherwise(
-        F.col("_n") - F.col("_own"))
-    return joined.withColumn(out, value.cast("bigint")).drop("_city", "_own", "_n")
+    others = total.select(F.struct(state, "_city", id_col).alias("_key"),
+                          (F.col("_n") - F.col("_own")).alias(out))
+    # a record without city finds no counts and has no neighbours
+    return (keyed.withColumn("_key", F.struct(state, "_city", id_col)).join(others, "_key", "left")
+            .withColumn(out, F.coalesce(out, F.lit(0)).cast("bigint")).drop("_key", "_city"))
 
 
 def flag_duplicates(df: DataFrame, keys: Mapping[str, object], row_no: str,

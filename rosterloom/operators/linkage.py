@@ -28,26 +28,30 @@ def unmatched_roster(roster: DataFrame, existing: DataFrame, r: Mapping[str, str
     """Roster rows without a known record in the same file region.
 
     Match: equal normalised URL (not empty); else equal state and name, and equal city
-    when the roster has one. The OR is three equi anti-joins. `r` and `e` map the roles
-    `block, state, name, city, url` to column names.
+    when the roster has one. The OR becomes two equi anti-joins: a known record offers its
+    place with and without the city, a roster row asks for one of the two. `r` and `e` map
+    the roles `block, state, name, city, url` to column names.
     """
-    def keys(side: Mapping[str, str]) -> list[Column]:
-        low = [F.lower(F.coalesce(F.col(side[k]), F.lit(""))) for k in ("state", "name", "city")]
-        return [F.col(side["block"]).alias("_b"),
-                text.normalize_url(F.coalesce(F.col(side["url"]), F.lit(""))).alias("_u"),
-                *[c.alias(a) for c, a in zip(low, ("_s", "_n", "_c"))]]
-
-    known = existing.select(*keys(e))
-    rows = roster.select("*", *keys(r), (text.strip(F.coalesce(r["city"], F.lit(""))) == "")
-                         .alias("_nocity"))
-    by_url = known.filter("_u <> ''").select("_b", "_u").distinct()
-    by_city = known.select("_b", "_s", "_n", "_c").distinct()
-    by_name = known.select("_b", "_s", "_n").distinct().withColumn("_nocity", F.lit(True))
-    # a roster row that has a city must not meet a known record on the city-less key
-    return (rows.join(by_url, ["_b", "_u"], "left_anti")
-            .join(by_city.withColumn("_nocity", F.lit(False)),
-                  ["_b", "_s", "_n", "_c", "_nocity"], "left_anti")
-            .join(by_name, ["_b", "_s", "_n", "_nocity"], "left_anti")
+    def low(side: Mapping[str, str], role: str) -> Column:
+        return F.lower(F.coalesce(F.col(side[role]), F.lit("")))
+
+    def url(side: Mapping[str, str]) -> Column:
+        return text.normalize_url(F.coalesce(F.col(side["url"]), F.lit("")))
+
+    place = ("_b", "_s", "_n", "_c")
+    no_city = F.lit("")
+    known_city = F.concat(F.lit("="), low(e, "city"))
+    by_url = existing.select(F.col(e["block"]).alias("_b"), url(e).alias("_u")).filter(
+        "_u <> ''").distinct()
+    by_place = existing.select(
+        F.col(e["block"]).alias("_b"), low(e, "state").alias("_s"), low(e, "name").alias("_n"),
+        F.explode(F.array(no_city, known_city)).alias("_c")).distinct()
+    asked = F.when(text.strip(low(r, "city")) == "", no_city).otherwise(
+        F.concat(F.lit("="), low(r, "city")))
+    rows = roster.select(
+        "*", F.col(r["block"]).alias("_b"), low(r, "state").alias("_s"), low(r, "name").alias("_n"),
+        asked.alias("_c"), url(r).alias("_u"))
+    return (rows.join(by_url, ["_b", "_u"], "left_anti").join(by_place, list(place), "left_anti")
             .select(*roster.columns))
 
 

@@ -78,29 +78,21 @@ def greedy_dedupe(roster: DataFrame, roles: Mapping[str, str], row_no: str,
     Rounds go on until nothing is undecided; long chains that leave at most `small` rows
     (counted) are finished in one task.
     """
-    rows = _keyed(roster, roles, row_no)
-    # rows that share neither URL nor name with any other row need no round
-    alone = rows
-    for key in ("_u", "_any_city"):
-        n = (rows.filter(F.col(key).isNotNull()).groupBy(key)
-             .agg(F.count(F.lit(1)).alias(f"_cnt{key}")))
-        alone = alone.join(n, key, "left")
-    shared = (F.coalesce("_cnt_u", F.lit(1)) > 1) | (F.col("_cnt_any_city") > 1)
-    marked = cut_lineage(alone.select(*_COLUMNS, shared.alias("_shared")), "dedupe")
-    kept = [marked.filter(~F.col("_shared")).select("_r")]
-    undecided = marked.filter("_shared").select(*_COLUMNS)
+    undecided = cut_lineage(_keyed(roster, roles, row_no), "dedupe")
     left = undecided.count()
+    kept = [undecided.select("_r").limit(0)]
     while left:
         if left <= small:
             # the counted bound makes one task safe
             kept.append(undecided.coalesce(1).mapInPandas(_finish_small, "_r bigint"))
             break
-        heads = _with_minima(undecided, undecided, "_head").filter(F.col("_head") == F.col("_r"))
-        heads = cut_lineage(heads.select(*_COLUMNS), "dedupe")
+        # a row no earlier undecided row covers is kept; rows without conflict go in round one
+        marked = cut_lineage(_with_minima(undecided, undecided, "_head").select(
+            *_COLUMNS, (F.col("_head") == F.col("_r")).alias("_is_head")), "dedupe")
+        heads = marked.filter("_is_head").select(*_COLUMNS)
         kept.append(heads.select("_r"))
-        rest = undecided.join(heads.select("_r"), "_r", "left_anti")
-        rest = _with_minima(rest, heads, "_cover").filter(
-            F.col("_cover").isNull() | (F.col("_cover") > F.col("_r")))
+        rest = _with_minima(marked.filter("NOT _is_head").select(*_COLUMNS), heads, "_cover")
+        rest = rest.filter(F.col("_cover").isNull() | (F.col("_cover") > F.col("_r")))
         undecided = cut_lineage(rest.select(*_COLUMNS), "dedupe")
         left = undecided.count()
     ids = kept[0]

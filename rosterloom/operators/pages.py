@@ -136,15 +136,19 @@ class _Outline(HTMLParser):
         return first, len(self.pieces) if end < 0 else end
 
 
-def topic_text(html: str | None, words: tuple[str, ...], sections: int = 3,
+def outline(html: str | None) -> _Outline:
+    page = _Outline()
+    page.feed(html or "")
+    page.close()
+    return page
+
+
+def topic_text(page: _Outline, words: tuple[str, ...], sections: int = 3,
                max_length: int = 1500) -> str | None:
     """Text of the first sections of the main area that mention a topic word.
 
     Without such a section the whole main area is used; a page without a body gives None.
     """
-    page = _Outline()
-    page.feed(html or "")
-    page.close()
     tests = [lambda t, i, c: t == "main", lambda t, i, c: t == "article",
              lambda t, i, c: "content" in c.split(), lambda t, i, c: i == "content",
              lambda t, i, c: "main" in c.split(), lambda t, i, c: i == "main",
@@ -180,10 +184,10 @@ def topic_sections(pages: DataFrame, id_col: str, html: str,
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = {id_col: batch[id_col]}
-            for topic, words in topics.items():
-                out[f"{topic}_text"] = [topic_text(h, words) for h in batch[html]]
-            yield pd.DataFrame(out)
+            parsed = [outline(h) for h in batch[html]]
+            yield pd.DataFrame({id_col: batch[id_col], **{
+                f"{topic}_text": [topic_text(p, words) for p in parsed]
+                for topic, words in topics.items()}})
 
     schema = f"{id_col} {id_type}, " + ", ".join(f"{t}_text string" for t in topics)
     return pages.select(id_col, html).mapInPandas(run, schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import derive, scoring, text
+from ..functions import derive, scoring, text, vocab
 from ..functions.scoring import ScoreColumns
 from ..operators import dedupe, groups, linkage, merge
 
@@ -24,10 +24,10 @@ def backbone(df: DataFrame, id_col: str, city: str, state: str, kind: str, name:
     """
     with_peers = groups.peers_in_city(df.withColumnRenamed("nearby_count", "_old_nearby"),
                                       id_col, city, state, mode="phase")
+    with_peers = with_peers.withColumn("_kind", derive.normalize_type(kind))
     no_tier = F.lit(force) | F.col("city_tier").isNull()
     no_time = F.lit(force) | text.is_missing("time_needed", "write")
-    kind_norm = derive.normalize_type(kind)
-    new_kind = kind_norm.isNotNull() & (kind_norm != F.col(kind))
+    new_kind = F.col("_kind") != F.col(kind)
     changes = merge.change_list({
         "city_tier": no_tier, "time_needed": no_time,
         "nearby_count": ~F.col("_old_nearby").eqNullSafe(F.col("nearby_count")),
@@ -38,9 +38,9 @@ def backbone(df: DataFrame, id_col: str, city: str, state: str, kind: str, name:
         .otherwise(F.col("city_tier")),
         "time_needed": F.when(no_time, derive.visit_length(kind, name)).otherwise(
             F.col("time_needed")),
-        kind: F.coalesce(kind_norm, F.col(kind)),
-        "is_scoreable": derive.is_scoreable_type(kind),
-    }).drop("_old_nearby")
+        kind: F.coalesce("_kind", kind),
+        "is_scoreable": F.coalesce(F.col("_kind").isin(*vocab.SCOREABLE_TYPES), F.lit(False)),
+    }).drop("_old_nearby", "_kind")
 
 
 def heuristic_fill(df: DataFrame, entity: DataFrame, key: str, rep: str, tier: str, links: str,

@@ -48,13 +48,13 @@ PAGE = """<html><body><div id="x">Open daily</div><main>
 
 def test_topic_sections():
     # the outer block and the one inside both mention the topic, so both are taken
-    assert pages.topic_text(PAGE, vocab.SECTION_KEYWORDS["hours"]) == (
+    assert pages.topic_text(pages.outline(PAGE), vocab.SECTION_KEYWORDS["hours"]) == (
         "Hours: 9-5\ndaily\nSchedule\nopen late\nopen late")
     # nothing mentions the topic: the whole main area
-    assert pages.topic_text(PAGE, ("wheelchair",)) == "Hours: 9-5\ndaily\nOther\nSchedule\nopen late"
-    assert pages.topic_text("<p>no body</p>", ("x",)) is None
-    assert pages.topic_text(None, ("x",)) is None
-    long = "<body><article>" + "<p>cost</p>" * 1000 + "</article></body>"
+    assert pages.topic_text(pages.outline(PAGE), ("wheelchair",)) == "Hours: 9-5\ndaily\nOther\nSchedule\nopen late"
+    assert pages.topic_text(pages.outline("<p>no body</p>"), ("x",)) is None
+    assert pages.topic_text(pages.outline(None), ("x",)) is None
+    long = pages.outline("<body><article>" + "<p>cost</p>" * 1000 + "</article></body>")
     assert pages.topic_text(long, ("cost",)).endswith("...")
     assert len(pages.topic_text(long, ("cost",))) == 1503
 

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..session import cut_lineage
+from .groups import lookup
 
 _COLUMNS = ("_r", "_u", "_with_city", "_any_city", "_asks")
 
@@ -49,7 +50,7 @@ def _with_minima(rows: DataFrame, source: DataFrame, out: str) -> DataFrame:
     offers = F.explode(F.array("_with_city", "_any_city"))
     places = source.select("_r", offers.alias("_asks")).groupBy("_asks").agg(
         F.min("_r").alias("_min_p"))
-    return (rows.join(urls, "_u", "left").join(places, "_asks", "left")
+    return (lookup(lookup(rows, urls, ["_u"]), places, ["_asks"])
             .withColumn(out, F.least("_min_u", "_min_p")).drop("_min_u", "_min_p"))
 
 

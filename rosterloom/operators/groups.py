@@ -39,6 +39,19 @@ def attach_group_stats(df: DataFrame, keys: Sequence[str],
     return salted.join(totals, ["_key", "_salt"], "left").drop("_key", "_salt")
 
 
+def lookup(rows: DataFrame, dim: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Join rows with a table that holds one row per key.
+
+    The join key is the struct of the keys. A table that was aggregated by the same keys is
+    shuffled once more for it, so both sides of the join are plain shuffles: only in that shape
+    does adaptive execution split the partition of a hot key. Without it all rows of the key
+    would follow the aggregate into one task. Null keys are equal to each other.
+    """
+    key = F.struct(*keys)
+    right = dim.select(key.alias("_lookup"), *[c for c in dim.columns if c not in keys])
+    return rows.withColumn("_lookup", key).join(right, "_lookup", how).drop("_lookup")
+
+
 def first_per_key(df: DataFrame, keys: Sequence[str], order: str,
                   columns: Sequence[str]) -> DataFrame:
     """One row per key: `columns` of the row with the smallest `order` (partial aggregation)."""

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text
-from .groups import first_per_key
+from .groups import first_per_key, lookup
 
 GRAM = 11
 
@@ -51,8 +51,8 @@ def unmatched_roster(roster: DataFrame, existing: DataFrame, r: Mapping[str, str
     rows = roster.select(
         "*", F.col(r["block"]).alias("_b"), low(r, "state").alias("_s"), low(r, "name").alias("_n"),
         asked.alias("_c"), url(r).alias("_u"))
-    return (rows.join(by_url, ["_b", "_u"], "left_anti").join(by_place, list(place), "left_anti")
-            .select(*roster.columns))
+    unknown_url = lookup(rows, by_url, ["_b", "_u"], "left_anti")
+    return lookup(unknown_url, by_place, place, "left_anti").select(*roster.columns)
 
 
 # -- exact --------------------------------------------------------------------
@@ -67,8 +67,7 @@ def exact_match(left: DataFrame, right: DataFrame, left_keys: Mapping[str, Colum
     names = list(left_keys)
     dim = first_per_key(
         right.withColumns(dict(right_keys)).dropna(subset=names), names, order, columns)
-    out = left.withColumns(dict(left_keys)).join(dim, names, how)
-    return out.drop(*names)
+    return lookup(left.withColumns(dict(left_keys)), dim, names, how).drop(*names)
 
 
 # -- containment --------------------------------------------------------------
@@ -87,7 +86,7 @@ def _contained(outer: DataFrame, inner: DataFrame) -> DataFrame:
     outer_grams = outer.select("outer", F.explode(_grams(F.col("outer"))).alias("gram"))
     inner_grams = inner.select("inner", F.explode(_grams(F.col("inner"))).alias("gram"))
     frequency = outer_grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    rarest = (inner_grams.join(frequency, "gram", "left")
+    rarest = (lookup(inner_grams, frequency, ["gram"])
               .groupBy("inner").agg(
                   F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")).alias("g"))
               .filter("g.df > 0").select("inner", F.col("g.gram").alias("gram")))
@@ -133,7 +132,7 @@ def sheet_match(left: DataFrame, left_name: str, sheet: DataFrame, sheet_name: s
         "_k", F.col("partner").alias("_p"), F.lit("partial").alias("match_type"))
     resolved = exact.select("_k", "_p", "match_type").unionByName(partial).join(
         dim.select(F.col("_k").alias("_p"), "_row"), "_p")
-    return (records.join(resolved.drop("_p"), "_k", "left")
+    return (lookup(records, resolved.drop("_p"), ["_k"])
             .select(*left.columns, "match_type",
                     *[F.col(f"_row.{c}").alias(f"sheet_{c}") for c in payload]))
 
@@ -237,15 +236,15 @@ def fuzzy_match(left: DataFrame, right: DataFrame, block: str, left_name: str, r
     best = (scored.groupBy(block, F.col("a").alias("_k"))
             .agg(F.max_by(F.struct("b", "_score"), F.struct("_score", -F.col("_seen"))).alias("m"))
             .filter(F.col("m._score") >= threshold)
-            .select(block, "_k", F.col("m.b").alias("_b"), F.col("m._score").alias("_score"))
-            .join(by_norm.select(block, F.col("_k").alias("_b"), F.col("_same").alias("_fuzzy")),
-                  [block, "_b"]).drop("_b"))
+            .select(block, "_k", F.col("m.b").alias("_b"), F.col("m._score").alias("_score")))
+    hits = by_norm.select(block, F.col("_k").alias("_b"), F.col("_same").alias("_fuzzy"))
+    best = lookup(best, hits, [block, "_b"]).drop("_b")
     resolved = names.join(best, [block, "_k"], "left").select(
         block, "_raw", F.coalesce("_exact", "_same", "_fuzzy").alias("_hit"),
         F.when(F.col("_exact").isNotNull(), "exact").otherwise("fuzzy").alias("match_type"),
         F.coalesce(F.when(F.coalesce("_exact", "_same").isNotNull(), 1.0), F.col("_score"))
         .alias("match_score")).filter(F.col("_hit").isNotNull())
-    return named.join(resolved, [block, "_raw"], "left").select(
+    return lookup(named, resolved, [block, "_raw"]).select(
         *left.columns, "match_type", "match_score",
         *[F.col("_hit")[c].alias(f"match_{c}") for c in payload])
 

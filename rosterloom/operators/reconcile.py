@@ -9,16 +9,16 @@ from pyspark.sql import functions as F
 
 from ..functions import derive
 from ..functions.text import truthy
-from .groups import last_per_key
+from .groups import last_per_key, lookup
 
 
 def ttl_split(requests: DataFrame, cache: DataFrame, key: str, fetched_at: str, as_of: Column,
               ttl_seconds: int = 14 * 24 * 3600) -> DataFrame:
     """Adds `is_hit`: the newest cache entry of the key is no older than the time to live."""
-    newest = cache.groupBy(key).agg(F.max(fetched_at).alias("_at"))
+    newest = cache.filter(F.col(key).isNotNull()).groupBy(key).agg(F.max(fetched_at).alias("_at"))
     age = F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(F.col("_at").cast("timestamp"))
     hit = F.coalesce(age <= F.lit(ttl_seconds * 1_000_000), F.lit(False))
-    return requests.join(newest, key, "left").withColumn("is_hit", hit).drop("_at")
+    return lookup(requests, newest, [key]).withColumn("is_hit", hit).drop("_at")
 
 
 def cache_vs_record(cache: DataFrame, records: DataFrame, key: str, fields: Sequence[str],

@@ -190,7 +190,7 @@ def city_tier_by_population(spark, path):
     population = c.groupBy("city", "state").agg((F.count(F.lit(1)) * 30000).alias("population"))
     city = F.when(F.col("id") % 5 == 0, " Chicago").when(F.col("id") % 5 == 1, "Boise").otherwise(
         F.col("city"))
-    return c.join(population, ["city", "state"], "left").select(
+    return groups.lookup(c, population, ["city", "state"]).select(
         "id", derive.city_tier(city, "population").alias("tier"))
 
 

@@ -75,7 +75,7 @@ _CACHE_SCHEMA = "found BOOLEAN, extract STRING"
 
 @query("a7_read_caches", (
     "SELECT source AS museum_id, count(*) AS entries, count(*) FILTER (lang = 'en') AS found, "
-    "sum(length(text)) AS chars FROM documents GROUP BY source"))
+    "CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY source"))
 def read_caches(spark, path):
     # one folder per source, as `<key>/cache/…`; every document is one line of its cache
     target = scratch_path(spark, "caches")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import iso_utc
+from ..operators.groups import lookup
 
 
 def envelope(df: DataFrame, as_of: Column, **extra: Column) -> DataFrame:
@@ -29,7 +30,7 @@ def changed_partitions(df: DataFrame, partition: str, changed: str, updated_at:
     """All rows of the partitions in which something changed; changed rows are stamped."""
     touched = df.filter(F.col(changed)).select(partition).distinct()
     stamped = df.withColumn(updated_at, F.when(F.col(changed), as_of).otherwise(F.col(updated_at)))
-    return stamped.join(touched, partition, "left_semi").drop(changed)
+    return lookup(stamped, touched, [partition], "left_semi").drop(changed)
 
 
 def write_changed(df: DataFrame, path: str, partition: str, changed: str, updated_at: str,

@@ -232,3 +232,42 @@ def test_shared_keys_return_members_not_lists(spark):
         F.col("id").cast("string")).alias("site"))
     out = quality.shared_key_duplicates(df, "id", {"site": F.col("site")}).collect()
     assert len(out) == 334 and {r.n for r in out} == {334}
+
+
+def test_hot_keys_of_a_lookup_are_split_at_run_time(spark):
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1",
+                "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+                "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20000",
+                "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+                "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20000",
+                "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1000"}
+    old = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        rows = spark.range(0, 60_000, 1, 8).select(
+            "id", F.when(F.col("id") % 3 > 0, "hot").otherwise(F.col("id").cast("string")).alias("n"))
+        ext = rows.select(F.col("id").alias("row_no"), F.col("n").alias("t"))
+        out = linkage.exact_match(rows, ext, {"_n": F.lower("n")}, {"_n": F.lower("t")}, "row_no",
+                                  ["row_no"])
+        got = out.collect()
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "skew=true" in plan
+        assert len(got) == 60_000 and all(r.row_no == (1 if r.n == "hot" else r.id) for r in got)
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_rows_of_a_salted_key_are_shuffled_by_key_and_salt(spark):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        df = spark.range(1000).select("id", F.concat(F.lit("k"), (F.col("id") % 2).cast("string")).alias("k"))
+        out = groups.attach_group_stats(df, ["k"], {"n": ("count", None)}, "id")
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    shuffles = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
+    # rows, partials and totals go by (key, salt); only the partials of a key meet by key alone
+    assert len([x for x in shuffles if "_salt#" in x]) == 3 and len(shuffles) == 4

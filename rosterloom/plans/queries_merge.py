@@ -2,9 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from ..functions import text
 from ..operators import merge
-from .bindings import ART, CUST, EVT, art, cust, evt, score_columns, tables
+from .bindings import ART, CUST, EVT, art, cust, evt, tables
 from .registry import query
 
 # The patch of a customer comes from its first order; customers without orders have none.

@@ -16,9 +16,13 @@ def as_col(c: ColumnLike) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# Every character that counts as white space, so that stripping needs no pattern matching.
+_WHITE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+
+
 def strip(c: ColumnLike) -> Column:
-    """Remove any white space at both ends (Spark's ``trim`` only removes blanks)."""
-    return F.regexp_replace(as_col(c), r"(?U)^\s+|\s+$", "")
+    """Remove any white space at both ends (plain ``trim`` only removes blanks)."""
+    return F.btrim(as_col(c), F.lit(_WHITE))
 
 
 def blank_to_null(c: ColumnLike) -> Column:
@@ -66,7 +70,7 @@ def contains_any(c: ColumnLike, words: Iterable[str]) -> Column:
 
 
 def collapse_spaces(c: ColumnLike) -> Column:
-    return strip(F.regexp_replace(as_col(c), r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(as_col(c), r"(?U)\s+", " "))
 
 
 def cut(c: ColumnLike, n: int, tail: str = "...") -> Column:

@@ -13,6 +13,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
+
 _MERGE = {"count": F.sum, "sum": F.sum, "min": F.min, "max": F.max}
 
 
@@ -84,7 +86,7 @@ def peers_in_city(df: DataFrame, id_col: str, city: str, state: str, mode: str =
                                      id_col, salts)
         value = F.greatest(F.lit(0), F.col("_n") - 1)
         return counted.withColumn(out, value).drop("_city", "_state", "_n")
-    place = F.lower(F.regexp_replace(F.col(city), r"(?U)^\s+|\s+$", ""))
+    place = F.lower(strip(city))
     keyed = df.withColumn("_city", F.coalesce(place, F.lit("")))
     # one row per (place, id); the salted totals add up the per-id counts
     per_id = keyed.filter("_city <> ''").groupBy(state, "_city", id_col).agg(

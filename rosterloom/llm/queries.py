@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import superminhash
+from . import chat, lm, mixing, packing, ranking, secrets, superminhash, tiles, topk, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,3 +45,128 @@ JOIN (SELECT x, min(y) AS component_id FROM reach GROUP BY x) r ON r.x = d.doc_i
 def op1_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate documents on 2-word shingles."""
     return superminhash.near_duplicates(table(spark, sf_dir, "documents"), n=2)
+
+
+@_query("op3_toxicity")
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected severity of every document."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.severity(docs, model).withColumn("toxic", F.col("toxic").cast("int"))
+
+
+@_query("op6_pairwise_quality")
+def op6_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return ranking.quality_scores(docs, ranking.train(docs, table(spark, sf_dir, "labels")))
+
+
+@_query("op4_weighted_mixture", r"""
+WITH RECURSIVE sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+    -ln((('0x' || substr(md5('11:' || doc_id), 1, 13))::BIGINT + 0.5) / 16 ** 13) / greatest(1e-6,
+      coalesce(length(regexp_replace(text, '[^\p{L}\t-\r ]+', '', 'g')) / greatest(1, length(text)),
+        0)) AS key FROM documents),
+sources AS (
+  SELECT source, sum(size)::DOUBLE AS n,
+    [5.0, 2.0, 1.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS w
+  FROM sized GROUP BY source),
+levels AS (
+  SELECT 0 AS i, (SELECT sum(n) / sum(w) FROM sources) AS level
+  UNION ALL
+  SELECT i + 1, (SELECT (sum(n) - coalesce(sum(3 * n) FILTER (3 * n < level * w), 0))
+      / sum(w) FILTER (3 * n >= level * w) FROM sources)
+  FROM levels WHERE i < 40),
+goals AS (SELECT source, n, least(3 * n, w * (SELECT max(level) FROM levels)) AS target FROM sources),
+placed AS (
+  SELECT s.*, g.n, g.target, floor(target / nullif(g.n, 0)) AS epochs,
+    coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY key, doc_id
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM sized s JOIN goals g ON s.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, size::BIGINT AS size, n::BIGINT AS source_size, target,
+  (size * coalesce(epochs + (before + size / 2 < target - epochs * n)::INT, 0))::BIGINT AS taken
+FROM placed""")
+def op4_weighted_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document in a mix of all sources by the weights 5, 2, 1."""
+    docs = table(spark, sf_dir, "documents")
+    return mixing.mixture(docs, mixing.words_in("text"), mixing.letters_share("text")).select(
+        "doc_id", "size", "source_size", "target", "taken")
+
+
+@_query("op8_best_two_fit")
+def op8_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 2048 tokens."""
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
+@_query("op2_chat_format", r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+sized AS (
+  SELECT *, length(text) + length(text) - length(replace(text, '\', ''))
+    + 2 * len(regexp_extract_all(text, '<\|im_start\|>|<\|im_end\|>|<\|endoftext\|>|</?s>|\[/?INST\]|<</?SYS>>'))
+    + length(role) + length('<|im_start|>') + length('<|im_end|>') + 2 AS n FROM turns)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(n)::BIGINT AS formatted_chars
+FROM sized GROUP BY conv_id""")
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations formatted, and what is read back from the formatted texts."""
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)],
+                                 "conv_id bigint, turn bigint, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.read_back(chat.format_turn_rows(turns.unionByName(more)))
+
+
+@_query("op5_cross_entropy_difference")
+def op5_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's losses under models of the good documents and of all documents."""
+    good = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+    return lm.cross_entropy_difference(table(spark, sf_dir, "documents"), good)
+
+
+@_query("op7_threshold_top_k", """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, (row_number() OVER w)::INT AS rank, vec_id, score FROM pairs
+WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+QUALIFY rank <= 5""")
+def op7_threshold_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best inner products of every 50th vector."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@_query("op9_pca_tiles", """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach AS (SELECT vec_id AS x, vec_id AS y FROM embeddings
+  UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x)
+SELECT d.vec_id, coalesce(n.n, 0) AS n_links, r.component_id, d.vec_id = r.component_id AS kept
+FROM embeddings d JOIN (SELECT x, min(y) AS component_id FROM reach GROUP BY x) r ON r.x = d.vec_id
+LEFT JOIN (SELECT x, count(*) AS n FROM links GROUP BY x) n ON n.x = d.vec_id""")
+def op9_pca_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of one label with cosine 0.98 or more."""
+    return tiles.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@_query("op10_randomness_battery")
+def op10_randomness_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document."""
+    return secrets.secret_spans(table(spark, sf_dir, "documents"))

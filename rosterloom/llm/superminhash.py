@@ -7,11 +7,12 @@
    or two ranks. Here rank j is drawn for all elements of a slice of documents at once.
 2. Documents with the same set are one node. Bands of `ROWS` slots give each node `BANDS` keys; a
    pair of similarity 0.8 shares none of them with probability (1 - 0.8^6)^44 < 2e-6.
-3. In each bucket every node is compared with the smallest one; pairs that pass on their full sets
-   are links. Then, in buckets whose nodes are still in several components, the nodes outside the
-   bucket's largest component are compared with all nodes of other components. So every pair that
-   shares a bucket is compared or already connected, and a bucket of thousands of copies costs
-   one comparison a copy, not one a pair.
+3. In each bucket every node is compared with the smallest one, the bucket's hub; pairs that pass
+   on their full sets are links. All nodes of a bucket are in the cluster of its hub. In clusters
+   whose nodes are then still in several components, the nodes outside the largest component are
+   compared with all nodes of other components, in tiles of bounded size that return links only.
+   So every pair that shares a bucket is compared or already connected, and a group of thousands
+   of copies costs one comparison a copy, not one a pair.
 4. Components come from alternating star contraction (`graph.components`).
 
 Nulls, empty texts and texts without words have the empty set and are linked with nothing. Texts
@@ -36,6 +37,8 @@ from .common import mix64, slices
 from .graph import components
 
 BANDS, ROWS = 44, 6
+#: Nodes and shingles of a tile, on average.
+TILE, TILE_SHINGLES = 512, 1 << 20
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -118,6 +121,89 @@ def _shingled(batches: Iterator[pa.RecordBatch], n: int):
                                  pa.list_(pa.int64()))})
 
 
+def _sets_of(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """All shingles of a table's rows, and the row of each."""
+    column = t.column("shingles").combine_chunks()
+    sizes = np.diff(column.offsets.to_numpy())
+    return column.flatten().to_numpy(), np.repeat(np.arange(t.num_rows), sizes)
+
+
+def overlaps(a: pa.Table, b: pa.Table, width: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of each row of `a` with each row of `b`."""
+    (x, row_x), (y, row_y) = _sets_of(a), _sets_of(b)
+    both = np.intersect1d(x, y)
+    out = np.zeros((a.num_rows, b.num_rows), np.float32)
+
+    def places(values: np.ndarray, rows: np.ndarray):
+        at = np.searchsorted(both, values)
+        found = np.flatnonzero(np.append(both, 0)[at] == values)
+        found = found[at[found] < len(both)]
+        order = found[np.argsort(at[found], kind="stable")]
+        return at[order], rows[order]
+
+    (at_x, row_x), (at_y, row_y) = places(x, row_x), places(y, row_y)
+    for low in range(0, len(both), width):
+        sides = []
+        for at, row, n in ((at_x, row_x, a.num_rows), (at_y, row_y, b.num_rows)):
+            i, j = np.searchsorted(at, [low, low + width])
+            side = np.zeros((n, width), np.float32)
+            side[row[i:j], at[i:j] - low] = 1
+            sides.append(side)
+        out += sides[0] @ sides[1].T
+    return out.astype(np.int64)
+
+
+def _tile_links(a: pa.Table, b: pa.Table, percent: int) -> pa.Table:
+    """Links between rows of two tiles that are in different components."""
+    left, right = np.empty(0, np.int64), np.empty(0, np.int64)
+    if a.num_rows and b.num_rows:
+        common = overlaps(a, b)
+        size_a, size_b = (t.column("n").to_numpy().astype(np.int64) for t in (a, b))
+        close = 100 * common >= percent * (size_a[:, None] + size_b[None, :] - common)
+        close &= a.column("component").to_numpy()[:, None] != b.column("component").to_numpy()[None, :]
+        i, j = np.nonzero(close)
+        left, right = a.column("node").to_numpy()[i], b.column("node").to_numpy()[j]
+    return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
+
+
+def _links_across(pairs: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between nodes of one hub's cluster that are in different components so far.
+
+    `pairs` holds (hub a, node b). Only nodes outside the cluster's largest component are put
+    against the others; both sides are dealt into tiles.
+    """
+    nodes = lookup(pairs.select(F.col("a").alias("hub"), F.col("b").alias("node")), found, ["node"])
+    nodes = lookup(nodes.withColumn("component", F.coalesce("component", "node")),
+                   sets.select("node", "n"), ["node"])
+    sizes = nodes.groupBy("hub", "component").agg(F.count(F.lit(1)).alias("nodes"), F.sum("n").alias("n"))
+    whole = sizes.groupBy("hub").agg(
+        F.max(F.struct("nodes", "component", "n")).alias("top"), F.sum("nodes").alias("nodes"),
+        F.sum("n").alias("n")).filter("nodes > top.nodes")
+
+    def tiles(count, shingles_):
+        return F.greatest(F.ceil(count / TILE), F.ceil(shingles_ / TILE_SHINGLES)).cast("int")
+
+    plan = whole.select("hub", F.col("top.component").alias("largest"),
+                        tiles(F.col("nodes"), F.col("n")).alias("all_tiles"),
+                        tiles(F.col("nodes") - F.col("top.nodes"), F.col("n") - F.col("top.n"))
+                        .alias("some_tiles"))
+    open_ = cut_lineage(lookup(nodes.drop("n"), plan, ["hub"], "inner"), "minhash")
+    full = lookup(open_, sets, ["node"], "inner")
+
+    def dealt(rows: DataFrame, own: str, own_tiles: str, other: str, other_tiles: str) -> DataFrame:
+        # new names for the columns: both sides come from the same rows
+        return rows.select(
+            F.pmod(F.xxhash64("node"), F.col(own_tiles)).cast("int").alias(own),
+            F.explode(F.sequence(F.lit(0), F.col(other_tiles) - 1)).alias(other),
+            *[F.col(c).alias(c) for c in ("hub", "node", "component", "n", "shingles")]
+        ).groupBy("hub", "i", "j")
+
+    some = dealt(full.filter("component <> largest"), "i", "some_tiles", "j", "all_tiles")
+    every = dealt(full, "j", "all_tiles", "i", "some_tiles")
+    return some.cogroup(every).applyInArrow(lambda a, b: _tile_links(a, b, percent),
+                                            "a bigint, b bigint")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the similarity: 100 * common >= percent * union."""
     one = lookup(pairs.withColumn("node", F.col("a")), sets, ["node"], "inner")
@@ -143,35 +229,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = (lookup(usable, first, ["set_key"], "inner").filter("node = rep")
                .select("node", F.explode("bands").alias("bucket")))
     hubs = cut_lineage(buckets.groupBy("bucket").agg(
-        F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "minhash")
-    members = cut_lineage(lookup(buckets, hubs, ["bucket"], "inner").filter("node <> hub"),
-                          "minhash")
-    pairs = cut_lineage(members.select(F.col("hub").alias("a"), F.col("node").alias("b"))
-                        .distinct(), "minhash")
-    nodes = members.select("node").union(members.select("hub")).distinct()
+        F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "minhash")
+    pairs = cut_lineage(lookup(buckets, hubs, ["bucket"], "inner").filter("node <> hub").select(
+        F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "minhash")
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = cut_lineage(texts.join(nodes, "node", "left_semi").mapInArrow(
-        lambda b: _shingled(b, n), "node bigint, shingles array<bigint>"), "minhash")
+        lambda b: _shingled(b, n), "node bigint, shingles array<bigint>").withColumn(
+        "n", F.size("shingles")), "minhash")
     links = cut_lineage(_verified(pairs, sets, percent), "minhash")
     found = components(links)
-
-    # what the smallest node of a bucket did not connect
-    open_ = members.filter("n > 2").select("bucket", "node")
-    labelled = lookup(open_, found, ["node"]).withColumn(
-        "component", F.coalesce("component", "node"))
-    sizes = labelled.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
-    mixed = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("top"),
-                                        F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    split = cut_lineage(lookup(labelled, mixed.select("bucket", "top.component").withColumnRenamed(
-        "component", "largest"), ["bucket"], "inner"), "minhash")
-    minor = split.filter("component <> largest").select(
-        F.struct("bucket").alias("key"), F.col("node").alias("x"), F.col("component").alias("cx"))
-    across = split.select(F.struct("bucket").alias("key"), F.col("node").alias("y"),
-                          F.col("component").alias("cy"))
-    more = cut_lineage(minor.join(across, "key").filter("cx <> cy").select(
-        F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "minhash")
+    more = cut_lineage(_links_across(pairs, found, sets, percent), "minhash")
     if not more.isEmpty():
-        links = links.unionByName(_verified(more, sets, percent))
-        found = components(cut_lineage(links, "minhash"))
+        found = components(links.unionByName(more))
 
     rows_ = lookup(signed.drop("bands"), first, ["set_key"])
     rows_ = lookup(rows_, found.select(F.col("node").alias("rep"), "component"), ["rep"])

@@ -197,8 +197,9 @@ def discovery_limits(counts: dict[tuple[int, int], int], tested: list[int], rate
     for size, total in enumerate(tested):
         limit, seen = float("inf"), 0
         for step in range(BINS, -1, -1):
-            seen += counts.get((size, step), 0)
-            if seen and 10 ** (-step * BIN) <= rate * seen / max(total, 1):
+            here = counts.get((size, step), 0)
+            seen += here
+            if here and 10 ** (-step * BIN) <= rate * seen / max(total, 1):
                 limit = step * BIN
         limits.append(limit)
     return limits

@@ -6,7 +6,8 @@ in the whole text. The output is the expected severity, sum over k of P(grade >=
 
 Grades come from the labels (a column with 0..G-1), or from 0/1 labels: then the number of
 different terms typical of label 1 cuts those rows into mild, moderate and severe. A term is
-typical when its odds differ between the labels by more than chance allows for so many terms.
+typical when its rates differ between the labels by more than chance allows for so many terms,
+near copies counted once.
 
 Null, empty and word-free texts have no terms: their severity is that of a text without evidence.
 Rows with null labels or ids take no part in the fit. Without two kinds of labels no term is
@@ -32,8 +33,11 @@ from .ranking import held_out, labelled_sample
 MAX_LABELLED = 20_000
 #: Different typical terms from which a toxic text counts as moderate, and as severe.
 MODERATE, SEVERE = 3, 5
-#: Standard errors by which a typical term's log odds must differ, and rows that must hold it.
-MIN_Z, MIN_ROWS = 4.0, 3
+#: Chance that any term of the sample is taken for typical without being it, and how much more
+#: often a typical term must occur in toxic texts.
+CHANCE, MIN_ODDS = 0.01, 8
+#: P(grade >= 1) from which a text counts as toxic.
+TOXIC_AT = 0.1
 
 _TERM = re.compile(r"[^\W\d_]+")
 
@@ -111,6 +115,12 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
+def _log_chance(k: np.ndarray, n: float, rate: np.ndarray) -> np.ndarray:
+    """Log likelihood of k texts out of n holding a term of this rate."""
+    rate = np.clip(rate, 1e-12, 1 - 1e-12)
+    return k * np.log(rate) + (n - k) * np.log(1 - rate)
+
+
 def fit_ordinal(found: list[np.ndarray], label: np.ndarray, grades: int | None = None) -> OrdinalModel:
     """Learn from texts' term hashes and their labels; `grades` if these are grades already."""
     label = np.asarray(label, np.int64)
@@ -119,17 +129,24 @@ def fit_ordinal(found: list[np.ndarray], label: np.ndarray, grades: int | None =
     every = np.concatenate([*found, np.empty(0, np.uint64)])
     vocabulary, at = np.unique(every, return_inverse=True)
     toxic = label > 0
-    n1, n0 = int(toxic.sum()), int((~toxic).sum())
-    if not n1 or not n0:
+    if not toxic.any() or toxic.all():
         return OrdinalModel(np.empty(0, np.uint64), np.empty(0),
-                            np.array([30.0, 31.0, 32.0]) * (1 if not n1 else -1))
-    in1 = np.bincount(at, toxic[owner], len(vocabulary))
-    in0 = np.bincount(at, ~toxic[owner], len(vocabulary))
-    # log odds ratio with half a row added to each cell, and its standard error
-    a, b, c, d = in1 + 0.5, n1 - in1 + 0.5, in0 + 0.5, n0 - in0 + 0.5
-    z = np.log(a * d / (b * c)) / np.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
+                            np.array([30.0, 31.0, 32.0]) * (-1 if toxic.any() else 1))
+    # near copies count as one text together: most share their three smallest term hashes, which
+    # different texts hardly do
+    least = np.zeros((n, 3), np.uint64)
+    for row, f in zip(least, found):
+        row[:len(f[:3])] = f[:3]
+    _, group, size = np.unique(least, axis=0, return_inverse=True, return_counts=True)
+    share = np.where(least[:, 0] > 0, 1 / size[group.ravel()], 1.0)
+    n1, n0 = share[toxic].sum(), share[~toxic].sum()
+    in1 = np.bincount(at, (share * toxic)[owner], len(vocabulary))
+    in0 = np.bincount(at, (share * ~toxic)[owner], len(vocabulary))
+    # likelihood ratio of two rates against one, in nats
+    one = (in1 + in0) / (n1 + n0)
+    gain = sum(_log_chance(k, m, k / m) - _log_chance(k, m, one) for k, m in ((in1, n1), (in0, n0)))
     # only terms that say a text is toxic: one that says the contrary would excuse insults
-    typical = (z >= MIN_Z) & (in1 + in0 >= MIN_ROWS) & (in1 * n0 > 8 * in0 * n1)
+    typical = (gain >= np.log(max(len(vocabulary), 1) / CHANCE)) & (in1 * n0 > MIN_ODDS * in0 * n1)
     place = np.cumsum(typical) - 1
     used = typical[at]
     rows, columns = owner[used], place[at[used]]
@@ -169,7 +186,7 @@ def severity(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id",
              text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, expected_severity, grade, toxic) for each row.
 
-    `grade` is the most likely of P(grade >= k) >= 0.5, `toxic` whether it is above 0.
+    `grade` is the highest k with P(grade >= k) >= 0.5; `toxic` is P(grade >= 1) >= TOXIC_AT.
     """
     def scored(batches: Iterator[pa.RecordBatch]):
         for batch in slices(batches):
@@ -180,7 +197,7 @@ def severity(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id",
                 "doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"),
                 "expected_severity": pa.array(at_least.sum(1)),
                 "grade": pa.array(grade, pa.int32()),
-                "toxic": pa.array(grade > 0, pa.bool_())})
+                "toxic": pa.array(at_least[:, 0] >= TOXIC_AT, pa.bool_())})
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),
                        held_out(id_col).alias("held_out"))

@@ -145,6 +145,26 @@ def any_set(*cols: ColumnLike) -> Column:
     return reduce(lambda a, b: a | b, [as_col(c).isNotNull() for c in cols])
 
 
+def all_given(*cols: ColumnLike) -> Column:
+    """Every content field holds a non-empty string."""
+    return reduce(lambda a, b: a & b, [F.coalesce(as_col(c) != "", F.lit(False)) for c in cols])
+
+
+def skip_or_todo(done: Column, force: bool = False) -> Column:
+    """`skip` for records that are done, unless forced."""
+    return F.when(F.lit(not force) & F.coalesce(done, F.lit(False)), "skip").otherwise("todo")
+
+
+def current_or_process(last_sync: ColumnLike, modified_at: Column, force: bool = False) -> Column:
+    """`current` when the last sync, a time as text, is not before the source's modification.
+
+    A missing or unreadable time means `process`, and so does `force`.
+    """
+    last = F.try_to_timestamp(as_col(last_sync))
+    fresh = F.coalesce(last >= modified_at, F.lit(False))
+    return F.when(F.lit(not force) & fresh, "current").otherwise("process")
+
+
 # -- address components, claims ----------------------------------------------
 
 def component(components: ColumnLike, kind: str, part: str = "long_name") -> Column:
@@ -201,6 +221,7 @@ def label(c: ColumnLike, labels: Mapping[int, str], default: str | None = None)
 
 def score_label(c: ColumnLike) -> Column:
     s = as_col(c)
+    # fixed values: score bands
     bands = [(9, "World-Class"), (8, "Outstanding"), (7, "Excellent"), (6, "Very Good"),
              (5, "Good")]
     cases = [(F.coalesce(s, F.lit(0)) == 0, F.lit("Not Rated"))]
@@ -220,6 +241,7 @@ def article_class(found: ColumnLike, extract: ColumnLike,
 
 def gap_reason(notes: ColumnLike) -> Column:
     low = F.lower(F.coalesce(as_col(notes), F.lit("")))
+    # fixed values: words of each reason
     return (F.when(contains_any(low, ("wrong", "airport", "instrument")), "wrong_entity")
             .when(low.contains("city") & low.contains("not the museum"), "city_only")
             .when(low.contains("no") & contains_any(low, ("collection", "permanent")),

@@ -150,13 +150,15 @@ def quality_band(score: Column) -> Column:
 
 
 def clamp(value: Column, low: int, high: int) -> Column:
-    """Number truncated to an integer inside [low, high]; null stays null."""
+    """Number truncated to an integer inside [low, high]; null, NaN and infinities give null."""
     number = value.cast("double")
+    number = F.when(~F.isnan(number) & (F.abs(number) != F.lit(float("inf"))), number)
     whole = F.when(number >= 0, F.floor(number)).otherwise(F.ceil(number))
     return F.when(number.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), whole))).cast(
         "int")
 
 
+# fixed values: scores of an answer and their ranges
 SCORE_RANGES = {
     "impressionist_strength": (0, 5), "modern_contemporary_strength": (0, 5),
     "historical_context_score": (0, 5), "eca_score": (0, 5),
@@ -169,7 +171,8 @@ def validated_scores(df: DataFrame, response: Column,
                      note: str = "score_notes", note_length: int = 500) -> DataFrame:
     """Adds the clamped scores of a response text that holds one JSON object somewhere.
 
-    The text is parsed once per row; JSON strings are not numbers and give null.
+    The text is parsed once per row; JSON strings (also "NaN" and "Infinity", which the parser
+    would take for numbers) are not numbers and give null.
     """
     ranges = SCORE_RANGES if ranges is None else ranges
     schema = ", ".join([*[f"{f} DOUBLE" for f in ranges], f"{note} STRING"])

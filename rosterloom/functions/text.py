@@ -109,8 +109,28 @@ def url_key(url: ColumnLike) -> Column:
     return sha_prefix(url, 16)
 
 
+def _json_unit(code: Column) -> Column:
+    return F.concat(F.lit("\\u"), F.lower(F.lpad(F.hex(code), 4, "0")))
+
+
 def _quoted(c: Column) -> Column:
-    return F.concat(F.lit('"'), F.regexp_replace(c, r'(["\\])', r"\\$1"), F.lit('"'))
+    """A JSON string in plain ASCII: everything outside blank to tilde is escaped."""
+    named = {'"': '\\"', "\\": "\\\\", "\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
+
+    def one(ch: Column) -> Column:
+        code = F.ascii(ch)
+        above = code - 0x10000
+        pair = F.concat(_json_unit(F.shiftright(above, 10) + 0xD800),
+                        _json_unit(above.bitwiseAND(0x3FF) + 0xDC00))
+        out = None
+        for plain, escaped in named.items():
+            out = (F if out is None else out).when(ch == plain, F.lit(escaped))
+        return out.when(code.between(32, 126), ch).when(code > 0xFFFF, pair).otherwise(_json_unit(code))
+
+    # plain strings, the usual case, are taken as they are
+    chars = F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0))
+    escaped = F.when(c.rlike(r'^[ !#-\[\]-~]*\z'), c).otherwise(F.array_join(F.transform(chars, one), ""))
+    return F.concat(F.lit('"'), escaped, F.lit('"'))
 
 
 def request_key(url: ColumnLike, params: ColumnLike) -> Column:
@@ -170,17 +190,35 @@ def resolve_url(base: ColumnLike, href: ColumnLike) -> Column:
     folder = F.regexp_replace(path, r"[^/]*$", "")
     folder = F.when(folder == "", F.lit("/")).otherwise(folder)
     plain_base = F.regexp_replace(base, r"#.*$", "")
+
+    def joined(path_and_more: Column) -> Column:
+        return F.concat(root, without_dots(F.regexp_extract(path_and_more, r"^([^?#]*)", 1)),
+                        F.regexp_extract(path_and_more, r"^[^?#]*(.*)$", 1))
+
     return (
         F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), href)
         .when(href == "", plain_base)
         .when(href.startswith("//"), F.concat(scheme, F.lit(":"), href))
-        .when(href.startswith("/"), F.concat(root, href))
+        .when(href.startswith("/"), joined(href))
         .when(href.startswith("#"), F.concat(plain_base, href))
         .when(href.startswith("?"), F.concat(root, path, href))
-        .otherwise(F.concat(root, folder, href))
+        .otherwise(joined(F.concat(folder, href)))
     )
 
 
+def without_dots(path: Column) -> Column:
+    """A URL path without its `.` and `..` segments."""
+    parts = F.split(path, "/")
+    last = F.element_at(parts, -1)
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, s: F.when(s == ".", acc)
+                       .when(s == "..", F.when(F.size(acc) > 1, F.slice(acc, F.lit(1), F.size(acc) - 1))
+                             .otherwise(acc))
+                       .otherwise(F.array_append(acc, s)))
+    # a path that ends in a dot segment names a folder
+    folder = F.when(last.isin(".", ".."), F.lit("/")).otherwise(F.lit(""))
+    return F.when(path.contains("."), F.concat(F.array_join(kept, "/"), folder)).otherwise(path)
+
+
 # -- names --------------------------------------------------------------------
 
 def match_name(c: ColumnLike, stop_words: Sequence[str] = vocab.NAME_STOP_WORDS) -> Column:

@@ -65,7 +65,15 @@ TIER_2_CITIES: tuple[str, ...] = (
     "Ogunquit", "Provincetown", "Carmel", "Laguna Beach", "St. Petersburg",
 )
 # -- fixed values: city tiers, index variant (lists only) ---------------------
-INDEX_TIER_1_CITIES: tuple[str, ...] = TIER_1_CITIES[:45]  # "New York" .. "Arlington"
+INDEX_TIER_1_CITIES: tuple[str, ...] = (
+    "New York", "Los Angeles", "Chicago", "Houston", "Phoenix", "Philadelphia", "San Antonio",
+    "San Diego", "Dallas", "San Jose", "Austin", "Jacksonville", "Fort Worth", "Columbus",
+    "Charlotte", "San Francisco", "Indianapolis", "Seattle", "Denver", "Washington", "Boston",
+    "Detroit", "Nashville", "Portland", "Las Vegas", "Memphis", "Louisville", "Baltimore",
+    "Milwaukee", "Albuquerque", "Tucson", "Fresno", "Sacramento", "Kansas City", "Atlanta",
+    "Miami", "Minneapolis", "Cleveland", "New Orleans", "Oakland", "Tampa", "Honolulu", "Omaha",
+    "Wichita", "Arlington",
+)
 INDEX_TIER_2_CITIES: tuple[str, ...] = (
     "Santa Fe", "Williamsburg", "Annapolis", "Cambridge", "Berkeley", "Ann Arbor", "Asheville",
     "Savannah", "Charleston",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import derive, scoring, vocab
 from ..functions.text import strip, truthy
+from .order import numbered
 
 
 def search_text(q: str, name: str, alternates: str | None = None, city: str | None = None) -> Column:
@@ -26,9 +27,12 @@ def search_text(q: str, name: str, alternates: str | None = None, city: str | No
     return F.lower(F.concat_ws(" | ", *parts)).contains(q)
 
 
-def facet_equals(values: Mapping[str, str]) -> Column:
-    """Conjunction of trimmed, case-insensitive equalities; blank values filter nothing."""
-    out = F.lit(True)
+def facet_equals(values: Mapping[str, str], full: Column | None = None) -> Column:
+    """Conjunction of trimmed, case-insensitive equalities; blank values filter nothing.
+
+    `full` is the condition of a complete record, for the option that shows only those.
+    """
+    out = F.lit(True) if full is None else full
     for col, v in values.items():
         v = (v or "").strip().lower()
         if v:
@@ -46,7 +50,7 @@ def range_filter(bounds: Mapping[str, tuple[float | None, float | None]]) -> Col
     return out
 
 
-# Sort keys and the value a null sorts as.
+# fixed values: sort keys and the value a null sorts as
 SORT_NULLS: dict[str, object] = {
     "state_province": "", "city": "", "museum_name": "", "museum_type": "", "time_needed": "",
     "reputation": 999, "collection_based_strength": -1, "eca_score": -1,
@@ -81,7 +85,7 @@ class BrowseQuery:
     where: Column | None = None
     limit: int = 50
     offset: int = 0
-    max_limit: int = 200
+    max_limit: int | None = None
 
     def filtered(self, df: DataFrame) -> DataFrame:
         cond = facet_equals(self.facets) & range_filter(self.ranges)
@@ -90,17 +94,20 @@ class BrowseQuery:
                 cond = cond & extra
         return df.filter(cond)
 
+    @property
+    def size(self) -> int:
+        """Rows of a page; `max_limit` is the cap of an interface that has one."""
+        return self.limit if self.max_limit is None else min(self.limit, self.max_limit)
+
     def page(self, df: DataFrame) -> DataFrame:
         """The rows of the page (a top-k, never a full sort for early pages)."""
-        return (self.filtered(df).orderBy(*self.order).offset(self.offset)
-                .limit(min(self.limit, self.max_limit)))
+        return self.filtered(df).orderBy(*self.order).offset(self.offset).limit(self.size)
 
     def total(self, df: DataFrame) -> DataFrame:
         """One row: matching records and number of pages (at least one)."""
         n = F.count(F.lit(1))
-        size = min(self.limit, self.max_limit)
-        return self.filtered(df).agg(
-            n.alias("total"), F.greatest(F.lit(1), F.ceil(n / size)).cast("bigint").alias("pages"))
+        return self.filtered(df).agg(n.alias("total"), F.greatest(
+            F.lit(1), F.ceil(n / self.size)).cast("bigint").alias("pages"))
 
     def page_with_total(self, df: DataFrame) -> DataFrame:
         """The page with the total as a scalar subquery column."""
@@ -115,7 +122,7 @@ def facet_values(df: DataFrame, facets: Sequence[str]) -> DataFrame:
                  F.when(truthy(f, types[f]), F.col(f).cast("string")).alias("value"))
         for f in facets]))
     return (df.select(pairs.alias("p")).select("p.facet", "p.value")
-            .filter(F.col("value").isNotNull()).distinct())
+            .filter(F.col("value").isNotNull()).distinct().orderBy("facet", "value"))
 
 
 def scored_count(s: scoring.ScoreColumns, scoreable: str) -> Column:
@@ -139,18 +146,15 @@ def top_dimensions(dimensions: Sequence[tuple[str, str]] = vocab.DIMENSIONS, flo
 def rank_bands(df: DataFrame, id_col: str, order: Sequence[Column],
                bands: Sequence[tuple[str, int]] = (("GOLD", 50), ("SILVER", 100)),
                rest: str = "BRONZE") -> DataFrame:
-    """Band by global rank. Only the top of the order is ranked: a bounded top-k, joined back."""
-    from pyspark.sql import Window
+    """Band by global rank, the last row of each band given as a position from 1.
 
-    top_n = bands[-1][1]
-    top = df.orderBy(*order).limit(top_n)
-    # at most `top_n` rows reach this window and the broadcast below
-    ranked = top.withColumn("_rank", F.row_number().over(Window.orderBy(*order)))
+    The rank comes from sorted ranges and their sizes, whatever the bands' sizes are.
+    """
+    ranked = numbered(df, [*order, F.col(id_col)], "_rank")
     band = F.lit(rest)
     for name, last in reversed(bands):
-        band = F.when(F.col("_rank") <= last, F.lit(name)).otherwise(band)
-    return (df.join(F.broadcast(ranked.select(id_col, "_rank")), id_col, "left")
-            .withColumn("band", band).drop("_rank"))
+        band = F.when(F.col("_rank") < last, F.lit(name)).otherwise(band)
+    return ranked.withColumn("band", band).drop("_rank")
 
 
 def export_projection(df: DataFrame, columns: Sequence[tuple[str, str]] = vocab.EXPORT_COLUMNS,

@@ -13,9 +13,8 @@ is ever collected.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Mapping
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,39 +53,16 @@ def _with_minima(rows: DataFrame, source: DataFrame, out: str) -> DataFrame:
             .withColumn(out, F.least("_min_u", "_min_p")).drop("_min_u", "_min_p"))
 
 
-def _finish_small(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The sequential rule on a residue whose size was checked before."""
-    parts = list(rows)
-    if not parts:
-        return
-    kept: list[int] = []
-    urls: set = set()
-    places: set = set()
-    for r, url, with_city, any_city, asks in pd.concat(parts).sort_values("_r").itertuples(
-            index=False):
-        if url not in urls and asks not in places:
-            kept.append(r)
-            if isinstance(url, str):
-                urls.add(url)
-            places.update((with_city, any_city))
-    yield pd.DataFrame({"_r": kept}, dtype="int64")
-
-
-def greedy_dedupe(roster: DataFrame, roles: Mapping[str, str], row_no: str,
-                  small: int = 20_000) -> DataFrame:
+def greedy_dedupe(roster: DataFrame, roles: Mapping[str, str], row_no: str) -> DataFrame:
     """The rows the sequential rule keeps. `roles`: block, state, name, city, url columns.
 
-    Rounds go on until nothing is undecided; long chains that leave at most `small` rows
-    (counted) are finished in one task.
+    Rounds go on until nothing is undecided, at any size; a round decides at least the first
+    undecided row of every group of conflicting rows.
     """
     undecided = cut_lineage(_keyed(roster, roles, row_no), "dedupe")
     left = undecided.count()
     kept = [undecided.select("_r").limit(0)]
     while left:
-        if left <= small:
-            # the counted bound makes one task safe
-            kept.append(undecided.coalesce(1).mapInPandas(_finish_small, "_r bigint"))
-            break
         # a row no earlier undecided row covers is kept; rows without conflict go in round one
         marked = cut_lineage(_with_minima(undecided, undecided, "_head").select(
             *_COLUMNS, (F.col("_head") == F.col("_r")).alias("_is_head")), "dedupe")

@@ -88,15 +88,14 @@ def peers_in_city(df: DataFrame, id_col: str, city: str, state: str, mode: str =
         return counted.withColumn(out, value).drop("_city", "_state", "_n")
     place = F.lower(strip(city))
     keyed = df.withColumn("_city", F.coalesce(place, F.lit("")))
-    # one row per (place, id); the salted totals add up the per-id counts
+    # one row per (place, id), and from those one per place
     per_id = keyed.filter("_city <> ''").groupBy(state, "_city", id_col).agg(
         F.count(F.lit(1)).alias("_own"))
-    total = attach_group_stats(per_id, [state, "_city"], {"_n": ("sum", "_own")}, id_col, salts)
-    others = total.select(F.struct(state, "_city", id_col).alias("_key"),
-                          (F.col("_n") - F.col("_own")).alias(out))
+    per_place = per_id.groupBy(state, "_city").agg(F.sum("_own").alias("_n"))
     # a record without city finds no counts and has no neighbours
-    return (keyed.withColumn("_key", F.struct(state, "_city", id_col)).join(others, "_key", "left")
-            .withColumn(out, F.coalesce(out, F.lit(0)).cast("bigint")).drop("_key", "_city"))
+    found = lookup(lookup(keyed, per_id, [state, "_city", id_col]), per_place, [state, "_city"])
+    return found.withColumn(out, F.coalesce(F.col("_n") - F.col("_own"), F.lit(0)).cast("bigint")).drop(
+        "_n", "_own", "_city")
 
 
 def flag_duplicates(df: DataFrame, keys: Mapping[str, object], row_no: str,

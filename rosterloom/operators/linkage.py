@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text
+from ..session import cut_lineage
 from .groups import first_per_key, lookup
 
 GRAM = 11
@@ -78,39 +79,43 @@ def _grams(c: Column, n: int = GRAM) -> Column:
 
 
 def _contained(outer: DataFrame, inner: DataFrame) -> DataFrame:
-    """(outer name, inner name) with inner ⊂ outer; both longer than 10 characters.
+    """Rows of (outer, inner) with inner ⊂ outer, all columns; both longer than 10 characters.
 
     Every 11-gram of the inner name occurs in the outer one, so any single gram finds all
     matches. The one that is rarest among the outer names is used, to keep blocks small.
     """
-    outer_grams = outer.select("outer", F.explode(_grams(F.col("outer"))).alias("gram"))
+    outer_grams = outer.select("*", F.explode(_grams(F.col("outer"))).alias("gram"))
     inner_grams = inner.select("inner", F.explode(_grams(F.col("inner"))).alias("gram"))
     frequency = outer_grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     rarest = (lookup(inner_grams, frequency, ["gram"])
               .groupBy("inner").agg(
                   F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")).alias("g"))
               .filter("g.df > 0").select("inner", F.col("g.gram").alias("gram")))
-    return (outer_grams.join(rarest, "gram")
-            .filter(F.col("outer").contains(F.col("inner"))).select("outer", "inner"))
+    keyed = lookup(inner, rarest, ["inner"], "inner")
+    # the struct keeps both sides plain shuffles, so a gram of many names can be split
+    left = outer_grams.withColumn("_g", F.struct("gram")).drop("gram")
+    right = keyed.withColumn("_g", F.struct("gram")).drop("gram")
+    return left.join(right, "_g").filter(F.col("outer").contains(F.col("inner"))).drop("_g")
 
 
 def containment_match(left_names: DataFrame, right_names: DataFrame, name: str,
                       first_seen: str) -> DataFrame:
     """Best containment partner per distinct left name: the right name seen first.
 
-    Both inputs hold one row per normalised name; the result is (name, partner).
+    Both inputs hold one row per normalised name; the result is (name, partner). The order
+    travels with the right names, so pairs are never joined back by their partner.
     """
-    long_left = left_names.filter(F.length(name) > GRAM - 1).select(name)
-    long_right = right_names.filter(F.length(name) > GRAM - 1).select(name, first_seen)
-    left_outer = _contained(long_left.withColumnRenamed(name, "outer"),
-                            long_right.select(F.col(name).alias("inner")))
-    right_outer = _contained(long_right.select(F.col(name).alias("outer")),
-                             long_left.withColumnRenamed(name, "inner"))
-    pairs = left_outer.select(F.col("outer").alias(name), F.col("inner").alias("partner")).unionByName(
-        right_outer.select(F.col("inner").alias(name), F.col("outer").alias("partner")))
-    order = long_right.select(F.col(name).alias("partner"), F.col(first_seen).alias("_seen"))
-    return (pairs.join(order, "partner").groupBy(name)
-            .agg(F.min_by("partner", "_seen").alias("partner")))
+    long_left = left_names.filter(F.length(name) > GRAM - 1).select(F.col(name).alias("_l"))
+    long_right = right_names.filter(F.length(name) > GRAM - 1).select(
+        F.col(name).alias("_r"), F.col(first_seen).alias("_seen"))
+    left_outer = _contained(long_left.withColumnRenamed("_l", "outer"),
+                            long_right.withColumnRenamed("_r", "inner"))
+    right_outer = _contained(long_right.withColumnRenamed("_r", "outer"),
+                             long_left.withColumnRenamed("_l", "inner"))
+    pairs = left_outer.select(
+        F.col("outer").alias(name), F.col("inner").alias("partner"), "_seen").unionByName(
+        right_outer.select(F.col("inner").alias(name), F.col("outer").alias("partner"), "_seen"))
+    return pairs.groupBy(name).agg(F.min_by("partner", "_seen").alias("partner"))
 
 
 def sheet_match(left: DataFrame, left_name: str, sheet: DataFrame, sheet_name: str, row_no: str,
@@ -121,17 +126,19 @@ def sheet_match(left: DataFrame, left_name: str, sheet: DataFrame, sheet_name: s
     values of the last. Adds `match_type` (exact, partial, null) and the payload columns.
     """
     keyed = sheet.withColumn("_k", text.plain_name(sheet_name))
-    dim = (keyed.groupBy("_k").agg(F.min(row_no).alias("_seen"),
-                                   F.max_by(F.struct(*payload), F.col(row_no)).alias("_row")))
+    dim = cut_lineage(keyed.groupBy("_k").agg(
+        F.min(row_no).alias("_seen"), F.max_by(F.struct(*payload), F.col(row_no)).alias("_row")),
+        "sheet")
     records = left.withColumn("_k", F.when(F.col(left_name) != "", text.plain_name(left_name)))
-    names = records.filter(F.col("_k").isNotNull()).select("_k").distinct()
+    # the distinct names feed three branches: computed once
+    names = cut_lineage(records.filter(F.col("_k").isNotNull()).select("_k").distinct(), "sheet")
     exact = names.join(dim.select("_k"), "_k", "left_semi").withColumns(
         {"_p": F.col("_k"), "match_type": F.lit("exact")})
     rest = names.join(dim.select("_k"), "_k", "left_anti")
     partial = containment_match(rest, dim.select("_k", "_seen"), "_k", "_seen").select(
         "_k", F.col("partner").alias("_p"), F.lit("partial").alias("match_type"))
-    resolved = exact.select("_k", "_p", "match_type").unionByName(partial).join(
-        dim.select(F.col("_k").alias("_p"), "_row"), "_p")
+    resolved = lookup(exact.select("_k", "_p", "match_type").unionByName(partial),
+                      dim.select(F.col("_k").alias("_p"), "_row"), ["_p"], "inner")
     return (lookup(records, resolved.drop("_p"), ["_k"])
             .select(*left.columns, "match_type",
                     *[F.col(f"_row.{c}").alias(f"sheet_{c}") for c in payload]))
@@ -145,24 +152,36 @@ def similarity_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
 
 
-# Rough letter frequencies: rare characters first. Any fixed order is lossless, this one
-# only makes the signatures selective.
-_RARE_FIRST = "zqxjkvbpygwfmucdlhrsnioate "
+#: Character tokens whose order is measured; all others are rarer and come first.
+MEASURED_TOKENS = 512
 
 
-def _character_tokens(c: Column) -> Column:
-    """The characters of a string as distinct sorted numbers.
-
-    The n-th occurrence of a character is one token; repeated and rare characters come first.
-    """
+def _numbered_characters(c: Column) -> Column:
+    """The characters of a string as numbers: the n-th occurrence of a character is one token."""
     chars = F.array_sort(F.split(c, ""))
-    return F.sort_array(F.transform(chars, lambda x, i: (
-        (F.lit(1 << 20) - (i - F.array_position(chars, x) + 1)) * F.lit(1 << 30)
-        + F.instr(F.lit(_RARE_FIRST), x) * F.lit(1 << 21) + F.ascii(x)).cast("bigint")))
+    return F.transform(chars, lambda x, i: (
+        (i - F.array_position(chars, x) + 1) * F.lit(1 << 21) + F.ascii(x)).cast("bigint"))
+
+
+def _token_order(names: DataFrame, name: str) -> dict[int, int]:
+    """Rank of the most frequent tokens, the most frequent highest: at most MEASURED_TOKENS."""
+    top = (names.select(F.explode(_numbered_characters(F.col(name))).alias("token"))
+           .groupBy("token").count().orderBy(F.desc("count"), "token").limit(MEASURED_TOKENS)
+           .collect())
+    return {r["token"]: len(top) - i for i, r in enumerate(top)}
 
 
-def _signatures(df: DataFrame, name: str, threshold: float) -> DataFrame:
-    """Token pairs of which two sufficiently similar names must share at least one.
+def _character_tokens(c: Column, order: Mapping[int, int]) -> Column:
+    """Distinct tokens of a string, the rarest first. Any fixed order is lossless."""
+    ranks = F.create_map(*[F.lit(x) for token, rank in order.items()
+                           for x in (token, rank)]).cast("map<bigint,bigint>")
+    return F.sort_array(F.transform(_numbered_characters(c), lambda t: F.coalesce(
+        F.try_element_at(ranks, t), F.lit(0)) * F.lit(1 << 40) + t))
+
+
+def _signatures(df: DataFrame, key: str, name: str, order: Mapping[int, int],
+                threshold: float) -> DataFrame:
+    """(key, sig): token pairs of which two sufficiently similar names must share at least one.
 
     ratio ≥ t needs M ≥ t/2·(|a|+|b|) common characters, and |b| ≥ t/(2-t)·|a|. If two token
     sets share α tokens, their first |a|-α+2 and |b|-α+2 tokens share two (prefix filter).
@@ -171,41 +190,77 @@ def _signatures(df: DataFrame, name: str, threshold: float) -> DataFrame:
     n = F.length(name)
     shortest = F.ceil(n * F.lit(half / (1 - half)) - F.lit(1e-9))
     alpha = F.ceil(F.lit(half) * (n + shortest) - F.lit(1e-9))
-    tokens = df.withColumns({"tokens": _character_tokens(F.col(name)),
-                             "head": F.greatest(F.lit(2), n - alpha + 2).cast("int")})
+    tokens = df.select(key, _character_tokens(F.col(name), order).alias("tokens"),
+                       F.greatest(F.lit(2), n - alpha + 2).cast("int").alias("head"), n.alias("n"))
     prefix = F.slice("tokens", F.lit(1), F.col("head"))
     pairs = F.flatten(F.transform(prefix, lambda x, i: F.transform(
         F.slice("tokens", i + 2, F.greatest(F.lit(0), F.col("head") - i - 1)),
-        lambda y, j: F.struct(F.xxhash64(x, y).alias("sig"), (i + j + 2).alias("upto")))))
-    return tokens.withColumn("_p", F.explode(pairs)).select("*", "_p.sig", "_p.upto").drop("_p")
+        lambda y: F.xxhash64(x, y))))
+    return tokens.select(key, "n", F.explode(pairs).alias("sig"))
 
 
 def fuzzy_candidates(left: DataFrame, right: DataFrame, block: str, name: str, order: str,
                      threshold: float) -> DataFrame:
-    """Distinct (block, a, b, order of b) pairs that pass every upper bound of the ratio.
+    """Distinct (block, a, b, order of b, bound) pairs whose ratio can reach the threshold.
 
-    Both sides hold distinct (block, name). Each pair is kept at its first shared
-    signature only, so no distinct over the pairs is needed. Two different names that are
-    similar enough share two characters only when the threshold is above 2/3.
+    Both sides hold distinct (block, name). Signatures are joined on numbers alone; names are
+    attached once a pair is unique. `bound` is the ratio if all common characters matched in
+    order. Two different names that are similar enough share two characters only when the
+    threshold is above 2/3.
     """
     if threshold <= 2 / 3:
         raise ValueError("the pair signatures need a threshold above 2/3")
     half = threshold / 2
-    a = _signatures(left.filter(F.length(name) > 0), name, threshold).select(
-        block, "sig", F.col(name).alias("a"), F.col("tokens").alias("ta"),
-        F.col("upto").alias("ua"))
-    b = _signatures(right.filter(F.length(name) > 0), name, threshold).select(
-        block, "sig", F.col(name).alias("b"), order, F.col("tokens").alias("tb"),
-        F.col("upto").alias("ub"))
-    need = F.lit(half) * (F.size("ta") + F.size("tb")) - F.lit(1e-9)
-    # up to the signature's second token nothing but its two tokens is shared
-    shared = F.array_intersect(F.slice("ta", F.lit(1), F.col("ua")),
-                               F.slice("tb", F.lit(1), F.col("ub")))
-    common = F.size(F.array_intersect("ta", "tb"))
-    # merge: both sides spread by signature, and hot signatures are split at run time
-    return (a.join(b.hint("merge"), [block, "sig"])
-            .filter(F.least(F.size("ta"), F.size("tb")) >= need)
-            .filter(F.size(shared) == 2).filter(common >= need).select(block, "a", "b", order))
+    a = cut_lineage(left.filter(F.length(name) > 0).select(
+        F.col(block).alias("_block"), F.col(name).alias("a")).withColumn(
+        "ia", F.monotonically_increasing_id()), "fuzzy")
+    b = cut_lineage(right.filter(F.length(name) > 0).select(
+        F.col(block).alias("_block"), F.col(name).alias("b"), order).withColumn(
+        "ib", F.monotonically_increasing_id()), "fuzzy")
+    ranks = _token_order(a.select("a").union(b.select("b")), "a")
+    if not ranks:
+        return a.join(b, "_block").select(F.col("_block").alias(block), "a", "b", order,
+                                          F.lit(0.0).alias("bound"))
+
+    def signed(df: DataFrame, key: str, column: str) -> DataFrame:
+        rows = df.withColumn("_key", F.struct("_block", key))
+        found = _signatures(rows, "_key", column, ranks, threshold)
+        return found.select(F.struct("_key._block", "sig").alias("_s"), f"_key.{key}",
+                            F.col("n").alias(f"n{key}"))
+
+    # lengths that can't match are left out before a pair is made
+    shared = signed(a, "ia", "a").join(signed(b, "ib", "b").hint("merge"), "_s").filter(
+        F.least("nia", "nib") >= F.lit(half) * (F.col("nia") + F.col("nib")) - F.lit(1e-9))
+    unique = shared.select("ia", "ib").distinct()
+    named = lookup(lookup(unique, a, ["ia"], "inner"), b.drop("_block"), ["ib"], "inner")
+    common = F.size(F.array_intersect(_numbered_characters(F.col("a")),
+                                      _numbered_characters(F.col("b"))))
+    bound = 2 * common / (F.length("a") + F.length("b"))
+    return named.withColumn("bound", bound).filter(F.col("bound") >= threshold - 1e-9).select(
+        F.col("_block").alias(block), "a", "b", order, "bound")
+
+
+def best_ratio(candidates: DataFrame, block: str, order: str, threshold: float) -> DataFrame:
+    """(block, a, b, score): the best partner of each a with ratio ≥ threshold, first row wins ties.
+
+    The pair with the highest bound of each name is scored first; of the others only those whose
+    bound reaches that score can still win and are scored as well.
+    """
+    pairs = cut_lineage(candidates, "fuzzy")
+    first = pairs.groupBy(block, "a").agg(F.max_by(
+        F.struct("b", order), F.struct("bound", -F.col(order))).alias("f")).select(
+        block, "a", "f.b", F.col(f"f.{order}").alias(order))
+    first = cut_lineage(first.withColumn("score", similarity_ratio("a", "b")), "fuzzy")
+    floors = first.select(block, "a", F.col("b").alias("_done"),
+                          F.greatest("score", F.lit(threshold)).alias("_floor"))
+    rest = lookup(pairs, floors, [block, "a"]).filter(
+        (F.col("b") != F.col("_done")) & (F.col("bound") >= F.col("_floor") - F.lit(1e-9)))
+    scored = first.unionByName(rest.select(block, "a", "b", order).withColumn(
+        "score", similarity_ratio("a", "b")))
+    # the threshold is applied to the winner: a filter on the score would run the ratio twice
+    return (scored.groupBy(block, "a")
+            .agg(F.max_by(F.struct("b", "score"), F.struct("score", -F.col(order))).alias("m"))
+            .filter(F.col("m.score") >= threshold).select(block, "a", "m.b", "m.score"))
 
 
 def fuzzy_match(left: DataFrame, right: DataFrame, block: str, left_name: str, right_name: str,
@@ -230,13 +285,9 @@ def fuzzy_match(left: DataFrame, right: DataFrame, block: str, left_name: str, r
              .join(by_norm.select(block, "_k", "_same"), [block, "_k"], "left"))
     rest = names.filter(F.col("_exact").isNull() & F.col("_same").isNull()).select(
         block, "_k").distinct()
-    scored = fuzzy_candidates(rest, by_norm.select(block, "_k", "_seen"), block, "_k", "_seen",
-                              threshold).withColumn("_score", similarity_ratio("a", "b"))
-    # the threshold is applied to the winner: a filter on the score would run the ratio twice
-    best = (scored.groupBy(block, F.col("a").alias("_k"))
-            .agg(F.max_by(F.struct("b", "_score"), F.struct("_score", -F.col("_seen"))).alias("m"))
-            .filter(F.col("m._score") >= threshold)
-            .select(block, "_k", F.col("m.b").alias("_b"), F.col("m._score").alias("_score")))
+    best = best_ratio(fuzzy_candidates(rest, by_norm.select(block, "_k", "_seen"), block, "_k",
+                                       "_seen", threshold), block, "_seen", threshold).select(
+        block, F.col("a").alias("_k"), F.col("b").alias("_b"), F.col("score").alias("_score"))
     hits = by_norm.select(block, F.col("_k").alias("_b"), F.col("_same").alias("_fuzzy"))
     best = lookup(best, hits, [block, "_b"]).drop("_b")
     resolved = names.join(best, [block, "_k"], "left").select(
@@ -271,21 +322,42 @@ def edit_distance_match(left: DataFrame, right: DataFrame, block: str, name: str
                         max_distance: int = 2) -> DataFrame:
     """Closest right name per left name in a block, Levenshtein distance ≤ `max_distance`.
 
-    Both sides hold distinct (block, name). Names within distance d share a string that
-    arises from each by at most d deletions, so an equi-join on those strings is lossless.
-    Ties go to the smaller name. Result: block, name, partner, distance.
+    Both sides hold distinct (block, name). Names within distance d share a string that arises
+    from each by at most d deletions, so an equi-join on those strings is lossless. Distances are
+    tried in order 0, 1, ..., each only for the left names still without a partner, as the closest
+    wins; from 1 on only right names of a length that can match take part. Ties go to the
+    smaller name. Result: block, name, partner, distance.
     """
-    def variants(df: DataFrame, out: str) -> DataFrame:
-        return df.select(block, F.col(name).alias(out),
-                         F.explode(_deletions(F.col(name), max_distance)).alias("_v"))
-
-    pairs = variants(left, "a").join(variants(right, "b").hint("merge"), [block, "_v"]).drop("_v")
-    near = pairs.withColumn("distance", F.levenshtein("a", "b")).filter(
-        F.col("distance") <= max_distance)
-    return (near.groupBy(block, F.col("a").alias(name))
-            .agg(F.min(F.struct("distance", F.col("b").alias("partner"))).alias("m"))
-            .select(block, name, F.col("m.partner").alias("partner"),
-                    F.col("m.distance").alias("distance")))
+    open_ = cut_lineage(left.select(block, name), "edit")
+    right = cut_lineage(right.select(block, name), "edit")
+    same = open_.join(right, [block, name]).withColumns(
+        {"partner": F.col(name), "distance": F.lit(0)})
+    found = [same.select(block, name, "partner", "distance")]
+    open_ = cut_lineage(open_.join(right, [block, name], "left_anti"), "edit")
+    for depth in range(1, max_distance + 1):
+        lengths = open_.select(block, F.explode(F.sequence(
+            F.length(name) - depth, F.length(name) + depth)).alias("_n")).distinct()
+        near_length = right.withColumn("_n", F.length(name)).join(
+            lengths, [block, "_n"], "left_semi").drop("_n")
+
+        def variants(df: DataFrame, out: str, depth: int = depth) -> DataFrame:
+            return df.select(block, F.col(name).alias(out),
+                             F.explode(_deletions(F.col(name), depth)).alias("_v"))
+
+        pairs = variants(open_, "_left").join(
+            variants(near_length, "_right").hint("merge"), [block, "_v"]).drop("_v")
+        distance = F.levenshtein("_left", "_right", depth)
+        near = pairs.withColumn("distance", distance).filter("distance >= 0")
+        best = cut_lineage(
+            near.groupBy(block, F.col("_left").alias(name))
+            .agg(F.min(F.struct("distance", F.col("_right").alias("partner"))).alias("m"))
+            .select(block, name, "m.partner", "m.distance"), "edit")
+        found.append(best)
+        open_ = cut_lineage(open_.join(best, [block, name], "left_anti"), "edit")
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 # -- proximity ----------------------------------------------------------------
@@ -303,6 +375,17 @@ def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
 
 def proximity_match(left: DataFrame, right: DataFrame, lat: str, lon: str, right_id: str,
                     radius: float = 100.0) -> DataFrame:
+    """All left rows with `partner` and `metres` of the nearest right record within `radius`.
+
+    Both are null without one. Rows of one point (records geocoded to a city centre) get their
+    partner by a lookup whose hot points adaptive execution can split.
+    """
+    best = nearest_points(left, right, lat, lon, right_id, radius)
+    return lookup(left, best, [lat, lon])
+
+
+def nearest_points(left: DataFrame, right: DataFrame, lat: str, lon: str, right_id: str,
+                   radius: float = 100.0) -> DataFrame:
     """Nearest right record within `radius` metres of each distinct left point.
 
     Points fall into latitude bands and longitude cells at least one radius wide (the cell

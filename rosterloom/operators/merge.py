@@ -109,7 +109,10 @@ def append_sentences(notes: Column | str, sentences: Sequence[Column]) -> Column
 def source_sentences(prefix: str, database: str, id_: Column, phone: Column, kind: Column,
                      lat: Column, lon: Column, address: Column, income: Column,
                      revenue: Column) -> list[Column]:
-    """Provenance sentences for a linked external row; absent facts give null."""
+    """Provenance sentences for a linked external row; absent facts give null.
+
+    The sentences are fixed values: reruns and readers look for them.
+    """
     def when(c: Column, *parts: Column | str) -> Column:
         return F.when(c.isNotNull() & (c.cast("string") != ""), F.concat(*[
             F.lit(p) if isinstance(p, str) else p for p in parts]))

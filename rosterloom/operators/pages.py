@@ -2,33 +2,82 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from html.parser import HTMLParser
+from html.entities import name2codepoint
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text, vocab
 
-_CLUTTER = ("script", "style", "nav", "header", "footer")
-_ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
-             ("&amp;", "&"))
+_CLUTTER = ("nav", "header", "footer")
+#: A comment, a whole script or style element, a tag, text, or a lone `<`.
+_TOKEN = r"(?is)<!--.*?(?:-->|$)|<script\b.*?(?:</script\s*>|$)|<style\b.*?(?:</style\s*>|$)|<[a-z/!?][^>]*>|[^<]+|<"
+_HIDDEN = r"(?is)^<(!--|script\b|style\b)"
+_ENTITY = r"&(?:#[0-9]{1,8}|#[xX][0-9a-fA-F]{1,7}|[a-zA-Z][a-zA-Z0-9]{1,31});"
+
+
+def _character(code: Column) -> Column:
+    """The character of a code point; what is none becomes the replacement character."""
+    ok = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    return F.when(ok, char).otherwise(F.lit("\ufffd"))
 
 
 def unescape(c: Column) -> Column:
-    for entity, char in _ENTITIES:
-        c = F.replace(c, F.lit(entity), F.lit(char))
-    return c
+    """Character entities as characters, in one pass: `&amp;lt;` becomes `&lt;`.
+
+    Named ones come from the standard table of names, numbers are code points; unknown names stay.
+    """
+    names = F.create_map(*[F.lit(x) for name, code in sorted(name2codepoint.items())
+                           for x in (name, chr(code))], F.lit("apos"), F.lit("'"))
+
+    def one(part: Column) -> Column:
+        body = F.substring(part, 2, 10_000)
+        body = F.left(body, F.length(body) - 1)
+        hexa = F.conv(F.substring(body, 3, 10), 16, 10).try_cast("bigint")
+        number = F.when(body.rlike("^#[xX]"), hexa).otherwise(
+            F.substring(body, 2, 10).try_cast("bigint"))
+        named = F.coalesce(F.try_element_at(names, body), part)
+        decoded = F.when(body.startswith("#"), _character(number)).otherwise(named)
+        return F.when(part.rlike("^" + _ENTITY + "$"), decoded).otherwise(part)
+
+    parts = F.regexp_extract_all(c, F.lit(_ENTITY + "|[^&]+|&"), F.lit(0))
+    return F.when(c.contains("&"), F.array_join(F.transform(parts, one), "")).otherwise(c)
+
+
+def visible(html: Column) -> Column:
+    """The page without comments, scripts and styles."""
+    tokens = F.regexp_extract_all(html, F.lit(_TOKEN), F.lit(0))
+    return F.array_join(F.filter(tokens, lambda t: ~t.rlike(_HIDDEN)), "")
+
+
+def without_elements(html: Column, names: tuple[str, ...]) -> Column:
+    """The page's tokens outside the named elements, however deep those are nested.
+
+    An element that is never closed hides the rest of the page; a stray end tag hides nothing.
+    """
+    tags = "|".join(names)
+    tokens = F.regexp_extract_all(html, F.lit(_TOKEN), F.lit(0))
+    start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("kept"))
+
+    def step(acc: Column, t: Column) -> Column:
+        opens = t.rlike(rf"(?is)^<(?:{tags})\b[^>]*(?<!/)>$").cast("int")
+        closes = t.rlike(rf"(?is)^</(?:{tags})\s*>$").cast("int")
+        depth = F.greatest(F.lit(0), acc["depth"] + opens - closes)
+        shown = (acc["depth"] == 0) & (opens == 0) & (closes == 0) & ~t.rlike(_HIDDEN)
+        return F.struct(depth.alias("depth"),
+                        F.when(shown, F.array_append(acc["kept"], t)).otherwise(acc["kept"]).alias("kept"))
+
+    return F.aggregate(tokens, start, step, lambda acc: acc["kept"])
 
 
 def _meta(html: Column, attr: str, value: str) -> Column:
     """`content` of the first meta tag whose `attr` is `value`, in either attribute order."""
     tag = F.regexp_extract(
-        html, rf"""(?is)(<meta\b[^>]*\b{attr}\s*=\s*["']?{value}["'\s/>][^>]*>?)""", 1)
+        html, rf"""(?is)(<meta\b[^>]*\s{attr}\s*=\s*["']?{value}["'\s/>][^>]*>?)""", 1)
     body = F.coalesce(
-        F.nullif(F.regexp_extract(tag, r'''(?is)\bcontent\s*=\s*"([^"]*)"''', 1), F.lit("")),
-        F.nullif(F.regexp_extract(tag, r"""(?is)\bcontent\s*=\s*'([^']*)'""", 1), F.lit("")))
+        F.nullif(F.regexp_extract(tag, r'''(?is)\scontent\s*=\s*"([^"]*)"''', 1), F.lit("")),
+        F.nullif(F.regexp_extract(tag, r"""(?is)\scontent\s*=\s*'([^']*)'""", 1), F.lit("")))
     return text.strip(unescape(body))
 
 
@@ -39,14 +88,14 @@ def meta_description(html: Column | str) -> Column:
                       _meta(h, "name", "twitter:description"))
 
 
-_ANCHOR = r"(?is)<a\b[^>]*?\bhref\s*=[^>]*>.*?</a\s*>"
+_ANCHOR = r"(?is)<a(?=\s)[^>]*?\shref\s*=[^>]*>.*?</a\s*>"
 
 
 def _href(tag: Column) -> Column:
     return unescape(F.coalesce(
-        F.nullif(F.regexp_extract(tag, r'''(?is)^<a\b[^>]*?\bhref\s*=\s*"([^"]*)"''', 1), F.lit("")),
-        F.nullif(F.regexp_extract(tag, r"""(?is)^<a\b[^>]*?\bhref\s*=\s*'([^']*)'""", 1), F.lit("")),
-        F.regexp_extract(tag, r"""(?is)^<a\b[^>]*?\bhref\s*=\s*([^\s"'>]*)""", 1)))
+        F.nullif(F.regexp_extract(tag, r'''(?is)^<a\b[^>]*?\shref\s*=\s*"([^"]*)"''', 1), F.lit("")),
+        F.nullif(F.regexp_extract(tag, r"""(?is)^<a\b[^>]*?\shref\s*=\s*'([^']*)'""", 1), F.lit("")),
+        F.regexp_extract(tag, r"""(?is)^<a\b[^>]*?\shref\s*=\s*([^\s"'>]*)""", 1)))
 
 
 def _label(tag: Column) -> Column:
@@ -54,8 +103,11 @@ def _label(tag: Column) -> Column:
 
 
 def anchors(html: Column | str) -> Column:
-    """The links of a page in document order: array<struct<href, label>>, labels lower-cased."""
-    found = F.regexp_extract_all(text.as_col(html), F.lit(_ANCHOR), F.lit(0))
+    """The links of a page in document order: array<struct<href, label>>, labels lower-cased.
+
+    Links inside comments and scripts are none.
+    """
+    found = F.regexp_extract_all(visible(text.as_col(html)), F.lit(_ANCHOR), F.lit(0))
     return F.transform(found, lambda t: F.struct(_href(t).alias("href"), _label(t).alias("label")))
 
 
@@ -79,115 +131,103 @@ def visitor_links(pages: DataFrame, id_col: str, url: str, html: str,
 
 def clean_text(html: Column | str, max_length: int = 2000) -> Column:
     """Page text without clutter elements: one line per text piece, cut with '...'."""
-    h = text.as_col(html)
-    h = F.regexp_replace(h, r"(?s)<!--.*?-->", "")
-    for tag in _CLUTTER:
-        h = F.regexp_replace(h, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", "")
-    lines = F.regexp_replace(h, r"(?s)<[^>]*>", "\n")
-    lines = unescape(lines)
+    pieces = F.transform(without_elements(text.as_col(html), _CLUTTER), lambda t: F.when(
+        t.rlike("(?is)^<[a-z/!?]"), F.lit("\n")).otherwise(t))
+    lines = unescape(F.array_join(pieces, ""))
     lines = F.regexp_replace(lines, r"[ \t\r\f]*\n[ \t\r\f]*", "\n")
-    return text.cut(text.strip(F.regexp_replace(lines, r"\n{2,}", "\n")), max_length)
+    lines = text.strip(F.regexp_replace(lines, r"\n{2,}", "\n"))
+    # bound once: the cut reads its input three times
+    return F.get(F.transform(F.array(lines), lambda t: text.cut(t, max_length)), 0)
+
 
+# -- topic sections ------------------------------------------------------------
 
-# -- topic sections: needs element nesting, so a small parser runs per Arrow batch ----
+_SIDE = (*_CLUTTER, "aside")
+_VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track",
+         "wbr")
 
-_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source",
-         "track", "wbr"}
-_DROP = {"script", "style", "nav", "header", "footer", "aside"}
 
+def _marked(tokens: Column) -> Column:
+    """Tokens with their tag name ('' for text) and +1 / -1 for a tag that opens / closes."""
+    def one(t: Column) -> Column:
+        name = F.lower(F.regexp_extract(t, r"(?s)^</?([a-zA-Z][a-zA-Z0-9]*)", 1))
+        empty = name.isin(*_VOID) | t.endswith("/>")
+        move = F.when(name == "", 0).when(t.startswith("</"), -1).when(empty, 0).otherwise(1)
+        return F.struct(t.alias("t"), name.alias("name"), move.alias("move"))
 
-class _Outline(HTMLParser):
-    """Text pieces with the elements they are in; clutter elements are skipped."""
+    return F.transform(tokens, one)
 
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int]] = []      # (tag, element number)
-        self.elements: list[tuple[str, str, str]] = []  # (tag, id, classes) in document order
-        self.spans: list[list[int]] = []           # [first piece, end piece) per element
-        self.pieces: list[str] = []
-        self.skipping = 0
 
-    def handle_starttag(self, tag, attrs):
-        if tag in _VOID:
-            return
-        self.skipping += tag in _DROP
-        a = dict(attrs)
-        self.open.append((tag, len(self.elements)))
-        self.elements.append((tag, a.get("id") or "", a.get("class") or "")
-                             if not self.skipping else ("", "", ""))
-        self.spans.append([len(self.pieces), -1])
+def _inside(tokens: Column, at: Column) -> Column:
+    """The tokens between the tag at position `at` (from 0) and the end tag that matches it.
 
-    def handle_endtag(self, tag):
-        if tag not in [t for t, _ in self.open]:
-            return
-        while self.open:
-            name, no = self.open.pop()
-            self.skipping -= name in _DROP
-            self.spans[no][1] = len(self.pieces)
-            if name == tag:
-                break
+    An element that is never closed reaches to the last token.
+    """
+    name = F.get(tokens, at)["name"]
+    rest = F.slice(tokens, at + 2, F.size(tokens))
+    # depth inside the element, and the tokens passed until it is 0
+    end = F.aggregate(
+        rest, F.struct(F.lit(1).alias("depth"), F.lit(0).alias("n")),
+        lambda acc, x: F.when(acc["depth"] == 0, acc).otherwise(F.struct(
+            (acc["depth"] + F.when(x["name"] == name, x["move"]).otherwise(0)).alias("depth"),
+            (acc["n"] + 1).alias("n"))),
+        lambda acc: acc["n"] - F.when(acc["depth"] == 0, 1).otherwise(0))
+    return F.slice(rest, F.lit(1), end)
 
-    def handle_data(self, data):
-        if not self.skipping:
-            self.pieces.append(data)
 
-    def span(self, no: int) -> tuple[int, int]:
-        first, end = self.spans[no]
-        return first, len(self.pieces) if end < 0 else end
+def _first_where(tokens: Column, test) -> Column:
+    """Position of the first opening tag that passes the test."""
+    places = F.sequence(F.lit(0), F.size(tokens) - 1)
+    found = F.filter(places, lambda i: (F.get(tokens, i)["move"] == 1) & test(F.get(tokens, i)))
+    return F.when(F.size(tokens) > 0, F.get(found, 0))
 
 
-def outline(html: str | None) -> _Outline:
-    page = _Outline()
-    page.feed(html or "")
-    page.close()
-    return page
+def _attribute(token: Column, name: str) -> Column:
+    return F.regexp_extract(token["t"], rf"""(?is)\s{name}\s*=\s*["']?([^"'>]*)""", 1)
 
 
-def topic_text(page: _Outline, words: tuple[str, ...], sections: int = 3,
-               max_length: int = 1500) -> str | None:
-    """Text of the first sections of the main area that mention a topic word.
+def _main_area(tokens: Column) -> Column:
+    """The tokens of the first main element, article, content or main block, or body; else null."""
+    def has_class(word: str):
+        return lambda x: F.array_contains(F.split(_attribute(x, "class"), r"\s+"), word)
+
+    tests = [lambda x: x["name"] == "main", lambda x: x["name"] == "article",
+             has_class("content"), lambda x: _attribute(x, "id") == "content",
+             has_class("main"), lambda x: _attribute(x, "id") == "main",
+             lambda x: x["name"] == "body"]
+    at = F.coalesce(*[_first_where(tokens, t) for t in tests])
+    return F.when(at.isNotNull(), _inside(tokens, at))
 
-    Without such a section the whole main area is used; a page without a body gives None.
-    """
-    tests = [lambda t, i, c: t == "main", lambda t, i, c: t == "article",
-             lambda t, i, c: "content" in c.split(), lambda t, i, c: i == "content",
-             lambda t, i, c: "main" in c.split(), lambda t, i, c: i == "main",
-             lambda t, i, c: t == "body"]
-    main = next((n for test in tests for n, e in enumerate(page.elements) if test(*e)), None)
-    if main is None:
-        return None
-    first, end = page.span(main)
-
-    def text_of(a: int, b: int, sep: str) -> str:
-        return sep.join(page.pieces[a:b])
-
-    hits = []
-    for n in range(main + 1, len(page.elements)):
-        a, b = page.span(n)
-        if a > end:
-            break
-        if page.elements[n][0] in ("section", "div", "article"):
-            low = text_of(a, b, "").lower()
-            if any(w in low for w in words):
-                hits.append((a, b))
-                if len(hits) == sections:
-                    break
-    pieces = [p.strip() for a, b in (hits or [(first, end)]) for p in page.pieces[a:b]]
-    out = "\n".join(p for p in pieces if p)
-    return out[:max_length] + "..." if len(out) > max_length else out
+
+def _pieces(tokens: Column) -> Column:
+    """The texts among the tokens, as they stand."""
+    return F.transform(F.filter(tokens, lambda x: x["name"] == ""), lambda x: unescape(x["t"]))
 
 
 def topic_sections(pages: DataFrame, id_col: str, html: str,
-                   topics: dict[str, tuple[str, ...]] = vocab.SECTION_KEYWORDS) -> DataFrame:
-    """One column `{topic}_text` per topic, computed in Arrow batches of `pages`."""
-    id_type = dict(pages.dtypes)[id_col]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            parsed = [outline(h) for h in batch[html]]
-            yield pd.DataFrame({id_col: batch[id_col], **{
-                f"{topic}_text": [topic_text(p, words) for p in parsed]
-                for topic, words in topics.items()}})
-
-    schema = f"{id_col} {id_type}, " + ", ".join(f"{t}_text string" for t in topics)
-    return pages.select(id_col, html).mapInPandas(run, schema)
+                   topics: dict[str, tuple[str, ...]] = vocab.SECTION_KEYWORDS,
+                   sections: int = 3, max_length: int = 1500) -> DataFrame:
+    """One column `{topic}_text` per topic: the first sections of the main area that mention it.
+
+    Sections are section, div and article elements; without one that mentions a topic word the whole
+    main area is taken, and a page without any area gives null. Works inside each row.
+    """
+    def lines(pieces: Column) -> Column:
+        kept = F.filter(F.transform(pieces, text.strip), lambda p: p != "")
+        return F.get(F.transform(F.array(F.array_join(kept, "\n")), lambda t: text.cut(t, max_length)), 0)
+
+    # a step a column: each is computed once and used by the next
+    seen = pages.select(id_col, _marked(without_elements(F.col(html), _SIDE)).alias("_tokens"))
+    area = seen.select(id_col, _main_area(F.col("_tokens")).alias("_area"))
+    places = F.filter(F.sequence(F.lit(0), F.size("_area") - 1), lambda i: (
+        F.get("_area", i)["move"] == 1) & F.get("_area", i)["name"].isin("section", "div", "article"))
+    blocks = F.transform(F.when(F.size("_area") > 0, places).otherwise(F.array().cast("array<int>")),
+                         lambda i: _pieces(_inside(F.col("_area"), i)))
+    parts = area.select(id_col, _pieces(F.col("_area")).alias("_all"), blocks.alias("_blocks"))
+
+    def about(words: tuple[str, ...]) -> Column:
+        hits = F.slice(F.filter("_blocks", lambda b: text.contains_any(F.lower(F.array_join(b, "")), words)),
+                       1, sections)
+        return F.when(F.size(hits) > 0, lines(F.flatten(hits))).otherwise(lines(F.col("_all")))
+
+    return parts.select(id_col, *[about(words).alias(f"{topic}_text") for topic, words in topics.items()])

@@ -136,7 +136,10 @@ def missing_examples(df: DataFrame, row_no: str, missing: Column, columns: Seque
 
 @dataclass(frozen=True)
 class Rule:
-    """One field rule. `kind`: required, enum, range, http_url; arguments as needed."""
+    """One field rule. `kind`: required, enum, range, http_url, type; arguments as needed.
+
+    `type` holds the one Spark type, as `values`, that the text of the field must be readable as.
+    """
 
     field: str
     kind: str
@@ -154,6 +157,9 @@ class Rule:
             return F.coalesce(~c.between(self.low, self.high), F.lit(False))
         if self.kind == "http_url":
             return c.isNotNull() & ~text.is_http_url(c)
+        if self.kind == "type":
+            as_text = text.strip(c.cast("string"))
+            return c.isNotNull() & as_text.try_cast(self.values[0]).isNull()
         raise ValueError(f"unknown rule kind {self.kind!r}")
 
 
@@ -170,6 +176,31 @@ def rule_issues(df: DataFrame, rules: Sequence[Rule], keys: Sequence[str]) -> Da
     return df.select(*keys, F.explode(issues).alias("i")).select(*keys, "i.field", "i.rule")
 
 
+def container_issues(df: DataFrame, key: str, required: Sequence[str], array: str,
+                     record_required: Sequence[str]) -> DataFrame:
+    """Missing required fields of containers and of the records in them: key, ordinal, field.
+
+    Ordinal 0 is the container itself, its records count from 1. Null and blank text are missing;
+    a container without the array lacks the array's field.
+    """
+    types = dict(df.dtypes)
+    inner = {f.name: f.dataType.simpleString() for f in df.schema[array].dataType.elementType.fields}
+
+    def missing(c: Column, dtype: str) -> Column:
+        return c.isNull() | (text.strip(c) == "") if dtype == "string" else c.isNull()
+
+    def gaps(ordinal: Column, checks: Mapping[str, Column]) -> Column:
+        return F.array_compact(F.array(*[
+            _issue(cond, ordinal.cast("int").alias("ordinal"), F.lit(f).alias("field"))
+            for f, cond in checks.items()]))
+
+    own = gaps(F.lit(0), {f: missing(F.col(f), types[f]) for f in (*required, array)})
+    records = F.flatten(F.transform(F.coalesce(F.col(array), F.array().cast(types[array])), lambda r, i: gaps(
+        i + 1, {f: F.coalesce(missing(r[f], inner[f]), F.lit(True)) for f in record_required})))
+    return df.select(key, F.explode(F.concat(own, records)).alias("i")).select(
+        key, "i.ordinal", "i.field")
+
+
 def conformance(df: DataFrame, rules: Sequence[Rule], unit: str) -> DataFrame:
     """Valid and invalid records per unit (file, region)."""
     types = dict(df.dtypes)

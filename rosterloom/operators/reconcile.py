@@ -29,7 +29,7 @@ def cache_vs_record(cache: DataFrame, records: DataFrame, key: str, fields: Sequ
     """
     right = records.select(key, F.lit(True).alias("_there"),
                            *[F.col(f).alias(f"_r_{f}") for f in fields])
-    joined = cache.join(right, key, "left")
+    joined = lookup(cache, right, [key])
     differs = {f: ~F.col(f).eqNullSafe(F.col(f"_r_{f}")) for f in fields}
     bad = F.array_compact(F.array(*[F.when(c, F.lit(f)) for f, c in differs.items()]))
     ok = F.coalesce(F.col(success), F.lit(False))
@@ -67,7 +67,7 @@ def overlay_scores(records: DataFrame, scores: DataFrame, key: str, score_cols:
         key, F.struct(*score_cols).alias(struct_name),
         *[F.when(truthy(c, types[c]), F.col(c)).alias(c) for c in summary_cols])
     hit = F.col(struct_name).isNotNull()
-    out = records.drop(struct_name, *summary_cols).join(right, key, "left")
+    out = lookup(records.drop(struct_name, *summary_cols), right, [key])
     return out.withColumns({
         "is_scored": F.when(hit, F.lit(True)).otherwise(
             F.col("is_scored") if "is_scored" in records.columns else F.lit(None).cast("boolean")),
@@ -82,7 +82,7 @@ def evidence_flags(records: DataFrame, key: str, sources: Mapping[str, DataFrame
     out = records
     for name, df in sources.items():
         keys = df.select(key).distinct().withColumn(f"has_{name}", F.lit(True))
-        out = out.join(keys, key, "left").withColumn(
+        out = lookup(out, keys, [key]).withColumn(
             f"has_{name}", F.coalesce(F.col(f"has_{name}"), F.lit(False)))
     out = out.withColumns({f"has_{n}": F.coalesce(c, F.lit(False)) for n, c in inline.items()})
     names = [f"has_{n}" for n in (*sources, *inline)]
@@ -119,5 +119,5 @@ def latest_entry(cache: DataFrame, key: str, order: Sequence[str], columns: Sequ
 
 def prefer_first(primary: DataFrame, fallback: DataFrame, key: str) -> DataFrame:
     """All primary rows, plus fallback rows whose key the primary lacks."""
-    rest = fallback.join(primary.select(key).distinct(), key, "left_anti")
+    rest = lookup(fallback, primary.select(key).distinct(), [key], "left_anti")
     return primary.unionByName(rest.select(*fallback.columns), allowMissingColumns=True)

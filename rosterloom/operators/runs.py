@@ -38,8 +38,9 @@ def coverage_text(hits: Column, total: Column) -> Column:
 def run_summary(df: DataFrame, outcome: str, kinds: Sequence[str], region: str, phase: str,
                 run_id: str, as_of: Column) -> DataFrame:
     """One row per run: counters and identity of the run."""
-    return df.agg(
-        F.lit(run_id).alias("run_id"), F.lit(phase).alias("phase"),
+    counted = df.agg(
         F.count_distinct(region).alias("regions"), F.count(F.lit(1)).alias("total_processed"),
-        *[F.count_if(F.col(outcome) == k).alias(k) for k in kinds],
-        iso_utc(F.first(as_of)).alias("completed_at"))
+        *[F.count_if(F.col(outcome) == k).alias(k) for k in kinds])
+    # literals stand outside the aggregate: a run over no records has them too
+    return counted.select(F.lit(run_id).alias("run_id"), F.lit(phase).alias("phase"), "*",
+                          iso_utc(as_of).alias("completed_at"))

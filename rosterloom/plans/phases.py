@@ -46,7 +46,7 @@ def backbone(df: DataFrame, id_col: str, city: str, state: str, kind: str, name:
 def heuristic_fill(df: DataFrame, entity: DataFrame, key: str, rep: str, tier: str, links: str,
                    amount: str, tag: str = "wikidata_heuristic") -> DataFrame:
     """Fill reputation and collection tier from an entity table, each with its source tag."""
-    joined = df.join(entity.select(key, links, amount), key, "left")
+    joined = groups.lookup(df, entity.select(key, links, amount), [key])
     new_rep, new_tier = derive.reputation_of_links(links), derive.tier_of_size(amount)
     return joined.withColumns({
         f"{rep}_source": F.when(F.col(rep).isNull() & new_rep.isNotNull(), tag),
@@ -110,7 +110,7 @@ def apply_identity(df: DataFrame, identity: DataFrame, key: str, as_of: Column |
     fields = ("city", "street_address", "postal_code", "latitude", "longitude", "place_id", "phone")
     found = identity.select(key, F.col("success").alias("_ok"),
                             *[F.col(f).alias(f"_n_{f}") for f in fields])
-    joined = df.join(found, key, "left")
+    joined = groups.lookup(df, found, [key])
     need = derive.needs_resolution("city", force)
     ok = F.coalesce(F.col("_ok"), F.lit(False)) & (F.coalesce("_n_city", F.lit("")) != "")
     outcome = F.when(~need, "skipped").when(ok, "updated").otherwise("failed")
@@ -223,7 +223,7 @@ def apply_scores(df: DataFrame, answers: DataFrame, key: str, response: str, mod
                            F.get_json_object(text.json_object_in(response), "$").isNotNull()
                            .alias("_valid"),
                            *[F.col(f).alias(f"_n_{f}") for f in (*fields, "score_notes")])
-    joined = df.join(patch, key, "left")
+    joined = groups.lookup(df, patch, [key])
     done = F.lit(False) if force else derive.any_set(s.imp, s.mod, s.hist, s.eca, s.cbs)
     valid = F.coalesce(F.col("_answered") & F.col("_valid"), F.lit(False))
     outcome = (F.when(~derive.is_art("flag", flag_col=scoreable), "skipped_not_art")

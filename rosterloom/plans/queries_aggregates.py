@@ -308,15 +308,6 @@ def release_gates(spark, path):
         {c: F.round(c, 6) for c in ("failure_rate", "drift_rate")})
 
 
-@query("e2_row_ordinals", (
-    "SELECT o_orderkey AS id, o_custkey AS parent, o_orderkey AS row_no FROM orders"))
-def row_ordinals(spark, path):
-    # the ordinal is a column carried from load; here the order key is the load order
-    (o,) = tables(spark, path, "orders")
-    return o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("parent"),
-                    F.col("o_orderkey").alias("row_no"))
-
-
 @query("e3_first_per_key", (
     "SELECT o_custkey AS id, min(o_orderkey) AS row_no, arg_min(o_orderpriority, o_orderkey) AS "
     "priority FROM orders GROUP BY o_custkey"))

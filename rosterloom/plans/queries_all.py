@@ -8,6 +8,7 @@ from . import (  # noqa: F401
     queries_pages,
     queries_quality,
     queries_reconcile,
+    queries_run,
     queries_scalars,
     queries_scoring,
     queries_sources,

@@ -60,7 +60,18 @@ def unmatched_roster(spark, path):
     return out.select("row_no", "name")
 
 
-@query("c2_greedy_dedupe")
+# The sequential rule as an ordered reduction of each block: a row is taken unless its URL or its
+# place is among those of the rows taken before.
+@query("c2_greedy_dedupe", (
+    f"WITH {ROSTER}, r AS (SELECT row_no, name, block, {_url_key('url')} AS u, lower(trim(state)) || "
+    "chr(1) || lower(trim(name)) AS place, lower(trim(city)) AS c FROM roster), e AS (SELECT block, "
+    "row_no, struct_pack(kept := [row_no], urls := CASE WHEN u <> '' THEN [u] ELSE []::VARCHAR[] END, "
+    "places := [place, place || chr(1) || CASE WHEN c = '' THEN 'unknown' ELSE c END], ask := CASE WHEN "
+    "c = '' THEN place ELSE place || chr(1) || c END) AS x FROM r), b AS (SELECT list_reduce(list(x "
+    "ORDER BY row_no), lambda a, y: CASE WHEN list_has_any(a.urls, y.urls) OR list_contains(a.places, "
+    "y.ask) THEN a ELSE struct_pack(kept := a.kept || y.kept, urls := a.urls || y.urls, places := "
+    "a.places || y.places, ask := a.ask) END) AS x FROM e GROUP BY block) SELECT r.row_no, r.name FROM r "
+    "SEMI JOIN (SELECT unnest(x.kept) AS row_no FROM b) k ON r.row_no = k.row_no"))
 def greedy_dedupe(spark, path):
     return dedupe.greedy_dedupe(roster(spark, path), ROLES, "row_no").select("row_no", "name")
 
@@ -93,7 +104,46 @@ def fuzzy_sides(spark, path):
     return left, right
 
 
-@query("c4_fuzzy_match")
+# All pairs of a state; the ratio by recursion: the longest common block (the first of the longest),
+# then what stands left and right of it.
+_FUZZY = """lft AS (
+  SELECT s_suppkey AS id, n_name AS state, CASE WHEN s_suppkey % 3 = 0 THEN 'customer' ELSE 'supplier'
+    END || right(s_name, 9) AS k FROM supplier JOIN nation ON s_nationkey = n_nationkey
+), rgt AS (
+  SELECT c_custkey AS row_no, n_name AS state, 'customer' || right(c_name, 9) AS k
+  FROM customer JOIN nation ON c_nationkey = n_nationkey
+), pairs AS (
+  SELECT row_number() OVER () AS pid, * FROM (SELECT DISTINCT l.state, l.k AS a, r.k AS b
+  FROM lft l JOIN rgt r ON l.state = r.state)
+), seg AS (
+  SELECT pid, 1 AS alo, length(a) + 1 AS ahi, 1 AS blo, length(b) + 1 AS bhi, 0 AS size, 0 AS step
+  FROM pairs
+  UNION ALL
+  SELECT pid, CASE half WHEN 0 THEN alo WHEN 1 THEN m.i + m.n ELSE 0 END,
+    CASE half WHEN 0 THEN m.i WHEN 1 THEN ahi ELSE 0 END,
+    CASE half WHEN 0 THEN blo WHEN 1 THEN m.j + m.n ELSE 0 END,
+    CASE half WHEN 0 THEN m.j WHEN 1 THEN bhi ELSE 0 END,
+    CASE half WHEN 2 THEN m.n ELSE 0 END, step
+  FROM (SELECT pid, alo, ahi, blo, bhi, step + 1 AS step, min(struct_pack(neg := -n, i := i, j := j,
+      n := n)) AS m
+    FROM (SELECT s.*, i, j, coalesce(list_position(list_transform(range(0, least(ahi - i, bhi - j)),
+        lambda t: a[i + t] = b[j + t]), false) - 1, least(ahi - i, bhi - j)) AS n
+      FROM seg s JOIN pairs USING (pid), unnest(range(alo, ahi)) AS x(i), unnest(range(blo, bhi)) AS y(j)
+      WHERE a[i] = b[j]) GROUP BY ALL)
+  CROSS JOIN (VALUES (0), (1), (2)) h(half)
+), ratio AS (
+  SELECT state, a, b, 2.0 * sum(size) / (length(a) + length(b)) AS score
+  FROM seg JOIN pairs USING (pid) GROUP BY state, a, b
+), best AS (
+  SELECT l.id, max(struct_pack(score := score, pos := -row_no)) AS m FROM lft l
+  JOIN rgt r ON l.state = r.state JOIN ratio q ON q.state = l.state AND q.a = l.k AND q.b = r.k
+  WHERE score >= 0.7 GROUP BY l.id
+)"""
+
+
+@query("c4_fuzzy_match", (
+    f"WITH RECURSIVE {_FUZZY} SELECT l.id, CASE WHEN m IS NOT NULL THEN 'fuzzy' END AS match_type, "
+    "round(m.score, 6) AS match_score, -m.pos AS match_id FROM lft l LEFT JOIN best USING (id)"))
 def fuzzy_match(spark, path):
     left, right = fuzzy_sides(spark, path)
     out = linkage.fuzzy_match(left, right, "state", "name", "title", "row_no", ["row_no", "title"])
@@ -101,16 +151,6 @@ def fuzzy_match(spark, path):
                       F.col("match_row_no").alias("match_id"))
 
 
-@query("h8_similarity_ratio")
-def similarity_ratio(spark, path):
-    (p,) = tables(spark, path, "part")
-    # the ratio is computed once per distinct pair and joined back
-    pairs = p.select("p_name", "p_brand").distinct().withColumn("ratio", F.round(
-        linkage.similarity_ratio("p_name", F.lower("p_brand")), 6))
-    return p.select(F.col("p_partkey").alias("id"), "p_name", "p_brand").join(
-        pairs, ["p_name", "p_brand"]).select("id", "ratio")
-
-
 SHEET = """sheet AS (
   SELECT s_suppkey AS row_no, CAST(floor(s_acctbal) AS INT) AS score, CASE CAST(s_suppkey % 4 AS INT)
     WHEN 0 THEN 'Customer#' || lpad(CAST(s_suppkey AS VARCHAR), 9, '0')
@@ -251,7 +291,7 @@ def proximity_match(spark, path):
                     ((F.col("c_custkey") * 7919) % 36000 / 100.0 - 180).alias("lon"))
     probe = spot.withColumn("lat", F.col("lat") + F.when(F.col("id") % 2 == 0, 0.0004).otherwise(0.002))
     near = linkage.proximity_match(probe, spot, "lat", "lon", "id")
-    return probe.join(near, ["lat", "lon"]).select(
+    return near.filter("partner IS NOT NULL").select(
         "id", "partner", F.round("metres").cast("int").alias("metres"))
 
 

@@ -92,10 +92,11 @@ def trust_merge(spark, path):
     "locked) DESC, (value IS NOT NULL AND value <> 'TBD') DESC, trust DESC, ts DESC, cur DESC, id "
     "DESC) AS rk FROM cand), w AS (SELECT * FROM r WHERE rk = 1) SELECT uid, max(value) FILTER (field ="
     " 'click') AS click, max(value) FILTER (field = 'view') AS view, max(value) FILTER (field = "
-    "'error') AS error FROM w GROUP BY uid"))
+    "'error') AS error, max(value) FILTER (field = 'purchase') AS purchase, max(value) FILTER (field = "
+    "'signup') AS signup FROM w GROUP BY uid"))
 def trust_merge_wide(spark, path):
     return merge.trust_merge_wide(
-        candidates(spark, path), "uid", "field", ["click", "view", "error"], "value", "trust", "ts",
+        candidates(spark, path), "uid", "field", ["click", "view", "error", "purchase", "signup"], "value", "trust", "ts",
         "cur", "locked", "id")
 
 
@@ -205,15 +206,15 @@ def recommend_or_write(spark, path):
 
 @query("b6_staleness_skip", (
     f"WITH {EVT} SELECT id, CASE WHEN kind = 'error' OR kind = 'signup' THEN 'process' WHEN ts >= "
-    "TIMESTAMP '2024-01-10 00:00:00' THEN 'current' ELSE 'process' END AS state FROM evt"))
+    "TIMESTAMP '2024-01-10 00:00:00' THEN 'current' ELSE 'process' END AS state, 'process' AS forced "
+    "FROM evt"))
 def staleness_skip(spark, path):
+    from ..functions import derive
     stamp = F.when(F.col("kind") == "error", "not a time").when(F.col("kind") == "signup", None).otherwise(
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
-    last = F.try_to_timestamp(stamp)
     mtime = F.lit("2024-01-10T00:00:00Z").cast("timestamp")
-    return evt(spark, path).select(
-        "id", F.when(F.coalesce(last >= mtime, F.lit(False)), "current").otherwise("process")
-        .alias("state"))
+    return evt(spark, path).select("id", derive.current_or_process(stamp, mtime).alias("state"),
+                                   derive.current_or_process(stamp, mtime, True).alias("forced"))
 
 
 @query("a10_changed_partitions", (

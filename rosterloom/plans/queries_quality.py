@@ -115,6 +115,36 @@ def required_fields(spark, path):
     return quality.rule_issues(cust(spark, path), rules, ["id"])
 
 
+@query("k5_container_fields", (
+    f"WITH {CUST}, part AS (SELECT code || '-' || CAST(floor(id / 200) AS BIGINT) AS file, CASE WHEN code = "
+    "'ZZ' THEN ' ' ELSE code END AS state_code, id, raw_city, url, row_number() OVER (PARTITION BY code, "
+    "floor(id / 200) ORDER BY id) AS n FROM cust), box AS (SELECT DISTINCT file, state_code FROM part) "
+    "SELECT file, 0 AS ordinal, 'state_code' AS field FROM box WHERE trim(state_code) = '' UNION ALL SELECT "
+    "file, 0, 'last_updated' FROM box UNION ALL SELECT file, CAST(n AS INT), 'city' FROM part WHERE "
+    "coalesce(trim(raw_city), '') = '' UNION ALL SELECT file, CAST(n AS INT), 'url' FROM part WHERE url IS "
+    "NULL"))
+def container_fields(spark, path):
+    # containers of at most 200 records
+    record = F.struct("id", F.col("raw_city").alias("city"), "url", "name")
+    box = cust(spark, path).groupBy("code", F.floor(F.col("id") / 200).cast("bigint").alias("part")).agg(
+        F.array_sort(F.collect_list(record)).alias("museums"))
+    named = box.select(F.concat_ws("-", "code", F.col("part").cast("string")).alias("file"), "museums",
+                       F.when(F.col("code") == "ZZ", " ").otherwise(F.col("code")).alias("state_code"),
+                       F.lit(None).cast("string").alias("last_updated"))
+    return quality.container_issues(named, "file", ["state_code", "last_updated"], "museums",
+                                    ["id", "name", "city", "url"])
+
+
+@query("k6_type_rule", (
+    f"WITH {CUST} SELECT id, 'raw_city' AS field, 'type' AS rule FROM cust WHERE raw_city IS NOT NULL UNION "
+    "ALL SELECT id, 'digits', 'type' FROM cust WHERE id % 3 = 0"))
+def type_rule(spark, path):
+    digits = F.when(F.col("id") % 3 == 0, "4,2").when(F.col("id") % 3 == 1, " 42 ")
+    rules = [quality.Rule("raw_city", "type", ["int"]), quality.Rule("digits", "type", ["int"]),
+             quality.Rule("balance", "type", ["double"]), quality.Rule("id", "type", ["bigint"])]
+    return quality.rule_issues(cust(spark, path).withColumn("digits", digits), rules, ["id"])
+
+
 _RULES = [
     quality.Rule("domain", "enum", vocab.DOMAINS), quality.Rule("imp", "range", low=0, high=5),
     quality.Rule("rep", "range", low=0, high=2), quality.Rule("confidence", "range", low=1, high=4),
@@ -143,27 +173,27 @@ def rule_issues(spark, path):
     f"WITH {CUST}, p AS (SELECT id, region, balance / 100 AS lat, CAST(nk * 16 - 190 AS DOUBLE) AS lon "
     "FROM cust) SELECT id, CASE WHEN NOT (lat BETWEEN -90 AND 90) OR NOT (lon BETWEEN -180 AND 180) THEN "
     "'out_of_range' ELSE 'out_of_region' END AS issue FROM p WHERE NOT (lat "
-    "BETWEEN -90 AND 90) OR NOT (lon BETWEEN -180 AND 180) OR lat < 0 OR lat > 60"))
+    "BETWEEN -90 AND 90) OR NOT (lon BETWEEN -180 AND 180) OR lat < (SELECT r_regionkey * 5 FROM region "
+    "WHERE r_name = p.region) OR lat > (SELECT 60 + r_regionkey * 5 FROM region WHERE r_name = p.region) OR "
+    "lon > (SELECT 180 - r_regionkey * 20 FROM region WHERE r_name = p.region)"))
 def coordinate_sanity(spark, path):
     p = cust(spark, path).select("id", "region", (F.col("balance") / 100).alias("lat"),
                                  (F.col("nk") * 16 - 190).cast("double").alias("lon"))
     (r,) = tables(spark, path, "region")
-    bounds = r.select(F.col("r_name").alias("region"), F.lit(0.0).alias("min_lat"),
-                      F.lit(60.0).alias("max_lat"), F.lit(-180.0).alias("min_lon"),
-                      F.lit(180.0).alias("max_lon"))
+    key = F.col("r_regionkey").cast("double")
+    bounds = r.select(F.col("r_name").alias("region"), (key * 5).alias("min_lat"),
+                      (key * 5 + 60).alias("max_lat"), F.lit(-180.0).alias("min_lon"),
+                      (F.lit(180.0) - key * 20).alias("max_lon"))
     return quality.coordinate_issues(p, "id", "lat", "lon", "region", bounds)
 
 
 @query("k10_integrity_sweep", (
     f"WITH {ART}, a AS (SELECT id, confidence, {P3} AS good, CASE WHEN id % 40 = 0 THEN 1 ELSE {P3} END"
-    " AS stored FROM art) SELECT id, 'low_confidence' AS issue FROM a WHERE confidence < 3 UNION ALL "
-    "SELECT id, 'stale_score' FROM a WHERE stored IS DISTINCT FROM good UNION ALL SELECT o_custkey, "
-    "'duplicate_id' FROM (SELECT o_custkey FROM orders GROUP BY o_custkey HAVING count(*) > 1)"))
+    " AS stored FROM art), twice AS (SELECT * FROM a UNION ALL SELECT * FROM a WHERE id % 7 = 0) SELECT id, "
+    "'low_confidence' AS issue FROM twice WHERE confidence < 3 UNION ALL SELECT id, 'stale_score' FROM "
+    "twice WHERE stored IS DISTINCT FROM good UNION ALL SELECT id, 'duplicate_id' FROM a WHERE id % 7 = 0"))
 def integrity_sweep(spark, path):
     stored = F.when(F.col("id") % 40 == 0, 1).otherwise(scoring.priority(S))
     a = art(spark, path).withColumn("stored", stored)
-    issues = quality.integrity_sweep(a, "id", "confidence", "stored", scoring.priority(S))
-    (o,) = tables(spark, path, "orders")
-    return issues.unionByName(quality.repeated_keys(
-        o.select(F.col("o_custkey").alias("id")), ["id"]).select(
-        "id", F.lit("duplicate_id").alias("issue")))
+    twice = a.unionByName(a.filter("id % 7 = 0"))
+    return quality.integrity_sweep(twice, "id", "confidence", "stored", scoring.priority(S))

@@ -184,9 +184,12 @@ def state_of_id(spark, path):
 @query("h15_hash_keys", _cust(
     f"id, 'm_' || left(sha256({_ID_SQL}), 8) AS folder, left(sha256(lower(name || '|' || state)), "
     "16) AS lookup, left(sha256(coalesce(url, '')), 16) AS page, sha256('{\"params\": {\"city\": "
-    "\"' || city || '\", \"q\": \"' || name || '\"}, \"url\": \"http://x\"}') AS request"))
+    "\"' || city || '\", \"q\": \"' || name || '\\\" \\u00e9\\t\\n\\u0001\\\\\\ud83d\\ude00\\u007f\"}, \"url\": "
+    "\"http://x\"}') AS request"))
 def hash_keys(spark, path):
-    params = F.create_map(F.lit("q"), "name", F.lit("city"), "city")
+    # quotes, accents, control characters, a backslash and a character beyond 16 bits
+    odd = F.concat("name", F.lit('" \u00e9\t\n\u0001\\\U0001F600\u007f'))
+    params = F.create_map(F.lit("q"), odd, F.lit("city"), "city")
     return cust(spark, path).select(
         "id", text.folder_hash(_entity_id()).alias("folder"),
         text.lookup_key("name", "state").alias("lookup"),
@@ -228,6 +231,12 @@ def collapse_and_cut(spark, path):
                     text.cut(text.collapse_spaces("text"), 2000).alias("extract"))
 
 
+def _pick_answer():
+    """Answers that are no numbers: all of them give null."""
+    answers = F.array(*[F.lit(x) for x in ('"x"', '"Infinity"', '"NaN"', '"-Infinity"', "NaN", '"4"')])
+    return F.get(answers, (F.col("k") % 6).cast("int"))
+
+
 def _response():
     """A model answer around one JSON object whose fields come from the event."""
     note = F.concat(F.lit("note "), F.repeat(F.col("kind"), (F.col("k") * 3).cast("int")))
@@ -235,7 +244,7 @@ def _response():
         F.lit('Sure: {"impressionist_strength": '), F.col("k").cast("string"),
         F.lit(', "modern_contemporary_strength": '), (F.col("k") - 50).cast("string"),
         F.lit(', "historical_context_score": '), F.col("value").cast("string"),
-        F.lit(', "eca_score": "x", "collection_based_strength": null, "confidence": '),
+        F.lit(', "eca_score": '), _pick_answer(), F.lit(', "collection_based_strength": null, "confidence": '),
         (F.col("k") % 7).cast("string"), F.lit(', "reputation": '),
         (F.col("k") % 5).cast("string"), F.lit(', "score_notes": "'), note, F.lit('"} done'))
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..functions import derive, scoring
+from ..functions import derive, scoring, vocab
 from ..operators import browse, merge
 from .bindings import ART, art, score_columns
 from .registry import query
@@ -38,7 +38,7 @@ def _sql(select: str, tail: str = "") -> str:
     "CAST((5 - hist) * 2 AS INT) AS history_part, CAST((5 - cbs) * 2 AS INT) AS collection_part, "
     f"rep AS reputation_part, CAST(-{DUAL} AS INT) AS dual_part, "
     "CAST(CASE WHEN eca >= 4 THEN -1 ELSE 0 END AS INT) AS eca_part",
-    f"WHERE domain = 'Art' AND scoreable AND {OK3} ORDER BY priority, name, id LIMIT 100"))
+    f"WHERE domain = 'Art' AND scoreable AND {OK3}"))
 def rank_with_breakdown(spark, path):
     b = scoring.breakdown(S, "v3")
     scored = (art(spark, path).filter(derive.is_art("domain", domain_col="domain")
@@ -50,7 +50,7 @@ def rank_with_breakdown(spark, path):
                       F.col("b.reputation").alias("reputation_part"),
                       F.col("b.dual_bonus").alias("dual_part"),
                       F.col("b.eca_bonus").alias("eca_part")))
-    return scored.orderBy(*browse.priority_order("priority", "name", "id")).limit(100)
+    return scored.orderBy(*browse.priority_order("priority", "name", "id"))
 
 
 @query("j1_priority_v1", _sql(f"id, {P1} AS priority"))
@@ -216,25 +216,22 @@ def model_tier(spark, path):
     return art(spark, path).select("id", derive.model_tier("kind").alias("model_tier"))
 
 
-_DIM = (("contemporary_score", "p_size % 11"), ("modern_score", "p_partkey % 11"),
-        ("impressionist_score", "(p_size + p_partkey) % 11"), ("painting_score", "p_size % 10"),
-        ("sculpture_score", "p_partkey % 9"), ("photography_score", "(p_size * 3) % 11"))
-_DIM_LABEL = {"contemporary_score": "Contemporary", "modern_score": "Modern",
-              "impressionist_score": "Impressionist", "painting_score": "Painting",
-              "sculpture_score": "Sculpture", "photography_score": "Photography"}
+# one expression for each of the dimensions, in their order
+_DIM = tuple((c, f"(p_size * {2 * i + 1} + p_partkey * {i + 2}) % 11", label)
+             for i, (c, label) in enumerate(vocab.DIMENSIONS))
 
 
 @query("e7_top_dimension_scores", (
     "WITH s AS (" + " UNION ALL ".join(
-        f"SELECT p_partkey AS id, {i} AS i, '{_DIM_LABEL[c]}' AS label, CAST({e} AS INT) AS score "
-        "FROM part" for i, (c, e) in enumerate(_DIM))
+        f"SELECT p_partkey AS id, {i} AS i, '{label}' AS label, CAST({e} AS INT) AS score "
+        "FROM part" for i, (c, e, label) in enumerate(_DIM))
     + "), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, i) AS rk FROM s "
     "WHERE score >= 5) SELECT id, CAST(rk AS INT) AS rank, label, score FROM r WHERE rk <= 5"))
 def top_dimension_scores(spark, path):
     part = spark.read.parquet(f"{path}/part.parquet")
     scored = part.select(F.col("p_partkey").alias("id"),
-                         *[F.expr(e).cast("int").alias(c) for c, e in _DIM])
-    top = browse.top_dimensions([(c, _DIM_LABEL[c]) for c, _ in _DIM])
+                         *[F.expr(e).cast("int").alias(c) for c, e, _ in _DIM])
+    top = browse.top_dimensions()
     return scored.select("id", F.posexplode(top).alias("pos", "t")).select(
         "id", (F.col("pos") + 1).alias("rank"), "t.label", "t.score")
 
@@ -356,16 +353,21 @@ def heuristic_fallback(spark, path):
 @query("b5_already_done", _sql(
     "id, CASE WHEN coalesce(imp, mod, hist, eca, cbs) IS NOT NULL THEN 'skip' ELSE 'todo' END AS "
     "by_scores, CASE WHEN kind LIKE '%Museum%' AND city <> '' AND coalesce(domain, '') <> '' THEN "
-    "'skip' ELSE 'todo' END AS by_content, domain = 'Art' AND domain IS NOT NULL AS by_source"))
+    "'skip' ELSE 'todo' END AS by_content, CASE WHEN domain = 'Art' THEN 'skip' ELSE 'todo' END AS "
+    f"by_source, CASE WHEN {P3} IS NOT NULL THEN 'skip' ELSE 'todo' END AS by_priority, 'todo' AS forced"))
 def already_done(spark, path):
     tags = F.when(F.col("domain") == "Art", F.array(F.lit("seed"), F.lit("wikidata"))).otherwise(
         F.array(F.lit("seed")))
-    content = F.when(F.col("kind").contains("Museum"), F.col("city"))
-    done = (F.coalesce(content, F.lit("")) != "") & (F.coalesce("domain", F.lit("")) != "")
-    return art(spark, path).select(
-        "id", F.when(derive.any_set("imp", "mod", "hist", "eca", "cbs"), "skip").otherwise("todo")
-        .alias("by_scores"), F.when(done, "skip").otherwise("todo").alias("by_content"),
-        derive.is_done_source(tags, "wikidata").alias("by_source"))
+    a = art(spark, path).withColumns({
+        "summary": F.when(F.col("kind").contains("Museum"), F.col("city")),
+        "priority": scoring.priority(S)})
+    scores = derive.any_set("imp", "mod", "hist", "eca", "cbs")
+    return a.select(
+        "id", derive.skip_or_todo(scores).alias("by_scores"),
+        derive.skip_or_todo(derive.all_given("summary", "city", "domain")).alias("by_content"),
+        derive.skip_or_todo(derive.is_done_source(tags, "wikidata")).alias("by_source"),
+        derive.skip_or_todo(derive.any_set("priority")).alias("by_priority"),
+        derive.skip_or_todo(scores, force=True).alias("forced"))
 
 
 @query("i9_change_log", _sql(

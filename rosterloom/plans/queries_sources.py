@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..session import scratch_path
+from ..session import cut_lineage, scratch_path
 from ..sources import readers, writers
 from .bindings import CUST, cust, tables
 from .registry import query
@@ -55,7 +55,7 @@ def read_roster(spark, path):
         F.coalesce("raw_city", F.lit("")).alias("CITY"),
         F.concat(F.lit('https://x.org/"'), F.col("id").cast("string"), F.lit('",')).alias("URL")),
         target)
-    return readers.read_roster(spark, target)
+    return readers.read_roster(spark, target).drop("row_no")
 
 
 @query("a4_read_external", (
@@ -67,7 +67,26 @@ def read_external(spark, path):
     writers.write_csv(cust(spark, path).select(
         F.col("id").cast("string").alias("Museum ID"), F.col("name").alias("Museum Name"),
         F.col("raw_city").alias(state)), target)
-    return readers.read_external(spark, target, state)
+    return readers.read_external(spark, target, state).drop("row_no")
+
+
+@query("e2_row_ordinals", (
+    "SELECT row_number() OVER (ORDER BY o_orderkey) AS row_no, CAST(o_orderkey AS VARCHAR) AS order_id,"
+    " CASE WHEN o_orderkey % 5 = 0 THEN 'two' || chr(10) || 'lines, \"quoted\"' ELSE o_orderstatus END AS "
+    "note FROM orders"))
+def row_ordinals(spark, path):
+    # file order is key order; every second file has its columns in the other order
+    target = scratch_path(spark, "ordinals")
+    (o,) = tables(spark, path, "orders")
+    note = F.when(F.col("o_orderkey") % 5 == 0, 'two\nlines, "quoted"').otherwise(F.col("o_orderstatus"))
+    rows = cut_lineage(o.select(F.col("o_orderkey").cast("string").alias("order_id"), note.alias("note"),
+                                "o_orderkey").orderBy("o_orderkey"), "ordinals")
+    half = rows.approxQuantile("o_orderkey", [0.5], 0.1)[0]
+    writers.write_csv(rows.filter(F.col("o_orderkey") <= half).orderBy("o_orderkey").select(
+        "order_id", "note"), f"{target}/a")
+    writers.write_csv(rows.filter(F.col("o_orderkey") > half).orderBy("o_orderkey").select(
+        "note", "order_id"), f"{target}/b")
+    return readers.read_external(spark, f"{target}/*", "order_id").select("row_no", "order_id", "note")
 
 
 _CACHE_SCHEMA = "found BOOLEAN, extract STRING"

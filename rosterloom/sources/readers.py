@@ -1,14 +1,16 @@
-"""Readers. Schemas are always explicit; checks run as filters, never on the driver."""
+"""Readers. Schemas are always explicit; checks of rows run as filters, never on the driver."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text, vocab
+from ..operators.groups import lookup
+from ..session import cut_lineage
 
 ROSTER_HEADERS = ("STATE", "NAME", "CITY", "URL")
 
@@ -57,28 +59,83 @@ def check_headers(found: Sequence[str], required: Sequence[str]) -> None:
         raise ValueError(f"missing headers {missing}; found {list(found)}")
 
 
-def read_roster(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    """Roster CSV with stripped STATE, NAME, CITY, URL.
+def _csv_rows(spark: SparkSession, path: str, required: Sequence[str], multi_line: bool,
+              row_no: str) -> tuple[DataFrame, list[str]]:
+    """All CSV records below `path` with `_cells`, their file's `_header`, and the row number.
 
-    The header must hold the four names; with `strict` the first row without state, name or
-    a valid http(s) URL aborts the job that reads it.
+    Every file has its own header, in its own order; all must have the same names. Row numbers
+    count from 1 through the files in order of their paths. With `multi_line` a quoted field may
+    hold line breaks and each file is one task; without it files are split, and a record that
+    does not fit its header stops the job instead of being lost. The driver sees the headers and
+    the number of rows of each split, one row a split.
     """
-    raw = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
-    check_headers(raw.columns, ROSTER_HEADERS)
-    rows = raw.select(*[text.strip(F.coalesce(F.col(h), F.lit(""))).alias(h)
-                        for h in ROSTER_HEADERS])
+    plain = spark.read.options(header=False, escape='"', multiLine=multi_line)
+    width = len(plain.csv(path).columns)
+    schema = ", ".join([*(f"c{i} STRING" for i in range(width)), "_bad STRING"])
+    raw = plain.schema(schema).options(mode="PERMISSIVE", columnNameOfCorruptRecord="_bad").csv(path)
+    rows = cut_lineage(raw.select(
+        F.array(*[f"c{i}" for i in range(width)]).alias("_cells"), "_bad",
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_id")), "csv")
+    splits = sorted(rows.groupBy("_file", "_block").agg(
+        F.count(F.lit(1)).alias("n"), F.min("_id").alias("first"),
+        F.min_by(F.struct("_cells", "_bad"), "_id").alias("head")).collect())
+    names, table, before = None, [], 0
+    for i, (file, block, n, first, head) in enumerate(splits):
+        starts = not i or splits[i - 1][0] != file
+        if starts:
+            header = [text_.strip().lstrip("\ufeff") if text_ else "" for text_ in head["_cells"]]
+            if head["_bad"] is not None:
+                raise ValueError(f"{file}: more than {width} columns")
+            check_headers(header, required)
+            names = names or header
+            if sorted(header) != sorted(names):
+                raise ValueError(f"{file}: headers {header} differ from {names}")
+        # rows of a split are numbered without gaps in the order of the file
+        table.append((file, block, header, first if starts else first - 1, before))
+        before += n - starts
+    offsets = spark.createDataFrame(
+        table, "_file string, _block bigint, _header array<string>, _zero bigint, _before bigint")
+    found = lookup(rows, offsets, ["_file", "_block"]).withColumn(
+        row_no, F.col("_before") + F.col("_id") - F.col("_zero")).filter(F.col("_id") > F.col("_zero"))
+    if not multi_line:
+        message = F.concat(F.lit("broken record: "), "_bad")
+        # a filter on every row: leaving out columns can't prune it
+        found = found.filter(F.when(F.col("_bad").isNull(), F.lit(True)).otherwise(
+            F.raise_error(message).cast("boolean")))
+    return found, names or []
+
+
+def _cell(name: str) -> Column:
+    """The field of a record under a header name, the position being that of its own file."""
+    return F.get("_cells", (F.array_position("_header", name) - 1).cast("int"))
+
+
+def read_roster(spark: SparkSession, path: str, strict: bool = True, multi_line: bool = True,
+                row_no: str = "row_no") -> DataFrame:
+    """Roster CSV with its row number and stripped STATE, NAME, CITY, URL.
+
+    The header of each file must hold the four names, in any order; with `strict` any row without
+    state, name or a valid http(s) URL aborts the job, whichever columns that job reads.
+    """
+    raw, _ = _csv_rows(spark, path, ROSTER_HEADERS, multi_line, row_no)
+    rows = raw.select(row_no, *[text.strip(F.coalesce(_cell(h), F.lit(""))).alias(h)
+                                for h in ROSTER_HEADERS])
     if not strict:
         return rows
     ok = ((F.col("STATE") != "") & (F.col("NAME") != "") & text.is_http_url("URL"))
-    message = F.concat(F.lit("invalid roster row: "), F.to_json(F.struct(*ROSTER_HEADERS)))
-    return rows.withColumn("URL", F.when(ok, F.col("URL")).otherwise(F.raise_error(message)))
+    message = F.concat(F.lit("invalid roster row: "), F.to_json(F.struct(row_no, *ROSTER_HEADERS)))
+    return rows.filter(F.when(ok, F.lit(True)).otherwise(F.raise_error(message).cast("boolean")))
 
 
-def read_external(spark: SparkSession, path: str, state: str) -> DataFrame:
-    """External CSV (all strings) without the rows whose state is blank."""
-    raw = spark.read.option("header", True).option("escape", '"').csv(path)
-    check_headers(raw.columns, [state])
-    return raw.withColumn(state, text.strip(state)).filter(F.coalesce(F.col(state) != "", F.lit(False)))
+def read_external(spark: SparkSession, path: str, state: str, multi_line: bool = True,
+                  row_no: str = "row_no") -> DataFrame:
+    """External CSV (row number, then all columns as strings) without rows of a blank state."""
+    raw, names = _csv_rows(spark, path, [state], multi_line, row_no)
+    rows = raw.select(row_no, *[_cell(n).alias(n) for n in names])
+    return rows.withColumn(state, text.strip(state)).filter(
+        F.coalesce(F.col(f"`{state}`") != "", F.lit(False)))
 
 
 def resolve_sheet(df: DataFrame, row_no: str,

@@ -13,9 +13,10 @@ from ..operators.groups import lookup
 
 def envelope(df: DataFrame, as_of: Column, **extra: Column) -> DataFrame:
     """The one-row header of an index: when it was made and how many records it has."""
-    return df.agg(iso_utc(F.first(as_of)).alias("generated_at"),
-                  F.count(F.lit(1)).alias("total_records"),
-                  *[c.alias(n) for n, c in extra.items()])
+    counted = df.agg(F.count(F.lit(1)).alias("total_records"),
+                     *[c.alias(n) for n, c in extra.items()])
+    # the time stands outside the aggregate: an empty index has one too
+    return counted.select(iso_utc(as_of).alias("generated_at"), "*")
 
 
 def write_index(df: DataFrame, path: str, as_of: Column, **extra: Column) -> None:
@@ -41,9 +42,10 @@ def write_changed(df: DataFrame, path: str, partition: str, changed: str, update
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """CSV with minimal quoting: quotes double inside quoted fields."""
-    (df.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"')
-     .option("emptyValue", "").csv(path))
+    """CSV with minimal quoting: quotes double inside quoted fields, white space is kept."""
+    df.write.mode("overwrite").options(
+        header=True, quote='"', escape='"', emptyValue="", ignoreLeadingWhiteSpace=False,
+        ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def append_run(summary: DataFrame, path: str) -> None:

@@ -47,11 +47,11 @@ def greedy(rows):
     return [k[0] for k in kept]
 
 
-@pytest.mark.parametrize("hot,small", [(0.0, 0), (0.0, 10_000), (0.4, 0)])
-def test_greedy_dedupe(spark, hot, small):
+@pytest.mark.parametrize("hot", [0.0, 0.4])
+def test_greedy_dedupe(spark, hot):
     rows = roster_rows(600, 7, hot)
     df = spark.createDataFrame(rows, DDL).repartition(5)
-    got = dedupe.greedy_dedupe(df, ROLES, "row_no", small=small)
+    got = dedupe.greedy_dedupe(df, ROLES, "row_no")
     assert sorted(r.row_no for r in got.collect()) == greedy(rows)
 
 
@@ -59,9 +59,8 @@ def test_greedy_dedupe_follows_long_chains(spark):
     # every row shares its URL with the one before and its name with the one after
     rows = [(i, "B", "S", f"n{(i + 1) // 2}", "", f"http://u{i // 2}") for i in range(40)]
     df = spark.createDataFrame(rows, DDL)
-    for small in (0, 100):
-        got = dedupe.greedy_dedupe(df, ROLES, "row_no", small=small)
-        assert sorted(r.row_no for r in got.collect()) == greedy(rows)
+    got = dedupe.greedy_dedupe(df, ROLES, "row_no")
+    assert sorted(r.row_no for r in got.collect()) == greedy(rows)
 
 
 def test_dedupe_of_the_deduped_changes_nothing(spark):
@@ -195,7 +194,9 @@ def test_proximity_equals_all_pairs(spark):
     out = linkage.proximity_match(
         spark.createDataFrame(left, "lat double, lon double"),
         spark.createDataFrame(right, "id int, lat double, lon double"), "lat", "lon", "id")
-    got = {(r.lat, r.lon): r.partner for r in out.collect()}
+    rows = out.collect()
+    assert len(rows) == len(left)  # every row is kept, equal points too
+    got = {(r.lat, r.lon): r.partner for r in rows if r.partner is not None}
     want = {}
     for p in left:
         d, i = min((metres(p, r[1:]), r[0]) for r in right)
@@ -271,3 +272,62 @@ def test_rows_of_a_salted_key_are_shuffled_by_key_and_salt(spark):
     shuffles = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
     # rows, partials and totals go by (key, salt); only the partials of a key meet by key alone
     assert len([x for x in shuffles if "_salt#" in x]) == 3 and len(shuffles) == 4
+
+
+def test_containment_pairs_of_a_hot_partner_stay_spread(spark, monkeypatch):
+    # a third of the records contain one short sheet name
+    left = spark.range(6000).select("id", F.when(F.col("id") % 3 == 0, F.concat(
+        F.lit("harbour light museum hall "), F.col("id").cast("string"))).otherwise(F.concat(
+            F.lit("other place number "), F.col("id").cast("string"))).alias("name"))
+    sheet = spark.createDataFrame([(1, "harbour light", 5), (2, "somewhere else", 6)],
+                                  "row_no int, title string, score int")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = linkage.sheet_match(left, "name", sheet, "title", "row_no", ["score"])
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        rows = out.collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum(r.match_type == "partial" and r.sheet_score == 5 for r in rows) == 2000
+    assert sum(r.match_type is None for r in rows) == 4000
+    assert "SinglePartition" not in plan
+
+
+def test_edit_distance_takes_the_closest_and_the_smaller_name(spark):
+    rnd = random.Random(4)
+    names = {"".join(rnd.choices("abcd", k=rnd.randint(0, 7))) for _ in range(120)}
+    left = [(b, n) for n in sorted(names) for b in "xy" if rnd.random() < 0.5]
+    right = [(b, n) for n in sorted(names) for b in "xy" if rnd.random() < 0.4]
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    ddl = "b string, n string"
+    got = linkage.edit_distance_match(spark.createDataFrame(left, ddl), spark.createDataFrame(right, ddl),
+                                      "b", "n").collect()
+    want = set()
+    for b, n in left:
+        d, m = min(((distance(n, o), o) for c, o in right if c == b), default=(9, ""))
+        if d <= 2:
+            want.add((b, n, m, d))
+    assert {tuple(r) for r in got} == want
+
+
+def test_fuzzy_signatures_make_fewer_rows_than_all_pairs(spark, small):
+    # names with real variety: the first words of documents
+    names = spark.read.parquet(f"{small}/documents.parquet").select(
+        F.lit("x").alias("b"), F.substring("text", 1, 24).alias("n"), F.col("doc_id").alias("no")).filter(
+        "length(trim(n)) > 10").dropDuplicates(["n"])
+    n = names.count()
+    found = linkage.fuzzy_candidates(names.filter("no % 2 = 0").select("b", "n"),
+                                     names.filter("no % 2 = 1"), "b", "n", "no", 0.7)
+    plan = found._jdf.queryExecution()
+    found.collect()
+    assert n > 100 and "SortMergeJoin" in plan.executedPlan().toString()
+    halves = names.filter("no % 2 = 0").count() * names.filter("no % 2 = 1").count()
+    assert found.count() < halves / 10

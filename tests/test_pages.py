@@ -46,20 +46,53 @@ PAGE = """<html><body><div id="x">Open daily</div><main>
 <div>Schedule<section>open late</section></div><aside>tickets</aside></main></body></html>"""
 
 
-def test_topic_sections():
+def topic(spark, html, *words):
+    df = spark.createDataFrame([(1, html)], "id bigint, h string")
+    return pages.topic_sections(df, "id", "h", {"x": words}).first().x_text
+
+
+def test_topic_sections(spark):
     # the outer block and the one inside both mention the topic, so both are taken
-    assert pages.topic_text(pages.outline(PAGE), vocab.SECTION_KEYWORDS["hours"]) == (
+    assert topic(spark, PAGE, *vocab.SECTION_KEYWORDS["hours"]) == (
         "Hours: 9-5\ndaily\nSchedule\nopen late\nopen late")
     # nothing mentions the topic: the whole main area
-    assert pages.topic_text(pages.outline(PAGE), ("wheelchair",)) == "Hours: 9-5\ndaily\nOther\nSchedule\nopen late"
-    assert pages.topic_text(pages.outline("<p>no body</p>"), ("x",)) is None
-    assert pages.topic_text(pages.outline(None), ("x",)) is None
-    long = pages.outline("<body><article>" + "<p>cost</p>" * 1000 + "</article></body>")
-    assert pages.topic_text(long, ("cost",)).endswith("...")
-    assert len(pages.topic_text(long, ("cost",))) == 1503
+    assert topic(spark, PAGE, "wheelchair") == "Hours: 9-5\ndaily\nOther\nSchedule\nopen late"
+    assert topic(spark, "<p>no body</p>", "x") is None
+    assert topic(spark, None, "x") is None and topic(spark, "", "x") is None
+    long = topic(spark, "<body><article>" + "<p>cost</p>" * 400 + "</article></body>", "cost")
+    assert long.endswith("...") and len(long) == 1503
+    areas = ('<div id="main">c</div><div class="x content">a &amp; b<div>in</div></div>', '<body id="b">c</body>',
+             "<div id=main><img src=x/>c<br>d</div>")
+    assert [topic(spark, a, "none") for a in areas] == ["a & b\nin", "c", "c\nd"]
 
 
-def test_topic_sections_run_as_a_batch_job(spark):
+def test_topic_sections_stay_in_their_row(spark):
     df = spark.createDataFrame([(1, PAGE)], "id bigint, html string")
-    row = pages.topic_sections(df, "id", "html").first()
+    out = pages.topic_sections(df, "id", "html")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Python" not in plan and "Pandas" not in plan
+    row = out.first()
     assert row.hours_text.startswith("Hours: 9-5") and row.admission_text.startswith("Hours")
+
+
+def test_links_attributes_comments_and_dots(spark):
+    html = ('<!-- <a href="/hours">hours</a> --><script>"<a href=\'/hours\'>hours</a>"</script>'
+            '<a data-href="/wrong" href="../visit/./x?a=../b">Plan your visit</a><a href="./accessible/..">More</a>')
+    df = spark.createDataFrame([(1, "https://x.org/a/b/", html)], "id int, url string, html string")
+    row = pages.visitor_links(df, "id", "url", "html").first()
+    assert row.hours_url == "https://x.org/a/visit/x?a=../b"
+    assert row.accessibility_url == "https://x.org/a/b/"
+
+
+def test_clutter_is_removed_by_depth(spark):
+    assert one(spark, "<nav>a<nav>b</nav>c</nav>d", pages.clean_text("h")) == "d"
+    assert one(spark, "x</nav>y<header>z", pages.clean_text("h")) == "xy"
+    assert one(spark, "<p>Mus&eacute;e &#8217;&#x1F600;&amp;lt; &bogus; 1 < 2</p>", pages.clean_text("h")) == (
+        "Mus\u00e9e \u2019\U0001F600&lt; &bogus; 1 < 2")
+    assert one(spark, '<meta name="description" content="&Eacute;t&#233; &apos;">',
+               pages.meta_description("h")) == "\u00c9t\u00e9 '"
+
+
+def test_sections_outside_the_main_area_do_not_count(spark):
+    page = "<body><main><p>x</p></main><div>Open hours here</div></body>"
+    assert topic(spark, page, "hours") == "x"

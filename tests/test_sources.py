@@ -1,11 +1,13 @@
 """Readers and writers on files, good and bad."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from rosterloom import session
+from rosterloom.operators import runs
 from rosterloom.sources import readers, writers
 
 RECORD = "museum_id STRING, museum_name STRING, topics ARRAY<STRING>, latitude DOUBLE"
@@ -42,12 +44,17 @@ def test_roster(spark, tmp_path):
     good = tmp_path / "good.csv"
     good.write_text('STATE,NAME,CITY,URL\nOhio," The ""A"" ",,http://a.org\n')
     row = readers.read_roster(spark, str(good)).first()
-    assert tuple(row) == ("Ohio", 'The "A"', "", "http://a.org")
+    assert tuple(row) == (1, "Ohio", 'The "A"', "", "http://a.org")
     bad = tmp_path / "bad.csv"
     bad.write_text("STATE,NAME,CITY,URL\nOhio,A,,http://a.org\nOhio,B,,nowhere\n")
     with pytest.raises(Exception, match="invalid roster row"):
         readers.read_roster(spark, str(bad)).collect()
     assert readers.read_roster(spark, str(bad), strict=False).count() == 2
+    # whichever columns are read
+    for job in (lambda df: df.count(), lambda df: df.select("NAME").collect(),
+                lambda df: df.select("row_no").collect()):
+        with pytest.raises(Exception, match="invalid roster row"):
+            job(readers.read_roster(spark, str(bad)))
     short = tmp_path / "short.csv"
     short.write_text("STATE,NAME\nOhio,A\n")
     with pytest.raises(ValueError, match="missing headers"):
@@ -104,9 +111,61 @@ class _Named:
 
 
 def test_shared_folder_comes_from_the_session(spark):
-    assert session.scratch_path(_Named("s3a://bucket/dir/", "yarn"), "x").startswith(
-        "s3a://bucket/dir/x-")
+    path = session.scratch_path(_Named("s3a://bucket/dir/", "yarn"), "x")
+    assert path.startswith("s3a://bucket/dir/rosterloom-") and "/x-" in path
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.shared_dir(_Named(None, "yarn"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_dir(_Named(None, "local-cluster[2,1,512]"))
     assert session.shared_dir(_Named(None, "local[2]")) == session.shared_dir(_Named(None, "local[2]"))
     assert session.cut_lineage(spark.range(5), "x").count() == 5
+
+
+def test_csv_files_have_their_own_column_order_and_one_count_of_rows(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('STATE,NAME,CITY,URL\nOhio,"Two\nlines",,http://a.org\n\nIowa,B,x,http://b.org\n')
+    (tmp_path / "b.csv").write_text("NAME,URL,STATE,CITY\nZoo,http://c.org,Texas,y\n")
+    (tmp_path / "c.csv").write_text("NAME,URL,STATE,CITY\n")
+    got = readers.read_roster(spark, str(tmp_path)).orderBy("row_no").collect()
+    assert [tuple(r) for r in got] == [
+        (1, "Ohio", "Two\nlines", "", "http://a.org"), (2, "Iowa", "B", "x", "http://b.org"),
+        (3, "Texas", "Zoo", "y", "http://c.org")]
+    ext = readers.read_external(spark, str(tmp_path), "STATE").orderBy("row_no").collect()
+    assert ext[0].NAME == "Two\nlines" and [r.STATE for r in ext] == ["Ohio", "Iowa", "Texas"]
+    (tmp_path / "d.csv").write_text("NAME,URL,STATE,TOWN\nZoo,http://c.org,Texas,y\n")
+    with pytest.raises(ValueError, match="missing headers"):
+        readers.read_roster(spark, str(tmp_path))
+    with pytest.raises(ValueError, match="differ from"):
+        readers.read_external(spark, str(tmp_path), "STATE")
+
+
+def test_split_files_never_lose_a_broken_record(spark, tmp_path):
+    lines = "".join(f"{i},Ohio\n" for i in range(40_000))
+    (tmp_path / "a.csv").write_text("id,state\n" + lines)
+    (tmp_path / "b.csv").write_text("state,id\nIowa,x\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        df = readers.read_external(spark, str(tmp_path), "state", multi_line=False)
+        got = {r.row_no: r.id for r in df.collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == {**{i + 1: str(i) for i in range(40_000)}, 40_001: "x"}
+    (tmp_path / "c.csv").write_text('id,state\n1,"a\nb"\n')
+    with pytest.raises(Exception, match="broken record"):
+        readers.read_external(spark, str(tmp_path), "state", multi_line=False).count()
+
+
+def test_empty_tables_still_have_a_time(spark):
+    none = spark.createDataFrame([], "id int, region string, outcome string")
+    head = writers.envelope(none, F.lit("2026-01-01").cast("timestamp_ntz")).first()
+    assert tuple(head) == ("2026-01-01T00:00:00Z", 0)
+    row = runs.run_summary(none, "outcome", ["failed"], "region", "p", "r1",
+                           F.lit("2026-01-01").cast("timestamp_ntz")).first()
+    assert (row.run_id, row.total_processed, row.completed_at) == ("r1", 0, "2026-01-01T00:00:00Z")
+
+
+def test_scratch_is_cleared_by_its_owner(spark):
+    kept = session.cut_lineage(spark.range(5).toDF("id"), "mine")
+    assert kept.count() == 5
+    path = kept.inputFiles()[0].removeprefix("file://")
+    session.clear_scratch(spark)
+    assert not os.path.exists(path)

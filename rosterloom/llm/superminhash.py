@@ -233,7 +233,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = cut_lineage(lookup(buckets, hubs, ["bucket"], "inner").filter("node <> hub").select(
         F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "minhash")
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = cut_lineage(texts.join(nodes, "node", "left_semi").mapInArrow(
+    # the same plan at every size: both sides are shuffled, candidates are too many to broadcast
+    sets = cut_lineage(texts.join(nodes.hint("merge"), "node", "left_semi").mapInArrow(
         lambda b: _shingled(b, n), "node bigint, shingles array<bigint>").withColumn(
         "n", F.size("shingles")), "minhash")
     links = cut_lineage(_verified(pairs, sets, percent), "minhash")

@@ -114,7 +114,8 @@ def train(docs: DataFrame, good_ids: DataFrame, id_col: str = "doc_id", text_col
     """
     good = good_ids.select(F.col(good_ids.columns[0]).cast("bigint").alias("_good")).dropna().distinct()
     texts = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("text"))
-    marked = texts.join(good, F.col("_id") == F.col("_good"), "left").select(
+    # the same plan at every size: labels grow with the documents
+    marked = texts.join(good.hint("merge"), F.col("_id") == F.col("_good"), "left").select(
         "text", F.col("_good").isNotNull().alias("good"))
     rows = (marked.mapInArrow(lambda b: _counted(b, order, bits),
                               "place bigint, background bigint, target bigint")

@@ -7,6 +7,7 @@ of `docs`. Stages can be run one by one, each on what the one before has written
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from rosterloom.llm import mixing, packing, ranking, secrets, superminhash
 from rosterloom.session import cut_lineage
@@ -24,8 +25,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with the secrets in their texts masked."""
-    return secrets.redacted(docs)
+    """All documents, with the secrets in their texts masked and their lengths counted anew."""
+    clean = secrets.redacted(docs)
+    kind = clean.schema["n_chars"].dataType
+    return clean.withColumn("n_chars", F.length("text").cast(kind))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

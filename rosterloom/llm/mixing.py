@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.groups import lookup
+from ..operators.order import numbered
 from ..session import cut_lineage
 from .common import WORD
 
@@ -45,24 +46,6 @@ def uniform(id_col: str, seed: int) -> Column:
     return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") + 0.5) / float(16 ** 13)
 
 
-def numbered(df: DataFrame, order: Sequence[Column], out: str) -> DataFrame:
-    """Add each row's position (from 0) in `order`, without bringing all rows into one task.
-
-    Rows are ranged, each range is sorted, and the ranges' sizes are added up.
-    """
-    ranged = cut_lineage(
-        df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({
-            "_range": F.spark_partition_id(),
-            "_place": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}), "order")
-    # one row for each range
-    before = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).withColumn(
-        "_before", F.coalesce(F.sum("_n").over(
-            Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return (lookup(ranged, before.select("_range", "_before"), ["_range"])
-            .withColumn(out, F.col("_before") + F.col("_place"))
-            .drop("_range", "_place", "_before"))
-
-
 def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.0,
             max_epochs: float = MAX_EPOCHS) -> DataFrame:
     """`sizes` (source, source_size) with weight and target; weights repeat in source order."""
@@ -130,12 +113,11 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           source_col: str = "source", **options) -> DataFrame:
     """The rows of the mix, all columns of `docs`: each document as often as it is taken.
 
-    Rows with equal ids are taken equally often; rows with a null id are never taken.
+    Rows with equal ids, null ids among them, are taken equally often.
     """
     plan = mixture(docs, words_in(text_col), letters_share(text_col), id_col, source_col, **options)
-    times = (plan.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_mix_id"))
+    times = (plan.groupBy(F.col(id_col).alias("_mix_id"))
              .agg(F.max("copies").alias("_mix_copies")).filter("_mix_copies > 0"))
-    found = docs.join(cut_lineage(times, "mixing"), docs[id_col] == F.col("_mix_id"))
-    # null-safe: a document of no words takes no room and stays out of the mix unless in an epoch
+    found = docs.join(cut_lineage(times, "mixing"), docs[id_col].eqNullSafe(F.col("_mix_id")))
     return found.withColumn("_mix_copies", F.explode(F.sequence(
         F.lit(1).cast("bigint"), F.col("_mix_copies")))).select(*[docs[c] for c in docs.columns])

@@ -75,13 +75,16 @@ def _chi_squared_tail(x: float, freedom: int) -> float:
 
 
 def _binomial_tail(n: int, p: float, least: int) -> float:
-    """P(X >= least) for X of n tries."""
-    if least <= 0:
+    """P(X >= least) for X of n tries; 1 for anything up to the mean, which is never rejected."""
+    if least <= n * p:
         return 1.0
     out = 0.0
     for k in range(least, n + 1):
-        term = lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * log(p) + (n - k) * log1p(-p)
-        out += exp(term)
+        term = exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * log(p) + (n - k) * log1p(-p))
+        out += term
+        # beyond the mean the terms fall faster than a geometric series
+        if term <= out * 1e-9:
+            break
     return min(1.0, out)
 
 

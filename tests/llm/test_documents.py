@@ -197,12 +197,13 @@ def test_mix_takes_documents_as_often_as_planned(spark):
     for r in mix.collect():
         count[r.doc_id] = count.get(r.doc_id, 0) + 1
     assert count == {k: v for k, v in plan.items() if v}
-
-
-def test_numbered_is_the_global_order(spark):
-    df = spark.range(0, 3000).selectExpr("(id * 7919) % 3000 AS v").repartition(7)
-    got = mixing.numbered(df, [mixing.F.col("v")], "no").collect()
-    assert all(r.v == r.no for r in got) and len(got) == 3000
+    # null and repeated ids, a null source, a null text
+    odd = frame(spark, [(None, "a b", "en", "s", 3), (None, "c d", "en", None, 3), (5, None, "en", "s", 0),
+                        (6, "e f g", "en", "s", 5), (6, "e f g", "en", "s", 5)], False)
+    rows = mixing.mixture(odd, mixing.words_in("text"), mixing.letters_share("text")).collect()
+    assert sorted(r.size for r in rows) == [0, 2, 2, 3, 3]
+    assert all(r.taken <= 3 * r.size and r.target <= 3 * r.source_size for r in rows)
+    assert mixing.mixed(odd).columns == odd.columns
 
 
 def test_losses_equal_counting_by_hand(spark):

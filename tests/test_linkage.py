@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rosterloom.functions import vocab
-from rosterloom.operators import dedupe, groups, linkage, quality
+from rosterloom.operators import dedupe, groups, linkage, order, quality
 
 ROLES = {"block": "block", "state": "state", "name": "name", "city": "city", "url": "url"}
 DDL = "row_no bigint, block string, state string, name string, city string, url string"
@@ -331,3 +331,10 @@ def test_fuzzy_signatures_make_fewer_rows_than_all_pairs(spark, small):
     assert n > 100 and "SortMergeJoin" in plan.executedPlan().toString()
     halves = names.filter("no % 2 = 0").count() * names.filter("no % 2 = 1").count()
     assert found.count() < halves / 10
+
+
+def test_numbered_is_the_global_order(spark):
+    df = spark.range(0, 3000).selectExpr("(id * 7919) % 3000 AS v", "id % 2 AS place").repartition(7)
+    got = order.numbered(df, ["v"], "no").collect()
+    assert all(r.v == r.no for r in got) and len(got) == 3000
+    assert order.numbered(df.limit(0), ["v"], "no").count() == 0

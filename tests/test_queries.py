@@ -45,6 +45,14 @@ def _is_single_task_window(line):
     return len(lists) == 1 or " ASC" in lists[1] or " DESC" in lists[1]
 
 
+@pytest.fixture(scope="module", autouse=True)
+def without_broadcasts(spark):
+    """Plans as large tables get them: every join is a shuffle."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql_and_plan_scales(spark, duck, small, name):
     df = QUERIES[name](spark, small)
@@ -53,6 +61,11 @@ def test_query_equals_sql_and_plan_scales(spark, duck, small, name):
     # a window without partition keys runs in one task
     alone = [x for x in plan.splitlines() if "Window [" in x and _is_single_task_window(x)]
     assert not alone
+    # all rows go to one task only as partial sums or as the rows of a limit
+    lines = plan.splitlines()
+    for line, below in zip(lines, lines[1:]):
+        if "Exchange SinglePartition" in line:
+            assert "partial_" in below or "Limit" in below, line
     got, columns = rows_of(df.columns, df.collect())
     cur = duck.execute(ORACLES[name])
     want, expected = rows_of([c[0] for c in cur.description], cur.fetchall())

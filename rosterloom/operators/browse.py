@@ -65,6 +65,19 @@ def sort_order(key: str, name: str, id_col: str, descending: bool = False,
     return [c.desc() if descending else c.asc(), F.col(name).asc(), F.col(id_col).asc()]
 
 
+def after_row(key: str, name: str, id_col: str, last: tuple, descending: bool = False,
+              nulls: object | None = None) -> Column:
+    """Rows that follow the row `last` = (key value, name, id) in `sort_order`.
+
+    As the `where` of the next page this replaces a deep offset: no skipped row is sorted.
+    """
+    stand_in = SORT_NULLS.get(key) if nulls is None else nulls
+    c, value = F.coalesce(F.col(key), F.lit(stand_in)), F.lit(stand_in if last[0] is None else last[0])
+    further = c < value if descending else c > value
+    tie = (F.col(name) > last[1]) | ((F.col(name) == last[1]) & (F.col(id_col) > last[2]))
+    return further | ((c == value) & tie)
+
+
 def label_order(col: str, ranks: Mapping[str, int], name: str, id_col: str) -> list[Column]:
     rank = F.coalesce(derive.lookup(F.col(col).cast("string"), ranks), F.lit(999))
     return [rank.asc(), F.col(name).asc(), F.col(id_col).asc()]

@@ -2,6 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from ..functions import derive
+from ..session import scratch_path
+from ..sources import readers, writers
 from . import phases
 from .bindings import ART, CUST, art, cust, score_columns, tables
 from .queries_linkage import ROLES, ROSTER, SHEET, _url_key, known, roster, sheet, sheet_records
@@ -31,22 +34,42 @@ _FRESH = f"""{ROSTER}, n AS (
   ON fresh.row_no = t.row_no)"""
 
 
-@query("i13_ingest_roster", (
+_STUBS = (
     f"WITH {_FRESH} SELECT CASE WHEN block = 'ZZ' THEN lower(replace(state, '_', '-')) || '-zz-' ELSE 'usa-' "
     "|| lower(block) || '-' END || CASE WHEN city = '' THEN 'unknown' ELSE lower(city) END || '-' || "
     "regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g') AS museum_id, name AS museum_name, state AS "
     "state_province, CASE WHEN city = '' THEN 'Unknown' ELSE city END AS city, url AS website, 'TBD' AS "
-    f"street_address, CAST(NULL AS INT) AS reputation, 'seed' AS sources, '{AS_OF}' AS created_at FROM kept"))
-def ingest_roster(spark, path):
+    f"street_address, CAST(NULL AS INT) AS reputation, 'seed' AS sources, '{AS_OF}' AS created_at FROM kept")
+
+
+def _stubs(spark, path, rows, roles):
     records = known(spark, path).select(
         F.col("block").alias("state_code"), F.col("state").alias("state_province"),
         F.col("name").alias("museum_name"), "city", F.col("url").alias("website"))
-    out = phases.ingest_roster(records, roster(spark, path), ROLES, "row_no", F.lit(AS_OF), "seed",
+    out = phases.ingest_roster(records, rows, roles, "row_no", F.lit(AS_OF), "seed",
                                "Seeded from the roster.", {"reputation": "int"})
     return out.select("museum_id", "museum_name", "state_province", "city", "website", "street_address",
                       "reputation", F.array_join("data_sources", ",").alias("sources"), "created_at")
 
 
+@query("i13_ingest_roster", _STUBS)
+def ingest_roster(spark, path):
+    return _stubs(spark, path, roster(spark, path), ROLES)
+
+
+@query("e2_roster_file_to_stubs", _STUBS)
+def roster_file_to_stubs(spark, path):
+    # the same rows by way of a roster file: their order is the order of the file
+    target = scratch_path(spark, "roster")
+    writers.write_csv(roster(spark, path).orderBy("row_no").select(
+        F.col("city").alias("CITY"), F.col("state").alias("STATE"), F.col("url").alias("URL"),
+        F.col("name").alias("NAME")), target)
+    rows = readers.read_roster(spark, target, strict=False).withColumn(
+        "block", derive.region_code("STATE"))
+    return _stubs(spark, path, rows, {"block": "block", "state": "STATE", "name": "NAME", "city": "CITY",
+                                      "url": "URL"})
+
+
 _NEED = ("(raw_city IS NULL OR lower(trim(raw_city)) IN ('', 'tbd', 'unknown', 'n/a', 'na', 'not known', "
          "'not available') OR (nk < 20 AND CAST(id % 8 AS INT) = 5))")
 

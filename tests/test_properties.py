@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from rosterloom.functions import text
 from rosterloom.functions.scoring import ScoreColumns
-from rosterloom.operators import merge, quality
+from rosterloom.operators import browse, merge, quality
 from rosterloom.plans import phases
 from rosterloom.plans.bindings import art, cust
 from rosterloom.plans.queries_merge import patched
@@ -74,3 +74,20 @@ def test_guard_raises_on_the_first_issue(spark, small):
     else:
         raise AssertionError("no error")
     quality.fail_on_issues(issues.filter("issue = 'none'"))
+
+
+def test_pages_by_their_last_row_are_the_pages_by_offset(spark):
+    df = spark.createDataFrame([(i, f"n{i % 5}", (i * 7) % 4 or None) for i in range(60)],
+                               "id int, name string, v int")
+    for down in (False, True):
+        order = browse.sort_order("v", "name", "id", down, 9)
+        whole = [r.id for r in df.orderBy(*order).collect()]
+        got, last = [], None
+        while True:
+            where = None if last is None else browse.after_row("v", "name", "id", last, down, 9)
+            rows = browse.BrowseQuery(order=order, where=where, limit=13).page(df).collect()
+            if not rows:
+                break
+            got += [r.id for r in rows]
+            last = (rows[-1].v, rows[-1].name, rows[-1].id)
+        assert got == whole

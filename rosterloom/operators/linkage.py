@@ -163,79 +163,77 @@ def _numbered_characters(c: Column) -> Column:
         (i - F.array_position(chars, x) + 1) * F.lit(1 << 21) + F.ascii(x)).cast("bigint"))
 
 
-def _token_order(names: DataFrame, name: str) -> dict[int, int]:
+def _token_order(tokens: DataFrame) -> dict[int, int]:
     """Rank of the most frequent tokens, the most frequent highest: at most MEASURED_TOKENS."""
-    top = (names.select(F.explode(_numbered_characters(F.col(name))).alias("token"))
+    top = (tokens.select(F.explode("tokens").alias("token"))
            .groupBy("token").count().orderBy(F.desc("count"), "token").limit(MEASURED_TOKENS)
            .collect())
     return {r["token"]: len(top) - i for i, r in enumerate(top)}
 
 
-def _character_tokens(c: Column, order: Mapping[int, int]) -> Column:
-    """Distinct tokens of a string, the rarest first. Any fixed order is lossless."""
+def _rarest_first(tokens: Column, order: Mapping[int, int]) -> Column:
+    """The tokens in the measured order, the rarest first. Any fixed order is lossless."""
     ranks = F.create_map(*[F.lit(x) for token, rank in order.items()
                            for x in (token, rank)]).cast("map<bigint,bigint>")
-    return F.sort_array(F.transform(_numbered_characters(c), lambda t: F.coalesce(
+    return F.sort_array(F.transform(tokens, lambda t: F.coalesce(
         F.try_element_at(ranks, t), F.lit(0)) * F.lit(1 << 40) + t))
 
 
-def _signatures(df: DataFrame, key: str, name: str, order: Mapping[int, int],
-                threshold: float) -> DataFrame:
-    """(key, sig): token pairs of which two sufficiently similar names must share at least one.
+def _signatures(df: DataFrame, key: str, order: Mapping[int, int], threshold: float) -> DataFrame:
+    """(key, n, sig): token pairs of which two sufficiently similar names must share at least one.
 
     ratio ≥ t needs M ≥ t/2·(|a|+|b|) common characters, and |b| ≥ t/(2-t)·|a|. If two token
     sets share α tokens, their first |a|-α+2 and |b|-α+2 tokens share two (prefix filter).
     """
     half = threshold / 2
-    n = F.length(name)
+    n = F.size("tokens")
     shortest = F.ceil(n * F.lit(half / (1 - half)) - F.lit(1e-9))
     alpha = F.ceil(F.lit(half) * (n + shortest) - F.lit(1e-9))
-    tokens = df.select(key, _character_tokens(F.col(name), order).alias("tokens"),
-                       F.greatest(F.lit(2), n - alpha + 2).cast("int").alias("head"), n.alias("n"))
-    prefix = F.slice("tokens", F.lit(1), F.col("head"))
-    pairs = F.flatten(F.transform(prefix, lambda x, i: F.transform(
-        F.slice("tokens", i + 2, F.greatest(F.lit(0), F.col("head") - i - 1)),
-        lambda y: F.xxhash64(x, y))))
-    return tokens.select(key, "n", F.explode(pairs).alias("sig"))
+    head = F.greatest(F.lit(2), n - alpha + 2).cast("int")
+    prefix = df.select(key, n.alias("n"), F.slice(_rarest_first(F.col("tokens"), order),
+                                                  F.lit(1), head).alias("prefix"))
+    pairs = F.flatten(F.transform("prefix", lambda x, i: F.transform(
+        F.slice("prefix", i + 2, F.size("prefix")), lambda y: F.xxhash64(x, y))))
+    return prefix.select(key, "n", F.explode(pairs).alias("sig"))
 
 
 def fuzzy_candidates(left: DataFrame, right: DataFrame, block: str, name: str, order: str,
                      threshold: float) -> DataFrame:
     """Distinct (block, a, b, order of b, bound) pairs whose ratio can reach the threshold.
 
-    Both sides hold distinct (block, name). Signatures are joined on numbers alone; names are
-    attached once a pair is unique. `bound` is the ratio if all common characters matched in
-    order. Two different names that are similar enough share two characters only when the
-    threshold is above 2/3.
+    Both sides hold distinct (block, name). Signatures are joined on numbers alone; names and
+    their tokens, made once a name, are attached once a pair is unique. `bound` is the ratio if
+    all common characters matched in order. Two different names that are similar enough share two
+    characters only when the threshold is above 2/3.
     """
     if threshold <= 2 / 3:
         raise ValueError("the pair signatures need a threshold above 2/3")
     half = threshold / 2
-    a = cut_lineage(left.filter(F.length(name) > 0).select(
-        F.col(block).alias("_block"), F.col(name).alias("a")).withColumn(
-        "ia", F.monotonically_increasing_id()), "fuzzy")
-    b = cut_lineage(right.filter(F.length(name) > 0).select(
-        F.col(block).alias("_block"), F.col(name).alias("b"), order).withColumn(
-        "ib", F.monotonically_increasing_id()), "fuzzy")
-    ranks = _token_order(a.select("a").union(b.select("b")), "a")
+
+    def prepared(df: DataFrame, column: str, number: str, *more: str) -> DataFrame:
+        return cut_lineage(df.filter(F.length(name) > 0).select(
+            F.col(block).alias("_block"), F.col(name).alias(column), *more,
+            _numbered_characters(F.col(name)).alias("tokens")).withColumn(
+            number, F.monotonically_increasing_id()), "fuzzy")
+
+    a, b = prepared(left, "a", "ia"), prepared(right, "b", "ib", order)
+    ranks = _token_order(a.select("tokens").union(b.select("tokens")))
     if not ranks:
-        return a.join(b, "_block").select(F.col("_block").alias(block), "a", "b", order,
-                                          F.lit(0.0).alias("bound"))
+        return a.join(b.drop("tokens"), "_block").select(
+            F.col("_block").alias(block), "a", "b", order, F.lit(0.0).alias("bound"))
 
-    def signed(df: DataFrame, key: str, column: str) -> DataFrame:
-        rows = df.withColumn("_key", F.struct("_block", key))
-        found = _signatures(rows, "_key", column, ranks, threshold)
-        return found.select(F.struct("_key._block", "sig").alias("_s"), f"_key.{key}",
-                            F.col("n").alias(f"n{key}"))
+    def signed(df: DataFrame, number: str) -> DataFrame:
+        found = _signatures(df.withColumn("_key", F.struct("_block", number)), "_key", ranks, threshold)
+        return found.select(F.struct("_key._block", "sig").alias("_s"), f"_key.{number}",
+                            F.col("n").alias(f"n{number}"))
 
     # lengths that can't match are left out before a pair is made
-    shared = signed(a, "ia", "a").join(signed(b, "ib", "b").hint("merge"), "_s").filter(
+    shared = signed(a, "ia").join(signed(b, "ib").hint("merge"), "_s").filter(
         F.least("nia", "nib") >= F.lit(half) * (F.col("nia") + F.col("nib")) - F.lit(1e-9))
     unique = shared.select("ia", "ib").distinct()
-    named = lookup(lookup(unique, a, ["ia"], "inner"), b.drop("_block"), ["ib"], "inner")
-    common = F.size(F.array_intersect(_numbered_characters(F.col("a")),
-                                      _numbered_characters(F.col("b"))))
-    bound = 2 * common / (F.length("a") + F.length("b"))
+    named = lookup(lookup(unique, a.withColumnRenamed("tokens", "_ta"), ["ia"], "inner"),
+                   b.drop("_block").withColumnRenamed("tokens", "_tb"), ["ib"], "inner")
+    bound = 2 * F.size(F.array_intersect("_ta", "_tb")) / (F.size("_ta") + F.size("_tb"))
     return named.withColumn("bound", bound).filter(F.col("bound") >= threshold - 1e-9).select(
         F.col("_block").alias(block), "a", "b", order, "bound")
 

@@ -177,14 +177,15 @@ def _scored(batches: Iterator[pa.RecordBatch], ranker: Ranker):
                                "score": pa.array(ranker.scores(x.reshape(-1, len(_FEATURES))))})
 
 
-def labelled_sample(labels: DataFrame, label_col: str, id_col: str, most: int) -> DataFrame:
+def labelled_sample(labels: DataFrame, label_col: str, id_col: str, most: int,
+                    values: tuple[int, ...] = (0, 1)) -> DataFrame:
     """(id, label) of at most `most` rows outside the held-out fold, as a small table.
 
     The rows are the first in the order of a hash of the id, so reruns take the same ones.
     """
     rows = (labels.select(F.col(id_col).cast("bigint").alias("_id"),
                           F.col(label_col).cast("int").alias("_label"))
-            .filter("_id IS NOT NULL AND _label IN (0, 1)").filter(~held_out("_id"))
+            .filter(F.col("_id").isNotNull() & F.col("_label").isin(*values)).filter(~held_out("_id"))
             .distinct().orderBy(F.xxhash64("_id"), "_id", "_label").limit(most).collect())
     return labels.sparkSession.createDataFrame([tuple(r) for r in rows], "_id bigint, _label int")
 

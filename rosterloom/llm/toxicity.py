@@ -23,9 +23,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .common import slices
 from .ranking import held_out, labelled_sample
 
@@ -36,6 +37,8 @@ MODERATE, SEVERE = 3, 5
 #: Chance that any term of the sample is taken for typical without being it, and how much more
 #: often a typical term must occur in toxic texts.
 CHANCE, MIN_ODDS = 0.01, 8
+#: Terms of a model, at most.
+MAX_TERMS = 50_000
 #: P(grade >= 1) from which a text counts as toxic.
 TOXIC_AT = 0.1
 
@@ -115,71 +118,87 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def _log_chance(k: np.ndarray, n: float, rate: np.ndarray) -> np.ndarray:
-    """Log likelihood of k texts out of n holding a term of this rate."""
-    rate = np.clip(rate, 1e-12, 1 - 1e-12)
-    return k * np.log(rate) + (n - k) * np.log(1 - rate)
-
-
-def fit_ordinal(found: list[np.ndarray], label: np.ndarray, grades: int | None = None) -> OrdinalModel:
-    """Learn from texts' term hashes and their labels; `grades` if these are grades already."""
-    label = np.asarray(label, np.int64)
-    n = len(label)
-    owner = np.repeat(np.arange(n), [len(f) for f in found])
-    every = np.concatenate([*found, np.empty(0, np.uint64)])
-    vocabulary, at = np.unique(every, return_inverse=True)
-    toxic = label > 0
-    if not toxic.any() or toxic.all():
-        return OrdinalModel(np.empty(0, np.uint64), np.empty(0),
-                            np.array([30.0, 31.0, 32.0]) * (-1 if toxic.any() else 1))
-    # near copies count as one text together: most share their three smallest term hashes, which
-    # different texts hardly do
-    least = np.zeros((n, 3), np.uint64)
-    for row, f in zip(least, found):
-        row[:len(f[:3])] = f[:3]
-    _, group, size = np.unique(least, axis=0, return_inverse=True, return_counts=True)
-    share = np.where(least[:, 0] > 0, 1 / size[group.ravel()], 1.0)
-    n1, n0 = share[toxic].sum(), share[~toxic].sum()
-    in1 = np.bincount(at, (share * toxic)[owner], len(vocabulary))
-    in0 = np.bincount(at, (share * ~toxic)[owner], len(vocabulary))
-    # likelihood ratio of two rates against one, in nats
-    one = (in1 + in0) / (n1 + n0)
-    gain = sum(_log_chance(k, m, k / m) - _log_chance(k, m, one) for k, m in ((in1, n1), (in0, n0)))
-    # only terms that say a text is toxic: one that says the contrary would excuse insults
-    typical = (gain >= np.log(max(len(vocabulary), 1) / CHANCE)) & (in1 * n0 > MIN_ODDS * in0 * n1)
-    place = np.cumsum(typical) - 1
-    used = typical[at]
-    rows, columns = owner[used], place[at[used]]
-    if grades is None:
-        count = np.bincount(rows, minlength=n)
-        grade = np.where(toxic, 1 + (count >= MODERATE) + (count >= SEVERE), 0)
-        grades = 4
-    else:
-        grade = label
-    w, t = cumulative_link(rows, columns, (n, int(typical.sum())), grade, grades)
-    return OrdinalModel(vocabulary[typical], w, t)
-
-
 def _found(batches: Iterator[pa.RecordBatch]):
     for batch in slices(batches):
+        found = [terms(t).view(np.int64) for t in batch.column("text").to_pylist()]
         yield pa.record_batch({
-            "_label": batch.column("_label"),
-            "terms": pa.array([terms(t).view(np.int64) for t in batch.column("text").to_pylist()],
-                              pa.list_(pa.int64()))})
+            "label": batch.column("label"), "terms": pa.array(found, pa.list_(pa.int64())),
+            # most near copies share their three smallest hashes, which different texts hardly do
+            "copy_of": pa.array([f[:3] for f in found], pa.list_(pa.int64()))})
+
+
+def _log_chance(k: Column, n: Column, rate: Column) -> Column:
+    """Log likelihood of k texts out of n holding a term of this rate."""
+    rate = F.least(F.greatest(rate, F.lit(1e-12)), F.lit(1 - 1e-12))
+    return k * F.log(rate) + (n - k) * F.log1p(-rate)
+
+
+def typical_terms(rows: DataFrame) -> DataFrame:
+    """(term, gain) of the at most MAX_TERMS terms typical of labels above 0, copies counted once.
+
+    `gain` is the likelihood ratio, in nats, of two rates of the term against one. Counted by Spark:
+    the number of different terms has no bound.
+    """
+    size = rows.groupBy("copy_of").agg((F.lit(1.0) / F.count(F.lit(1))).alias("share"))
+    shared = rows.join(size, "copy_of").withColumns({
+        "toxic": F.when(F.col("label") > 0, F.col("share")).otherwise(0.0),
+        "clean": F.when(F.col("label") > 0, 0.0).otherwise(F.col("share"))})
+    total = shared.agg(F.sum("toxic").alias("n1"), F.sum("clean").alias("n0")).first()
+    n1, n0 = F.lit(float(total["n1"])), F.lit(float(total["n0"]))
+    counts = cut_lineage(shared.select(F.explode("terms").alias("term"), "toxic", "clean").groupBy("term").agg(
+        F.sum("toxic").alias("k1"), F.sum("clean").alias("k0")), "toxicity")
+    k1, k0 = F.col("k1"), F.col("k0")
+    one = (k1 + k0) / (n1 + n0)
+    gain = (_log_chance(k1, n1, k1 / n1) - _log_chance(k1, n1, one)
+            + _log_chance(k0, n0, k0 / n0) - _log_chance(k0, n0, one))
+    # only terms that say a text is toxic: one that says the contrary would excuse insults
+    enough = float(np.log(max(counts.count(), 1) / CHANCE))
+    return counts.select("term", gain.alias("gain"), (k1 * n0 > MIN_ODDS * k0 * n1).alias("up")).filter(
+        (F.col("gain") >= enough) & F.col("up")).orderBy(F.desc("gain"), "term").limit(MAX_TERMS).select(
+        "term", "gain")
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id",
-          text_col: str = "text", max_labelled: int = MAX_LABELLED) -> OrdinalModel:
-    """Fit on at most `max_labelled` rows with 0/1 labels outside the held-out fold."""
-    sample = labelled_sample(labels, label_col, id_col, max_labelled)
+          text_col: str = "text", max_labelled: int = MAX_LABELLED,
+          grades: int | None = None) -> OrdinalModel:
+    """Fit on at most `max_labelled` labelled rows outside the held-out fold.
+
+    Labels are 0/1, or grades 0..`grades`-1. The driver gets the typical terms of these rows and
+    which row holds which of them, never the texts' other terms.
+    """
+    sample = labelled_sample(labels, label_col, id_col, max_labelled, tuple(range(grades or 2)))
     # the sample's size is bounded by the parameter
     texts = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("text"))
-    rows = texts.join(F.broadcast(sample), "_id").select("_label", "text").mapInArrow(
-        _found, "_label int, terms array<bigint>").toArrow()
-    column = rows.column("terms").combine_chunks()
-    flat, ends = column.values.to_numpy().view(np.uint64), column.offsets.to_numpy()
-    return fit_ordinal([flat[i:j] for i, j in zip(ends[:-1], ends[1:])],
-                       rows.column("_label").to_numpy())
+    rows = cut_lineage(texts.join(F.broadcast(sample), "_id").select(
+        F.col("_label").alias("label"), "text").mapInArrow(
+        _found, "label int, terms array<bigint>, copy_of array<bigint>").withColumn(
+        "row", F.monotonically_increasing_id()), "toxicity")
+    kinds = {r[0] > 0 for r in rows.select("label").distinct().collect()}
+    if kinds != {False, True}:
+        far = np.arange(30.0, 30.0 + (grades or 4) - 1)
+        return OrdinalModel(np.empty(0, np.uint64), np.empty(0), -far[::-1] if True in kinds else far)
+    words = typical_terms(rows).toArrow()
+    order = np.argsort(words.column("term").to_numpy().view(np.uint64))
+    vocabulary = words.column("term").to_numpy().view(np.uint64)[order]
+    known = docs.sparkSession.createDataFrame(
+        [(int(t),) for t in vocabulary.view(np.int64)], "term bigint")
+    label_of = rows.select("row", "label").toArrow()
+    ids = label_of.column("row").to_numpy()
+    label = label_of.column("label").to_numpy().astype(np.int64)
+    by_id = np.argsort(ids)
+    ids, label = ids[by_id], label[by_id]
+    # at most MAX_TERMS rows on the small side
+    held = rows.select("row", F.explode("terms").alias("term")).join(
+        F.broadcast(known), "term").select("row", "term").toArrow()
+    at_row = np.searchsorted(ids, held.column("row").to_numpy())
+    at_term = np.searchsorted(vocabulary, held.column("term").to_numpy().view(np.uint64))
+    if grades is None:
+        count = np.bincount(at_row, minlength=len(ids))
+        grade = np.where(label > 0, 1 + (count >= MODERATE) + (count >= SEVERE), 0)
+    else:
+        grade = label
+    weights, thresholds = cumulative_link(at_row, at_term, (len(ids), len(vocabulary)), grade, grades or 4)
+    return OrdinalModel(vocabulary, weights, thresholds)
 
 
 def severity(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id",

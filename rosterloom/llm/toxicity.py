@@ -26,6 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.groups import lookup
 from ..session import cut_lineage
 from .common import slices
 from .ranking import held_out, labelled_sample
@@ -140,7 +141,7 @@ def typical_terms(rows: DataFrame) -> DataFrame:
     the number of different terms has no bound.
     """
     size = rows.groupBy("copy_of").agg((F.lit(1.0) / F.count(F.lit(1))).alias("share"))
-    shared = rows.join(size, "copy_of").withColumns({
+    shared = lookup(rows, size, ["copy_of"]).withColumns({
         "toxic": F.when(F.col("label") > 0, F.col("share")).otherwise(0.0),
         "clean": F.when(F.col("label") > 0, 0.0).otherwise(F.col("share"))})
     total = shared.agg(F.sum("toxic").alias("n1"), F.sum("clean").alias("n0")).first()

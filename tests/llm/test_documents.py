@@ -5,6 +5,7 @@ import itertools
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -239,6 +240,41 @@ def test_losses_equal_counting_by_hand(spark):
     assert got[0].score == 0 and got[1].n_chars == 0
 
 
+def test_losses_do_not_share_counts_over_many_scripts(spark):
+    # far more different n-grams an order than any fixed table would keep apart
+    rng = np.random.default_rng(5)
+    texts = ["".join(map(chr, rng.integers(0x4E00, 0x9FA0, 1500))) for _ in range(400)]
+    texts += [texts[0][:400], "".join(map(chr, rng.integers(0xAC00, 0xD7A0, 300)))]
+    docs = frame(spark, rows_of(texts, False), False)
+    good = spark.createDataFrame([(i,) for i in range(0, 400, 4)], "doc_id bigint")
+    assert lm.train(docs, good).filter("n = 4").count() > 1 << 19
+    got = {r.doc_id: r for r in lm.cross_entropy_difference(docs, good).collect()}
+    assert len(got) == len(texts)
+
+    def count(chosen):
+        grams = Counter()
+        for t in chosen:
+            padded = "\0" * (lm.ORDER - 1) + t
+            for k in range(1, lm.ORDER + 1):
+                grams.update(padded[i - k + 1:i + 1] for i in range(lm.ORDER - 1, len(padded)))
+        return grams
+
+    vocabulary = len(set("".join(texts)))
+    for name, chosen in (("target_loss", texts[:400:4]), ("background_loss", texts)):
+        grams, whole = count(chosen), sum(map(len, chosen))
+        for i in (0, 1, 2, 400, 401):
+            padded, loss = "\0" * lm.ORDER + texts[i], 0.0
+            for at in range(lm.ORDER, len(padded)):
+                p, context = 1 / vocabulary, whole
+                for k in range(1, lm.ORDER + 1):
+                    own = grams[padded[at - k + 1:at + 1]]
+                    if context:
+                        p = lm.TRUST * min(own / context, 1) + (1 - lm.TRUST) * p
+                    context = grams[padded[at - k:at]]
+                loss -= np.log(p)
+            assert got[i][name] == pytest.approx(loss / len(texts[i]), rel=1e-9), (name, i)
+
+
 def held_out(doc_id):
     return zlib.crc32(str(doc_id).encode()) % 5 == 0
 

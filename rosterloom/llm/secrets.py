@@ -4,9 +4,12 @@ Base kinds, leftmost and non-overlapping per kind: `assign` (a key name, = or :,
 characters or more), `access` (access key ids), `hex` (24 lower-case hex digits or more). Matches
 that fail the length rule are dropped and still use up their text.
 
-Added kind `random`: maximal runs of 20 or more key characters outside base matches. The narrowest
-alphabet that holds a run (hex, base 32, 36, 62, 64) is its encoding. Uniform text over that
-alphabet must not be rejected by chi-squared uniformity, by a runs test about the median and by
+Added kind `random`: pieces of 20 or more characters of the runs of key characters. Runs are cut at
+the borders of base matches and at inner equals signs; what is left is tested as a whole, and its
+parts between slashes and pluses, between underscores and hyphens, and between any of them, so that
+tokens glued to names, paths and other tokens are tested too. Of accepted pieces inside each other
+the outermost is the span. The narrowest alphabet that holds a piece (hex, base 32, 36, 62, 64) is
+its encoding, without its digits if the piece has none. Uniform text over it must not be rejected by chi-squared uniformity, by a runs test about the median and by
 serial correlation (Bonferroni over the three). Against it stands ordinary text, in which lower
 case, upper case and digits follow each other in stretches: its p-value is the chance of so many
 changes of character class, and of so many digits, in a run of that length. Benjamini-Hochberg
@@ -40,7 +43,11 @@ MIN_VALUE = 6
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 
+SHORTEST = 20
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: What a run is cut into: at equals signs only, and at the separators of one alphabet or of both.
+PIECES = tuple(re.compile(p) for p in (
+    r"[A-Za-z0-9+/_-]+", r"[A-Za-z0-9_-]+", r"[A-Za-z0-9+/]+", r"[A-Za-z0-9]+"))
 #: Encodings from the narrowest alphabet to the widest.
 ENCODINGS = (
     ("hex", re.compile(r"[0-9a-f]+|[0-9A-F]+"), "0123456789abcdef"),
@@ -126,18 +133,23 @@ def length_class(n: int) -> int:
     return sum(n >= x for x in LENGTHS) - 1
 
 
+def encoding(body: str) -> str | None:
+    """The symbols of the narrowest alphabet that holds `body`, None if none does."""
+    return next((symbols for _, alphabet, symbols in ENCODINGS if alphabet.fullmatch(body)), None)
+
+
 def run_evidence(run: str) -> float | None:
     """The ordinary-text p-value of a run that may be random, None for one that may not."""
     body = run.rstrip("=")
-    for _, alphabet, symbols in ENCODINGS:
-        if not alphabet.fullmatch(body):
-            continue
-        if len({*body} & {*"0123456789"}) == 0 or body.isdigit():
-            return None
-        text = body.lower() if len(symbols) == 16 or len(symbols) == 36 else body
-        at = np.fromiter((symbols.index(c) for c in text), np.int64, len(text))
-        return ordinary(body) if randomness(at, len(symbols)) >= RANDOM_LEVEL else None
-    return None
+    symbols = encoding(body)
+    if symbols is None or body.isdigit():
+        return None
+    text = body.lower() if len(symbols) == 16 or len(symbols) == 36 else body
+    if not any(c.isdigit() for c in body):
+        # uniform text that happens to have no digit is uniform over the rest
+        symbols = "".join(c for c in symbols if not c.isdigit())
+    at = np.fromiter((symbols.index(c) for c in text), np.int64, len(text))
+    return ordinary(body) if randomness(at, len(symbols)) >= RANDOM_LEVEL else None
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -153,21 +165,45 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def _pieces(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """(start, end) of everything to be tested, in order; pieces may lie inside each other."""
+    out = set()
+    for m in RUN.finditer(text):
+        # the parts of the run outside base matches
+        parts, at = [], m.start()
+        for s, _, e in base:
+            if s < m.end() and at < e:
+                parts.append((at, s))
+                at = e
+        parts.append((at, m.end()))
+        for start, end in parts:
+            if end - start < SHORTEST:
+                continue
+            last = start + len(text[start:end].rstrip("="))
+            for pattern in PIECES:
+                for piece in pattern.finditer(text, start, last):
+                    # equals signs that end a part are padding
+                    e = end if piece.end() == last else piece.end()
+                    if e - piece.start() >= SHORTEST:
+                        out.add((piece.start(), e))
+    return sorted(out)
+
+
 def added_spans(text: str, base: list[tuple[int, int, int]]) -> tuple[list, list[int]]:
-    """(start, end, -log10 p, class) of runs that may be random, and all tested runs by class."""
+    """(start, end, -log10 p, class) of pieces that may be random, and all tested ones by class."""
     out, tested = [], [0] * len(LENGTHS)
-    for m in RUN.finditer(text):
-        if any(s < m.end() and m.start() < e for s, _, e in base):
+    for start, end in _pieces(text, base):
+        run = text[start:end]
+        if encoding(run.rstrip("=")) is None:
             continue
-        size = length_class(m.end() - m.start())
+        size = length_class(end - start)
         tested[size] += 1
-        run = m.group()
         # ordinary words: nothing to compute
         if run.isalpha() and (run.islower() or run.isupper() or run[1:].islower()):
             continue
         p = run_evidence(run)
         if p is not None and p < 0.1:
-            out.append((m.start(), m.end(), -log(max(p, 1e-99), 10), size))
+            out.append((start, end, -log(max(p, 1e-99), 10), size))
     return out, tested
 
 
@@ -245,8 +281,14 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(doc_id, base, spans) of each row: arrays of (start, rank, end, ...) in order."""
     found = cut_lineage(_found(docs, id_col, text_col), "secrets")
     least = F.array(*[F.lit(x) for x in _limits(found, rate)])
-    kept = F.filter("added", lambda s: s["evidence"] >= F.get(least, s["size"]))
-    return found.select("doc_id", "base", F.array_sort(F.concat("base", kept)).alias("spans"))
+    found = found.withColumn("kept", F.filter("added", lambda s: s["evidence"] >= F.get(least, s["size"])))
+
+    def inside(s: Column, t: Column) -> Column:
+        return (t["start"] <= s["start"]) & (s["end"] <= t["end"]) & (
+            (t["start"] < s["start"]) | (s["end"] < t["end"]))
+
+    outer = F.filter("kept", lambda s: ~F.exists("kept", lambda t: inside(s, t)))
+    return found.select("doc_id", "base", F.array_sort(F.concat("base", outer)).alias("spans"))
 
 
 def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",

@@ -440,6 +440,34 @@ def test_secret_spans_on_awkward_texts(spark):
     assert clean[texts.index(texts[-8])].startswith("\U0001F600 see [secret] there")
 
 
+def test_random_tokens_glued_to_other_key_characters(spark):
+    rng = random.Random(9)
+    symbols = {name: letters for name, _, letters in secrets.ENCODINGS}
+
+    def token(kind, n=40):
+        return "".join(rng.choices(symbols[kind], k=n))
+
+    cases = [("AWS_SECRET_ACCESS_KEY={}", token("base64")), ("https://x.org/f?sig={}&v=1", token("base64url")),
+             ("private_key={}==", token("base64")), ("/api/v1-beta/{}/some_page", token("base62")),
+             ("a-b_c/{}", token("base64url")), ("see AKIA" + "Q7" * 8 + "/{} there", token("base62")),
+             ("see {} there", "".join(rng.choices(symbols["base62"][10:], k=64))),
+             ("deadbeef" * 3 + "={}", token("base64"))]
+    plain = ["NAME_OF_SOME_SETTING=another_ordinary_setting", "/a-page/with_words/and/other-words/in_it",
+             "SomeVeryLongClassNameOfTheLibrary=getUserNameFromDatabase", "theninerinationhestthandnderthing"]
+    texts = [form.format(key) for form, key in cases] + plain
+    docs = frame(spark, rows_of(texts, False), False)
+    got = {r.doc_id: r.spans for r in secrets.secret_spans(docs).collect()}
+    clean = {r.doc_id: r.text for r in secrets.redacted(docs).collect()}
+    for i, (form, key) in enumerate(cases):
+        at = texts[i].index(key)
+        found = [tuple(map(int, s.split(":")[1:])) for s in got[i].split(",") if s.startswith("random")]
+        assert any(s <= at and at + len(key) <= e for s, e in found), (texts[i], got[i])
+        # accepted pieces of one token are one span
+        assert len(found) == 1 and key not in clean[i] and "[secret]" in clean[i]
+    for i in range(len(cases), len(texts)):
+        assert got[i] == "" and clean[i] == texts[i], (texts[i], got[i])
+
+
 def test_randomness_battery():
     rng = random.Random(2)
     letters = secrets.ENCODINGS[3][2]

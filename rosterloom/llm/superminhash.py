@@ -256,10 +256,22 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                  percent: int = 80) -> DataFrame:
     """The rows of `docs`, all columns, that stay: one of each group, the smallest id.
 
-    Of rows with equal ids one stays; rows with a null id all stay.
+    Each row is decided by its own text, so different texts of one id stay. Of rows with equal ids
+    and texts one stays; rows with a null id all stay.
     """
-    kept = near_duplicates(docs, id_col, text_col, n, percent).filter("kept")
-    kept = kept.select(F.col(id_col).alias("_kept")).filter("_kept IS NOT NULL").distinct()
-    named = docs.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col])
-    stay = named.join(kept, named[id_col].cast("bigint") == kept["_kept"], "left_semi")
-    return stay.unionByName(docs.filter(F.col(id_col).isNull()))
+    # row numbers are written: they must be the same in every later read
+    rows = cut_lineage(docs.withColumn("_row", F.monotonically_increasing_id()), "minhash")
+    named = rows.filter(F.col(id_col).isNotNull())
+    ids = named.select("_row", F.col(id_col).cast("bigint").alias("_id"),
+                       F.sha2(text_col, 256).alias("_digest"))
+    grouped = near_duplicates(named, "_row", text_col, n, percent).select(
+        F.col("_row").alias("_node"), "n_shingles", "component_id")
+    grouped = grouped.join(ids.hint("merge"), F.col("_node") == F.col("_row"))
+    # texts without words are no near copies of anything but themselves under the same id
+    bare = F.col("n_shingles") == 0
+    kept = grouped.groupBy(
+        F.when(~bare, F.col("component_id")).alias("_component"), F.when(bare, F.col("_id")).alias("_own"),
+        F.when(bare, F.col("_digest")).alias("_bare")).agg(
+        F.min(F.struct("_id", "_row")).alias("_first")).select(F.col("_first._row").alias("_kept"))
+    stay = rows.join(kept.hint("merge"), F.col("_row") == F.col("_kept"), "left_semi")
+    return stay.unionByName(rows.filter(F.col(id_col).isNull())).drop("_row")

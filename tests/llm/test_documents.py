@@ -106,6 +106,17 @@ def test_near_duplicates_repeated_and_null_ids(spark):
     assert left.columns == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def test_different_texts_of_one_id_are_decided_by_themselves(spark):
+    near = " ".join(f"w{i}" for i in range(60))
+    rows = [(3, "a b c d e f"), (5, "a b c d e f"), (5, "g h i j k l"), (5, "g h i j k l"),
+            (7, near), (8, near + " x"), (8, "m n o p q r"), (9, None), (9, None), (9, " ")]
+    docs = frame(spark, [(i, t, "en", "s", 1) for i, t in rows], False)
+    for parts in (1, 4):
+        left = superminhash.deduplicated(docs.repartition(parts)).collect()
+        assert sorted((r.doc_id, r.text or "") for r in left) == [
+            (3, "a b c d e f"), (5, "g h i j k l"), (7, near), (8, "m n o p q r"), (9, ""), (9, " ")]
+
+
 def test_signature_is_the_sequential_one_and_estimates_similarity():
     slots = 24
     sets = [np.unique(np.random.default_rng(i).integers(0, 2 ** 63, size, dtype=np.uint64))

@@ -73,13 +73,17 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
 
 def mixture(docs: DataFrame, size: Column, quality: Column, id_col: str = "doc_id",
             source_col: str = "source", weights: Sequence[float] = WEIGHTS, share: float = 1.0,
-            max_epochs: float = MAX_EPOCHS, seed: int = 11) -> DataFrame:
-    """(id, source, size, source_size, target, copies, taken) for each row of `docs`."""
+            max_epochs: float = MAX_EPOCHS, seed: int = 11, row_col: str | None = None) -> DataFrame:
+    """(id, source, size, source_size, target, copies, taken) for each row of `docs`.
+
+    `row_col` names a column of different numbers, which the result then holds as well.
+    """
+    row = F.col(row_col) if row_col else F.monotonically_increasing_id()
     weight = F.greatest(F.coalesce(quality, F.lit(1.0)), F.lit(1e-6))
     sized = cut_lineage(docs.select(
         F.col(id_col).alias("id"), F.col(source_col).alias("source"),
         F.coalesce(size, F.lit(0)).cast("bigint").alias("size"),
-        (-F.ln(uniform(id_col, seed)) / weight).alias("key")), "mixing")
+        (-F.ln(uniform(id_col, seed)) / weight).alias("key"), row.alias("row")), "mixing")
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     goal = targets(sizes, weights, share, max_epochs)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))
@@ -90,8 +94,8 @@ def mixture(docs: DataFrame, size: Column, quality: Column, id_col: str = "doc_i
     order = [F.asc_nulls_last("source"), "key", F.asc_nulls_last("id"), "row"]
     # the row number parts equal ids, so that ranges can be cut between them
     ranged = cut_lineage(
-        sized.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(*order)
-        .sortWithinPartitions(*order).withColumn("range", F.spark_partition_id()), "mixing")
+        sized.repartitionByRange(*order).sortWithinPartitions(*order)
+        .withColumn("range", F.spark_partition_id()), "mixing")
     # at most one row a range for each source
     ranges = ranged.groupBy("source", "range").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("source").orderBy("range").rowsBetween(
@@ -106,18 +110,22 @@ def mixture(docs: DataFrame, size: Column, quality: Column, id_col: str = "doc_i
     copies = F.col("epochs") + (middle < F.col("rest")).cast("bigint")
     return rows.withColumn("copies", copies).select(
         F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size",
-        "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+        "target", "copies", (F.col("copies") * F.col("size")).alias("taken"),
+        *([F.col("row").alias(row_col)] if row_col else []))
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           source_col: str = "source", **options) -> DataFrame:
     """The rows of the mix, all columns of `docs`: each document as often as it is taken.
 
-    Rows with equal ids, null ids among them, are taken equally often.
+    Each row is taken by its own plan, whatever other rows share its id.
     """
-    plan = mixture(docs, words_in(text_col), letters_share(text_col), id_col, source_col, **options)
-    times = (plan.groupBy(F.col(id_col).alias("_mix_id"))
-             .agg(F.max("copies").alias("_mix_copies")).filter("_mix_copies > 0"))
-    found = docs.join(cut_lineage(times, "mixing"), docs[id_col].eqNullSafe(F.col("_mix_id")))
+    # row numbers are written: they must be the same in every later read
+    rows = cut_lineage(docs.withColumn("_mix_row", F.monotonically_increasing_id()), "mixing")
+    plan = mixture(rows, words_in(text_col), letters_share(text_col), id_col, source_col,
+                   row_col="_mix_row", **options)
+    times = plan.filter("copies > 0").select(
+        F.col("_mix_row").alias("_mix_of"), F.col("copies").alias("_mix_copies"))
+    found = rows.join(cut_lineage(times, "mixing"), F.col("_mix_row") == F.col("_mix_of"))
     return found.withColumn("_mix_copies", F.explode(F.sequence(
-        F.lit(1).cast("bigint"), F.col("_mix_copies")))).select(*[docs[c] for c in docs.columns])
+        F.lit(1).cast("bigint"), F.col("_mix_copies")))).select(*[rows[c] for c in docs.columns])

@@ -218,6 +218,16 @@ def test_mix_takes_documents_as_often_as_planned(spark):
     assert mixing.mixed(odd).columns == odd.columns
 
 
+def test_mixed_rows_without_ids_are_taken_by_their_own_plan(spark):
+    rows = [(None, f"a{i} b c d", "en", s, 1) for s, n in (("a", 1), ("b", 30), ("c", 300)) for i in range(n)]
+    docs = frame(spark, rows, False).repartition(5)
+    plan = mixing.mixture(docs, mixing.words_in("text"), mixing.letters_share("text")).collect()
+    want, got = Counter(), Counter(r.source for r in mixing.mixed(docs).collect())
+    for r in plan:
+        want[r.source] += r.copies
+    assert got == want and len({r.copies for r in plan}) > 1
+
+
 def test_losses_equal_counting_by_hand(spark):
     texts = [None, "", "a", "abcabd", "abc abc", "zzz", "é\U0001F600a", "abcabd"]
     docs = frame(spark, rows_of(texts))

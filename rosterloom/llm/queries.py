@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, lm, mixing, packing, ranking, secrets, superminhash, tiles, topk, toxicity
+from . import chat, lm, mixing, packing, ranking, secrets, superminhash, tiles, topk, toxicity, trie
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -170,3 +170,53 @@ def op9_pca_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_randomness_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document."""
     return secrets.secret_spans(table(spark, sf_dir, "documents"))
+
+
+@_query("op11_prefix_trie", """
+WITH said AS (
+  SELECT conv_id, turn, coalesce(text, '') AS text,
+    md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS id
+  FROM conversations WHERE conv_id IS NOT NULL),
+placed AS (SELECT conv_id, id, strlen(text) AS size, row_number() OVER (
+  PARTITION BY conv_id ORDER BY turn NULLS FIRST, id) AS pos FROM said),
+crcs AS (
+  SELECT conv_id, xor(list_reduce(list_prepend(4294967295, list_transform(
+      range(1, length(conv_id::VARCHAR) + 1), lambda i: ascii((conv_id::VARCHAR)[i])::BIGINT)),
+    lambda a, x: list_reduce(list_prepend(xor(a, x), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+      lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)),
+    4294967295) % 9 AS h
+  FROM (SELECT DISTINCT conv_id FROM said)),
+convs AS (
+  SELECT c.conv_id, c.conv_id - c.conv_id % 5 AS base, h, least(h, coalesce(b.n, 0)) AS head
+  FROM crcs c LEFT JOIN (SELECT conv_id, count(*) AS n FROM placed GROUP BY conv_id) b
+  ON b.conv_id = c.conv_id - c.conv_id % 5),
+rebuilt AS (
+  SELECT conv_id, head + pos - h AS pos, id, size FROM placed JOIN convs USING (conv_id) WHERE pos > h
+  UNION ALL SELECT c.conv_id, p.pos, p.id, p.size
+  FROM convs c JOIN placed p ON p.conv_id = c.base AND p.pos <= c.head),
+paths AS (
+  SELECT conv_id, 0 AS depth, '' AS k, 0 AS size FROM convs UNION ALL
+  SELECT conv_id, pos, md5(string_agg(id, '') OVER (PARTITION BY conv_id ORDER BY pos)), size
+  FROM rebuilt),
+deepest AS (SELECT conv_id, max(depth) AS depth FROM paths GROUP BY conv_id),
+members AS (SELECT depth, k, min(conv_id) AS conv_id, count(*) AS n, any_value(size) AS size
+  FROM paths GROUP BY depth, k),
+ups AS (SELECT DISTINCT b.k, a.k AS up FROM paths a JOIN paths b
+  ON a.conv_id = b.conv_id AND b.depth = a.depth + 1),
+kids AS (SELECT up AS k, count(*) AS n FROM ups GROUP BY up),
+pairs AS (SELECT DISTINCT a.k, b.k AS low FROM paths a JOIN paths b
+  ON a.conv_id = b.conv_id AND b.depth >= a.depth),
+sums AS (
+  SELECT p.k, sum((m.n - 1) * m.size) AS saved, count(*) FILTER (c.n IS NULL) AS leaves
+  FROM pairs p JOIN members m ON m.k = p.low LEFT JOIN kids c ON c.k = p.low GROUP BY p.k),
+ends AS (
+  SELECT k, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids
+  FROM paths JOIN deepest USING (conv_id, depth) GROUP BY k)
+SELECT m.conv_id, m.depth::BIGINT AS depth, u.conv_id AS parent_conv_id, m.n AS n_convs,
+  coalesce(c.n, 0) AS n_children, s.leaves AS n_leaves, s.saved::BIGINT AS saved_tokens,
+  sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM members m JOIN sums s ON s.k = m.k LEFT JOIN ups ON ups.k = m.k LEFT JOIN members u ON u.k = ups.up
+LEFT JOIN kids c ON c.k = m.k LEFT JOIN ends e ON e.k = m.k""")
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the trie over all conversations, heads exchanged in groups of five."""
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, lm, mixing, packing, ranking, secrets, superminhash, tiles, topk, toxicity, trie
+from . import alignment, chat, lm, mixing, packing, ranking, secrets, superminhash, tiles, topk, toxicity, trie
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -220,3 +220,9 @@ LEFT JOIN kids c ON c.k = m.k LEFT JOIN ends e ON e.k = m.k""")
 def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes of the trie over all conversations, heads exchanged in groups of five."""
     return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+@_query("op12_token_alignment")
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of the two tokenizers' tokens in every document."""
+    return alignment.align(table(spark, sf_dir, "documents"))

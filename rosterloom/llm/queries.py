@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, chat, lm, mixing, packing, ranking, secrets, superminhash, tiles, topk, toxicity, trie
+from . import (
+    alignment,
+    chat,
+    languages,
+    lm,
+    mixing,
+    packing,
+    ranking,
+    secrets,
+    superminhash,
+    tiles,
+    topk,
+    toxicity,
+    trie,
+)
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -226,3 +240,10 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups and links of the two tokenizers' tokens in every document."""
     return alignment.align(table(spark, sf_dir, "documents"))
+
+
+@_query("op13_language_spans")
+def op13_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learnt outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    return languages.predicted(docs, languages.train(docs))

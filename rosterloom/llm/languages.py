@@ -238,7 +238,7 @@ def fit(rows: list[tuple[str, int, int]], trust: float = 500.0) -> LanguageModel
     """The model of (language, n-gram, times); script counts have n-grams below 0."""
     languages = sorted({lang for lang, gram, n in rows if gram >= 0 and n > 0})
     place = {lang: i for i, lang in enumerate(languages)}
-    used = [r for r in rows if r[0] in place]
+    used = [r for r in rows if r[0] in place and r[2] > 0]
     grams = np.array(sorted({r[1] for r in used if r[1] >= 0}), np.int64)
     counts = np.zeros((len(grams), len(languages)))
     scripts = np.zeros((SCRIPTS, len(languages)))
@@ -249,8 +249,8 @@ def fit(rows: list[tuple[str, int, int]], trust: float = 500.0) -> LanguageModel
             counts[np.searchsorted(grams, gram), place[lang]] = n
     total = np.maximum(counts.sum(0), 1)
     # languages count alike, however many texts they have
-    share = (counts / total).mean(1, keepdims=True)
-    ratio = (counts + trust * share) / (total + trust) / share if len(grams) else counts
+    share = (counts / total).sum(1, keepdims=True) / max(len(languages), 1)
+    ratio = (counts + trust * share) / (total + trust) / share
     candidates = scripts > CANDIDATE * np.maximum(scripts.sum(0), 1)
     candidates[~candidates.any(1)] = True
     return LanguageModel(languages, grams, np.log(ratio) / 2, candidates)

@@ -12,7 +12,12 @@ from ..functions import text, vocab
 _CLUTTER = ("nav", "header", "footer")
 #: A comment, a whole script or style element, a tag, text, or a lone `<`.
 _TOKEN = r"(?is)<!--.*?(?:-->|$)|<script\b.*?(?:</script\s*>|$)|<style\b.*?(?:</style\s*>|$)|<[a-z/!?][^>]*>|[^<]+|<"
-_HIDDEN = r"(?is)^<(!--|script\b|style\b)"
+#: Tokens with a name that are no part of the page, and (as a group) all others.
+_SHOWN = (r"(?is)<!--.*?(?:-->|$)|<script\b.*?(?:</script\s*>|$)|<style\b.*?(?:</style\s*>|$)"
+          r"|(<[a-z/!?][^>]*>|[^<]+|<)")
+_NAME = r"(?s)^</?([a-zA-Z][^\s/>]*)"
+_VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track",
+         "wbr")
 _ENTITY = r"&(?:#[0-9]{1,8}|#[xX][0-9a-fA-F]{1,7}|[a-zA-Z][a-zA-Z0-9]{1,31});"
 
 
@@ -47,28 +52,116 @@ def unescape(c: Column) -> Column:
 
 def visible(html: Column) -> Column:
     """The page without comments, scripts and styles."""
-    tokens = F.regexp_extract_all(html, F.lit(_TOKEN), F.lit(0))
-    return F.array_join(F.filter(tokens, lambda t: ~t.rlike(_HIDDEN)), "")
+    return F.regexp_replace(html, _SHOWN, "$1")
 
 
-def without_elements(html: Column, names: tuple[str, ...]) -> Column:
-    """The page's tokens outside the named elements, however deep those are nested.
+def _let(value: Column, body) -> Column:
+    """`body` of a value that is computed once, however often the body reads it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _tokens(html: Column) -> Column:
+    """The page's tokens: tag name ('' for text), +1 / -1 for a tag that opens / closes, hidden or not."""
+    def one(t: Column) -> Column:
+        name = F.when(t.startswith("<"), F.lower(F.regexp_extract(t, _NAME, 1))).otherwise("")
+        return _let(name, lambda n: F.struct(
+            t.alias("t"), n.alias("name"),
+            F.when((n == "") | n.isin("script", "style", *_VOID), 0).when(t.startswith("</"), -1)
+            .when(t.endswith("/>"), 0).otherwise(1).alias("move"),
+            (n.isin("script", "style") | t.startswith("<!--")).alias("hidden")))
+
+    return F.transform(F.regexp_extract_all(html, F.lit(_TOKEN), F.lit(0)), one)
+
+
+def _moves(tokens: Column, names: tuple[str, ...] | None = None) -> Column:
+    """(key, at, move) of the tags that open or close; all `names` share one key."""
+    def one(x: Column, i: Column) -> Column:
+        key = x["name"] if names is None else F.lit("")
+        return F.struct(key.alias("key"), i.alias("at"), x["move"].alias("move"), x["name"].alias("name"))
+
+    found = F.filter(F.transform(tokens, one), lambda e: e["move"] != 0)
+    return found if names is None else F.filter(found, lambda e: e["name"].isin(*names))
+
+
+def _levelled(moves: Column) -> Column:
+    """Moves with the level they open or close, by key and place.
+
+    Among moves in order the k-th opening one, at place i, follows k openings and i - k closings; so
+    its depth is 2k + 1 - i, without a running sum. A key's levels are shifted by a number of its own.
+    """
+    def side(x: Column, move: int) -> Column:
+        return F.transform(F.filter(x, lambda e: e["move"] == move), lambda e, k: F.struct(
+            e["key"].alias("key"),
+            (2 * k + 1 - e["i"] if move == 1 else e["i"] - 2 * k).alias("level"),
+            e["at"].alias("at"), e["move"].alias("move"), e["name"].alias("name")))
+
+    placed = F.transform(F.sort_array(moves), lambda e, i: F.struct(
+        e["key"].alias("key"), e["at"].alias("at"), e["move"].alias("move"), e["name"].alias("name"),
+        i.alias("i")))
+    return _let(placed, lambda x: F.sort_array(F.concat(side(x, 1), side(x, -1))))
+
+
+def _elements(moves: Column, stop: Column) -> Column:
+    """(start, end, name, closed) of each element by start: the places of its two tags.
+
+    The end tag is the next move of the same key and level. An element that is never closed ends at
+    `stop`; a stray end tag ends nothing.
+    """
+    def one(y: Column):
+        def pair(e: Column, j: Column) -> Column:
+            return _let(F.get(y, j + 1), lambda n: F.struct(
+                e["at"].alias("start"),
+                F.when((n["key"] == e["key"]) & (n["level"] == e["level"]), n["at"]).alias("end"),
+                e["name"].alias("name"), e["move"].alias("move")))
+        return pair
+
+    pairs = _let(_levelled(moves), lambda y: F.filter(
+        F.transform(y, one(y)), lambda e: e["move"] == 1))
+    return F.sort_array(F.transform(pairs, lambda e: F.struct(
+        e["start"].alias("start"), F.coalesce(e["end"], stop).alias("end"), e["name"].alias("name"),
+        e["end"].isNotNull().alias("closed"))))
+
+
+def _outermost(elements: Column) -> Column:
+    """The elements that are in no other one."""
+    def tag(place: str, move: int):
+        return lambda e: F.struct(F.lit("").alias("key"), e[place].alias("at"), F.lit(move).alias("move"),
+                                  F.lit("").alias("name"))
+
+    tags = F.concat(F.transform(elements, tag("start", 1)),
+                    F.transform(F.filter(elements, lambda e: e["closed"]), tag("end", -1)))
+    tops = F.transform(F.filter(_levelled(tags), lambda e: (e["move"] == 1) & (e["level"] == 1)),
+                       lambda e: e["at"])
+    # both are in order of their starts
+    return _let(F.map_from_entries(F.transform(elements, lambda e: F.struct(e["start"], e["end"]))),
+                lambda end: F.transform(tops, lambda s: F.struct(
+                    s.alias("start"), F.try_element_at(end, s).alias("end"))))
+
+
+def _without(tokens: Column, names: tuple[str, ...]) -> Column:
+    """The shown tokens outside the named elements, however deep those are nested.
 
     An element that is never closed hides the rest of the page; a stray end tag hides nothing.
+    Hidden elements are ranges, and what is between them is cut out as a whole: the work grows with
+    the number of tokens (and its logarithm), whatever the nesting.
     """
-    tags = "|".join(names)
-    tokens = F.regexp_extract_all(html, F.lit(_TOKEN), F.lit(0))
-    start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("kept"))
+    def gaps(x: Column, hidden: Column) -> Column:
+        n = F.size(x)
+        starts = F.concat(F.transform(hidden, lambda e: e["start"]), F.array(n))
+        ends = F.concat(F.array(F.lit(-1)), F.transform(hidden, lambda e: e["end"]))
+        return F.flatten(F.zip_with(starts, ends, lambda s, e: F.slice(
+            x, e + 2, F.greatest(s - e - 1, F.lit(0)))))
 
-    def step(acc: Column, t: Column) -> Column:
-        opens = t.rlike(rf"(?is)^<(?:{tags})\b[^>]*(?<!/)>$").cast("int")
-        closes = t.rlike(rf"(?is)^</(?:{tags})\s*>$").cast("int")
-        depth = F.greatest(F.lit(0), acc["depth"] + opens - closes)
-        shown = (acc["depth"] == 0) & (opens == 0) & (closes == 0) & ~t.rlike(_HIDDEN)
-        return F.struct(depth.alias("depth"),
-                        F.when(shown, F.array_append(acc["kept"], t)).otherwise(acc["kept"]).alias("kept"))
+    def cut(x: Column) -> Column:
+        return _let(_moves(x, names), lambda moves: F.when(F.size(moves) == 0, x).otherwise(
+            _let(_outermost(_elements(moves, F.size(x))), lambda hidden: gaps(x, hidden))))
 
-    return F.aggregate(tokens, start, step, lambda acc: acc["kept"])
+    return F.filter(_let(tokens, cut), lambda x: ~x["hidden"] & ~x["name"].isin(*names))
+
+
+def without_elements(html: Column, names: tuple[str, ...]) -> Column:
+    """The page's tokens, as they stand, outside the named elements."""
+    return F.transform(_without(_tokens(html), names), lambda x: x["t"])
 
 
 def _meta(html: Column, attr: str, value: str) -> Column:
@@ -132,7 +225,7 @@ def visitor_links(pages: DataFrame, id_col: str, url: str, html: str,
 def clean_text(html: Column | str, max_length: int = 2000) -> Column:
     """Page text without clutter elements: one line per text piece, cut with '...'."""
     pieces = F.transform(without_elements(text.as_col(html), _CLUTTER), lambda t: F.when(
-        t.rlike("(?is)^<[a-z/!?]"), F.lit("\n")).otherwise(t))
+        t.startswith("<") & t.rlike("(?is)^<[a-z/!?]"), F.lit("\n")).otherwise(t))
     lines = unescape(F.array_join(pieces, ""))
     lines = F.regexp_replace(lines, r"[ \t\r\f]*\n[ \t\r\f]*", "\n")
     lines = text.strip(F.regexp_replace(lines, r"\n{2,}", "\n"))
@@ -143,43 +236,6 @@ def clean_text(html: Column | str, max_length: int = 2000) -> Column:
 # -- topic sections ------------------------------------------------------------
 
 _SIDE = (*_CLUTTER, "aside")
-_VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track",
-         "wbr")
-
-
-def _marked(tokens: Column) -> Column:
-    """Tokens with their tag name ('' for text) and +1 / -1 for a tag that opens / closes."""
-    def one(t: Column) -> Column:
-        name = F.lower(F.regexp_extract(t, r"(?s)^</?([a-zA-Z][a-zA-Z0-9]*)", 1))
-        empty = name.isin(*_VOID) | t.endswith("/>")
-        move = F.when(name == "", 0).when(t.startswith("</"), -1).when(empty, 0).otherwise(1)
-        return F.struct(t.alias("t"), name.alias("name"), move.alias("move"))
-
-    return F.transform(tokens, one)
-
-
-def _inside(tokens: Column, at: Column) -> Column:
-    """The tokens between the tag at position `at` (from 0) and the end tag that matches it.
-
-    An element that is never closed reaches to the last token.
-    """
-    name = F.get(tokens, at)["name"]
-    rest = F.slice(tokens, at + 2, F.size(tokens))
-    # depth inside the element, and the tokens passed until it is 0
-    end = F.aggregate(
-        rest, F.struct(F.lit(1).alias("depth"), F.lit(0).alias("n")),
-        lambda acc, x: F.when(acc["depth"] == 0, acc).otherwise(F.struct(
-            (acc["depth"] + F.when(x["name"] == name, x["move"]).otherwise(0)).alias("depth"),
-            (acc["n"] + 1).alias("n"))),
-        lambda acc: acc["n"] - F.when(acc["depth"] == 0, 1).otherwise(0))
-    return F.slice(rest, F.lit(1), end)
-
-
-def _first_where(tokens: Column, test) -> Column:
-    """Position of the first opening tag that passes the test."""
-    places = F.sequence(F.lit(0), F.size(tokens) - 1)
-    found = F.filter(places, lambda i: (F.get(tokens, i)["move"] == 1) & test(F.get(tokens, i)))
-    return F.when(F.size(tokens) > 0, F.get(found, 0))
 
 
 def _attribute(token: Column, name: str) -> Column:
@@ -187,21 +243,37 @@ def _attribute(token: Column, name: str) -> Column:
 
 
 def _main_area(tokens: Column) -> Column:
-    """The tokens of the first main element, article, content or main block, or body; else null."""
-    def has_class(word: str):
-        return lambda x: F.array_contains(F.split(_attribute(x, "class"), r"\s+"), word)
+    """Place of the first main element, article, content or main block, or body; else null."""
+    def place(x: Column, i: Column) -> Column:
+        opens = x["move"] == 1
+        return F.struct(i.alias("at"), x["name"].alias("name"), opens.alias("opens"),
+                        F.when(opens, F.split(_attribute(x, "class"), r"\s+")).alias("classes"),
+                        F.when(opens, _attribute(x, "id")).alias("id"))
 
     tests = [lambda x: x["name"] == "main", lambda x: x["name"] == "article",
-             has_class("content"), lambda x: _attribute(x, "id") == "content",
-             has_class("main"), lambda x: _attribute(x, "id") == "main",
+             lambda x: F.array_contains(x["classes"], "content"), lambda x: x["id"] == "content",
+             lambda x: F.array_contains(x["classes"], "main"), lambda x: x["id"] == "main",
              lambda x: x["name"] == "body"]
-    at = F.coalesce(*[_first_where(tokens, t) for t in tests])
-    return F.when(at.isNotNull(), _inside(tokens, at))
+    return _let(F.filter(F.transform(tokens, place), lambda x: x["opens"]), lambda opens: F.coalesce(
+        *[F.get(F.filter(opens, t), 0)["at"] for t in tests]))
+
 
+def _area(tokens: Column) -> Column:
+    """The texts between the main area's tags ('' for a tag), and the places of its blocks in them.
+
+    Null without a main area. A block that is not closed in the area reaches to its end.
+    """
+    def parts(x: Column, at: Column, elements: Column) -> Column:
+        own = F.get(F.filter(elements, lambda e: e["start"] == at), 0)
+        return _let(own["end"], lambda stop: F.struct(
+            F.transform(F.slice(x, at + 2, stop - at - 1), lambda t: F.when(
+                t["name"] == "", unescape(t["t"])).otherwise("")).alias("texts"),
+            F.transform(F.filter(elements, lambda e: (e["start"] > at) & (e["start"] < stop) & e["name"].isin(
+                "section", "div", "article")), lambda e: F.struct(
+                (e["start"] - at).alias("start"), (F.least(e["end"], stop) - at).alias("end"))).alias("blocks")))
 
-def _pieces(tokens: Column) -> Column:
-    """The texts among the tokens, as they stand."""
-    return F.transform(F.filter(tokens, lambda x: x["name"] == ""), lambda x: unescape(x["t"]))
+    return _let(tokens, lambda x: _let(_main_area(x), lambda at: F.when(at.isNotNull(), _let(
+        _elements(_moves(x), F.size(x)), lambda elements: parts(x, at, elements)))))
 
 
 def topic_sections(pages: DataFrame, id_col: str, html: str,
@@ -214,20 +286,34 @@ def topic_sections(pages: DataFrame, id_col: str, html: str,
     """
     def lines(pieces: Column) -> Column:
         kept = F.filter(F.transform(pieces, text.strip), lambda p: p != "")
-        return F.get(F.transform(F.array(F.array_join(kept, "\n")), lambda t: text.cut(t, max_length)), 0)
-
-    # a step a column: each is computed once and used by the next
-    seen = pages.select(id_col, _marked(without_elements(F.col(html), _SIDE)).alias("_tokens"))
-    area = seen.select(id_col, _main_area(F.col("_tokens")).alias("_area"))
-    places = F.filter(F.sequence(F.lit(0), F.size("_area") - 1), lambda i: (
-        F.get("_area", i)["move"] == 1) & F.get("_area", i)["name"].isin("section", "div", "article"))
-    blocks = F.transform(F.when(F.size("_area") > 0, places).otherwise(F.array().cast("array<int>")),
-                         lambda i: _pieces(_inside(F.col("_area"), i)))
-    parts = area.select(id_col, _pieces(F.col("_area")).alias("_all"), blocks.alias("_blocks"))
-
-    def about(words: tuple[str, ...]) -> Column:
-        hits = F.slice(F.filter("_blocks", lambda b: text.contains_any(F.lower(F.array_join(b, "")), words)),
-                       1, sections)
-        return F.when(F.size(hits) > 0, lines(F.flatten(hits))).otherwise(lines(F.col("_all")))
-
-    return parts.select(id_col, *[about(words).alias(f"{topic}_text") for topic, words in topics.items()])
+        return _let(F.array_join(kept, "\n"), lambda t: text.cut(t, max_length))
+
+    def inside(texts: Column, block: Column) -> Column:
+        return F.slice(texts, block["start"] + 1, block["end"] - block["start"] - 1)
+
+    # a block without the topic holds no block with it: those are passed over, so blocks that are
+    # read and missed never overlap, and reading ends with the last section wanted
+    place = "array<struct<start:int,end:int>>"
+
+    def about(words: tuple[str, ...]):
+        def step(texts: Column):
+            def one(acc: Column, block: Column) -> Column:
+                said = F.lower(F.array_join(inside(texts, block), ""))
+                hit = F.struct(acc["until"].alias("until"),
+                               F.array_append(acc["found"], block).cast(place).alias("found"))
+                miss = F.struct(block["end"].alias("until"), acc["found"].alias("found"))
+                return F.when((F.size(acc["found"]) >= sections) | (block["start"] < acc["until"]),
+                              acc).otherwise(F.when(text.contains_any(said, words), hit).otherwise(miss))
+            return one
+
+        def read(area: Column) -> Column:
+            none = F.struct(F.lit(0).alias("until"), F.array().cast(place).alias("found"))
+            found = F.aggregate(area["blocks"], none, step(area["texts"]), lambda acc: acc["found"])
+            return _let(found, lambda hits: lines(
+                F.when(F.size(hits) > 0, F.flatten(F.transform(hits, lambda b: inside(area["texts"], b))))
+                .otherwise(area["texts"])))
+        return read
+
+    seen = pages.select(id_col, _area(_without(_tokens(F.col(html)), _SIDE)).alias("_area"))
+    return seen.select(id_col, *[
+        F.when(F.col("_area").isNotNull(), _let(F.col("_area"), about(words))).alias(f"{topic}_text") for topic, words in topics.items()])

@@ -96,3 +96,115 @@ def test_clutter_is_removed_by_depth(spark):
 def test_sections_outside_the_main_area_do_not_count(spark):
     page = "<body><main><p>x</p></main><div>Open hours here</div></body>"
     assert topic(spark, page, "hours") == "x"
+
+
+def soup(rnd):
+    """A page of nested, unclosed, stray and odd tags."""
+    parts = []
+    for _ in range(rnd.randint(0, 60)):
+        name = rnd.choice(["div", "section", "nav", "header", "aside", "p", "article", "main", "b", "nav-x", "BODY"])
+        parts.append(rnd.choice([
+            f"<{name}>", f"<{name}>", f"</{name}>", f"</{name} >", f"<{name}/>", f'<{name} class="a content">',
+            f"<{name} id=main>", "ho", "urs", " open ", "cost", "<br>", "<!-- <div> hours -->", "<", "&amp;",
+            "<script>'<nav>'</script>", "</script>", "\n x", "<!doctype html>"]))
+    return "".join(parts)
+
+
+def tokens_by_hand(html):
+    import re
+
+    found = re.findall(r"(?is)<!--.*?(?:-->|\Z)|<script\b.*?(?:</script\s*>|\Z)|<style\b.*?(?:</style\s*>|\Z)"
+                       r"|<[a-z/!?][^>]*>|[^<]+|<", html)
+    out = []
+    for t in found:
+        name = re.match(r"</?([a-zA-Z][^\s/>]*)", t)
+        name = name.group(1).lower() if name else ""
+        moves = 0 if name in ("", "br", "script") else -1 if t.startswith("</") else 0 if t.endswith("/>") else 1
+        out.append((t, name, moves, t.startswith("<!--") or name == "script"))
+    return out
+
+
+def outside_by_hand(tokens, names):
+    depth, kept = 0, []
+    for t in tokens:
+        if t[1] in names:
+            depth = max(0, depth + t[2])
+        elif not depth and not t[3]:
+            kept.append(t)
+    return kept
+
+
+def inside_by_hand(tokens, at):
+    depth = 1
+    for j in range(at + 1, len(tokens)):
+        depth += tokens[j][2] if tokens[j][1] == tokens[at][1] else 0
+        if not depth:
+            return tokens[at + 1:j]
+    return tokens[at + 1:]
+
+
+def sections_by_hand(html, words):
+    import re
+
+    tokens = outside_by_hand(tokens_by_hand(html), ("nav", "header", "footer", "aside"))
+    opens = [i for i, t in enumerate(tokens) if t[2] == 1]
+
+    def attr(i, name):
+        m = re.search(rf"\s{name}\s*=\s*[\"']?([^\"'>]*)", tokens[i][0])
+        return m.group(1) if m else ""
+
+    tests = [lambda i: tokens[i][1] == "main", lambda i: tokens[i][1] == "article",
+             lambda i: "content" in attr(i, "class").split(), lambda i: attr(i, "id") == "content",
+             lambda i: "main" in attr(i, "class").split(), lambda i: attr(i, "id") == "main",
+             lambda i: tokens[i][1] == "body"]
+    at = next((i for test in tests for i in opens if test(i)), None)
+    if at is None:
+        return None
+    area = inside_by_hand(tokens, at)
+
+    def texts(part):
+        return [t[0].replace("&amp;", "&") for t in part if t[1] == ""]
+
+    blocks = [texts(inside_by_hand(area, i)) for i, t in enumerate(area)
+              if t[2] == 1 and t[1] in ("section", "div", "article")]
+    hits = [b for b in blocks if any(w in "".join(b).lower() for w in words)][:3]
+    pieces = [p.strip() for b in hits for p in b] if hits else [p.strip() for p in texts(area)]
+    return "\n".join(p for p in pieces if p)
+
+
+def test_page_structure_equals_a_stack(spark):
+    import random
+
+    rnd = random.Random(11)
+    rows = [(i, soup(rnd)) for i in range(400)] + [(400, None), (401, "")]
+    df = spark.createDataFrame(rows, "id int, h string")
+    topics = {"x": ("hours", "cost"), "y": ("open",)}
+    got = {r.id: r for r in pages.topic_sections(df, "id", "h", topics, max_length=10 ** 6).collect()}
+    kept = {r.id: r.k for r in df.select("id", pages.without_elements(
+        pages.text.as_col("h"), ("nav", "header", "footer")).alias("k")).collect()}
+    hits = 0
+    for i, html in rows:
+        want = [sections_by_hand(html, w) if html else None for w in topics.values()]
+        assert [got[i].x_text, got[i].y_text] == want, html
+        hits += want[0] is not None
+        if html is not None:
+            assert kept[i] == [t[0] for t in outside_by_hand(
+                tokens_by_hand(html), ("nav", "header", "footer"))], html
+    assert hits > 100
+
+
+@pytest.mark.parametrize("page", ["<div>no words</div>", "<nav>a</nav><p>b</p>"])
+def test_long_pages_take_time_in_proportion(spark, page):
+    import time
+
+    def seconds(n):
+        df = spark.createDataFrame([(1, f"<main>{page * n}</main>")], "id bigint, h string")
+        start = time.perf_counter()
+        df.select(pages.clean_text("h")).collect()
+        pages.topic_sections(df, "id", "h").collect()
+        return time.perf_counter() - start
+
+    seconds(100)
+    # 25 times the tokens, beside what any run takes: far from 625 times the work
+    short, long = seconds(1_000), seconds(25_000)
+    assert long < 20 * short

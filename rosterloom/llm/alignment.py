@@ -31,10 +31,9 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 from .common import slices
 
-#: Bytes of text whose links are added up together and whose counts are fetched together.
-BLOCK = 8 << 20
-#: Distinct links a task holds before it hands them on.
-HELD = 1 << 21
+#: Bytes of text whose links are added up together and whose counts are fetched together, and
+#: bytes encoded at once.
+BLOCK, SLICE = 8 << 20, 1 << 20
 _SEGMENT = re.compile(" +[^ ]*")
 _SPACE = "\N{LOWER ONE EIGHTH BLOCK}"
 
@@ -213,8 +212,12 @@ _TEXTS = ("block bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint
 
 def _encoded(batches: Iterator[pa.RecordBatch], make: Callable[[], Vocabularies]):
     v = make()
-    block = TaskContext.get().partitionId() << 40
-    for batch in slices(batches, limit=BLOCK):
+    block, size = TaskContext.get().partitionId() << 40, 0
+    for batch in slices(batches, limit=min(BLOCK, SLICE)):
+        more = pc.sum(pc.binary_length(batch.column("text"))).as_py() or 0
+        if size and size + more > BLOCK:
+            block, size = block + 1, 0
+        size += more
         found = Aligned(batch.column("text").to_pylist(), v)
         codes, counts, sizes = found.distinct()
         offsets = pa.array(_bounds(sizes), pa.int32())
@@ -225,7 +228,6 @@ def _encoded(batches: Iterator[pa.RecordBatch], make: Callable[[], Vocabularies]
             "groups_sha256": pa.array(found.digests(), pa.string()),
             "codes": pa.ListArray.from_arrays(offsets, pa.array(codes, pa.int64())),
             "counts": pa.ListArray.from_arrays(offsets, pa.array(counts, pa.int64()))})
-        block += 1
 
 
 def _added(batches: Iterator[pa.RecordBatch], n_a: int):
@@ -233,20 +235,17 @@ def _added(batches: Iterator[pa.RecordBatch], n_a: int):
     plain = np.zeros(n_a, np.int64)
     for batch in batches:
         blocks = batch.column("block").to_numpy()
-        sizes = pc.list_value_length(batch.column("codes")).to_numpy(zero_copy_only=False)
-        codes = batch.column("codes").flatten().to_numpy()
-        counts = batch.column("counts").flatten().to_numpy()
-        is_plain = codes < n_a
-        plain += np.bincount(codes[is_plain], counts[is_plain], n_a).astype(np.int64)
-        names, of = np.unique(blocks, return_inverse=True)
-        owner = np.repeat(of, sizes)[~is_plain]
-        keys, at = np.unique(owner << 32 | codes[~is_plain], return_inverse=True)
-        total = np.bincount(at, counts[~is_plain], len(keys)).astype(np.int64)
-        for i in range(0, len(keys), HELD):
-            part = keys[i:i + HELD]
-            yield pa.record_batch({"block": pa.array(names[part >> 32], pa.int64()),
-                                   "code": pa.array(part & 0xFFFFFFFF, pa.int64()),
-                                   "n": pa.array(total[i:i + HELD], pa.int64())})
+        # the rows of a block follow each other
+        cuts = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]
+        for start, stop in zip(cuts[:-1], cuts[1:]):
+            codes, counts = (batch.column(c).slice(start, stop - start).flatten().to_numpy()
+                             for c in ("codes", "counts"))
+            is_plain = codes < n_a
+            plain += np.bincount(codes[is_plain], counts[is_plain], n_a).astype(np.int64)
+            keys, at = np.unique(codes[~is_plain], return_inverse=True)
+            total = np.bincount(at, counts[~is_plain], len(keys)).astype(np.int64)
+            yield pa.record_batch({"block": pa.array(np.repeat(blocks[start:start + 1], len(keys))),
+                                   "code": pa.array(keys), "n": pa.array(total)})
     used = np.flatnonzero(plain)
     yield pa.record_batch({"block": pa.nulls(len(used), pa.int64()), "code": pa.array(used, pa.int64()),
                            "n": pa.array(plain[used], pa.int64())})

@@ -18,6 +18,14 @@ from ..functions.text import strip
 _MERGE = {"count": F.sum, "sum": F.sum, "min": F.min, "max": F.max}
 
 
+def free_name(name: str, *frames: DataFrame) -> str:
+    """`name`, or a longer one that no column of `frames` has: for columns that are dropped again."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def attach_group_stats(df: DataFrame, keys: Sequence[str],
                        stats: Mapping[str, tuple[str, str | None]], salt_on: str,
                        salts: int = 32) -> DataFrame:
@@ -26,19 +34,20 @@ def attach_group_stats(df: DataFrame, keys: Sequence[str],
     Null keys are equal to each other. `salt_on` is any column that varies inside a key.
     """
     # keys travel as one struct: it is never null itself and compares its nulls as equal
+    key, salt = free_name("_key", df), free_name("_salt", df)
     salted = df.withColumns({
-        "_key": F.struct(*keys),
-        "_salt": F.pmod(F.xxhash64(salt_on), F.lit(salts)).cast("int")})
+        key: F.struct(*keys),
+        salt: F.pmod(F.xxhash64(salt_on), F.lit(salts)).cast("int")})
 
     def first(fn: str, col: str | None):
         return F.count(F.lit(1) if col is None else col) if fn == "count" else getattr(F, fn)(col)
 
-    partial = salted.groupBy("_key", "_salt").agg(
+    partial = salted.groupBy(key, salt).agg(
         *[first(fn, col).alias(name) for name, (fn, col) in stats.items()])
-    per_key = Window.partitionBy("_key")  # at most `salts` rows per key
+    per_key = Window.partitionBy(key)  # at most `salts` rows per key
     totals = partial.withColumns(
         {name: _MERGE[fn](name).over(per_key) for name, (fn, _) in stats.items()})
-    return salted.join(totals, ["_key", "_salt"], "left").drop("_key", "_salt")
+    return salted.join(totals, [key, salt], "left").drop(key, salt)
 
 
 def lookup(rows: DataFrame, dim: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
@@ -49,9 +58,9 @@ def lookup(rows: DataFrame, dim: DataFrame, keys: Sequence[str], how: str = "lef
     does adaptive execution split the partition of a hot key. Without it all rows of the key
     would follow the aggregate into one task. Null keys are equal to each other.
     """
-    key = F.struct(*keys)
-    right = dim.select(key.alias("_lookup"), *[c for c in dim.columns if c not in keys])
-    return rows.withColumn("_lookup", key).join(right, "_lookup", how).drop("_lookup")
+    key, name = F.struct(*keys), free_name("_lookup", rows, dim)
+    right = dim.select(key.alias(name), *[c for c in dim.columns if c not in keys])
+    return rows.withColumn(name, key).join(right, name, how).drop(name)
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: str,
@@ -79,28 +88,29 @@ def peers_in_city(df: DataFrame, id_col: str, city: str, state: str, mode: str =
     `phase`: per state, city compared stripped and case-insensitively, rows with the
     record's own id excluded, a record without city has 0.
     """
+    own_city, own_state, own, n = (free_name(c, df) for c in ("_city", "_state", "_own", "_n"))
     if mode == "index":
-        keyed = df.withColumns({"_city": F.coalesce(city, F.lit("")),
-                                "_state": F.coalesce(state, F.lit(""))})
-        counted = attach_group_stats(keyed, ["_city", "_state"], {"_n": ("count", None)},
-                                     id_col, salts)
-        value = F.greatest(F.lit(0), F.col("_n") - 1)
-        return counted.withColumn(out, value).drop("_city", "_state", "_n")
+        keyed = df.withColumns({own_city: F.coalesce(city, F.lit("")),
+                                own_state: F.coalesce(state, F.lit(""))})
+        counted = attach_group_stats(keyed, [own_city, own_state], {n: ("count", None)}, id_col, salts)
+        value = F.greatest(F.lit(0), F.col(n) - 1)
+        return counted.withColumn(out, value).drop(own_city, own_state, n)
     place = F.lower(strip(city))
-    keyed = df.withColumn("_city", F.coalesce(place, F.lit("")))
+    keyed = df.withColumn(own_city, F.coalesce(place, F.lit("")))
     # one row per (place, id), and from those one per place
-    per_id = keyed.filter("_city <> ''").groupBy(state, "_city", id_col).agg(
-        F.count(F.lit(1)).alias("_own"))
-    per_place = per_id.groupBy(state, "_city").agg(F.sum("_own").alias("_n"))
+    per_id = keyed.filter(F.col(own_city) != "").groupBy(state, own_city, id_col).agg(
+        F.count(F.lit(1)).alias(own))
+    per_place = per_id.groupBy(state, own_city).agg(F.sum(own).alias(n))
     # a record without city finds no counts and has no neighbours
-    found = lookup(lookup(keyed, per_id, [state, "_city", id_col]), per_place, [state, "_city"])
-    return found.withColumn(out, F.coalesce(F.col("_n") - F.col("_own"), F.lit(0)).cast("bigint")).drop(
-        "_n", "_own", "_city")
+    found = lookup(lookup(keyed, per_id, [state, own_city, id_col]), per_place, [state, own_city])
+    return found.withColumn(out, F.coalesce(F.col(n) - F.col(own), F.lit(0)).cast("bigint")).drop(
+        n, own, own_city)
 
 
 def flag_duplicates(df: DataFrame, keys: Mapping[str, object], row_no: str,
                     out: str = "is_duplicate", salts: int = 32) -> DataFrame:
     """True for the 2nd and later occurrence of a key; `keys` = {temporary name: Column}."""
     keyed = df.withColumns(dict(keys))
-    first = attach_group_stats(keyed, list(keys), {"_first": ("min", row_no)}, row_no, salts)
-    return first.withColumn(out, F.col(row_no) > F.col("_first")).drop("_first", *keys)
+    least = free_name("_first", keyed)
+    first = attach_group_stats(keyed, list(keys), {least: ("min", row_no)}, row_no, salts)
+    return first.withColumn(out, F.col(row_no) > F.col(least)).drop(least, *keys)

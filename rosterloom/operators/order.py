@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .groups import lookup
+from .groups import free_name, lookup
 
 
 def with_offsets(df: DataFrame, part: str, sizes: Sequence[tuple[int, int]], place: str,
@@ -19,10 +19,12 @@ def with_offsets(df: DataFrame, part: str, sizes: Sequence[tuple[int, int]], pla
     `sizes` are (part, rows) in order of the parts: one pair for each partition or file split.
     """
     before = [0, *accumulate(n for _, n in sizes)]
-    rows = [(int(p), b) for (p, _), b in zip(sizes, before)]
-    offsets = df.sparkSession.createDataFrame(rows, f"{part} int, _before bigint")
-    return lookup(df, offsets, [part]).withColumn(out, F.col("_before") + F.col(place)).drop(
-        part, place, "_before")
+    rows, offset = [(int(p), b) for (p, _), b in zip(sizes, before)], free_name("_before", df)
+    offsets = df.sparkSession.createDataFrame(rows, f"{part} int, {offset} bigint")
+    value = F.col(offset) + F.col(place)
+    if out in (part, place):
+        return lookup(df, offsets, [part]).withColumn(out, value).drop({part: place, place: part}[out], offset)
+    return lookup(df, offsets, [part]).withColumn(out, value).drop(part, place, offset)
 
 
 def numbered(df: DataFrame, order: Sequence[Column | str], out: str) -> DataFrame:
@@ -32,9 +34,10 @@ def numbered(df: DataFrame, order: Sequence[Column | str], out: str) -> DataFram
     number a range. Rows that are equal in `order` may be ranged apart only if it holds a column
     that tells them apart.
     """
+    part, place = free_name("_range", df), free_name("_place", df)
     ranged = cut_lineage(
         df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({
-            "_range": F.spark_partition_id(),
-            "_place": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}), "order")
-    sizes = sorted(map(tuple, ranged.groupBy("_range").count().collect()))
-    return with_offsets(ranged, "_range", sizes, "_place", out)
+            part: F.spark_partition_id(),
+            place: F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}), "order")
+    sizes = sorted(map(tuple, ranged.groupBy(part).count().collect()))
+    return with_offsets(ranged, part, sizes, place, out)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rosterloom.functions import vocab
-from rosterloom.operators import dedupe, groups, linkage, order, quality
+from rosterloom.operators import components, dedupe, groups, linkage, order, quality
 
 ROLES = {"block": "block", "state": "state", "name": "name", "city": "city", "url": "url"}
 DDL = "row_no bigint, block string, state string, name string, city string, url string"
@@ -63,6 +63,54 @@ def test_greedy_dedupe_follows_long_chains(spark):
     assert sorted(r.row_no for r in got.collect()) == greedy(rows)
 
 
+@pytest.mark.parametrize("block_rows", [100_000, 40])
+def test_greedy_dedupe_in_blocks(spark, block_rows):
+    # interleaved chains, a hot key, and rows at random, in blocks that cut through all of them
+    rows = roster_rows(300, 5, 0.2)
+    rows += [(1000 + 7 * i + k, "B", "S", f"n{k}-{(i + 1) // 2}", "", f"http://u{k}-{i // 2}")
+             for k in range(7) for i in range(60)]
+    df = spark.createDataFrame(rows, DDL).repartition(5)
+    got = dedupe.greedy_dedupe(df, ROLES, "row_no", block_rows)
+    assert sorted(r.row_no for r in got.collect()) == greedy(sorted(rows))
+
+
+def test_rounds_do_not_follow_the_length_of_a_chain(spark, monkeypatch):
+    rows = [(i, "B", "S", f"n{(i + 1) // 2}", "", f"http://u{i // 2}") for i in range(10_000)]
+    written = []
+    real = dedupe.cut_lineage
+    monkeypatch.setattr(dedupe, "cut_lineage", lambda df, name: written.append(name) or real(df, name))
+    got = dedupe.greedy_dedupe(spark.createDataFrame(rows, DDL), ROLES, "row_no")
+    # each row conflicts with the next one only: every other row stays
+    assert sorted(r.row_no for r in got.collect()) == list(range(0, 10_000, 2))
+    assert len(written) <= 5
+
+
+def test_connected_components_through_keys(spark):
+    rnd = random.Random(2)
+    rows = [(i, rnd.choice([None, "", f"a{rnd.randint(0, 250)}"]), rnd.choice([None, f"b{rnd.randint(0, 250)}"]))
+            for i in range(400)]
+    rows += [(1000 + i, f"chain{i // 2}", f"chain-{(i + 1) // 2}") for i in range(130)]
+    rows += [(5000 + i, "hot", None) for i in range(300)] + [(None, "hot", "b1")]
+    df = spark.createDataFrame(rows, "id bigint, x string, y string").repartition(6)
+    links = components.key_links(df, "id", [F.concat(F.lit("x:"), "x"), F.concat(F.lit("y:"), "y")])
+    got = {r.node: r.component for r in components.connected_components(links).collect()}
+    root = {i: i for i, _, _ in rows if i is not None}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    first = {}
+    for i, *keys in sorted(r for r in rows if r[0] is not None):
+        for k in enumerate(keys):
+            # the kind goes in front: an empty key is a key here, a null one is none
+            if k[1] is not None:
+                a, b = find(first.setdefault(k, i)), find(i)
+                root[max(a, b)] = min(a, b)
+    assert all(got.get(i, i) == find(i) for i in root)
+
+
 def test_dedupe_of_the_deduped_changes_nothing(spark):
     df = spark.createDataFrame(roster_rows(300, 3, 0.3), DDL)
     once = dedupe.greedy_dedupe(df, ROLES, "row_no")

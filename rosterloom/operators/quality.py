@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import derive, text, vocab
+from .components import connected_components, key_links
 from .groups import attach_group_stats
 
 
@@ -298,6 +299,22 @@ def shared_key_duplicates(df: DataFrame, id_col: str, keys: Mapping[str, Column]
             .filter("n > 1"))
 
 
+def review_groups(df: DataFrame, id_col: str, keys: Mapping[str, Column],
+                  salts: int = 32) -> DataFrame:
+    """(id, group_id, n): the review group of each record that may be a duplicate.
+
+    Records belong together if a chain of shared keys leads from one to the other, whichever kinds
+    the keys are of; `group_id` is the group's smallest id, `n` its number of records. Members are
+    rows, so a group with a third of all records is fine. Null and empty keys are shared by none.
+    """
+    named = df.select(F.col(id_col).alias("a"), *[
+        F.when(c.cast("string") != "", F.concat(F.lit(f"{kind}:"), c.cast("string"))).alias(f"key_{kind}")
+        for kind, c in keys.items()])
+    groups_ = connected_components(key_links(named, "a", [f"key_{kind}" for kind in keys]))
+    sized = attach_group_stats(groups_, ["component"], {"n": ("count", None)}, "node", salts)
+    return sized.select(F.col("node").alias(id_col), F.col("component").alias("group_id"), "n")
+
+
 def repeated_keys(df: DataFrame, keys: Sequence[str | Column], n: str = "n") -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(n)).filter(F.col(n) > 1)
 

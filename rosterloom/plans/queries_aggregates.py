@@ -274,6 +274,28 @@ def shared_websites(spark, path):
         p.withColumnRenamed("page_id", "id"), "id", keys).select("id", "kind", "value", "n")
 
 
+# Pages that share a place on the web, a title, or an article number, directly or through others.
+_REVIEW_KEYS = {
+    "website": (r"^https?://(?:www\.)?([^/?#]+/?[^?#]*)", "url"),
+    "title": (r"<title>([^<]*)</title>", "html"),
+    "article": (r"^https?://[^/]+(/[^?#]*[0-9]{2,})", "url")}
+
+
+@query("d19_review_groups", (
+    "WITH RECURSIVE k AS (" + " UNION ALL ".join(
+        f"SELECT page_id AS id, '{kind}:' || regexp_extract(lower({column}), '{pattern}', 1) AS key FROM "
+        f"pages WHERE regexp_extract(lower({column}), '{pattern}', 1) <> ''"
+        for kind, (pattern, column) in _REVIEW_KEYS.items())
+    + "), reach AS (SELECT id AS a, id AS b FROM k UNION SELECT r.a, y.id FROM reach r JOIN k x ON x.id = r.b "
+    "JOIN k y ON y.key = x.key), g AS (SELECT a AS id, min(b) AS group_id FROM reach GROUP BY a) "
+    "SELECT id, group_id, count(*) OVER (PARTITION BY group_id) AS n FROM g QUALIFY n > 1"))
+def review_groups(spark, path):
+    (p,) = tables(spark, path, "pages")
+    keys = {kind: F.regexp_extract(F.lower(column), pattern, 1)
+            for kind, (pattern, column) in _REVIEW_KEYS.items()}
+    return quality.review_groups(p.withColumnRenamed("page_id", "id"), "id", keys)
+
+
 @query("d20_names_within_city", (
     "SELECT p_brand AS city, lower(p_name) AS name, count(*) AS n FROM part GROUP BY p_brand, "
     "lower(p_name) HAVING count(*) > 1"))

@@ -22,6 +22,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,8 @@ SWITCH = 8.0
 OUTSIDE = -100.0
 #: Letters of a word; longer runs, as of scripts without spaces, are several words.
 WORD_LENGTH = 32
+#: Distinct words scored at once.
+CHUNK = 1 << 15
 #: Share of a language's letters above which it is a candidate in their script.
 CANDIDATE = 0.01
 _WORD = re.compile(r"[^\W\d_]{1,%d}" % WORD_LENGTH)
@@ -115,7 +118,7 @@ class LanguageModel:
     @property
     def slice_bytes(self) -> int:
         """Text bytes worked on at once: less for more languages."""
-        return max(1 << 18, (32 << 20) // max(len(self.languages), 1))
+        return max(1 << 18, (16 << 20) // max(len(self.languages), 1))
 
 
 def best_paths(scores: np.ndarray, word: np.ndarray, lengths: np.ndarray,
@@ -163,17 +166,26 @@ class Labelled:
     def __init__(self, texts: list[str | None], model: LanguageModel, switch: float = SWITCH):
         number: dict[str, int] = {}
         found = [[number.setdefault(w, len(number)) for w in _WORD.findall(t or "")] for t in texts]
-        words = Words(list(number))
+        distinct = list(number)
+        del number
+        letters, scores = [np.zeros(0, np.int64)], [np.zeros((0, len(model.languages)))]
+        for i in range(0, len(distinct), CHUNK):
+            words = Words(distinct[i:i + CHUNK])
+            letters.append(words.letters)
+            scores.append(model.word_scores(words))
+        del distinct
+        letters, scores = np.concatenate(letters), np.concatenate(scores)
         word = np.fromiter((w for x in found for w in x), np.int64, sum(map(len, found)))
         text = np.repeat(np.arange(len(texts)), [len(x) for x in found])
+        del found
         #: which of all words have a letter; other runs take no part
-        self.real = words.letters[word] > 0
+        self.real = letters[word] > 0
         self.word, self.text = word[self.real], text[self.real]
-        self.letters = words.letters[self.word]
+        self.letters = letters[self.word]
         self.label = np.zeros(len(self.word), np.int32)
         if model.languages and len(self.word):
             lengths = np.bincount(self.text, minlength=len(texts))
-            self.label = best_paths(model.word_scores(words), self.word, lengths, switch)
+            self.label = best_paths(scores, self.word, lengths, switch)
 
 
 def _labelled(batches: Iterator[pa.RecordBatch], model: LanguageModel, switch: float):
@@ -210,6 +222,12 @@ def _spans(batches: Iterator[pa.RecordBatch], model: LanguageModel, switch: floa
             "lang": pa.array(model.languages, pa.string()).take(pa.array(label[first]))})
 
 
+def _chunks(count: dict[str, int]) -> Iterator[dict[str, int]]:
+    entries = iter(count.items())
+    while part := dict(islice(entries, CHUNK)):
+        yield part
+
+
 def _counted(batches: Iterator[pa.RecordBatch]):
     """(lang, gram, n): the n-grams of the words of each language; letters by script below 0."""
     for batch in slices(batches):
@@ -218,9 +236,9 @@ def _counted(batches: Iterator[pa.RecordBatch]):
             count = by_language.setdefault(lang, {})
             for w in _WORD.findall(text):
                 count[w] = count.get(w, 0) + 1
-        for lang, count in by_language.items():
-            words = Words(list(count))
-            times = np.fromiter(count.values(), np.int64, len(count)) * (words.letters > 0)
+        for lang, said in ((k, v) for k, count in by_language.items() for v in _chunks(count)):
+            words = Words(list(said))
+            times = np.fromiter(said.values(), np.int64, len(said)) * (words.letters > 0)
             grams, at = np.unique(words.grams, return_inverse=True)
             n = np.bincount(at, times[words.owner], len(grams)).astype(np.int64)
             scripts = (words.scripts * times[:, None]).sum(0)

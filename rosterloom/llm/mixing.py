@@ -21,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.groups import lookup
+from ..operators.groups import free_name, lookup
 from ..operators.order import numbered
 from ..session import cut_lineage
 from .common import WORD
@@ -121,11 +121,11 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Each row is taken by its own plan, whatever other rows share its id.
     """
     # row numbers are written: they must be the same in every later read
-    rows = cut_lineage(docs.withColumn("_mix_row", F.monotonically_increasing_id()), "mixing")
+    row, of, times_col = (free_name(c, docs) for c in ("_mix_row", "_mix_of", "_mix_copies"))
+    rows = cut_lineage(docs.withColumn(row, F.monotonically_increasing_id()), "mixing")
     plan = mixture(rows, words_in(text_col), letters_share(text_col), id_col, source_col,
-                   row_col="_mix_row", **options)
-    times = plan.filter("copies > 0").select(
-        F.col("_mix_row").alias("_mix_of"), F.col("copies").alias("_mix_copies"))
-    found = rows.join(cut_lineage(times, "mixing"), F.col("_mix_row") == F.col("_mix_of"))
-    return found.withColumn("_mix_copies", F.explode(F.sequence(
-        F.lit(1).cast("bigint"), F.col("_mix_copies")))).select(*[rows[c] for c in docs.columns])
+                   row_col=row, **options)
+    times = plan.filter("copies > 0").select(F.col(row).alias(of), F.col("copies").alias(times_col))
+    found = rows.join(cut_lineage(times, "mixing"), F.col(row) == F.col(of))
+    return found.withColumn(times_col, F.explode(F.sequence(
+        F.lit(1).cast("bigint"), F.col(times_col)))).select(*[rows[c] for c in docs.columns])

@@ -146,15 +146,16 @@ def op5_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query("op7_threshold_top_k", """
-WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS no, vec_id,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 pairs AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
-  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+  SELECT q.no, q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.no <> c.no)
 SELECT query_id, (row_number() OVER w)::INT AS rank, vec_id, score FROM pairs
-WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+WINDOW w AS (PARTITION BY no ORDER BY score DESC, vec_id)
 QUALIFY rank <= 5""")
 def op7_threshold_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 best inner products of every 50th vector."""
@@ -162,19 +163,21 @@ def op7_threshold_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query("op9_pca_tiles", """
-WITH RECURSIVE v AS (
-  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
-  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
-    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT row_number() OVER () AS no, vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+v AS (
+  SELECT no, label, e FROM d WHERE vec_id IS NOT NULL AND label IS NOT NULL AND e IS NOT NULL
+    AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(e, lambda x: x <> 0)) > 0),
 links AS (
-  SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+  SELECT a.no AS x, b.no AS y FROM v a JOIN v b ON a.label = b.label AND a.no <> b.no
   WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
-reach AS (SELECT vec_id AS x, vec_id AS y FROM embeddings
-  UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x)
+reach AS (SELECT no AS x, no AS y FROM d
+  UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+least AS (SELECT r.x, min(d.vec_id) AS component_id FROM reach r JOIN d ON d.no = r.y GROUP BY r.x)
 SELECT d.vec_id, coalesce(n.n, 0) AS n_links, r.component_id, d.vec_id = r.component_id AS kept
-FROM embeddings d JOIN (SELECT x, min(y) AS component_id FROM reach GROUP BY x) r ON r.x = d.vec_id
-LEFT JOIN (SELECT x, count(*) AS n FROM links GROUP BY x) n ON n.x = d.vec_id""")
+FROM d JOIN least r ON r.x = d.no
+LEFT JOIN (SELECT x, count(*) AS n FROM links GROUP BY x) n ON n.x = d.no""")
 def op9_pca_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors of one label with cosine 0.98 or more."""
     return tiles.near_vectors(table(spark, sf_dir, "embeddings"))

@@ -168,13 +168,25 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def _pieces(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
     """(start, end) of everything to be tested, in order; pieces may lie inside each other."""
     out = set()
+    # what base matches cover, in order; runs are in order too, so both are walked once
+    covered: list[list[int]] = []
+    for s, _, e in base:
+        if covered and s <= covered[-1][1]:
+            covered[-1][1] = max(e, covered[-1][1])
+        else:
+            covered.append([s, e])
+    first = 0
     for m in RUN.finditer(text):
         # the parts of the run outside base matches
         parts, at = [], m.start()
-        for s, _, e in base:
-            if s < m.end() and at < e:
-                parts.append((at, s))
-                at = e
+        while first < len(covered) and covered[first][1] <= at:
+            first += 1
+        for k in range(first, len(covered)):
+            s, e = covered[k]
+            if s >= m.end():
+                break
+            parts.append((at, s))
+            at = e
         parts.append((at, m.end()))
         for start, end in parts:
             if end - start < SHORTEST:
@@ -189,6 +201,25 @@ def _pieces(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]
     return sorted(out)
 
 
+def around(spans: list[tuple]) -> list[list[float]]:
+    """For spans (start, end, evidence, class) in order: the most evidence, by class, around each.
+
+    The pieces of one pattern don't overlap, so only a few spans are open at any place.
+    """
+    out: list[list[float]] = [[]] * len(spans)
+    open_: list[tuple] = []
+    # of spans with one start the longest comes first
+    for i in sorted(range(len(spans)), key=lambda i: (spans[i][0], -spans[i][1])):
+        start, end = spans[i][:2]
+        open_ = [t for t in open_ if t[1] > start]
+        out[i] = [-1.0] * len(LENGTHS)
+        for _, stop, evidence, size in open_:
+            if stop >= end:
+                out[i][size] = max(out[i][size], evidence)
+        open_.append(spans[i])
+    return out
+
+
 def added_spans(text: str, base: list[tuple[int, int, int]]) -> tuple[list, list[int]]:
     """(start, end, -log10 p, class) of pieces that may be random, and all tested ones by class."""
     out, tested = [], [0] * len(LENGTHS)
@@ -208,7 +239,8 @@ def added_spans(text: str, base: list[tuple[int, int, int]]) -> tuple[list, list
 
 
 _SPAN = pa.struct([("start", pa.int32()), ("rank", pa.int32()), ("end", pa.int32()),
-                   ("evidence", pa.float64()), ("size", pa.int32())])
+                   ("evidence", pa.float64()), ("size", pa.int32()),
+                   ("around", pa.list_(pa.float64()))])
 
 
 def _scanned(batches: Iterator[pa.RecordBatch]):
@@ -218,8 +250,8 @@ def _scanned(batches: Iterator[pa.RecordBatch]):
             found = base_spans(text or "")
             more, seen = added_spans(text or "", found)
             base.append([{"start": s, "rank": r, "end": e} for s, r, e in found])
-            added.append([{"start": s, "rank": 3, "end": e, "evidence": p, "size": c}
-                          for s, e, p, c in more])
+            added.append([{"start": s, "rank": 3, "end": e, "evidence": p, "size": c, "around": a}
+                          for (s, e, p, c), a in zip(more, around(more))])
             tested.append(seen)
         yield pa.record_batch({
             "doc_id": batch.column("doc_id"), "base": pa.array(base, pa.list_(_SPAN)),
@@ -250,7 +282,7 @@ def _joined(spans: Column) -> Column:
         ":", F.get(names, s["rank"]), s["start"].cast("string"), s["end"].cast("string"))))
 
 
-_SPANS = "array<struct<start:int,rank:int,end:int,evidence:double,size:int>>"
+_SPANS = "array<struct<start:int,rank:int,end:int,evidence:double,size:int,around:array<double>>>"
 
 
 def _found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -281,13 +313,9 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(doc_id, base, spans) of each row: arrays of (start, rank, end, ...) in order."""
     found = cut_lineage(_found(docs, id_col, text_col), "secrets")
     least = F.array(*[F.lit(x) for x in _limits(found, rate)])
-    found = found.withColumn("kept", F.filter("added", lambda s: s["evidence"] >= F.get(least, s["size"])))
-
-    def inside(s: Column, t: Column) -> Column:
-        return (t["start"] <= s["start"]) & (s["end"] <= t["end"]) & (
-            (t["start"] < s["start"]) | (s["end"] < t["end"]))
-
-    outer = F.filter("kept", lambda s: ~F.exists("kept", lambda t: inside(s, t)))
+    kept = F.filter("added", lambda s: s["evidence"] >= F.get(least, s["size"]))
+    # a piece inside another one that is kept goes
+    outer = F.filter(kept, lambda s: ~F.exists(F.zip_with(s["around"], least, lambda a, b: a >= b), lambda x: x))
     return found.select("doc_id", "base", F.array_sort(F.concat("base", outer)).alias("spans"))
 
 

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.groups import lookup
+from ..operators.groups import free_name, lookup
 from ..session import cut_lineage
 from .common import mix64, slices
 from .graph import components
@@ -260,18 +260,21 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     and texts one stays; rows with a null id all stay.
     """
     # row numbers are written: they must be the same in every later read
-    rows = cut_lineage(docs.withColumn("_row", F.monotonically_increasing_id()), "minhash")
+    row = free_name("_row", docs)
+    rows = cut_lineage(docs.withColumn(row, F.monotonically_increasing_id()), "minhash")
     named = rows.filter(F.col(id_col).isNotNull())
-    ids = named.select("_row", F.col(id_col).cast("bigint").alias("_id"),
+    ids = named.select(F.col(row).alias("_of"), F.col(id_col).cast("bigint").alias("_id"),
                        F.sha2(text_col, 256).alias("_digest"))
-    grouped = near_duplicates(named, "_row", text_col, n, percent).select(
-        F.col("_row").alias("_node"), "n_shingles", "component_id")
-    grouped = grouped.join(ids.hint("merge"), F.col("_node") == F.col("_row"))
+    grouped = near_duplicates(named, row, text_col, n, percent).select(
+        F.col(row).alias("_node"), "n_shingles", "component_id")
+    grouped = grouped.join(ids.hint("merge"), F.col("_node") == F.col("_of"))
     # texts without words are no near copies of anything but themselves under the same id
     bare = F.col("n_shingles") == 0
     kept = grouped.groupBy(
         F.when(~bare, F.col("component_id")).alias("_component"), F.when(bare, F.col("_id")).alias("_own"),
         F.when(bare, F.col("_digest")).alias("_bare")).agg(
-        F.min(F.struct("_id", "_row")).alias("_first")).select(F.col("_first._row").alias("_kept"))
-    stay = rows.join(kept.hint("merge"), F.col("_row") == F.col("_kept"), "left_semi")
-    return stay.unionByName(rows.filter(F.col(id_col).isNull())).drop("_row")
+        F.min(F.struct("_id", "_of")).alias("_first"))
+    stays = free_name("_kept", rows)
+    kept = kept.select(F.col("_first._of").alias(stays))
+    stay = rows.join(kept.hint("merge"), F.col(row) == F.col(stays), "left_semi")
+    return stay.unionByName(rows.filter(F.col(id_col).isNull())).drop(row)

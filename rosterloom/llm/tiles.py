@@ -13,7 +13,8 @@ thousands of copies costs one row a copy.
 
 Vectors that are null, zero, or hold null or non-finite components, and rows with a null label,
 are linked with nothing. Vectors of different lengths are not linked. Rows with a null id have no
-links and a null component; rows with equal ids are different vectors with one id.
+links and a null component; rows with equal ids are different vectors with one id: links are
+counted and followed by vector, the id only names the component.
 """
 
 from __future__ import annotations
@@ -145,17 +146,15 @@ def near_vectors(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_id"
     good = rows.filter(usable)
     # equal vectors of a label are one node: the smallest id, and how many there are
     nodes = cut_lineage(good.groupBy("label", "vector").agg(
-        F.min("id").alias("node"), F.count(F.lit(1)).alias("times")).withColumn(
-        "width", F.size("vector")), "tiles")
-    sample = nodes.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("vector").collect()
+        F.min("id").alias("id"), F.count(F.lit(1)).alias("times")).withColumns(
+        {"width": F.size("vector"), "node": F.monotonically_increasing_id()}), "tiles")
+    sample = nodes.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vector").collect()
     axes = turns([np.array(r[0], float) for r in sample])
 
-    # the node's number parts nodes of equal ids
-    tiled = nodes.withColumn("_no", F.monotonically_increasing_id())
     counts = nodes.groupBy("label", "width").agg(
         F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
-    tiled = lookup(tiled, counts, ["label", "width"]).withColumn(
-        "tile", F.pmod(F.xxhash64("_no"), F.col("tiles")).cast("int"))
+    tiled = lookup(nodes, counts, ["label", "width"]).withColumn(
+        "tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     paired = tiled.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
         "label", "width", F.least("tile", "_other").alias("left"),
         F.greatest("tile", "_other").alias("right"), "tile", "node", "times", "vector")
@@ -164,13 +163,18 @@ def near_vectors(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_id"
         "tiles")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     labels = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    # a component is named by the smallest id in it
+    labels = cut_lineage(lookup(labels, nodes.select("node", "id"), ["node"]), "tiles")
+    names = labels.groupBy("component").agg(F.min("id").alias("least"))
+    named = lookup(labels.drop("id"), names, ["component"]).select("node", F.col("least").alias("component"))
 
-    per_node = lookup(lookup(nodes.drop("width"), links, ["node"]), labels, ["node"])
+    per_node = lookup(lookup(nodes.drop("width").withColumnRenamed("id", "own"), links, ["node"]),
+                      named, ["node"])
     all_rows = lookup(rows.withColumn("_usable", usable), per_node, ["label", "vector"])
     # unusable rows find no node: a zero vector is in none, and null ids are told apart here
     n_links = F.when(F.col("_usable"), F.col("times") - 1 + F.coalesce("links", F.lit(0))
                      ).otherwise(F.lit(0)).cast("bigint")
-    component = F.when(F.col("_usable"), F.coalesce("component", "node")).otherwise(F.col("id"))
+    component = F.when(F.col("_usable"), F.coalesce("component", "own")).otherwise(F.col("id"))
     return all_rows.select(F.col("id").alias(id_col), n_links.alias("n_links"),
                            component.alias("component_id"),
                            F.col("id").eqNullSafe(component).alias("kept"))

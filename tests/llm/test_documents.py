@@ -502,3 +502,79 @@ def test_randomness_battery():
         assert secrets.randomness(np.sort(np.random.default_rng(n).integers(0, 62, n)), 62) < 1e-2
     assert secrets.discovery_limits({(0, 100): 3, (0, 1): 50}, [100, 0, 0, 0], 0.01)[:2] == [
         100 * secrets.BIN, float("inf")]
+
+
+def test_long_texts_are_scanned_in_proportion():
+    import time
+
+    rnd = random.Random(6)
+    letters = secrets.ENCODINGS[5][2]
+
+    def seconds(n):
+        text = " ".join(f"token={''.join(rnd.choices(letters, k=24))} {''.join(rnd.choices(letters, k=30))}"
+                        for _ in range(n))
+        start = time.perf_counter()
+        spans = secrets.added_spans(text, secrets.base_spans(text))[0]
+        secrets.around(spans)
+        return time.perf_counter() - start
+
+    seconds(200)
+    # sixteen times the text: far from 256 times the work
+    assert seconds(16_000) < 50 * seconds(1_000)
+
+
+def test_pieces_and_nesting_equal_a_pairwise_search():
+    rnd = random.Random(9)
+    parts = ["=", "/", "+", "-", "_", " ", "AKIA" + "Q7" * 9, "token=", "abcdef0123456789" * 2, "x"]
+    for _ in range(300):
+        text = "".join(rnd.choice(parts) if rnd.random() < .4 else "".join(
+            rnd.choices(secrets.ENCODINGS[3][2], k=rnd.randint(1, 30))) for _ in range(rnd.randint(1, 25)))
+        base = secrets.base_spans(text)
+        want = set()
+        for m in secrets.RUN.finditer(text):
+            places = [i for i in range(m.start(), m.end()) if not any(s <= i < e for s, _, e in base)]
+            cuts = [k for k in range(1, len(places)) if places[k] != places[k - 1] + 1]
+            for a, b in zip([0, *cuts], [*cuts, len(places)]):
+                if b - a < secrets.SHORTEST:
+                    continue
+                start, end = places[a], places[b - 1] + 1
+                last = start + len(text[start:end].rstrip("="))
+                for pattern in secrets.PIECES:
+                    for piece in pattern.finditer(text, start, last):
+                        stop = end if piece.end() == last else piece.end()
+                        if stop - piece.start() >= secrets.SHORTEST:
+                            want.add((piece.start(), stop))
+        assert secrets._pieces(text, base) == sorted(want)
+        spans = [(s, e, rnd.choice([1.5, 2.5, 9.0]), secrets.length_class(e - s)) for s, e in sorted(want)]
+        limits = [2.0, 1.0, 3.0, float("inf")]
+        kept = [t for t in spans if t[2] >= limits[t[3]]]
+        outer = [s for s in kept if not any(
+            t[0] <= s[0] and s[1] <= t[1] and t[:2] != s[:2] for t in kept)]
+        assert [s for s, a in zip(spans, secrets.around(spans)) if s in kept and not any(
+            x >= y for x, y in zip(a, limits))] == outer
+
+
+def test_discovery_limits_equal_an_exact_benjamini_hochberg():
+    rnd = random.Random(4)
+    for _ in range(50):
+        # p-values on the grid of steps: the counted rule has to be the exact one
+        steps = [rnd.choice([0, 1, 5, 20, 40, 60, 100, 200]) for _ in range(rnd.randint(0, 60))]
+        total = len(steps) + rnd.randint(0, 500)
+        counts = {(1, s): steps.count(s) for s in steps}
+        p = sorted(10 ** (-s * secrets.BIN) for s in steps)
+        passed = p[:max([i for i, x in enumerate(p, 1) if x <= 0.05 * i / max(total, 1)], default=0)]
+        limit = secrets.discovery_limits(counts, [0, total, 0, 0], 0.05)[1]
+        assert [x for x in p if x <= 10 ** -limit * (1 + 1e-12)] == passed
+
+
+def test_clashing_columns_stay(spark):
+    own = {c: f"own {c}" for c in ("_row", "_kept", "_of", "_node", "_mix_row", "_mix_of", "_mix_copies",
+                                   "row", "key", "copies")}
+    ddl = "doc_id bigint, text string, source string, " + ", ".join(f"{c} string" for c in own)
+    rows = [(i, f"some words of text {i // 2} and more of them {i // 2}", "s", *own.values()) for i in range(8)]
+    df = spark.createDataFrame(rows, ddl)
+    for out in (superminhash.deduplicated(df), mixing.mixed(df), secrets.redacted(df)):
+        found = out.collect()
+        assert out.columns == df.columns and found
+        assert all(r[c] == v for r in found for c, v in own.items())
+    assert superminhash.deduplicated(df).count() == 4

@@ -40,19 +40,27 @@ def good(v, zero=True):
 def test_top_k_equals_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(topk, "CANDIDATES", block)
     monkeypatch.setattr(topk, "QUERIES", max(4, block // 10))
+    # repeated rows and ids are rows of their own: queries, and candidates of each other
     rows = awkward_vectors()
-    df = vectors(spark, rows + rows[:3])
+    rows += rows[:3] + [(20, rows[5][1], 0), (20, rows[6][1], 1), (21, rows[20][1], 0)]
+    df = vectors(spark, rows).repartition(3)
     got = topk.top_k(df, F.col("vec_id") % 10 == 0).collect()
-    ints = {i: [int(np.floor(256 * float(x))) for x in v] for i, v, _ in rows if i is not None and good(v)}
+    ints = [(i, [int(np.floor(256 * float(x))) for x in v]) for i, v, _ in rows if i is not None and good(v)]
     want = []
-    for q, a in ints.items():
+    for m, (q, a) in enumerate(ints):
         if q % 10 == 0:
-            scores = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in ints.items()
-                            if i != q and len(a) == len(b))[:5]
+            scores = sorted((-sum(x * y for x, y in zip(a, b)), i) for n, (i, b) in enumerate(ints)
+                            if n != m and len(a) == len(b))[:5]
             want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores)]
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_top_k_keeps_candidates_of_repeated_ids(spark):
+    df = vectors(spark, [(1, [0.5, 0.0], 0), (1, [0.9, 0.0], 0), (0, [1.0, 0.0], 0)])
+    got = topk.top_k(df, F.col("vec_id") == 0).collect()
+    assert sorted(map(tuple, got)) == [(0, 1, 1, 58880), (0, 2, 1, 32768)]
+
+
 def test_top_k_stops_early():
     rng = np.random.default_rng(0)
     v = rng.normal(size=(4000, 3)) * 100
@@ -74,6 +82,21 @@ def test_top_k_stops_early():
     assert sum(met) / 20 < 2000
 
 
+def test_known_scores_end_a_walk_early():
+    rng = np.random.default_rng(5)
+    v = np.floor(rng.normal(size=(4000, 8)) * 100)
+    lists = np.argsort(v, axis=0, kind="stable").T
+    values = np.take_along_axis(v.T, lists, 1)
+    ids = np.arange(4000)
+    for q in v[:20]:
+        best = np.sort(v @ q)[::-1]
+        whole = topk.threshold_top(lists, values, v, ids, q, -1, 5)
+        # nothing that reaches the known score is lost; beyond the best one nothing need be read
+        assert topk.threshold_top(lists, values, v, ids, q, -1, 5, best[4]) == whole
+        few = topk.threshold_top(lists, values, v, ids, q, -1, 5, best[0] + 1)
+        assert len(few) <= 5
+
+
 def brute_links(rows, least=0.98):
     usable = [(k, i, np.array(v, float), lab) for k, (i, v, lab) in enumerate(rows)
               if i is not None and lab is not None and good(v, zero=False)]
@@ -95,10 +118,19 @@ def brute_links(rows, least=0.98):
     return out
 
 
+def test_links_of_repeated_ids_are_counted_by_vector(spark):
+    a, b = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    near = [[1.0, 0.01, 0.0], [0.01, 1.0, 0.0], [0.0, 1.0, 0.01]]
+    rows = [(5, a, 1), (5, b, 1), (7, near[0], 1), (8, near[1], 1), (9, near[2], 1)]
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in tiles.near_vectors(vectors(spark, rows)).collect())
+    assert got == [(5, 1, 5), (5, 2, 5), (7, 1, 5), (8, 2, 5), (9, 2, 5)]
+
+
 @pytest.mark.parametrize("tile", [2048, 37])
 def test_near_vectors_equal_brute_force(spark, monkeypatch, tile):
     monkeypatch.setattr(tiles, "TILE", tile)
     rows = awkward_vectors()
+    rows += [(3, rows[9][1], rows[9][2]), (3, rows[10][1], rows[10][2]), (4, rows[4][1], rows[4][2])]
     got = tiles.near_vectors(vectors(spark, rows)).collect()
     key = lambda r: (r[0] is None, r[0] or 0)
     assert sorted(((r.vec_id, r.n_links, r.component_id) for r in got), key=key) == sorted(

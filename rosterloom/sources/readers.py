@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +12,7 @@ from pyspark.sql import types as T
 from ..functions import text, vocab
 from ..operators.groups import lookup
 from ..session import cut_lineage
+from .csv_records import read_records
 
 ROSTER_HEADERS = ("STATE", "NAME", "CITY", "URL")
 
@@ -59,17 +61,55 @@ def check_headers(found: Sequence[str], required: Sequence[str]) -> None:
         raise ValueError(f"missing headers {missing}; found {list(found)}")
 
 
+def _file_offsets(files: Sequence[tuple[str, list[str], int]], required: Sequence[str]
+                  ) -> tuple[list[tuple[str, list[str], int]], list[str]]:
+    """(file, header, records before it) of files in order, and the names all of them share."""
+    names, table, before = None, [], 0
+    for file, header, n in files:
+        header = [cell.strip().lstrip("\ufeff") if cell else "" for cell in header]
+        check_headers(header, required)
+        names = names or header
+        if sorted(header) != sorted(names):
+            raise ValueError(f"{file}: headers {header} differ from {names}")
+        table.append((file, header, before))
+        before += n
+    return table, names or []
+
+
 def _csv_rows(spark: SparkSession, path: str, required: Sequence[str], multi_line: bool,
               row_no: str) -> tuple[DataFrame, list[str]]:
     """All CSV records below `path` with `_cells`, their file's `_header`, and the row number.
 
     Every file has its own header, in its own order; all must have the same names. Row numbers
     count from 1 through the files in order of their paths. With `multi_line` a quoted field may
-    hold line breaks and each file is one task; without it files are split, and a record that
-    does not fit its header stops the job instead of being lost. The driver sees the headers and
-    the number of rows of each split, one row a split.
+    hold line breaks, also across the splits of a file; without it each line is a record, and one
+    that does not fit its header stops the job instead of being lost. The driver sees the headers
+    and the number of records of each split, one row a split.
     """
-    plain = spark.read.options(header=False, escape='"', multiLine=multi_line)
+    if not multi_line:
+        return _csv_lines(spark, path, required, row_no)
+    records = read_records(spark, path)
+    # one row a file
+    counts = {r["file"]: r["n"] for r in records.groupBy("file").agg(F.count(F.lit(1)).alias("n")).collect()}
+    heads = sorted((r["file"], next(csv.reader([r["value"]])), counts[r["file"]] - 1)
+                   for r in records.filter("record = 0").collect())
+    table, names = _file_offsets(heads, required)
+    width = max((len(header) for _, header, _ in table), default=1)
+    schema = ", ".join([*(f"c{i} STRING" for i in range(width)), "_bad STRING"])
+    cells = F.from_csv("value", schema, {
+        "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    offsets = spark.createDataFrame(table, "_file string, _header array<string>, _before bigint")
+    rows = records.filter("record > 0").select(F.col("file").alias("_file"), "record", cells.alias("_c"))
+    found = lookup(rows, offsets, ["_file"]).select(
+        "_file", "_header", F.array(*[f"_c.c{i}" for i in range(width)]).alias("_cells"),
+        (F.col("_before") + F.col("record")).alias(row_no))
+    return found, names
+
+
+def _csv_lines(spark: SparkSession, path: str, required: Sequence[str], row_no: str
+               ) -> tuple[DataFrame, list[str]]:
+    """`_csv_rows` of files in which every record is a line."""
+    plain = spark.read.options(header=False, escape='"')
     width = len(plain.csv(path).columns)
     schema = ", ".join([*(f"c{i} STRING" for i in range(width)), "_bad STRING"])
     raw = plain.schema(schema).options(mode="PERMISSIVE", columnNameOfCorruptRecord="_bad").csv(path)
@@ -81,30 +121,30 @@ def _csv_rows(spark: SparkSession, path: str, required: Sequence[str], multi_lin
     splits = sorted(rows.groupBy("_file", "_block").agg(
         F.count(F.lit(1)).alias("n"), F.min("_id").alias("first"),
         F.min_by(F.struct("_cells", "_bad"), "_id").alias("head")).collect())
-    names, table, before = None, [], 0
-    for i, (file, block, n, first, head) in enumerate(splits):
-        starts = not i or splits[i - 1][0] != file
-        if starts:
-            header = [text_.strip().lstrip("\ufeff") if text_ else "" for text_ in head["_cells"]]
+    heads: dict[str, tuple] = {}
+    for file, _, n, _, head in splits:
+        if file not in heads:
             if head["_bad"] is not None:
                 raise ValueError(f"{file}: more than {width} columns")
-            check_headers(header, required)
-            names = names or header
-            if sorted(header) != sorted(names):
-                raise ValueError(f"{file}: headers {header} differ from {names}")
+            heads[file] = (head["_cells"], n - 1)
+        else:
+            heads[file] = (heads[file][0], heads[file][1] + n)
+    table, names = _file_offsets([(f, h, n) for f, (h, n) in heads.items()], required)
+    header, before = {f: h for f, h, _ in table}, {f: b for f, _, b in table}
+    offsets, last = [], None
+    for file, block, n, first, _ in splits:
+        starts, last = file != last, file
         # rows of a split are numbered without gaps in the order of the file
-        table.append((file, block, header, first if starts else first - 1, before))
-        before += n - starts
+        offsets.append((file, block, header[file], first if starts else first - 1, before[file]))
+        before[file] += n - starts
     offsets = spark.createDataFrame(
-        table, "_file string, _block bigint, _header array<string>, _zero bigint, _before bigint")
+        offsets, "_file string, _block bigint, _header array<string>, _zero bigint, _before bigint")
     found = lookup(rows, offsets, ["_file", "_block"]).withColumn(
         row_no, F.col("_before") + F.col("_id") - F.col("_zero")).filter(F.col("_id") > F.col("_zero"))
-    if not multi_line:
-        message = F.concat(F.lit("broken record: "), "_bad")
-        # a filter on every row: leaving out columns can't prune it
-        found = found.filter(F.when(F.col("_bad").isNull(), F.lit(True)).otherwise(
-            F.raise_error(message).cast("boolean")))
-    return found, names or []
+    message = F.concat(F.lit("broken record: "), "_bad")
+    # a filter on every row: leaving out columns can't prune it
+    return found.filter(F.when(F.col("_bad").isNull(), F.lit(True)).otherwise(
+        F.raise_error(message).cast("boolean"))), names
 
 
 def _cell(name: str) -> Column:

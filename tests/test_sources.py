@@ -2,13 +2,14 @@
 
 import json
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from rosterloom import session
 from rosterloom.operators import runs
-from rosterloom.sources import readers, writers
+from rosterloom.sources import csv_records, readers, writers
 
 RECORD = "museum_id STRING, museum_name STRING, topics ARRAY<STRING>, latitude DOUBLE"
 
@@ -169,3 +170,57 @@ def test_scratch_is_cleared_by_its_owner(spark):
     path = kept.inputFiles()[0].removeprefix("file://")
     session.clear_scratch(spark)
     assert not os.path.exists(path)
+
+
+def csv_text(rnd, rows, end):
+    """A CSV file with quoted line breaks, quotes, commas, empty lines and quotes in plain fields."""
+    fields = ["plain", "", '5" pipe', '"a, b"', '"two{0}lines"', '"{0}"', '"say ""x""{0}and ""y"""', '"q"', '""',
+              '"{0}{0}deep{0}"', "caf\u00e9", '"""{0}"""']
+    out = ["id,STATE,NAME,CITY,URL"]
+    for i in range(rows):
+        out.append(",".join([str(i), *(rnd.choice(fields).format(end) for _ in range(4))]))
+        if rnd.random() < .05:
+            out.append("")
+    return end.join(out) + rnd.choice(["", end])
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_quoted_breaks_are_read_from_many_splits(spark, tmp_path, end):
+    rnd = random.Random(3)
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.csv").write_bytes(csv_text(rnd, 400, end).encode())
+    plain = spark.read.options(header=True, escape='"', multiLine=True)
+    want = []
+    for name in ("a", "b"):
+        # the one-task reader; its rows are in the file's order
+        got = plain.csv(str(tmp_path / f"{name}.csv")).collect()
+        assert [int(r.id) for r in got] == list(range(400))
+        want += [[x or "" for x in r] for r in got]
+    default = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    cost = spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "701")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 20
+        raw, names = readers._csv_rows(spark, str(tmp_path), ["STATE"], True, "row_no")
+        rows = sorted(raw.select("row_no", "_cells").collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", default)
+        spark.conf.set("spark.sql.files.openCostInBytes", cost)
+    assert names == ["id", "STATE", "NAME", "CITY", "URL"]
+    assert [r.row_no for r in rows] == list(range(1, 801))
+    assert [[x or "" for x in r._cells] for r in rows] == want
+
+
+def test_open_quotes_and_empty_files(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('STATE,x\nOhio,"never closed\n' + "more\n" * 50)
+    with pytest.raises(ValueError, match="is a quote open"):
+        csv_records.read_records(spark, str(tmp_path / "a.csv"), most_lines=20)
+    got = readers.read_external(spark, str(tmp_path / "a.csv"), "STATE").collect()
+    assert [(r.row_no, r.STATE) for r in got] == [(1, "Ohio")] and got[0].x.startswith("never closed\nmore")
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "b.csv").write_text('"STATE\n",x\n')
+    assert readers.read_external(spark, str(tmp_path / "b"), "STATE").count() == 0
+    for line, opened, want in (('a,"b', False, True), ('b"', True, False), ('x""y', True, True), ('a"b', False, False),
+                               ('"",""', False, False), ('",a,"', True, True), ('"""', False, True), ('"', True, False)):
+        assert csv_records.open_after(line, opened) == want, line

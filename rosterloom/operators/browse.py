@@ -7,11 +7,16 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import derive, scoring, vocab
 from ..functions.text import strip, truthy
+from .groups import free_name, lookup
 from .order import numbered
 
+#: First rows whose ids may be read to the driver.
+TOP_ROWS = 10_000
+
 
 def search_text(q: str, name: str, alternates: str | None = None, city: str | None = None) -> Column:
     """Case-insensitive substring search over name, city and alternate names."""
@@ -159,15 +164,24 @@ def top_dimensions(dimensions: Sequence[tuple[str, str]] = vocab.DIMENSIONS, flo
 def rank_bands(df: DataFrame, id_col: str, order: Sequence[Column],
                bands: Sequence[tuple[str, int]] = (("GOLD", 50), ("SILVER", 100)),
                rest: str = "BRONZE") -> DataFrame:
-    """Band by global rank, the last row of each band given as a position from 1.
+    """Band by global rank, the last row of each band given as a position from 1; ids are unique.
 
-    The rank comes from sorted ranges and their sizes, whatever the bands' sizes are.
+    Bands that end within `TOP_ROWS` rows come from those first rows alone: only their ids are
+    read. For longer ones the rank comes from sorted ranges and their sizes.
     """
-    ranked = numbered(df, [*order, F.col(id_col)], "_rank")
+    by, last = [*order, F.col(id_col)], max((n for _, n in bands), default=0)
+    if last <= TOP_ROWS:
+        first = df.orderBy(*by).limit(last).select(id_col).collect()
+        named = [(r[0], next(name for name, stop in bands if i < stop)) for i, r in enumerate(first)]
+        kind = T.StructType([df.schema[id_col], T.StructField("band", T.StringType())])
+        tops = df.sparkSession.createDataFrame(named, kind)
+        return lookup(df, tops, [id_col]).withColumn("band", F.coalesce("band", F.lit(rest)))
+    rank = free_name("_rank", df)
+    ranked = numbered(df, by, rank)
     band = F.lit(rest)
-    for name, last in reversed(bands):
-        band = F.when(F.col("_rank") < last, F.lit(name)).otherwise(band)
-    return ranked.withColumn("band", band).drop("_rank")
+    for name, stop in reversed(bands):
+        band = F.when(F.col(rank) < stop, F.lit(name)).otherwise(band)
+    return ranked.withColumn("band", band).drop(rank)
 
 
 def export_projection(df: DataFrame, columns: Sequence[tuple[str, str]] = vocab.EXPORT_COLUMNS,

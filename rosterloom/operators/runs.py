@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.text import iso_utc
@@ -44,3 +44,16 @@ def run_summary(df: DataFrame, outcome: str, kinds: Sequence[str], region: str,
     # literals stand outside the aggregate: a run over no records has them too
     return counted.select(F.lit(run_id).alias("run_id"), F.lit(phase).alias("phase"), "*",
                           iso_utc(as_of).alias("completed_at"))
+
+
+def write_counted(df: DataFrame, path: str, outcome: str, kinds: Sequence[str], phase: str, run_id: str,
+                  as_of: Column) -> DataFrame:
+    """Write `df` and return its run summary, counted while it is written: no second scan."""
+    seen = Observation(f"run {run_id}")
+    counters = [F.count_if(F.col(outcome) == k).alias(k) for k in kinds]
+    df.observe(seen, F.count(F.lit(1)).alias("total_processed"), *counters).write.mode("overwrite").parquet(path)
+    counted = seen.get
+    row = [counted["total_processed"], *(counted[k] for k in kinds)]
+    names = ", ".join(f"{c} bigint" for c in ("total_processed", *kinds))
+    return df.sparkSession.createDataFrame([row], names).select(
+        F.lit(run_id).alias("run_id"), F.lit(phase).alias("phase"), "*", iso_utc(as_of).alias("completed_at"))

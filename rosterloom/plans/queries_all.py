@@ -3,6 +3,7 @@
 from . import (  # noqa: F401
     queries_aggregates,
     queries_browse,
+    queries_indexes,
     queries_linkage,
     queries_merge,
     queries_pages,

@@ -1,8 +1,10 @@
 """Chat formatting: records of many layouts to canonical turns, and turns to marked text.
 
-A record's layout is the set of its nested field paths (`messages[].role`, ...). The hash of that
-set, its fingerprint, picks a declarative mapping, which says where the turns are and which role
-each has; a record whose fingerprint belongs to no mapping has no turns and is reported as such.
+A record's layout is the set of its nested field paths (`messages[].role`, ...) that any mapping
+names; other fields, like an id or a source, don't count. The hash of that set, its fingerprint,
+picks a declarative mapping, which says where the turns are and which role each has. Fields that are
+null count only if the record has no layout without them; a required field that is null is an empty
+turn. A record whose fingerprint belongs to no mapping has no turns and is reported as such.
 
 The template marks each turn with control strings and escapes all known control strings inside
 texts by `\\.` after their first character and backslashes by doubling; both are taken back when the
@@ -81,30 +83,42 @@ LAYOUTS = (
 TURN_ROW = (Layout("turn row", (("@role", "text"),), (), ("role", "text")),)
 
 
-def paths(value: object, at: str = "") -> set[str]:
-    """The paths of all fields that hold something; list elements share one path."""
+def paths(value: object, at: str = "", nulls: bool = False) -> set[str]:
+    """The paths of all fields that hold something (or, with `nulls`, of all); list elements share one."""
     if isinstance(value, dict):
-        return set().union(*(paths(v, f"{at}.{k}" if at else k) for k, v in value.items()))
+        return set().union(*(paths(v, f"{at}.{k}" if at else k, nulls) for k, v in value.items()))
     if isinstance(value, list):
-        return set().union(*(paths(v, f"{at}[]") for v in value))
-    return set() if value is None else {at}
+        return set().union(*(paths(v, f"{at}[]", nulls) for v in value))
+    return {at} if nulls or value is not None else set()
 
 
 def fingerprint(found: set[str]) -> str:
     return hashlib.blake2b("\n".join(sorted(found)).encode(), digest_size=12).hexdigest()
 
 
-def _registry(layouts: tuple[Layout, ...]) -> dict[str, Layout]:
-    return {key: layout for layout in layouts for key in layout.fingerprints()}
+class Registry(dict[str, Layout]):
+    """Layouts by fingerprint, and the paths that any of them names."""
+
+    def __init__(self, layouts: tuple[Layout, ...]):
+        super().__init__((key, layout) for layout in layouts for key in layout.fingerprints())
+        self.known = {p for layout in layouts for p in (*layout.required, *layout.optional)}
+
+    def of(self, record: dict) -> Layout | None:
+        own = self.get(fingerprint(paths(record) & self.known))
+        return own or self.get(fingerprint(paths(record, nulls=True) & self.known))
+
+
+def _registry(layouts: tuple[Layout, ...]) -> Registry:
+    return Registry(layouts)
 
 
 def _text(value: object) -> str:
     return "" if value is None else value if isinstance(value, str) else json.dumps(value)
 
 
-def canonical(record: object, registry: Mapping[str, Layout]) -> tuple[str | None, list[tuple[str, str]]]:
+def canonical(record: object, registry: Registry) -> tuple[str | None, list[tuple[str, str]]]:
     """The record's layout (None: unknown) and its turns as (role, text)."""
-    layout = registry.get(fingerprint(paths(record))) if isinstance(record, dict) else None
+    layout = registry.of(record) if isinstance(record, dict) else None
     if layout is None:
         return None, []
     out = []
@@ -113,13 +127,17 @@ def canonical(record: object, registry: Mapping[str, Layout]) -> tuple[str | Non
             outer, text = path.split("[].")
             name = role.split("[].")[1]
             for item in record[outer]:
+                if not isinstance(item, dict):
+                    continue
                 own = _text(item.get(name))
                 out.append((layout.roles.get(own, own), _text(item.get(text))))
         elif role.startswith("@"):
             own = _text(record.get(role[1:]))
             out.append((layout.roles.get(own, own), _text(record.get(path))))
-        elif some := [_text(record[p]) for p in path.split("+") if record.get(p) is not None]:
-            out.append((role, "\n\n".join(s for s in some if s)))
+        else:
+            some = [_text(record[p]) for p in path.split("+") if record.get(p) is not None]
+            if some or layout.required and path.split("+")[0] in layout.required:
+                out.append((role, "\n\n".join(s for s in some if s)))
     return layout.name, out
 
 

@@ -12,7 +12,9 @@ and its texts are scored with the counts that come back. So no task holds more o
 texts of one block can ask for, and the driver gets a single row of totals.
 
 A document's losses are its mean negative log probabilities per character under either model; the
-score is target loss minus background loss, lower for texts closer to the target.
+score is target loss minus background loss, lower for texts closer to the target. A document never
+scores itself: its own n-grams are taken off the counts of the models that hold them, so a good
+document is not good because it was counted as good.
 
 Null and empty texts have no characters: losses and score are 0. Without target documents the
 target model is uniform. Labels with null ids or values take no part; rows with equal ids are
@@ -116,21 +118,29 @@ def _asked(block: pa.Table, order: int) -> pa.Table:
 
 
 def losses(texts: list[str | None], row: dict[bytes, int], models: list[np.ndarray],
-           totals: list[int], vocabulary: int, order: int, trust: float = TRUST) -> np.ndarray:
+           totals: list[int], vocabulary: int, order: int, trust: float = TRUST,
+           held: np.ndarray | None = None) -> np.ndarray:
     """Mean loss per character of each text (rows) under each model (columns); 0 without any.
 
     `models` hold the counts of n-grams by `row`, and a 0 in the end for all others; `totals` the
-    characters a model has counted.
+    characters a model has counted. Where `held` (texts by models) is true, the model has counted
+    the text itself, whose n-grams are taken off.
     """
     grams = Grams(texts, order)
     owner = np.repeat(np.arange(len(texts)), grams.lengths)
+    text = np.repeat(np.arange(len(texts)), np.diff(grams.starts))
+    if held is None:
+        held = np.zeros((len(texts), len(models)), bool)
+    # how often each place's n-gram occurs in its own text
+    own_counts = [_within(text, number, grams.real) for number in grams.numbers]
     rows = [np.fromiter((row.get(key, -1) for key in keys), np.int64, len(keys)) for keys in grams.keys]
     out = np.zeros((len(texts), len(models)))
     for m, counts in enumerate(models):
         p = np.full(len(grams.real), 1 / max(vocabulary, 1))
-        context = np.full(len(p), float(totals[m]))
+        mine = held[text, m]
+        context = totals[m] - np.where(mine, grams.lengths[text], 0.0)
         for k in range(order):
-            own = counts[rows[k]][grams.numbers[k]]
+            own = counts[rows[k]][grams.numbers[k]] - np.where(mine, own_counts[k], 0)
             share = np.divide(own, context, out=np.zeros(len(p)), where=context > 0)
             # an unseen context leaves the lower orders' estimate as it is
             p = np.where(context > 0, trust * np.minimum(share, 1) + (1 - trust) * p, p)
@@ -139,18 +149,32 @@ def losses(texts: list[str | None], row: dict[bytes, int], models: list[np.ndarr
     return out
 
 
+def _within(text: np.ndarray, number: np.ndarray, real: np.ndarray) -> np.ndarray:
+    """For each place how many characters of its text end the same n-gram."""
+    at, n = _numbered(text * (int(number.max(initial=0)) + 1) + number)
+    return np.bincount(at, real, n)[at]
+
+
+def _marked(docs: DataFrame, good_ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text, good) of each row."""
+    good = good_ids.select(F.col(good_ids.columns[0]).cast("bigint").alias("_good")).dropna().distinct()
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    # the same plan at every size: labels grow with the documents
+    return texts.join(good.hint("merge"), F.col("doc_id").cast("bigint") == F.col("_good"), "left").select(
+        "doc_id", "text", F.col("_good").isNotNull().alias("good"))
+
+
 def train(docs: DataFrame, good_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           order: int = ORDER) -> DataFrame:
     """(n, gram, background, target): how often each n-gram is in all and in the target documents.
 
     `good_ids` holds the target documents' ids in its first column.
     """
-    good = good_ids.select(F.col(good_ids.columns[0]).cast("bigint").alias("_good")).dropna().distinct()
-    texts = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("text"))
-    # the same plan at every size: labels grow with the documents
-    marked = texts.join(good.hint("merge"), F.col("_id") == F.col("_good"), "left").select(
-        "text", F.col("_good").isNotNull().alias("good"))
-    return (marked.mapInArrow(lambda b: _counted(b, order),
+    return _counts(_marked(docs, good_ids, id_col, text_col), order)
+
+
+def _counts(marked: DataFrame, order: int) -> DataFrame:
+    return (marked.select("text", "good").mapInArrow(lambda b: _counted(b, order),
                               "n int, gram binary, background bigint, target bigint")
             .groupBy("n", "gram").agg(F.sum("background").alias("background"),
                                       F.sum("target").alias("target")))
@@ -159,17 +183,18 @@ def train(docs: DataFrame, good_ids: DataFrame, id_col: str = "doc_id", text_col
 def cross_entropy_difference(docs: DataFrame, good_ids: DataFrame, id_col: str = "doc_id",
                              text_col: str = "text", order: int = ORDER) -> DataFrame:
     """(doc_id, n_chars, target_loss, background_loss, score) for each row."""
-    model = cut_lineage(train(docs, good_ids, id_col, text_col, order), "lm")
+    held = docs.agg(F.sum(F.octet_length(text_col)).alias("bytes")).first()["bytes"] or 0
+    blocks = -(-held // BLOCK) or 1
+    # dealt by a written row number: equal rows go to different blocks
+    dealt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).alias("block")
+    rows = cut_lineage(_marked(docs, good_ids, id_col, text_col).select(dealt, "*"), "lm-texts")
+    model = cut_lineage(_counts(rows, order), "lm")
     whole = model.filter("n = 1").agg(
         F.count(F.lit(1)).alias("vocabulary"), F.coalesce(F.sum("target"), F.lit(0)).alias("target"),
         F.coalesce(F.sum("background"), F.lit(0)).alias("background")).first()
     vocabulary, totals = whole["vocabulary"], [whole["target"], whole["background"]]
-    held = docs.agg(F.sum(F.octet_length(text_col)).alias("bytes")).first()["bytes"] or 0
-    blocks = -(-held // BLOCK) or 1
-
-    rows = docs.select(
-        F.pmod(F.xxhash64(id_col, text_col), F.lit(blocks)).alias("block"),
-        F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    # a task a block, or a few blocks: never more of them the more text there is
+    rows = rows.repartition(int(max(blocks, 1)), "block")
     kind = rows.schema["doc_id"].dataType.simpleString()
     asked = rows.groupBy("block").applyInArrow(lambda t: _asked(t, order), "block bigint, gram binary")
     counts = asked.join(model.select("gram", "target", "background").hint("merge"), "gram")
@@ -181,7 +206,9 @@ def cross_entropy_difference(docs: DataFrame, good_ids: DataFrame, id_col: str =
         out = []
         for batch in slices(texts.to_batches(), limit=SLICE):
             said = batch.column("text").to_pylist()
-            loss = losses(said, row, models, totals, vocabulary, order)
+            good = batch.column("good").to_numpy(zero_copy_only=False)
+            counted = np.column_stack([good, np.ones(len(said), bool)])
+            loss = losses(said, row, models, totals, vocabulary, order, held=counted)
             out.append(pa.record_batch({
                 "doc_id": batch.column("doc_id"),
                 "n_chars": pa.array([len(t or "") for t in said], pa.int64()),

@@ -234,3 +234,25 @@ def test_rows_read_back(spark):
         assert r.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
         assert r.formatted_chars == sum(len(chat.formatted_turn(*t)[0]) for t in turns)
     assert chat.read_back(chat.format_turn_rows(df.limit(0))).count() == 0
+
+
+@pytest.mark.parametrize("record, layout, turns", [
+    ({"id": 7, "prompt": "a", "completion": "b"}, "prompt", [("user", "a"), ("assistant", "b")]),
+    ({"prompt": "a", "completion": None}, "prompt", [("user", "a"), ("assistant", "")]),
+    ({"prompt": "a", "response": "b", "completion": None}, "response", [("user", "a"), ("assistant", "b")]),
+    ({"messages": [{"role": "human", "content": "x", "name": "n"}, {"role": "assistant", "content": None}],
+      "source": {"url": "u"}}, "messages", [("user", "x"), ("assistant", "")]),
+    ({"instruction": "do", "input": None, "output": "it", "score": 1.5}, "instruction",
+     [("user", "do"), ("assistant", "it")]),
+    ({"question": None, "answer": None}, "question", [("user", ""), ("assistant", "")]),
+    ({"prompt": "a"}, None, []), ({"url": "u"}, None, []), ([1], None, []), (None, None, [])])
+def test_layouts_go_by_the_fields_they_name(record, layout, turns):
+    assert chat.canonical(record, chat.Registry(chat.LAYOUTS)) == (layout, turns)
+
+
+def test_empty_tables_format_to_nothing(spark):
+    rows = spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")
+    formatted = chat.format_turn_rows(rows)
+    assert formatted.count() == 0 and chat.read_back(formatted).count() == 0
+    records = spark.createDataFrame([], "rid bigint, body string")
+    assert chat.format_records(records, "rid", "body").count() == 0

@@ -2,12 +2,12 @@
 
 from pyspark.sql import functions as F
 
-from ..functions import derive
+from ..functions import derive, vocab
 from ..session import scratch_path
 from ..sources import readers, writers
 from . import phases
-from .bindings import ART, CUST, art, cust, score_columns, tables
-from .queries_linkage import ROLES, ROSTER, SHEET, _url_key, known, roster, sheet, sheet_records
+from .bindings import ART, CODES, CODES_SQL, CUST, STATE_NAMES, art, cust, score_columns, tables
+from .queries_linkage import _FUZZY, ROLES, ROSTER, SHEET, _url_key, known, roster, sheet, sheet_records
 from .queries_scoring import OK2, P1, P2, Q2
 from .registry import query
 
@@ -138,6 +138,62 @@ def link_external(spark, path):
                       F.array_join("filled_fields", ",").alias("filled"))
 
 
+# Titles of pages against other titles of the same state: some as they are in small letters, some
+# without their last word, some without their first; the ratio by the recursion of `c4_fuzzy_match`.
+_RATIO = _FUZZY[_FUZZY.index("seg AS ("):_FUZZY.index(", best AS (")]
+
+
+def _plain(title: str) -> str:
+    return (f"trim(regexp_replace(regexp_replace(regexp_replace(chr(1) || regexp_replace(lower({title}), "
+            "'([^\\p{L}\\p{N}_])', chr(1) || '\\1' || chr(1), 'g') || chr(1), '\\x01("
+            + "|".join(vocab.NAME_STOP_WORDS) + ")\\x01', '', 'g'), '[^\\p{L}\\p{N}_\\s]', '', 'g'), '\\s+', ' ', 'g'))")
+
+
+@query("c4_link_titles", (
+    "WITH RECURSIVE src AS (SELECT page_id AS id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, "
+    f"{CODES_SQL}[page_id % 8 + 1] AS state FROM pages), rec AS (SELECT id, state, lower(title) AS raw, "
+    f"{_plain('title')} AS k FROM src), given AS (SELECT id AS row_no, state, trim(CASE id % 6 WHEN 0 THEN lower(title) "
+    "WHEN 2 THEN regexp_replace(title, ' [^ ]*$', '') || ' Hall' ELSE regexp_replace(title, '^[^ ]* ', '') END) AS t "
+    f"FROM src WHERE id % 2 = 0), ext AS (SELECT *, lower(t) AS raw, {_plain('t')} AS k FROM given WHERE t <> ''), "
+    "seen AS (SELECT state, k, min(row_no) AS row_no FROM ext GROUP BY state, k), exact AS (SELECT rec.id, "
+    "min(row_no) AS row_no FROM rec JOIN ext USING (state, raw) GROUP BY rec.id), same AS (SELECT rec.id, row_no FROM "
+    "rec JOIN seen USING (state, k) WHERE rec.id NOT IN (SELECT id FROM exact)), pairs AS (SELECT row_number() OVER () "
+    "AS pid, * FROM (SELECT DISTINCT rec.state, rec.k AS a, seen.k AS b FROM rec JOIN seen USING (state) WHERE rec.id "
+    "NOT IN (SELECT id FROM exact) AND rec.id NOT IN (SELECT id FROM same))), "
+    f"{_RATIO}, near AS (SELECT rec.id, max(struct_pack(score := q.score, pos := -row_no)) AS m FROM rec JOIN ratio q "
+    "ON q.state = rec.state AND q.a = rec.k JOIN seen ON seen.state = rec.state AND seen.k = q.b WHERE q.score >= 0.7 "
+    "AND rec.id NOT IN (SELECT id FROM exact) AND rec.id NOT IN (SELECT id FROM same) GROUP BY rec.id), hit AS (SELECT "
+    "id, row_no, 'exact' AS outcome, 1.0::DOUBLE AS score FROM exact UNION ALL SELECT id, row_no, 'fuzzy', 1.0 FROM same "
+    "UNION ALL SELECT id, -m.pos, 'fuzzy', m.score FROM near) SELECT rec.id, coalesce(outcome, 'no_match') AS outcome, "
+    "round(score, 6) AS match_score, CASE WHEN rec.id % 3 = 0 THEN 'old' ELSE '555-' || row_no END AS phone, CASE WHEN "
+    "row_no IS NULL THEN 'seed' ELSE 'seed,museums_csv' END AS sources, 'CSV: IRS Museum ID ' || row_no || ' CSV: phone "
+    "from IRS 990 database' AS notes FROM rec LEFT JOIN hit ON hit.id = rec.id"))
+def link_titles(spark, path):
+    (p,) = tables(spark, path, "pages")
+    key, text_ = F.col("page_id"), F.col("page_id").cast("string")
+    title = F.regexp_extract("html", r"<title>([^<]*)</title>", 1)
+    spot = (key % 8 + 1).cast("int")
+    code = F.element_at(F.array(*[F.lit(c) for c in CODES[:8]]), spot)
+    other = (F.when(key % 6 == 0, F.lower(title)).when(key % 6 == 2, F.concat(
+        F.regexp_replace(title, " [^ ]*$", ""), F.lit(" Hall"))).otherwise(F.regexp_replace(title, "^[^ ]* ", "")))
+    names = {"Museum ID": text_, "Museum Name": other, "Museum Type": F.lit(""),
+             "Phone Number": F.concat(F.lit("555-"), text_), "State (Administrative Location)": code,
+             **{n: F.lit(" ") for n in phases.EXTERNAL_ROLES.values() if n not in (
+                 "Museum ID", "Museum Type", "Phone Number")}}
+    external = p.filter("page_id % 2 = 0").select(key.alias("row_no"), *[v.alias(k) for k, v in names.items()])
+    blank = {f: F.lit(None).cast("string") for f in (
+        "museum_type", "street_address", "address_source", "address_last_verified", "postal_code", "notes", "city")}
+    records = p.select(
+        key.alias("id"), title.alias("museum_name"),
+        F.element_at(F.array(*[F.lit(s) for s in STATE_NAMES[:8]]), spot).alias("state_province"),
+        F.when(key % 3 == 0, "old").alias("phone"), F.lit(None).cast("double").alias("latitude"),
+        F.lit(None).cast("double").alias("longitude"), F.array(F.lit("seed")).alias("data_sources")).withColumns(blank)
+    # the threshold the phase has in production
+    out = phases.link_external(records, external, "row_no", F.lit(AS_OF))
+    return out.select("id", "outcome", F.round("match_score", 6).alias("match_score"), "phone",
+                      F.array_join("data_sources", ",").alias("sources"), "notes")
+
+
 @query("c6_link_sheet", (
     f"WITH {SHEET}, near AS (SELECT id, arg_min(score, seen) AS score FROM rec JOIN dim ON length(rec.k) > 10 "
     "AND length(dim.k) > 10 AND (contains(rec.k, dim.k) OR contains(dim.k, rec.k)) WHERE rec.k NOT IN (SELECT "

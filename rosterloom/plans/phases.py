@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import derive, scoring, text, vocab
 from ..functions.scoring import ScoreColumns
 from ..operators import dedupe, groups, linkage, merge
+from ..session import cut_lineage
 
 Phase = tuple[str, Callable[[DataFrame], DataFrame]]
 
@@ -86,17 +87,19 @@ def score_records(df: DataFrame, s: ScoreColumns, scoreable: str, version: str =
 
 def ingest_roster(records: DataFrame, roster: DataFrame, roles: Mapping[str, str], row_no: str,
                   as_of: Column | str, source_tag: str, note: str,
-                  null_fields: Mapping[str, str] | None = None) -> DataFrame:
+                  null_fields: Mapping[str, str] | None = None,
+                  keep: Sequence[str] = ()) -> DataFrame:
     """Stubs for roster rows that match no record and no earlier stub of the batch.
 
     `roles` names block (file region), state, name, city and url of the roster; `records` has
-    them as state_code, state_province, museum_name, city and website.
+    them as state_code, state_province, museum_name, city and website; `keep` are roster columns
+    that the stubs carry along.
     """
     known = {"block": "state_code", "state": "state_province", "name": "museum_name",
              "city": "city", "url": "website"}
     fresh = linkage.unmatched_roster(roster, records, roles, known)
     kept = dedupe.greedy_dedupe(fresh, roles, row_no)
-    return merge.make_stubs(kept, roles, as_of, source_tag, note, null_fields)
+    return merge.make_stubs(kept, roles, as_of, source_tag, note, null_fields, keep)
 
 
 def apply_identity(df: DataFrame, identity: DataFrame, key: str, as_of: Column | str,
@@ -264,6 +267,46 @@ def build_index(df: DataFrame, id_col: str = "museum_id", city: str = "city",
         .otherwise(F.col("scoring_version"))})
 
 
+#: Fields of a record that phases fill and a new one starts without.
+RUN_FIELDS = {
+    "latitude": "double", "longitude": "double", "place_id": "string", "phone": "string", "notes": "string",
+    "address_last_verified": "string", "city_tier": "int", "time_needed": "string", "nearby_count": "bigint",
+    "planner_data_updated_at": "timestamp", "priority_score": "int", "overall_quality_score": "int",
+    "primary_art": "string", "scoring_version": "string", "reputation": "int"}
+
+
+def whole_run(roster: DataFrame, known: DataFrame, roles: Mapping[str, str], row_no: str,
+              identity: DataFrame, external: DataFrame, sheet: DataFrame, sheet_modified: Column,
+              payload: Sequence[str], score_inputs: Mapping[str, Column], s: ScoreColumns,
+              as_of: Column, skip: Sequence[str] = ()) -> DataFrame:
+    """The run from a roster to the index of its new records, phase after phase.
+
+    Roster rows that are known or repeat each other go; the others become records. Then: addresses
+    by `identity` (keyed by the roster's row number), derived fields, the best row of the external
+    table, changed values of the sheet (`payload`), scores from `score_inputs`, and the index. Each
+    phase's result is written, so a phase that is lost is not computed from the start. The outcome
+    of every phase stays as `{phase}_outcome`.
+    """
+    def outcome_of(phase: str, df: DataFrame) -> DataFrame:
+        return cut_lineage(df.withColumnRenamed("outcome", f"{phase}_outcome"), f"run-{phase}")
+
+    start = ingest_roster(known, roster, roles, row_no, as_of.cast("string"), "seed", "Seeded from the roster.",
+                          {**RUN_FIELDS, **{f"planner_{f}": dict(sheet.dtypes)[f] for f in payload}}, [row_no])
+    steps = [
+        ("identity", lambda d: outcome_of("identity", apply_identity(d, identity, row_no, as_of.cast("string")))),
+        ("backbone", lambda d: cut_lineage(backbone(
+            d, row_no, "city", "state_province", "museum_type", "museum_name").drop("updated_fields"), "run-backbone")),
+        ("external", lambda d: outcome_of("external", link_external(d, external, row_no, as_of.cast("string")).drop(
+            "filled_fields", "match_score"))),
+        ("sheet", lambda d: outcome_of("sheet", link_sheet(
+            d, sheet, row_no, payload, sheet_modified, as_of.cast("timestamp")).drop("changed_fields"))),
+        ("scores", lambda d: outcome_of("scores", score_records(
+            d.withColumns({**score_inputs, "run_scoreable": F.lit(True)}), s, "run_scoreable"))),
+        ("index", lambda d: build_index(d, row_no, "city", "state_province", "run_domain", s))]
+    return run_phases(cut_lineage(start, "run-stubs").withColumn("run_domain", F.lit("Art")), steps, skip).drop(
+        "run_domain", "run_scoreable")
+
+
 def run_phases(df: DataFrame, phases: Sequence[Phase], skip: Sequence[str] = ()) -> DataFrame:
     """Apply the phases in order as one lazy plan; names in `skip` are left out."""
     for name, phase in phases:

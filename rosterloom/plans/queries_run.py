@@ -1,9 +1,10 @@
-"""The composed phases over the given tables, one query a phase, and the whole run."""
+"""The composed phases over the given tables, one query a phase, and the whole run from a roster file."""
 
 from pyspark.sql import functions as F
 
 from ..functions import derive, vocab
-from ..session import scratch_path
+from ..operators import dedupe, linkage
+from ..session import cut_lineage, scratch_path
 from ..sources import readers, writers
 from . import phases
 from .bindings import ART, CODES, CODES_SQL, CUST, STATE_NAMES, art, cust, score_columns, tables
@@ -299,3 +300,84 @@ def run_phases(spark, path):
     start = _stored(art(spark, path)).withColumn("city_tier", F.lit(None).cast("int"))
     twice = run(run(start))
     return twice.select("id", "priority_score", "nearby", "city_tier", "primary_art")
+
+
+# The run over a roster file. External rows lie in four states, where every new record has one of its own name;
+# sheet rows are some of the names, which others contain.
+_EXTERNAL_CODES = ("AL", "CO", "NY", "TX")
+_SHEET_KEY = "trim(regexp_replace(lower({}), '[^a-z0-9_\\s]', '', 'g'))"
+_RUN = f"""{_FRESH}, s1 AS (
+  SELECT row_no, block, state, name, CASE WHEN city <> '' THEN 'skipped' WHEN row_no % 2 = 0 AND row_no % 5 <> 0 THEN
+    'updated' ELSE 'failed' END AS identity, city FROM kept
+), s2 AS (
+  SELECT *, CASE WHEN identity = 'updated' THEN 'Found ' || state WHEN city = '' THEN 'Unknown' ELSE city END AS town
+  FROM s1
+), ext AS (SELECT block, lower(name) AS raw, min(row_no) AS ext_no FROM s1 WHERE block IN {_EXTERNAL_CODES}
+  GROUP BY ALL
+), s3 AS (
+  SELECT s2.*, ext_no, CASE WHEN ext_no IS NULL THEN 'no_match' ELSE 'exact' END AS external FROM s2 LEFT JOIN ext ON
+    ext.block = s2.block AND ext.raw = lower(s2.name)
+), dim AS (
+  SELECT {_SHEET_KEY.format('name')} AS k, min(row_no) AS seen, arg_max(row_no % 6, row_no) AS score FROM s1
+  WHERE row_no % 97 = 3 GROUP BY 1
+), rec AS (SELECT DISTINCT {_SHEET_KEY.format('name')} AS k FROM s1
+), near AS (
+  SELECT rec.k, arg_min(score, seen) AS score FROM rec JOIN dim ON length(rec.k) > 10 AND length(dim.k) > 10 AND
+    (contains(rec.k, dim.k) OR contains(dim.k, rec.k)) WHERE rec.k NOT IN (SELECT k FROM dim) GROUP BY rec.k
+), found AS (SELECT k, score FROM dim UNION ALL SELECT k, score FROM near
+), s4 AS (
+  SELECT s3.*, score AS planner FROM s3 LEFT JOIN found ON found.k = {_SHEET_KEY.format('s3.name')}
+), s5 AS (
+  SELECT *, CAST(planner AS INT) AS imp, CAST(NULL AS INT) AS mod, CAST(NULL AS INT) AS hist, CAST(row_no % 4 AS INT)
+    AS rep, 3 AS tier, count(*) OVER (PARTITION BY state, lower(trim(town))) - 1 AS nearby FROM s4
+)"""
+
+
+@query("i10_whole_run", (
+    f"WITH {_RUN} SELECT row_no, identity AS identity_outcome, town AS city, 3::INT AS city_tier, nearby AS "
+    "nearby_count, external AS external_outcome, '555-' || ext_no AS phone, CASE WHEN planner IS NULL THEN 'not_found' "
+    "ELSE 'updated' END AS sheet_outcome, CAST(planner AS INT) AS planner_score, CASE WHEN planner IS NULL THEN "
+    f"'cannot_score' ELSE 'scored' END AS scores_outcome, {P2} AS priority_score, 'seed' || CASE WHEN identity = "
+    "'updated' THEN ',google_places_api' ELSE '' END || CASE WHEN ext_no IS NOT NULL THEN ',museums_csv' ELSE '' END "
+    "|| CASE WHEN planner IS NOT NULL THEN ',museum_planner_spreadsheet' ELSE '' END AS sources, count(*) OVER "
+    "(PARTITION BY town, state) - 1 AS index_nearby FROM s5"))
+def whole_run(spark, path):
+    target = scratch_path(spark, "roster")
+    writers.write_csv(roster(spark, path).orderBy("row_no").select(
+        F.col("city").alias("CITY"), F.col("state").alias("STATE"), F.col("url").alias("URL"),
+        F.col("name").alias("NAME"), F.col("row_no").alias("ORDER")), target)
+    read, _ = readers._csv_rows(spark, target, readers.ROSTER_HEADERS, True, "line")
+    rows = read.select(readers._cell("ORDER").cast("bigint").alias("row_no"), *[
+        F.coalesce(readers._cell(c), F.lit("")).alias(c) for c in readers.ROSTER_HEADERS]).withColumn(
+        "block", derive.region_code("STATE"))
+    key = F.col("row_no")
+    text_ = key.cast("string")
+    records = known(spark, path).select(
+        F.col("block").alias("state_code"), F.col("state").alias("state_province"),
+        F.col("name").alias("museum_name"), "city", F.col("url").alias("website"))
+    roles = {"block": "block", "state": "STATE", "name": "NAME", "city": "CITY", "url": "URL"}
+    # answers and tables for all rows of the roster; only new records look them up
+    identity = rows.filter("row_no % 2 = 0").select(
+        "row_no", (key % 5 != 0).alias("success"), F.concat(F.lit("Found "), "STATE").alias("city"),
+        *[F.lit(None).cast(t).alias(f) for f, t in (
+            ("street_address", "string"), ("postal_code", "string"), ("latitude", "double"),
+            ("longitude", "double"), ("place_id", "string"), ("phone", "string"))])
+    names = {"Museum ID": text_, "Museum Name": F.col("NAME"), "Phone Number": F.concat(F.lit("555-"), text_),
+             "State (Administrative Location)": F.col("block"),
+             **{n: F.lit(" ") for n in phases.EXTERNAL_ROLES.values() if n not in ("Museum ID", "Phone Number")}}
+    new = linkage.unmatched_roster(rows, records, roles, {
+        "block": "state_code", "state": "state_province", "name": "museum_name", "city": "city", "url": "website"})
+    new = cut_lineage(dedupe.greedy_dedupe(new, roles, "row_no"), "new-rows")
+    external = new.filter(F.col("block").isin(*_EXTERNAL_CODES)).select(
+        "row_no", *[v.alias(k) for k, v in names.items()])
+    planner = new.filter("row_no % 97 = 3").select(
+        "row_no", F.col("NAME").alias("museum_name"), (key % 6).cast("int").alias("score"))
+    modified = F.lit("2026-01-01").cast("timestamp")
+    inputs = {"imp": F.col("planner_score"), "rep": (key % 4).cast("int"), "tier": F.col("city_tier"),
+              "nearby": F.col("nearby_count").cast("int"),
+              **{c: F.lit(None).cast("int") for c in ("mod", "hist", "eca", "cbs")}}
+    out = phases.whole_run(rows, records, roles, "row_no", identity, external, planner, modified, ["score"],
+                           inputs, S, F.lit(AS_OF))
+    return out.select("row_no", "identity_outcome", "city", "city_tier", "nearby_count", "external_outcome", "phone",
+                      "sheet_outcome", "planner_score", "scores_outcome", "priority_score",
+                      F.array_join("data_sources", ",").alias("sources"), F.col("nearby").alias("index_nearby"))

@@ -583,3 +583,103 @@ def test_clashing_columns_stay(spark):
         assert out.columns == df.columns and found
         assert all(r[c] == v for r in found for c, v in own.items())
     assert superminhash.deduplicated(df).count() == 4
+
+
+def naive_two_fit(lengths, capacity):
+    """Best-two-fit by trying all pieces and all pairs: the lengths of each bin."""
+    left, bins = sorted(lengths, reverse=True), []
+    while left:
+        content, gap = [], capacity
+        while fits := [n for n in left if n <= gap]:
+            n = max(fits)
+            left.remove(n)
+            content.append(n)
+            gap -= n
+        if gap and len(content) > 1:
+            smallest = content[-1]
+            room = gap + smallest
+            # two pieces that fill the room more tightly than the smallest one did
+            sums = [a + b for a, b in itertools.combinations(left, 2) if smallest < a + b <= room]
+            if sums:
+                total = max(sums)
+                # of equal sums the pair with the longest piece
+                a = max(max(x, y) for x, y in itertools.combinations(left, 2) if x + y == total)
+                content[-1:] = [a, total - a]
+                left.remove(a)
+                left.remove(total - a)
+                left.append(smallest)
+        bins.append(sorted(content))
+    return sorted(bins)
+
+
+def test_best_two_fit_equals_a_naive_search():
+    rng = random.Random(12)
+    for _ in range(150):
+        capacity = rng.choice([10, 30, 100])
+        lengths = [rng.randint(1, capacity) for _ in range(rng.randint(0, 40))]
+        bins = packing.best_two_fit(lengths, capacity)
+        assert sorted(sorted(lengths[i] for i in b) for b in bins) == naive_two_fit(lengths, capacity)
+
+
+def test_pairwise_weights_are_the_minimum_of_the_loss():
+    rng = np.random.default_rng(2)
+    difference = rng.normal(size=(400, 4)) + [0.5, 0, -0.2, 0]
+    w = ranking.bradley_terry(difference, penalty=1e-2)
+
+    def loss(v):
+        return np.mean(np.log1p(np.exp(-difference @ v))) + 0.5e-2 * v @ v
+
+    for k in range(4):
+        for step in (-1e-3, 1e-3, -0.1, 0.1):
+            moved = w.copy()
+            moved[k] += step
+            assert loss(moved) > loss(w)
+
+
+def test_quality_scores_equal_a_sum_by_hand(spark, labelled):
+    docs, labels, _ = labelled
+    ranker = ranking.train(docs, labels)
+    got = {r.doc_id: r for r in ranking.quality_scores(docs, ranker).collect()}
+    flags = ranking._classes()
+    for r in docs.limit(60).collect():
+        x = ranking.features(r.text, flags)
+        z = sum(w * min(max((v - c) / s, -8), 8) for w, v, c, s in zip(
+            ranker.weights, [*x, *np.sqrt(np.abs(x)), *np.minimum(np.abs(x) * 20, 1)], ranker.centre, ranker.scale))
+        z = ranker.slope * (z - ranker.threshold) + np.log(0.3 / 0.7)
+        score = 1 / (1 + np.exp(-min(max(z, -30), 30)))
+        assert got[r.doc_id].score == pytest.approx(score, rel=1e-9)
+        assert got[r.doc_id].predicted == (got[r.doc_id].score >= 0.3)
+
+
+def test_severity_equals_a_sum_by_hand(spark, labelled):
+    docs, labels, _ = labelled
+    model = toxicity.train(docs, labels)
+    weight = dict(zip(model.vocabulary.tolist(), model.weights.tolist()))
+    got = {r.doc_id: r for r in toxicity.severity(docs, model).collect()}
+    for r in docs.limit(200).collect():
+        evidence = sum(weight.get(int(t), 0.0) for t in toxicity.terms(r.text))
+        p = [1 / (1 + np.exp(-min(max(evidence - t, -35), 35))) for t in model.thresholds]
+        assert got[r.doc_id].expected_severity == pytest.approx(sum(p), rel=1e-9)
+        assert got[r.doc_id].grade == sum(x >= 0.5 for x in p)
+    assert len({round(r.expected_severity, 3) for r in got.values()}) > 3
+
+
+def test_ordinal_gradient_ends_near_a_minimum():
+    rng = np.random.default_rng(3)
+    n, k = 300, 5
+    x = rng.random((n, k)) < 0.4
+    grade = np.clip((x @ [1.5, 1, 0.5, 0, 0] + rng.normal(size=n) * 0.5).astype(int), 0, 2)
+    rows, columns = np.nonzero(x)
+    w, t = toxicity.cumulative_link(rows, columns, (n, k), grade, 3)
+
+    def loss(w, t):
+        s = x @ w
+        edge = np.concatenate([[-np.inf], t, [np.inf]])
+        cdf = lambda z: 1 / (1 + np.exp(-z))
+        with np.errstate(over="ignore"):
+            mass = cdf(edge[grade + 1] - s) - cdf(edge[grade] - s)
+        return -np.log(mass).mean() + 0.01 * w @ w / n
+
+    best = loss(w, t)
+    for _ in range(200):
+        assert loss(w + rng.normal(size=k) * 0.2, t + rng.normal(size=2) * 0.05) > best - 1e-3

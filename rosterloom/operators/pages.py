@@ -226,7 +226,8 @@ def clean_text(html: Column | str, max_length: int = 2000) -> Column:
     """Page text without clutter elements: one line per text piece, cut with '...'."""
     pieces = F.transform(without_elements(text.as_col(html), _CLUTTER), lambda t: F.when(
         t.startswith("<") & t.rlike("(?is)^<[a-z/!?]"), F.lit("\n")).otherwise(t))
-    lines = unescape(F.array_join(pieces, ""))
+    # bound: decoding reads its input three times
+    lines = _let(F.array_join(pieces, ""), unescape)
     lines = F.regexp_replace(lines, r"[ \t\r\f]*\n[ \t\r\f]*", "\n")
     lines = text.strip(F.regexp_replace(lines, r"\n{2,}", "\n"))
     # bound once: the cut reads its input three times
@@ -259,18 +260,21 @@ def _main_area(tokens: Column) -> Column:
 
 
 def _area(tokens: Column) -> Column:
-    """The texts between the main area's tags ('' for a tag), and the places of its blocks in them.
+    """The texts between the main area's tags ('' for a tag), the same stripped, and its blocks' places.
 
     Null without a main area. A block that is not closed in the area reaches to its end.
     """
     def parts(x: Column, at: Column, elements: Column) -> Column:
         own = F.get(F.filter(elements, lambda e: e["start"] == at), 0)
-        return _let(own["end"], lambda stop: F.struct(
-            F.transform(F.slice(x, at + 2, stop - at - 1), lambda t: F.when(
-                t["name"] == "", unescape(t["t"])).otherwise("")).alias("texts"),
+        def texts(stop: Column) -> Column:
+            return F.transform(F.slice(x, at + 2, stop - at - 1), lambda t: F.when(
+                t["name"] == "", unescape(t["t"])).otherwise(""))
+
+        return _let(own["end"], lambda stop: _let(texts(stop), lambda said: F.struct(
+            said.alias("texts"), F.transform(said, text.strip).alias("lines"),
             F.transform(F.filter(elements, lambda e: (e["start"] > at) & (e["start"] < stop) & e["name"].isin(
                 "section", "div", "article")), lambda e: F.struct(
-                (e["start"] - at).alias("start"), (F.least(e["end"], stop) - at).alias("end"))).alias("blocks")))
+                (e["start"] - at).alias("start"), (F.least(e["end"], stop) - at).alias("end"))).alias("blocks"))))
 
     return _let(tokens, lambda x: _let(_main_area(x), lambda at: F.when(at.isNotNull(), _let(
         _elements(_moves(x), F.size(x)), lambda elements: parts(x, at, elements)))))
@@ -285,8 +289,8 @@ def topic_sections(pages: DataFrame, id_col: str, html: str,
     main area is taken, and a page without any area gives null. Works inside each row.
     """
     def lines(pieces: Column) -> Column:
-        kept = F.filter(F.transform(pieces, text.strip), lambda p: p != "")
-        return _let(F.array_join(kept, "\n"), lambda t: text.cut(t, max_length))
+        return _let(F.array_join(F.filter(pieces, lambda p: p != ""), "\n"),
+                    lambda t: text.cut(t, max_length))
 
     def inside(texts: Column, block: Column) -> Column:
         return F.slice(texts, block["start"] + 1, block["end"] - block["start"] - 1)
@@ -302,16 +306,17 @@ def topic_sections(pages: DataFrame, id_col: str, html: str,
                 hit = F.struct(acc["until"].alias("until"),
                                F.array_append(acc["found"], block).cast(place).alias("found"))
                 miss = F.struct(block["end"].alias("until"), acc["found"].alias("found"))
+                mentions = _let(said, lambda words_: text.contains_any(words_, words))
                 return F.when((F.size(acc["found"]) >= sections) | (block["start"] < acc["until"]),
-                              acc).otherwise(F.when(text.contains_any(said, words), hit).otherwise(miss))
+                              acc).otherwise(F.when(mentions, hit).otherwise(miss))
             return one
 
         def read(area: Column) -> Column:
             none = F.struct(F.lit(0).alias("until"), F.array().cast(place).alias("found"))
             found = F.aggregate(area["blocks"], none, step(area["texts"]), lambda acc: acc["found"])
             return _let(found, lambda hits: lines(
-                F.when(F.size(hits) > 0, F.flatten(F.transform(hits, lambda b: inside(area["texts"], b))))
-                .otherwise(area["texts"])))
+                F.when(F.size(hits) > 0, F.flatten(F.transform(hits, lambda b: inside(area["lines"], b))))
+                .otherwise(area["lines"])))
         return read
 
     seen = pages.select(id_col, _area(_without(_tokens(F.col(html)), _SIDE)).alias("_area"))

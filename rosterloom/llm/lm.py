@@ -132,15 +132,20 @@ def losses(texts: list[str | None], row: dict[bytes, int], models: list[np.ndarr
     if held is None:
         held = np.zeros((len(texts), len(models)), bool)
     # how often each place's n-gram occurs in its own text
-    own_counts = [_within(text, number, grams.real) for number in grams.numbers]
+    own_counts = [_within(grams.starts, number, grams.real) for number in grams.numbers]
     rows = [np.fromiter((row.get(key, -1) for key in keys), np.int64, len(keys)) for keys in grams.keys]
     out = np.zeros((len(texts), len(models)))
     for m, counts in enumerate(models):
         p = np.full(len(grams.real), 1 / max(vocabulary, 1))
         mine = held[text, m]
-        context = totals[m] - np.where(mine, grams.lengths[text], 0.0)
+        some = mine.any()
+        context = np.full(len(p), float(totals[m]))
+        if some:
+            context -= mine * grams.lengths[text]
         for k in range(order):
-            own = counts[rows[k]][grams.numbers[k]] - np.where(mine, own_counts[k], 0)
+            own = counts[rows[k]][grams.numbers[k]]
+            if some:
+                own = own - (own_counts[k] if mine.all() else mine * own_counts[k])
             share = np.divide(own, context, out=np.zeros(len(p)), where=context > 0)
             # an unseen context leaves the lower orders' estimate as it is
             p = np.where(context > 0, trust * np.minimum(share, 1) + (1 - trust) * p, p)
@@ -149,10 +154,17 @@ def losses(texts: list[str | None], row: dict[bytes, int], models: list[np.ndarr
     return out
 
 
-def _within(text: np.ndarray, number: np.ndarray, real: np.ndarray) -> np.ndarray:
+def _within(starts: np.ndarray, number: np.ndarray, real: np.ndarray) -> np.ndarray:
     """For each place how many characters of its text end the same n-gram."""
-    at, n = _numbered(text * (int(number.max(initial=0)) + 1) + number)
-    return np.bincount(at, real, n)[at]
+    out = np.empty(len(number), np.int64)
+    # one table for all texts, cleared where a text has used it
+    seen = np.zeros(int(number.max(initial=0)) + 1, np.int64)
+    for start, stop in zip(starts[:-1].tolist(), starts[1:].tolist()):
+        own = number[start:stop]
+        np.add.at(seen, own[real[start:stop]], 1)
+        out[start:stop] = seen[own]
+        seen[own] = 0
+    return out
 
 
 def _marked(docs: DataFrame, good_ids: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -323,6 +323,9 @@ def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             [rows.schema.field("doc_id"), *((c, pa.int64()) for c in (*kept[1:], "n_best", "count_sum")),
              ("groups_sha256", pa.string())]))
 
+    # as many tasks as blocks: a task holds a block or a few, however many there are
+    blocks = max(texts.select("block").distinct().count(), 1)
+    texts, known = texts.repartition(blocks, "block"), known.repartition(blocks, "block")
     return texts.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(
         resolved, f"doc_id {kind}, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, "
                   "n_best bigint, count_sum bigint, groups_sha256 string")

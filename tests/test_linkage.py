@@ -386,3 +386,16 @@ def test_numbered_is_the_global_order(spark):
     got = order.numbered(df, ["v"], "no").collect()
     assert all(r.v == r.no for r in got) and len(got) == 3000
     assert order.numbered(df.limit(0), ["v"], "no").count() == 0
+
+
+def test_sheet_match_broadcasts_no_names(spark):
+    # small files of names are large once their grams are exploded; a broadcast holds them in the driver
+    left = spark.range(2000).select("id", F.concat(F.lit("records "), F.lpad(
+        F.col("id").cast("string"), 9, "0")).alias("name"))
+    sheet = spark.range(0, 2000, 7).select(F.col("id").alias("row_no"), F.concat(F.lit("grand records "), F.lpad(
+        F.col("id").cast("string"), 9, "0")).alias("title"), F.col("id").alias("score"))
+    out = linkage.sheet_match(left, "name", sheet, "title", "row_no", ["score"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+    assert {r.id: r.sheet_score for r in out.filter("match_type = 'partial'").collect()} == {
+        i: i for i in range(0, 2000, 7)}

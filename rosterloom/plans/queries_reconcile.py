@@ -82,11 +82,13 @@ def score_overlay(spark, path):
     "SELECT 'm_' || left(sha256(CAST(d.doc_id AS VARCHAR)), 8) AS folder_hash, d.n_chars, d.lang, "
     "l.quality, l.toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"))
 def scores_with_summaries(spark, path):
-    # many documents have no labels, so the gaps are those of the tables
+    # many documents have no labels, so the gaps are those of the tables; a folder is named by eight hex
+    # digits of a hash, which two documents may share, so the record's id is what joins
     from ..functions import text
     d, lab = tables(spark, path, "documents", "labels")
     key = text.folder_hash(F.col("doc_id").cast("string")).alias("folder_hash")
-    return d.select(key, "n_chars", "lang").join(lab.select(key, "quality", "toxic"), "folder_hash", "left")
+    return d.join(lab.select("doc_id", "quality", "toxic"), "doc_id", "left").select(
+        key, "n_chars", "lang", "quality", "toxic")
 
 
 @query("k7_version_diff", (

@@ -85,3 +85,13 @@ def test_every_inventory_entry_has_a_query():
 def test_entry_is_stable(spark):
     df = entry.entry(spark)
     assert df.columns[:3] == ["id", "name", "priority"] and df.count() > 0
+
+
+def test_documents_of_one_folder_hash_keep_their_own_labels(spark, tmp_path):
+    # 69235 and 95303 share the eight hex digits that name their folders
+    spark.createDataFrame([(69235, 10, "en"), (95303, 20, "de")], "doc_id bigint, n_chars bigint, lang string"
+                          ).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(69235, 1, 0), (95303, 0, 1)], "doc_id bigint, quality int, toxic int"
+                          ).write.parquet(f"{tmp_path}/labels.parquet")
+    rows = QUERIES["c16_scores_with_summaries"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, rows)) == [("m_c11eb5e6", 10, "en", 1, 0), ("m_c11eb5e6", 20, "de", 0, 1)]

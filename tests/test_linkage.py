@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rosterloom.functions import vocab
-from rosterloom.operators import components, dedupe, groups, linkage, order, quality
+from rosterloom.operators import components, dedupe, groups, linkage, name_tiles, order, quality
 
 ROLES = {"block": "block", "state": "state", "name": "name", "city": "city", "url": "url"}
 DDL = "row_no bigint, block string, state string, name string, city string, url string"
@@ -399,3 +399,27 @@ def test_sheet_match_broadcasts_no_names(spark):
     assert "Broadcast" not in plan and "SortMergeJoin" in plan
     assert {r.id: r.sheet_score for r in out.filter("match_type = 'partial'").collect()} == {
         i: i for i in range(0, 2000, 7)}
+
+
+def test_name_tiles_keep_one_partner_a_name_and_tile(spark):
+    # numbers after one word: nearly all pairs are similar enough, so pairs must not become rows
+    rnd = random.Random(9)
+    left = [(b, f"customer{rnd.randrange(10 ** 6):09d}" + "x" * rnd.choice([0, 0, 90])) for b in "PQ" for _ in range(60)]
+    right = [(b, f"customer{rnd.randrange(10 ** 6):09d}" + "x" * rnd.choice([0, 0, 90]), i)
+             for b in "PQ" for i in rnd.sample(range(500), 90)]
+    a = spark.createDataFrame(left, "_block string, name string").dropDuplicates()
+    b = spark.createDataFrame(right, "_block string, name string, seen bigint").dropDuplicates(["_block", "name"])
+    right = [tuple(r) for r in b.collect()]
+    every = name_tiles.tile_pairs(a, b, 0.7, False, 25, 40).count()
+    rows = name_tiles.tile_pairs(a, b, 0.7, True, 25, 40).collect()
+    # 90 names make three tiles
+    assert every > 2000 and len(rows) <= 3 * a.count()
+    got = {}
+    for r in rows:
+        got[r._block, r.a] = min(got.get((r._block, r.a), (0, 0, "")), (-r.score, r.seen, r.b))
+    want = {}
+    for block, name in map(tuple, a.collect()):
+        least = min((-SequenceMatcher(None, name, o).ratio(), i, o) for c, o, i in right if c == block)
+        if -least[0] >= 0.7:
+            want[block, name] = least
+    assert got == want and len(want) > 100

@@ -34,7 +34,7 @@ _COLUMNS = ("_r", "_u", "_with_city", "_any_city", "_asks")
 
 
 def _keyed(roster: DataFrame, roles: Mapping[str, str], row_no: str) -> DataFrame:
-    """Row number, URL key, the two place keys a kept row offers, and the one a row asks for."""
+    """Each `row` with `keys`: its number, URL key, the two place keys it offers if kept, and the one it asks for."""
     low = {k: F.lower(text.strip(F.coalesce(F.col(roles[k]), F.lit(""))))
            for k in ("state", "name", "city")}
     url = text.normalize_url(F.coalesce(F.col(roles["url"]), F.lit("")))
@@ -43,11 +43,12 @@ def _keyed(roster: DataFrame, roles: Mapping[str, str], row_no: str) -> DataFram
     any_city = F.concat(block, sep, low["state"], sep, low["name"])
     city = F.when(low["city"] == "", F.lit("unknown")).otherwise(low["city"])
     with_city = F.concat(any_city, sep, city)
-    return roster.select(
-        F.col(row_no).alias("_r"),
+    keys = F.struct(
+        F.col(row_no).cast("bigint").alias("_r"),
         F.when(url != "", F.concat(block, sep, url)).alias("_u"),
         with_city.alias("_with_city"), any_city.alias("_any_city"),
         F.when(low["city"] == "", any_city).otherwise(with_city).alias("_asks"))
+    return roster.select(F.struct(*roster.columns).alias("row"), keys.alias("keys"))
 
 
 def _with_minima(rows: DataFrame, source: DataFrame, out: str) -> DataFrame:
@@ -122,8 +123,9 @@ def greedy_dedupe(roster: DataFrame, roles: Mapping[str, str], row_no: str,
     undecided row of every group of conflicting rows. Row numbers must be unique integers.
     """
     spark, folder = roster.sparkSession, scratch_path(roster.sparkSession, "dedupe-kept")
-    undecided = cut_lineage(_keyed(roster, roles, row_no).withColumn("_r", F.col("_r").cast("bigint")),
-                            "dedupe")
+    # rows and keys are written together: what comes before the roster is computed once
+    held = cut_lineage(_keyed(roster, roles, row_no), "dedupe")
+    undecided = held.select("keys.*")
     undecided.select("_r").limit(0).write.parquet(folder)
     rounds, left = 0, undecided.count()
     while left:
@@ -151,4 +153,4 @@ def greedy_dedupe(roster: DataFrame, roles: Mapping[str, str], row_no: str,
                                 "dedupe")
         left = undecided.count()
     ids = spark.read.schema("_r bigint").parquet(folder)
-    return roster.join(ids.withColumnRenamed("_r", row_no), row_no, "left_semi")
+    return held.join(ids, F.col("keys._r") == ids["_r"], "left_semi").select("row.*")

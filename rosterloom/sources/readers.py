@@ -100,7 +100,8 @@ def _csv_rows(spark: SparkSession, path: str, required: Sequence[str], multi_lin
         "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
     offsets = spark.createDataFrame(table, "_file string, _header array<string>, _before bigint")
     rows = records.filter("record > 0").select(F.col("file").alias("_file"), "record", cells.alias("_c"))
-    found = lookup(rows, offsets, ["_file"]).select(
+    # one row a file, which the driver has already: no record is shuffled to find its header
+    found = lookup(rows, F.broadcast(offsets), ["_file"]).select(
         "_file", "_header", F.array(*[f"_c.c{i}" for i in range(width)]).alias("_cells"),
         (F.col("_before") + F.col("record")).alias(row_no))
     return found, names

@@ -423,3 +423,14 @@ def test_name_tiles_keep_one_partner_a_name_and_tile(spark):
         if -least[0] >= 0.7:
             want[block, name] = least
     assert got == want and len(want) > 100
+
+
+def test_greedy_dedupe_computes_its_roster_once(spark, tmp_path):
+    rows = roster_rows(60, 3)
+    spark.createDataFrame(rows, DDL).write.parquet(str(tmp_path / "roster"))
+    roster = spark.read.parquet(str(tmp_path / "roster")).withColumn("_r", F.lit("kept"))
+    out = dedupe.greedy_dedupe(roster, ROLES, "row_no")
+    # the rows come back from what the rounds have written, not from the input once more
+    assert not any(str(tmp_path) in f for f in out.inputFiles())
+    assert out.columns == roster.columns and {r._r for r in out.collect()} == {"kept"}
+    assert sorted(r.row_no for r in out.collect()) == greedy(rows)

@@ -224,3 +224,12 @@ def test_open_quotes_and_empty_files(spark, tmp_path):
     for line, opened, want in (('a,"b', False, True), ('b"', True, False), ('x""y', True, True), ('a"b', False, False),
                                ('"",""', False, False), ('",a,"', True, True), ('"""', False, True), ('"', True, False)):
         assert csv_records.open_after(line, opened) == want, line
+
+
+def test_records_find_their_header_without_a_shuffle(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('STATE,NAME,CITY,URL\nOhio,"A\nB",c,u\n')
+    (tmp_path / "b.csv").write_text("URL,CITY,NAME,STATE\nv,d,E,Utah\n")
+    rows = readers.read_roster(spark, str(tmp_path), strict=False)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert sorted(map(tuple, rows.collect())) == [(1, "Ohio", "A\nB", "c", "u"), (2, "Utah", "E", "d", "v")]

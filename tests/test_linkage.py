@@ -425,6 +425,27 @@ def test_name_tiles_keep_one_partner_a_name_and_tile(spark):
     assert got == want and len(want) > 100
 
 
+def test_close_to_one_only_long_names_are_compared(spark, monkeypatch):
+    compared, tiled = [], name_tiles._tiled_pairs
+    monkeypatch.setattr(name_tiles, "_tiled_pairs", lambda left, *a: compared.append(left) or tiled(left, *a))
+    names = [f"customer{i:09d}" for i in range(40)] + ["y" * 210 + str(i) for i in range(3)] + ["x" * 300 + "yz" * 200]
+    # the last names are long enough for a partner that lacks a character
+    left = [(b, n) for b in ("P", "Q", None) for n in names] + [("P", "z" * 600 + "a")]
+    right = [(b, n, i) for b in ("P", None) for i, n in enumerate(names[::2] + ["z" * 600, "y" * 210 + "1"])]
+    a = spark.createDataFrame(left, "_block string, name string")
+    b = spark.createDataFrame(right, "_block string, name string, seen bigint").dropDuplicates(["_block", "name"])
+    right = [tuple(r) for r in b.collect()]
+    got = sorted((r._block, r.a, r.b, r.seen, r.score) for r in name_tiles.tile_pairs(a, b, 0.999, True).collect())
+    best = [max(((SequenceMatcher(None, n, o).ratio(), -i, o) for c, o, i in right if c == block), default=(0, 0, ""))
+            for block, n in left if block]
+    want = sorted((block, n, o, -i, score) for (block, n), (score, i, o) in zip(
+        [x for x in left if x[0]], best) if score >= 0.999)
+    assert got == want and len(want) > 20
+    # what is compared name by name
+    assert len(compared) == 1 and {r.name for r in compared[0].collect()} == {
+        n for _, n in left if len(n) >= 0.999 / 0.002 - 1e-6}
+
+
 def test_greedy_dedupe_computes_its_roster_once(spark, tmp_path):
     rows = roster_rows(60, 3)
     spark.createDataFrame(rows, DDL).write.parquet(str(tmp_path / "roster"))

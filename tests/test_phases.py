@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from rosterloom.plans import phases
+from rosterloom.operators import dedupe
+from rosterloom.plans import phases, queries_run
 from tests.test_linkage import DDL, ROLES, greedy, matches, roster_rows
 
 
@@ -149,3 +150,10 @@ def test_build_index(spark):
              got[i].is_scored, got[i].scoring_version) for i in (1, 2, 3)] == [
         (1, 1, "Modern/Contemporary", 15, True, "v1.0"), (1, 2, None, None, False, None),
         (0, None, "Impressionist", None, False, None)]
+
+
+def test_whole_run_finds_new_records_once(spark, small, monkeypatch):
+    calls, once = [], dedupe.greedy_dedupe
+    monkeypatch.setattr(dedupe, "greedy_dedupe", lambda *a: calls.append(a) or once(*a))
+    queries_run.whole_run(spark, small)
+    assert len(calls) == 1

@@ -425,6 +425,42 @@ def test_name_tiles_keep_one_partner_a_name_and_tile(spark):
     assert got == want and len(want) > 100
 
 
+def test_right_names_are_copied_for_few_left_tiles(spark, monkeypatch):
+    # copies of the right names were as many as the left names had tiles: both grow with the block
+    dealt, deal = {}, name_tiles._dealt
+
+    def kept(*a):
+        dealt[a[4]] = deal(*a)
+        return dealt[a[4]]
+
+    monkeypatch.setattr(name_tiles, "_dealt", kept)
+    rnd = random.Random(4)
+    words = ["harbour", "light", "museum", "of", "north", "art", "old", "town"]
+
+    def names(n):
+        return sorted({" ".join(rnd.sample(words, 3)) + f" {rnd.randrange(90)}" for _ in range(n)})
+
+    left = [("P", n) for n in names(300)] + [("Q", n) for n in names(9)]
+    right = [(b, n, i) for b in "PQ" for i, n in enumerate(names(80))]
+    a = spark.createDataFrame(left, "_block string, name string")
+    b = spark.createDataFrame(right, "_block string, name string, seen bigint")
+    rows = name_tiles.tile_pairs(a, b, 0.7, True, 4, 30).collect()
+    copies = dealt["_bs"].groupBy("_pair._block").agg(F.sum(F.size("_bs")).alias("n")).collect()
+    own = {block: sum(c == block for c, _, _ in right) for block in "PQ"}
+    most = {"P": 16, "Q": 3}
+    assert all(r.n <= most[r._block] * own[r._block] for r in copies) and len(copies) == 2
+    assert len(left) > 250 and all(r.n > own[r._block] for r in copies)
+    got = {}
+    for r in rows:
+        got[r._block, r.a] = min(got.get((r._block, r.a), (0, 0, "")), (-r.score, r.seen, r.b))
+    want = {}
+    for block, name in left:
+        least = min((-SequenceMatcher(None, name, o).ratio(), i, o) for c, o, i in right if c == block)
+        if -least[0] >= 0.7:
+            want[block, name] = least
+    assert got == want and len(want) > 100
+
+
 def test_close_to_one_only_long_names_are_compared(spark, monkeypatch):
     compared, tiled = [], name_tiles._tiled_pairs
     monkeypatch.setattr(name_tiles, "_tiled_pairs", lambda left, *a: compared.append(left) or tiled(left, *a))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rosterloom.functions import vocab
 from rosterloom.operators import components, dedupe, groups, linkage, name_tiles, order, quality
+from rosterloom.plans.queries_linkage import sheet_containment_match
 
 ROLES = {"block": "block", "state": "state", "name": "name", "city": "city", "url": "url"}
 DDL = "row_no bigint, block string, state string, name string, city string, url string"
@@ -401,6 +402,14 @@ def test_sheet_match_broadcasts_no_names(spark):
         i: i for i in range(0, 2000, 7)}
 
 
+def test_sheet_containment_query_holds_no_table_in_the_driver(spark, small):
+    # the plan as it ran: adaptive execution broadcasts whatever small side it is free to
+    df = sheet_containment_match(spark, small.replace("sf0.001", "sf0.01"))
+    assert len(df.collect()) == 100
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "isFinalPlan=true" in plan and "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_name_tiles_keep_one_partner_a_name_and_tile(spark):
     # numbers after one word: nearly all pairs are similar enough, so pairs must not become rows
     rnd = random.Random(9)
